@@ -4,9 +4,14 @@ Vectors get one more coordinate, sqrt(max norm**2 - norm**2), which turns larges
 inner product into smallest angle; queries get 0 there.  The trees are fitted on a
 bounded sample (``SAMPLE`` vectors, those of least hash); every vector is indexed.
 A query walks all trees through one shared priority queue, best margin first, until
-the leaves it has reached hold ``search`` vectors.  All vectors of those leaves are
+the leaves it has reached hold a budget of vectors.  All vectors of those leaves are
 then reranked exactly, in double precision, on the original coordinates.
 
+The budget is measured, not guessed: ``CALIBRATE`` queries (those of least hash) are
+answered by brute force in one linear pass, and the budget is where ``TARGET`` of
+their true neighbours have been reached.  On vectors without structure no forest
+can do with a small part of the rows; the budget then grows with the index.
+
 Leaves with many vectors or many queries are dealt out in blocks of bounded size,
 so a vector that a third of all rows repeat does not gather in one task.
 
@@ -28,7 +33,9 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TREES, SAMPLE, SEARCH, K = 12, 20_000, 6000, 20
+TREES, SAMPLE, K = 24, 20_000, 20
+#: Queries that set the budget, and the part of their neighbours it has to reach.
+CALIBRATE, TARGET = 64, 0.96
 #: Rows of an index block, queries of a query block.
 BLOCK, QUERIES = 4096, 1024
 
@@ -83,7 +90,7 @@ class Forest:
             out[:, t] = -at
         return out
 
-    def probe(self, q: np.ndarray, size: dict[int, int], search: int) -> list[list[int]]:
+    def probe(self, q: np.ndarray, size: dict[int, int], search: float) -> list[list[int]]:
         """Leaves for every query, by one queue over all trees, until they hold ``search`` vectors."""
         x = np.concatenate([q, np.zeros((len(q), 1))], 1)
         x /= np.sqrt((x * x).sum(1))[:, None]
@@ -161,7 +168,36 @@ def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], ["q", "ids", "scores"])
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, search: int = SEARCH, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def _brute(batches: Iterator[pa.RecordBatch], qs: list[int], q: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best rows of every batch for a few queries."""
+    for batch in batches:
+        ids, v = _vectors(batch)
+        leaves = np.array(batch.column("leaves").to_pylist(), np.int64)
+        for one, vec in zip(qs, q, strict=True):
+            score = v @ vec
+            score[ids == one] = -np.inf
+            top = np.argsort(-score)[:k]
+            top = top[score[top] > -np.inf]
+            if len(top):
+                yield pa.RecordBatch.from_arrays([pa.array([one] * len(top), pa.int64()), pa.array(score[top]), pa.array(list(leaves[top]), pa.list_(pa.int64()))], ["q", "score", "leaves"])
+
+
+def _budget(forest: Forest, size: dict[int, int], rows: DataFrame, asks: DataFrame, k: int, target: float) -> float:
+    """Vectors a query has to reach so that ``target`` of the true neighbours are among them."""
+    few = asks.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATE).toPandas()
+    if few.empty:
+        return 1.0
+    qs, q = few["id"].tolist(), np.stack(few["v"].to_list()).astype(np.float64)
+    near = rows.mapInArrow(lambda it: _brute(it, qs, q, k), "q long, score double, leaves array<long>")
+    best = near.groupBy("q").agg(F.expr(f"slice(reverse(array_sort(collect_list(struct(score, leaves)))), 1, {k}) AS best"))
+    order, seen = dict(zip(qs, forest.probe(q, size, np.inf), strict=True)), []
+    for r in best.collect():
+        reached = dict(zip(order[r.q], np.cumsum([size[x] for x in order[r.q]]).tolist(), strict=True))
+        seen += [min(reached[leaf] for leaf in b.leaves) for b in r.best]
+    return float(np.quantile(seen, target)) if seen else 1.0
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREES, target: float = TARGET, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for every query vector."""
     spark = vectors.sparkSession
     rows = C.materialize(valid(vectors, vec_id, vector), "vectors")
@@ -172,26 +208,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
         return empty
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
     sample = np.stack(sample.to_list()).astype(np.float64)
-    # in the sample, a leaf that holds about 128 of all vectors, but 8 sampled ones at least
-    forest = Forest(sample, float(np.sqrt(stats.m)), trees, max(8, 128 * len(sample) // stats.n))
+    # in the sample, a leaf that holds about 100 of all vectors, but 8 sampled ones at least
+    forest = Forest(sample, float(np.sqrt(stats.m)), trees, max(8, 100 * len(sample) // stats.n))
     shared = spark.sparkContext.broadcast(forest)
 
     def assign(batches):
         for batch in batches:
             ids, v = _vectors(batch)
             if len(ids):
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(shared.value.place(v)), pa.list_(pa.int64()))], ["id", "leaves"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(shared.value.place(v)), pa.list_(pa.int64()))], ["id", "v", "leaves"])
 
-    placed = C.materialize(rows.mapInArrow(assign, "id long, leaves array<long>"), "placed")
+    placed = C.materialize(rows.mapInArrow(assign, "id long, v array<double>, leaves array<long>"), "placed")
     # bounded by the number of leaves, which the sample bounds
     size = {r.leaf: r.n for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     sizes = spark.sparkContext.broadcast(size)
+    budget = _budget(forest, size, placed, asks, k, target)
 
     def probe(batches):
         for batch in batches:
             ids, v = _vectors(batch)
             if len(ids):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.probe(v, sizes.value, search), pa.list_(pa.int64()))], ["id", "v", "leaves"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.probe(v, sizes.value, budget), pa.list_(pa.int64()))], ["id", "v", "leaves"])
 
     probes = C.materialize(asks.mapInArrow(probe, "id long, v array<double>, leaves array<long>"), "probes")
     asked = probes.select("id", "v", F.explode("leaves").alias("leaf"))
@@ -200,7 +237,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
     deal = F.broadcast(deal)
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     left = asked.join(deal, "leaf").select("id", "v", "leaf", mine("parts").alias("part"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
-    spread = placed.select("id", F.explode("leaves").alias("leaf")).join(deal, "leaf").join(rows, "id")
+    spread = placed.select("id", "v", F.explode("leaves").alias("leaf")).join(deal, "leaf")
     right = spread.select("id", "v", "leaf", mine("blocks").alias("block"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
     key = ["leaf", "block", "part"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda kk, a, b: _rerank(kk, a, b, k), "q long, ids array<long>, scores array<double>")
