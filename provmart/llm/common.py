@@ -20,6 +20,8 @@ _CHUNK = 1 << 20
 _P, _Q, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+#: For loose matching: only ASCII letters and digits, and all bytes above 127, belong to words.
+NOT_ALNUM = np.array([not (chr(i).isalnum() or i > 127) for i in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -124,10 +126,10 @@ def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.u
 class Words:
     """Words of consecutive whole texts: byte spans, the text of each word, words per text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, separator: np.ndarray = _SEPARATOR):
         self.data = LOWER[data] if lower else data
         self.offsets, self.n_docs = offsets, len(offsets) - 1
-        sep = _SEPARATOR[data]
+        sep = separator[data]
         word = ~sep
         begin, end = word.copy(), word.copy()
         begin[1:] &= sep[:-1]
@@ -162,14 +164,14 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets
 
 
-def word_chunks(texts: pa.Array, lower: bool = False, size: int = _CHUNK) -> Iterator[tuple[int, int, Words]]:
+def word_chunks(texts: pa.Array, lower: bool = False, separator: np.ndarray = _SEPARATOR, size: int = _CHUNK) -> Iterator[tuple[int, int, Words]]:
     """(first row, row after the last, words): whole texts in chunks of about ``size`` bytes."""
     raw, offsets = buffers(texts)
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + size, "right")) - 1)
         hi = min(hi, n)
-        yield lo, hi, Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower)
+        yield lo, hi, Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], lower, separator)
         lo = hi
 
 
