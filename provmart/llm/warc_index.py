@@ -220,4 +220,4 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = C.new_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     runs = C.materialize(read(spark, path), "runs")
-    return merged_index(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp", F.col("run").alias("archive"), "offset")
+    return merged_index(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
