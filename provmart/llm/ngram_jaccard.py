@@ -8,11 +8,14 @@
    fragments (count class, two leading hash bits); a text's n-grams become one
    short segment per fragment.
 3. *Candidates.*  Two sets at or above the threshold share an n-gram of their
-   prefixes in the global order.  Equal sets are first folded to one row.  Then
-   (a) every set is paired with the set that represents most of its prefix
-   n-grams, so that a group of near copies costs one pair per member; (b) after
-   those links are joined into components, all pairs that share a prefix n-gram
-   and lie in different components.  Pairs inside a component are never listed.
+   prefixes in the global order, and their overlap is at most the shared n-grams
+   from the first common one on (positional filter).  Equal sets are first folded to
+   one row.  Then (a) every set is paired with the set that represents most of its
+   prefix n-grams (an n-gram is represented by the set whose n-grams occur in most
+   texts, so the original of a group of near copies, not a copy), which costs a group
+   one pair per member; (b) after those links are joined into components, all pairs
+   that share a prefix n-gram, pass the filter and lie in different components, less those whose part sizes by hash
+   rule the overlap out.  Pairs inside a component are never listed.
 4. *Partial overlaps.*  For each candidate pair the segments of each fragment are
    intersected separately and the counts summed per pair.
 
@@ -37,8 +40,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 N, PERCENT = 5, 75
+#: Parts by hash whose sizes bound an overlap before it is counted.
+BINS = 64
 _BLOCK = "frag int, batch long, head binary, keys binary, at binary"
-_ROWS = "row long, id long, n int, shared int, segments array<struct<frag:int,grams:array<bigint>>>"
+_ROWS = "row long, id long, n int, shared int, sizes array<int>, segments array<struct<frag:int,grams:array<bigint>>>"
 _GATHER = 2_000_000
 
 
@@ -153,10 +158,13 @@ def _gather(table: pa.Table, percent: int) -> pa.Table:
     segment = pa.StructArray.from_arrays(
         [pa.array(frag[at].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.append(at, len(key)).astype(np.int32)), pa.array(key))], ["frag", "grams"]
     )
+    bins = np.bincount(doc * BINS + (key >> 42), minlength=len(ids) * BINS).astype(np.int32)
+    sizes_at = np.concatenate([[0], np.cumsum(live * BINS)]).astype(np.int32)
+    spread = pa.ListArray.from_arrays(pa.array(sizes_at), pa.array(bins[np.repeat(live, BINS)]))
     edge = np.searchsorted(doc[at], np.arange(len(ids) + 1)).astype(np.int32)
     # the batch counts in its upper bits by partition; texts by their place in it
     row = (np.int64(batch >> 32) << 40) + (np.int64(batch & 0xFFFFFFFF) << 24) + np.arange(len(ids))
-    return pa.table({"row": pa.array(row), "id": pa.array(ids), "n": pa.array(sizes.astype(np.int32)), "shared": pa.array(np.where(live, shared, -1).astype(np.int32)), "segments": pa.ListArray.from_arrays(pa.array(edge), segment)})
+    return pa.table({"row": pa.array(row), "id": pa.array(ids), "n": pa.array(sizes.astype(np.int32)), "shared": pa.array(np.where(live, shared, -1).astype(np.int32)), "sizes": spread, "segments": pa.ListArray.from_arrays(pa.array(edge), segment)})
 
 
 def shared_grams(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) -> DataFrame:
@@ -185,30 +193,36 @@ def links(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     member = C.materialize(near.select("row", "n", mark.alias("mark")), "member")
     first = member.groupBy("mark", "n").agg(F.min("row").alias("rep"))
     member = C.materialize(member.join(first, ["mark", "n"]).select("row", "rep"), "rep")
-    sets = C.materialize(near.join(member.where("row = rep").select("row"), "row").select("row", "n", "shared", "segments"), "sets")
+    sets = C.materialize(near.join(member.where("row = rep").select("row"), "row").select("row", "n", "shared", "sizes", "segments"), "sets")
     segments = sets.select("row", F.explode("segments").alias("s")).select("row", "s.frag", "s.grams")
 
     # the prefix over the global order; n-grams of one text only come first and are skipped
     length = F.expr(f"n - CAST(ceil(n * {percent} / 100) AS INT) + 1 - (n - shared)")
-    prefix = sets.select("row", "n", F.slice(F.flatten("segments.grams"), 1, length).alias("g")).select("row", "n", F.posexplode("g").alias("pos", "gram"))
+    hub = F.expr("aggregate(segments, 0D, (a, s) -> a + size(s.grams) * (s.frag DIV 4)) / n")
+    prefix = sets.select("row", "n", "shared", hub.alias("hub"), F.slice(F.flatten("segments.grams"), 1, length).alias("g"))
+    prefix = prefix.select("row", "n", "hub", F.posexplode("g").alias("pos", "gram"), "shared").withColumn("rest", F.col("shared") - F.col("pos")).drop("shared", "pos")
     prefix = C.materialize(prefix, "prefix")
-    near_size = f"least(na, nb) * 100 >= greatest(na, nb) * {percent}"
+    # the first common n-gram leaves rest n-grams on either side for the overlap
+    near_size = f"least(na, nb) * 100 >= greatest(na, nb) * {percent} AND least(ra, rb) * {100 + percent} >= (na + nb) * {percent}"
 
     # (a) each set with the set that represents most of its prefix n-grams
-    star = prefix.groupBy("gram").agg(F.min(F.struct(F.xxhash64("row").alias("h"), "row", "n")).alias("c"), F.count("*").alias("k")).where("k > 1").select("gram", F.col("c.row").alias("b"), F.col("c.n").alias("nb"))
-    votes = prefix.select("gram", F.col("row").alias("a"), F.col("n").alias("na")).join(star, "gram").where(f"a <> b AND {near_size}").groupBy("a", "na", "b", "nb").count()
+    star = prefix.groupBy("gram").agg(F.max(F.struct("hub", "row", "n", "rest")).alias("c"), F.count("*").alias("k")).where("k > 1").select("gram", F.col("c.row").alias("b"), F.col("c.n").alias("nb"), F.col("c.rest").alias("rb"))
+    votes = prefix.select("gram", F.col("row").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra")).join(star, "gram").where(f"a <> b AND {near_size}").groupBy("a", "na", "b", "nb").count()
     best = votes.groupBy("a", "na").agg(F.max(F.struct("count", "b", "nb")).alias("m")).select("a", "na", "m.b", "m.nb")
     first_links = C.materialize(_verified(best, segments, percent), "links")
     joined = C.materialize(C.components(first_links), "joined")
 
     # (b) everything that shares a prefix n-gram across components
-    own = prefix.join(joined.select(F.col("id").alias("row"), "component"), "row", "left").select("row", "n", "pos", "gram", F.coalesce("component", "row").alias("comp"))
+    own = prefix.join(joined.select(F.col("id").alias("row"), "component"), "row", "left").select("row", "n", "rest", "gram", F.coalesce("component", "row").alias("comp"))
     own = C.materialize(own, "own")
     mixed = own.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
     own = own.join(mixed, "gram")
-    x = own.select("gram", F.col("row").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    y = own.select("gram", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+    x, y = (own.select("gram", F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"r{k}"), F.col("comp").alias(f"c{k}")) for k in "ab")
     across = x.join(y, "gram").where(f"a < b AND ca <> cb AND {near_size}").select("a", "na", "b", "nb").distinct()
+    # an overlap is at most the sum, over parts by hash, of the smaller part
+    part = lambda k: sets.select(F.col("row").alias(k), F.col("sizes").alias(f"s{k}"))
+    most = "aggregate(zip_with(sa, sb, (p, q) -> least(p, q)), 0, (s, v) -> s + v)"
+    across = across.join(part("a"), "a").join(part("b"), "b").where(f"{most} * {100 + percent} >= (na + nb) * {percent}").select("a", "na", "b", "nb")
     second_links = C.materialize(_verified(across, segments, percent), "links")
     C.drop(prefix, own, joined, sets)
     return first_links.union(second_links), member
