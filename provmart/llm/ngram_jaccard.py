@@ -44,7 +44,7 @@ N, PERCENT = 5, 75
 BINS = 64
 _BLOCK = "frag int, batch long, head binary, keys binary, at binary"
 _ROWS = "row long, id long, n int, shared int, sizes array<int>, segments array<struct<frag:int,grams:array<bigint>>>"
-_GATHER = 2_000_000
+_GATHER = 1_000_000
 
 
 def shingles(w: C.Words, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*")
 #: Encoded stretches a worker keeps, and the longest that is kept.
-TABLE_ENTRIES, TABLE_LENGTH = 600_000, 40
+TABLE_ENTRIES, TABLE_LENGTH = 400_000, 40
 NONE = np.int32(2**31 - 1)
 
 

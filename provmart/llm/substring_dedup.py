@@ -34,7 +34,7 @@ WIDTH = 35
 _BLOCK = "frag int, batch long, head binary, keys binary, at binary"
 _SPANS = "_key long, _id long, _words long, _removed long, _spans binary"
 #: Words a block batch gathers before it is sent.
-_GATHER = 4_000_000
+_GATHER = 2_000_000
 #: Bound of a broadcast interval table; beyond it the texts are shuffled to their intervals.
 BROADCAST_BYTES = 32 << 20
 
