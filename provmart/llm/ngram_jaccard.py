@@ -134,8 +134,8 @@ def _count(table: pa.Table) -> pa.Table:
             out.append((C.pack48(b[hit]), C.pack_rising(C.unpack_rising(at.as_py())[hit]), level.tobytes()))
         else:
             out.append((None, None, None))
-    keep = [i for i, x in enumerate(out) if x[0] is not None or table.column("head")[i].is_valid]
-    return pa.table({"batch": table.column("batch").take(keep), "head": table.column("head").take(keep)} | {c: pa.array([out[i][k] for i in keep], pa.binary()) for k, c in enumerate(("keys", "at", "level"))})
+    keep = pa.array([i for i, x in enumerate(out) if x[0] is not None or table.column("head")[i].is_valid], pa.int64())
+    return pa.table({"batch": table.column("batch").take(keep), "head": table.column("head").take(keep)} | {c: pa.array([out[i][k] for i in keep.to_pylist()], pa.binary()) for k, c in enumerate(("keys", "at", "level"))})
 
 
 def _gather(table: pa.Table, percent: int) -> pa.Table:

@@ -104,8 +104,8 @@ def _repeated(table: pa.Table) -> pa.Table:
         hit = twice[lo : lo + len(b)]
         out.append(C.pack_rising(C.unpack_rising(at.as_py())[hit]) if hit.any() else None)
         lo += len(b)
-    keep = [i for i, x in enumerate(out) if x is not None or table.column("head")[i].is_valid]
-    return pa.table({"batch": table.column("batch").take(keep), "head": table.column("head").take(keep), "at": pa.array([out[i] for i in keep], pa.binary())})
+    keep = pa.array([i for i, x in enumerate(out) if x is not None or table.column("head")[i].is_valid], pa.int64())
+    return pa.table({"batch": table.column("batch").take(keep), "head": table.column("head").take(keep), "at": pa.array([out[i] for i in keep.to_pylist()], pa.binary())})
 
 
 def _intervals(table: pa.Table, width: int) -> pa.Table:
