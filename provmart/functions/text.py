@@ -8,6 +8,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Latin letters with marks, and what they fold to.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -20,7 +21,7 @@ def fold(text: Column) -> Column:
     return F.replace(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_any(texts: pd.Series) -> pd.Series:
     """Fold of any script: compatibility decomposition, marks removed, case folded."""
     one = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold()

@@ -26,7 +26,7 @@ LABELS = [*RULES, K.UNCLASSIFIED]
 #: Declared pages of the sources.
 SOURCES = [("feed", ["https://a.example/1", "https://a.example/2"]), ("listing", ["https://b.example/x"]), ("microdata", ["https://c.example/1", "https://c.example/2", "https://c.example/3"])]
 ROBOTS = "User-agent: *\nDisallow: /*?\nAllow: /en/*page=2\nDisallow: /de/\nAllow: /de/1\nDisallow: /*.html$\n"
-MEASURES = {"rating": ("o_totalprice", 7), "review_count": ("o_custkey", 5), "one_star_share": ("o_totalprice / 1000", 3), "response_rate": ("o_custkey / 10", 4)}
+MEASURES = {"rating": ("o_totalprice", 7), "review_count": ("o_custkey", 5), "one_star_share": ("o_totalprice * 2", 3), "response_rate": ("o_custkey / 10", 4)}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
