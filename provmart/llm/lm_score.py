@@ -38,7 +38,7 @@ from . import common as C
 
 FOLDS, HELD = 10, 0
 #: Words that are classes of their own; ending classes; vector size; words scored without a join.
-TOP, ENDINGS, DIM, FREQUENT = 96, 63, 24, 1 << 19
+TOP, ENDINGS, DIM, FREQUENT = 96, 63, 24, 1 << 18
 END = TOP + ENDINGS
 CLASSES = END + 1
 ALPHA = 0.1
@@ -271,9 +271,8 @@ def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS) -> tuple[Da
     totals = {r.cls: (r.total, r.k) for r in words.groupBy("cls").agg(F.sum("n").alias("total"), F.count("*").alias("k")).collect()}
     # the bound of the table that is broadcast: FREQUENT rows of 20 bytes
     frequent = words.orderBy(F.desc("n"), "h").limit(FREQUENT)
-    cols = [np.zeros(0, np.int64)] * 3
-    if pdf := [b for b in [frequent.toPandas()] if len(b)]:
-        cols = [pdf[0][c].to_numpy() for c in ("h", "n", "cls")]
+    got = frequent.toArrow() if totals else None
+    cols = [got.column(c).to_numpy() for c in ("h", "n", "cls")] if got else [np.zeros(0, np.int64)] * 3
     vocabulary = Vocabulary(cols[0].astype(np.int64).view(np.uint64), cols[1].astype(np.int64), cols[2].astype(np.int64), totals, docs.count())
     shared = spark.sparkContext.broadcast(vocabulary)
     parts = texts.mapInArrow(lambda it: _count_triples(it, shared), "a int, at binary, n binary")

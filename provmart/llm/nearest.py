@@ -206,8 +206,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not stats.n:
         return empty
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas()["v"]
-    sample = np.stack(sample.to_list()).astype(np.float64)
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    sample = sample.flatten().to_numpy().reshape(len(sample), -1)
     # in the sample, a leaf that holds about 100 of all vectors, but 8 sampled ones at least
     forest = Forest(sample, float(np.sqrt(stats.m)), trees, max(8, 100 * len(sample) // stats.n))
     shared = spark.sparkContext.broadcast(forest)
