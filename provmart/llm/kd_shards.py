@@ -51,6 +51,15 @@ def measured(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, list[s
     return rows, names
 
 
+def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small inline table as SQL VALUES: unlike a table made from Python objects, it runs no Python worker."""
+    kinds = [f.split() for f in schema.split(", ")]
+    word = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v!r}D" if isinstance(v, float) else f"{v}L" if v > -(1 << 63) else "(-9223372036854775807L - 1L)"
+    body = ", ".join(f"({', '.join(map(word, r))})" for r in rows) or f"({', '.join(['NULL'] * len(kinds))})"
+    cols = ", ".join(f"CAST(col{i + 1} AS {kind}) AS {name}" for i, (name, kind) in enumerate(kinds))
+    return spark.sql(f"SELECT {cols} FROM VALUES {body}" + ("" if rows else " WHERE false"))
+
+
 def _cuts(nodes: DataFrame, open_: dict[int, tuple[int, str]], names: list[str]) -> dict[int, tuple[str, float, int]]:
     """For every open node (-> leaves, dimension): rows with (value, tie) < cut go left."""
     spark = nodes.sparkSession
@@ -61,12 +70,12 @@ def _cuts(nodes: DataFrame, open_: dict[int, tuple[int, str]], names: list[str])
         active = {n: f for n, f in find.items() if f["on"] in ("value", "tie") and n in weight}
         if not active:
             break
-        spec = spark.createDataFrame([(n, f["dim"], f["on"], f.get("at"), f["lo"], f.get("hi")) for n, f in active.items()], "node long, dim string, mode string, at double, lo double, hi double")
+        spec = _values(spark, [(n, f["dim"], f["on"], f.get("at"), f["lo"], f.get("hi")) for n, f in active.items()], "node long, dim string, mode string, at double, lo double, hi double")
         rows = nodes.join(F.broadcast(spec), "node").withColumn("value", value)
         rows = rows.where("mode = 'value' OR value = at").withColumn("x", F.expr("CASE mode WHEN 'value' THEN value ELSE CAST(tie AS DOUBLE) END"))
         rows = rows.where("lo IS NULL OR (x >= lo AND x <= hi)")
         ends = {r.node: (r.lo, r.hi) for r in rows.groupBy("node").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
-        span = spark.createDataFrame([(n, lo, hi) for n, (lo, hi) in ends.items()], "node long, a double, b double")
+        span = _values(spark, [(n, lo, hi) for n, (lo, hi) in ends.items()], "node long, a double, b double")
         binned = rows.join(F.broadcast(span), "node").withColumn("bin", F.expr(f"CASE WHEN b > a THEN least({BINS - 1}, CAST((x - a) / (b - a) * {BINS} AS INT)) ELSE 0 END"))
         table = defaultdict(dict)
         for r in binned.groupBy("node", "bin").agg(F.sum("bytes").alias("w"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
@@ -88,7 +97,7 @@ def _cuts(nodes: DataFrame, open_: dict[int, tuple[int, str]], names: list[str])
                 if f["on"] == "value":
                     f.update(on="done", cut=(lo if right else float(_next(hi)), -(1 << 63)))
                 else:
-                    f.update(on="done", cut=(f["at"], int(lo) - 2048 if right else int(hi) + 2048))
+                    f.update(on="done", cut=(f["at"], max(-(1 << 63), int(lo) - 2048) if right else min((1 << 63) - 1, int(hi) + 2048)))
     for f in find.values():
         if "cut" not in f:
             f["cut"] = (f.get("at") if f.get("at") is not None else (f["lo"] or 0.0), int(f["lo"]) if f["on"] == "tie" and f["lo"] is not None else -(1 << 63))
@@ -121,7 +130,7 @@ def place(rows: DataFrame, levels: list[dict[int, tuple[str, float, int]]], name
     """Move rows down the tree. The cuts of a level are at most one for each leaf, and are broadcast."""
     spark = rows.sparkSession
     for cuts in levels:
-        table = F.broadcast(spark.createDataFrame([(n, *c) for n, c in cuts.items()], "node long, cut_dim string, cut_value double, cut_tie long"))
+        table = F.broadcast(_values(spark, [(n, *c) for n, c in cuts.items()], "node long, cut_dim string, cut_value double, cut_tie long"))
         value = F.coalesce(*[F.when(F.col("cut_dim") == n, F.col(n)) for n in names])
         right = (value > F.col("cut_value")) | ((value == F.col("cut_value")) & (F.col("tie") >= F.col("cut_tie")))
         rows = rows.join(table, "node", "left").withColumn("node", F.when(F.col("cut_dim").isNull(), F.col("node")).otherwise(F.col("node") * 2 + right.cast("long"))).drop("cut_dim", "cut_value", "cut_tie")
@@ -158,7 +167,7 @@ def assign(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | Non
     light = group.where(F.col("bytes") <= limit).join(F.broadcast(heavy.select("size", "crc").distinct()), ["size", "crc"], "left_anti")
     nodes = C.materialize(light.select("tie", *names, "bytes").union(split.select("tie", *names, "bytes")), "nodes")
     levels = kd_tree(nodes, names, shards)
-    number = F.broadcast(spark.createDataFrame(list(_leaf_numbers(shards).items()), "node long, shard int"))
+    number = F.broadcast(_values(spark, list(_leaf_numbers(shards).items()), "node long, shard int"))
     placed = place(rows.withColumn("node", F.lit(1).cast("long")), levels, names).join(number, "node").select("row", "doc_id", "size", F.col("crc").alias("text_crc32"), "shard")
     placed = C.materialize(placed, "placed")
     # slots: rows are numbered in chunks by hash of the row, chunks by a running sum
