@@ -6,6 +6,7 @@ ASCII, so byte work on UTF-8 gives the same words as a pattern over code points.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -82,6 +83,25 @@ def renamed(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
+#: Rows of whole texts that a Python worker gets at once; the buffers on both sides follow this.
+BATCH_ROWS = 2000
+
+
+def narrow_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches of whole texts to ``BATCH_ROWS``; smaller ones stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as workers idle between tasks while others run."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 # ------------------------------------------------------------- numpy tokens
 
 
@@ -110,7 +130,7 @@ def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
             steps[0] = 1
             out.append(np.cumprod(steps, dtype=np.uint64))
         have = _powers[key] = (out[0], out[1])
-        if size > 1 << 22:  # a giant text: do not keep its table
+        if size > 1 << 20:  # a giant text: do not keep its table
             _powers.pop(key)
     return have
 

@@ -149,6 +149,7 @@ def blocks(benchmark: DataFrame, bytes_: int, item_id: str, text: str) -> Iterat
 def tiled(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, coverage, tiles, longest, matched) of every pair at or above the coverage."""
     spark, out = docs.sparkSession, None
+    C.narrow_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_FOUND}"
     for ids, texts in blocks(benchmark, block_bytes, item_id, item_text):

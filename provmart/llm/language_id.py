@@ -32,7 +32,7 @@ SIZE = 300
 #: Training folds: crc32(id as text) mod FOLDS; HELD is never trained on.
 FOLDS, HELD = 4, 2
 UNDETERMINED = "und"
-_CHARS = 1 << 19
+_CHARS = 1 << 18
 
 
 @lru_cache(1)
@@ -88,7 +88,7 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Gram counts by language, combined per task."""
-    table, names, held, size = symbols(), {}, [], 0
+    table, names, held, size, most = symbols(), {}, [], 0, 1_000_000
 
     def combine(parts):
         key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -110,9 +110,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key.sort()
             held.append(_runs(key))
             size += len(held[-1][0])
-            if size > 4_000_000:
+            if size > most:
                 held = combine(held)
                 size = len(held[0][0])
+                most = max(most, 2 * size)
     if held:
         by = list(names)
         key, n = combine(held)[0]
@@ -120,6 +121,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(key), 100_000):
             p = slice(lo, lo + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array([by[i] for i in lang[p].tolist()]), pa.array((key[p] & np.uint64((1 << 26) - 1)).astype(np.int32)), pa.array(n[p].astype(np.int64))], ["lang", "code", "n"])
+    C.give_back()
 
 
 def train(docs: DataFrame, size: int = SIZE, lang: str = "lang", text: str = "text") -> dict[str, list[int]]:
@@ -127,6 +129,7 @@ def train(docs: DataFrame, size: int = SIZE, lang: str = "lang", text: str = "te
 
     The driver gets ``size`` codes for each language; nothing that grows with the corpus.
     """
+    C.narrow_batches(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"))
     total = rows.mapInArrow(_count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
@@ -153,10 +156,14 @@ def _predict(batches: Iterator[pa.RecordBatch], profiles: dict[str, list[int]],
             if len(key) and names:
                 key.sort()
                 gram, n = _runs(key)
-                least = np.uint64((1 << 20) - 1) - np.minimum(n, (1 << 20) - 1).astype(np.uint64)
-                ranked = (gram >> np.uint64(26)) << np.uint64(46) | least << np.uint64(26) | gram & mask
-                ranked.sort()
-                doc = (ranked >> np.uint64(46)).astype(np.int64)
+                if n.max() < 1 << 20:
+                    least = ((1 << 20) - 1 - n).astype(np.uint64)
+                    ranked = (gram >> np.uint64(26)) << np.uint64(46) | least << np.uint64(26) | gram & mask
+                    ranked.sort()
+                    doc = (ranked >> np.uint64(46)).astype(np.int64)
+                else:  # a giant text: its counts do not fit the packed key
+                    ranked = gram[np.lexsort((gram & mask, -n, gram >> np.uint64(26)))]
+                    doc = (ranked >> np.uint64(26)).astype(np.int64)
                 begin = np.searchsorted(doc, np.arange(hi - lo + 1))
                 rank = np.arange(len(doc)) - begin[doc]
                 keep = rank < size
@@ -175,10 +182,12 @@ def _predict(batches: Iterator[pa.RecordBatch], profiles: dict[str, list[int]],
                 else:
                     pred.append(UNDETERMINED), score.append(0.0)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+    C.give_back()
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], size: int = SIZE, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (which replace columns of those names). One pass, no shuffle."""
+    C.narrow_batches(docs.sparkSession)
     docs = docs.drop(*[c for c in ("lang_pred", "score") if c != text])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double"
     return docs.mapInArrow(lambda it: _predict(it, profiles, size, text), schema)

@@ -44,7 +44,7 @@ N, PERCENT = 5, 75
 BINS = 64
 _BLOCK = "frag int, batch long, head binary, keys binary, at binary"
 _ROWS = "row long, id long, n int, shared int, sizes array<int>, segments array<struct<frag:int,grams:array<bigint>>>"
-_GATHER = 1_000_000
+_GATHER = 700_000
 
 
 def shingles(w: C.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +100,7 @@ def _scatter(batches: Iterator[pa.RecordBatch], n: int, n_frag: int) -> Iterator
             )
         held, size = [], 0
         batch_id += 1
+        C.give_back()
 
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -115,6 +116,7 @@ def _scatter(batches: Iterator[pa.RecordBatch], n: int, n_frag: int) -> Iterator
 
 def _count(table: pa.Table) -> pa.Table:
     """One fragment: shared n-grams, by batch, with their count class."""
+    C.give_back()
     blocks = [C.unpack48(b.as_py()) for b in table.column("keys")]
     keys = np.concatenate(blocks)
     order = np.argsort(keys, kind="stable")
@@ -140,6 +142,7 @@ def _count(table: pa.Table) -> pa.Table:
 
 def _gather(table: pa.Table, percent: int) -> pa.Table:
     """One input batch: each text's size, and its shared n-grams as segments of the global order."""
+    C.give_back()
     head = next(h.as_py() for h in table.column("head") if h.is_valid)
     ids, sizes = np.frombuffer(head, "<i8").reshape(2, -1)
     batch = table.column("batch")[0].as_py()
@@ -169,6 +172,7 @@ def _gather(table: pa.Table, percent: int) -> pa.Table:
 
 def shared_grams(docs: DataFrame, n: int, percent: int, text: str, doc_id: str) -> DataFrame:
     """Per row: id (the smallest long for null), set size, shared n-grams (-1: no partner possible), segments."""
+    C.narrow_batches(docs.sparkSession)
     n_frag = C.fragment_count(C.text_bytes(docs, text))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).alias("t"))
     blocks = rows.mapInArrow(lambda it: _scatter(it, n, n_frag), _BLOCK)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common as C
+
 MARK = "▁"
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*")
 #: Encoded stretches a worker keeps, and the longest that is kept.
@@ -243,6 +245,7 @@ RESULT = "n_tokens long, ids binary, decoded string"
 
 def _batches(batches: Iterator[pa.RecordBatch], model_file: str, column: str, digests: bool, check: bool) -> Iterator[pa.RecordBatch]:
     codec = _codec(model_file, check)
+    C.give_back()
     for big in batches:
         for lo in range(0, big.num_rows, 256):
             batch = big.slice(lo, 256)
@@ -265,6 +268,7 @@ def encode_decode(docs: DataFrame, model_file: str, text: str = "text", digests:
     that no text or id list travels on.  No shuffle: one pass over the input.
     """
     added = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
+    C.narrow_batches(docs.sparkSession)
     docs = docs.drop(*[c for c in added if c in docs.columns and c != text])
     kept = [f for f in docs.schema.fields if f.name != text or not digests]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)

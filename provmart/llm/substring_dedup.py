@@ -34,7 +34,7 @@ WIDTH = 35
 _BLOCK = "frag int, batch long, head binary, keys binary, at binary"
 _SPANS = "_key long, _id long, _words long, _removed long, _spans binary"
 #: Words a block batch gathers before it is sent.
-_GATHER = 2_000_000
+_GATHER = 700_000
 #: Bound of a broadcast interval table; beyond it the texts are shuffled to their intervals.
 BROADCAST_BYTES = 32 << 20
 
@@ -73,6 +73,7 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int, n_frag: int) -> Iter
             )
         held, words = [], 0
         batch_id += 1
+        C.give_back()
 
     for batch in batches:
         row_key, doc_id = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -91,6 +92,7 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int, n_frag: int) -> Iter
 
 def _repeated(table: pa.Table) -> pa.Table:
     """One fragment: the positions, by batch, of hashes that occur more than once."""
+    C.give_back()
     blocks = [np.frombuffer(b.as_py(), "<u8") for b in table.column("keys")]
     keys = np.concatenate(blocks)
     order = np.argsort(keys, kind="stable")
@@ -110,6 +112,7 @@ def _repeated(table: pa.Table) -> pa.Table:
 
 def _intervals(table: pa.Table, width: int) -> pa.Table:
     """One input batch: repeated windows merged into maximal word intervals of each text."""
+    C.give_back()
     head = next(h.as_py() for h in table.column("head") if h.is_valid)
     row_key, doc_id, count = np.frombuffer(head, "<i8").reshape(3, -1)
     total, begin = int(count.sum()), np.concatenate([[0], np.cumsum(count)])
@@ -137,6 +140,7 @@ def _intervals(table: pa.Table, width: int) -> pa.Table:
 
 def intervals(docs: DataFrame, width: int = WIDTH, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row: _key (hash of the row's id and text), _id, _words, _removed, _spans (pairs of word ordinals)."""
+    C.narrow_batches(docs.sparkSession)
     n_frag = C.fragment_count(C.text_bytes(docs, text))
     rows = docs.select(row_key(doc_id, text).alias("_key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("_id"), F.col(text).alias("_text"))
     blocks = rows.mapInArrow(lambda it: _windows(it, width, n_frag), _BLOCK)
