@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,19 @@ def test_language_profiles(spark):
     assert language_id.train(empty(df)) == {}
 
 
+def test_ranks_of_counts_beyond_the_packed_key():
+    spell = lambda first, second, n: first * (n + 9) + " " + second * n
+    batch = lambda **c: pa.RecordBatch.from_pydict(c)
+    profiles = {}
+    for lang, text in (("ab", spell("a", "b", 50)), ("ba", spell("b", "a", 50))):
+        (out,) = language_id._count([batch(lang=[lang], text=[text])])
+        rows = sorted(zip(out.column("n").to_pylist(), out.column("code").to_pylist(), strict=True), key=lambda r: (-r[0], r[1]))
+        profiles[lang] = [code for _, code in rows]
+    (out,) = language_id._predict([batch(text=[spell("b", "a", 1 << 20), spell("a", "b", 1 << 20)])], profiles, 300, "text")
+    assert out.column("lang_pred").to_pylist() == ["ba", "ab"]
+    assert out.column("score").to_pylist() == [1.0, 1.0]
+
+
 # 4
 
 
