@@ -53,9 +53,10 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SentencePiece ids of every text, and the text decoded from them."""
+    """SentencePiece ids of every text, and the text decoded from them; round_trip says whether it is the same."""
     out = sentencepiece_codec.encode_decode(docs.select("doc_id", "text", "lang", "source"), sentencepiece_codec.default_model())
-    return out.where(F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))).select("doc_id", "lang", "source", "n_tokens", "ids", F.col("decoded").alias("text"))
+    same = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
+    return out.select("doc_id", "lang", "source", "n_tokens", "ids", F.col("decoded").alias("text"), same.alias("round_trip"))
 
 
 STAGES = [

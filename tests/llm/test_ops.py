@@ -346,3 +346,11 @@ def test_pipeline_stages(spark):
     for i, words in zip(sorted(i for i in texts if comp[i] == i), rest, strict=True):
         if i in kept:
             assert next(r.text for r in out if r.doc_id == i).encode().split() == words
+
+
+def test_the_last_stage_keeps_texts_that_decode_otherwise(spark, docs, rows):
+    import corpus_pipeline
+
+    out = corpus_pipeline.encode(spark, docs, "").collect()
+    assert collections.Counter(r.doc_id for r in out) == collections.Counter(d for d, _ in rows)
+    assert {r.doc_id for r in out if not r.round_trip} == {ODD.index("🙂 é\n\t ▁▁ z")}
