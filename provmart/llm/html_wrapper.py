@@ -4,7 +4,8 @@ Pages of one host share a template.  For every host a wrapper is induced from up
 ``PAGES`` of its pages (those of least id hash): their DOM trees, with runs of like
 siblings folded, are aligned by simple tree matching; aligned nodes whose text is the
 same on all pages are template, nodes whose text varies are slots.  The content slot is
-the deepest node that holds nearly all varying text that no boilerplate role claims.
+the deepest node that holds all varying text that no boilerplate role claims, but never
+a part of an article, or of a main without articles.
 Every page is then aligned with its host's wrapper, and the node in the place of the
 content slot is read.  Hosts whose pages do not differ, and pages that do not align, use
 the same role rules from the page alone: article, else main, else body.
@@ -34,8 +35,6 @@ from pyspark.sql import functions as F
 from . import common as C
 
 PAGES, BROADCAST_BYTES = 12, 32 << 20
-#: The part of the free varying text that the content slot has to hold.
-MASS = 0.9
 
 # Element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +45,9 @@ DROPPED = set("head nav header footer aside form script style noscript template
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended comment comments disqus reply replies respond footer masthead toolbar pagination pager skip widget".split())
 
+#: Parts of running text, which are never the content slot.
+FLOW = set("p li ul ol table tr h1 h2 h3".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTR = re.compile(r"\s(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -262,6 +264,15 @@ def _join(w: Wrapper, f: Folded, memo: dict) -> None:
     w.children = children + w.children[used:]
 
 
+def _holds(w: Wrapper, tag: str) -> bool:
+    return any(c.tag == tag or _holds(c, tag) for c in w.children)
+
+
+def _closed(w: Wrapper) -> bool:
+    """An article is content as a whole, and so is a main without articles."""
+    return w.tag == "article" or w.tag == "main" and not _holds(w, "article")
+
+
 def induce(pages: list[str]) -> Wrapper | None:
     """The wrapper of a host, or None if its pages do not differ."""
     trees = [Folded([parse(p)]) for p in pages]
@@ -281,7 +292,7 @@ def induce(pages: list[str]) -> Wrapper | None:
     if not total:
         return None
     node = w
-    while best := [c for c in node.children if mass(c) >= MASS * total and c.tag not in ("p", "li", "ul", "ol", "table", "tr", "h1", "h2", "h3")]:
+    while not _closed(node) and (best := [c for c in node.children if mass(c) == total and c.tag not in FLOW]):
         node = best[0]
     node.slot = True
     return w

@@ -224,6 +224,20 @@ def test_main_text(spark):
     assert not html_wrapper.extract(empty(df)).count()
 
 
+def test_the_slot_holds_all_varying_text():
+    body = " ".join(f"word{k}" for k in range(80))
+    for page in (
+        "<body><div class=top>Brand</div><article><h1>Title {0}</h1><div class=entry>{0} {1}</div></article></body>",
+        "<body><div class=top>Brand</div><div class=box><h1>Title {0}</h1><div class=entry>{0} {1}</div></div></body>",
+    ):
+        w = html_wrapper.induce([page.format(i, body) for i in range(4)])
+        assert html_wrapper.main_text(page.format(9, body), w, {}) == f"Title 9\n\n9 {body}"
+    for tag in ("article", "main"):  # what all articles say stays
+        page = f"<body><div class=top>Brand</div><{tag}><h1>News</h1><div class=entry>{{0}} {{1}}</div></{tag}></body>"
+        w = html_wrapper.induce([page.format(i, body) for i in range(4)])
+        assert html_wrapper.main_text(page.format(9, body), w, {}) == f"News\n\n9 {body}"
+
+
 # 7
 
 
