@@ -1,20 +1,25 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a template.  For every host a wrapper is induced from up to
-``PAGES`` of its pages (those of least id hash): their DOM trees, with runs of like
-siblings folded, are aligned by simple tree matching; aligned nodes whose text is the
-same on all pages are template, nodes whose text varies are slots.  The content slot is
-the deepest node that holds all varying text that no boilerplate role claims, but never
-a part of an article, or of a main without articles.
-Every page is then aligned with its host's wrapper, and the node in the place of the
-content slot is read.  Hosts whose pages do not differ, and pages that do not align, use
-the same role rules from the page alone: article, else main, else body.
+Pages of one host share templates.  The layout of a page is the tree of its containers:
+without running text and inline elements, without what a boilerplate role claims, runs of
+like siblings folded, articles (and mains without articles) closed.  Nodes are aligned by
+their path, whose steps are tag, class and place among like siblings.  From all pages of a
+host the least and greatest hash of each node's own text and the pages that have one are
+gathered per layout and path, combined on the map side.  Nodes whose text is the same on
+all pages of every layout are template; nodes whose text varies in some layout of the host
+are content.  A layout without such nodes (one distinct page, say) is compared with the
+host's other layouts: what differs from them, or only it has, is content.
+
+The content slot of a layout is the deepest node that holds all its content nodes.  It
+is read on every page of the layout.  Hosts whose pages do not differ use the role rules
+from the page alone: article, else main, else body.
 
 Inside the content nothing is dropped but elements that a tag, role, class or id marks
 as menu, header, footer, sidebar, notice, advert, form, script, style or reader comment.
 Repeated passages inside an article stay: constancy only locates the slot.
 
-The sample bounds what a host puts in one task, whatever its number of pages.
+A slot is the common beginning of the least and greatest path of the content nodes, so
+whatever a host's number of pages and layouts, no task has to hold them together.
 
 Defined cases: null or empty html gives the empty text; a null URL belongs to a host
 of its own (no wrapper); repeated rows give repeated results; broken markup is read as far
@@ -23,18 +28,21 @@ as it goes.  Extra columns pass through ``extract`` unless named like its result
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
-import json
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
-PAGES, BROADCAST_BYTES = 12, 32 << 20
+#: Hex digits of a step of a path.
+STEP, BROADCAST_BYTES = 8, 32 << 20
 
 # Element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,8 +53,8 @@ DROPPED = set("head nav header footer aside form script style noscript template
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended comment comments disqus reply replies respond footer masthead toolbar pagination pager skip widget".split())
 
-#: Parts of running text, which are never the content slot.
-FLOW = set("p li ul ol table tr h1 h2 h3".split())
+#: Running text and inline elements, which are never the content slot.
+FLOW = VOID | set("p li ul ol dl table tr h1 h2 h3 h4 h5 h6 hgroup blockquote pre figure address details b i em strong span a u small sup sub code".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -135,183 +143,143 @@ def parse(text: str) -> Node:
     return root
 
 
-class Folded:
-    """A node with runs of like siblings folded into one; ``real`` are the nodes it stands for."""
+def _closed(nodes: list[Node]) -> bool:
+    """An article is content as a whole, and so is a main without articles."""
+    if nodes[0].tag != "main":
+        return nodes[0].tag == "article"
+    stack = list(nodes)
+    while stack:
+        node = stack.pop()
+        if node.tag == "article":
+            return False
+        stack.extend(c for c in node.children if not isinstance(c, str) and not c.marked)
+    return True
+
+
+@lru_cache(1 << 16)
+def _step(tag: str, style: str, nth: int) -> str:
+    return hashlib.blake2b(f"{tag}.{style}#{nth}".encode(), digest_size=STEP // 2).hexdigest()
+
+
+class Box:
+    """An unmarked container, like siblings that follow each other taken together; ``real`` are its nodes."""
+
+    __slots__ = ("real", "above", "step", "depth", "kids")
+
+    def __init__(self, real: list[Node], above: Box | None = None, step: str = ""):
+        self.real, self.above, self.step, self.kids = real, above, step, []
+        self.depth = above.depth + 1 if above else 0
+
+    def path(self) -> str:
+        out, box = [], self
+        while box.above:
+            out.append(box.step)
+            box = box.above
+        return "".join(reversed(out))
+
+    def text(self) -> str:
+        """Unmarked text outside the boxes below this one, with single spaces."""
+        inner, out = {id(n) for kid in self.kids for n in kid.real}, []
+        stack: list = list(reversed(self.real))
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                out.append(x)
+            else:
+                stack.extend(c for c in reversed(x.children) if isinstance(c, str) or not c.marked and id(c) not in inner)
+        return " ".join("".join(out).split())
 
-    __slots__ = ("tag", "style", "marked", "real", "children", "sign", "size")
 
-    def __init__(self, real: list[Node]):
-        self.real, first = real, real[0]
-        self.tag, self.style, self.marked = first.tag, first.style, first.marked
-        self.children: list[Folded] = []
-        kids = [c for node in real for c in node.children if not isinstance(c, str) and c.tag not in ("b", "i", "em", "strong", "span", "a", "br", "u", "small", "sup", "sub", "code", "img")]
-        if len(real) > 1:  # a run: like children of all its members together
+def boxes(root: Node) -> list[Box]:
+    """The containers of a page in order, the page itself first."""
+    out, stack = [], [Box([root])]
+    while stack:
+        box = stack.pop()
+        out.append(box)
+        if _closed(box.real):
+            continue
+        kids = [c for node in box.real for c in node.children if not isinstance(c, str) and not c.marked and c.tag not in FLOW]
+        if len(box.real) > 1:  # a run: like children of all its members together
             kids.sort(key=lambda c: (c.tag, c.style))
+        seen: dict[tuple[str, str], int] = {}
+        last = None
         for c in kids:
-            if self.children and self.children[-1].real[0].tag == c.tag and self.children[-1].real[0].style == c.style:
-                self.children[-1].real.append(c)
+            key = c.tag, c.style
+            if key == last:
+                box.kids[-1].real.append(c)
             else:
-                self.children.append(_Pending(c))
-        self.children = [Folded(p.real) for p in self.children]
-        self.size = 1 + sum(c.size for c in self.children)
-        self.sign = f"{self.tag}.{self.style}({' '.join(c.sign for c in self.children)})"
-
-
-class _Pending:
-    __slots__ = ("real",)
-
-    def __init__(self, node: Node):
-        self.real = [node]
-
-
-def match(a, b, memo: dict) -> int:
-    """Simple tree matching: the size of the largest order-keeping common top-down part."""
-    if a.tag != b.tag or a.style != b.style:
-        return 0
-    if a.sign == b.sign:
-        return a.size
-    key = id(a), id(b)
-    if key not in memo:
-        memo[key] = 1 + _grid(a, b, memo)[-1][-1]
-    return memo[key]
-
-
-def _grid(a, b, memo: dict) -> list[list[int]]:
-    grid = [[0] * (len(b.children) + 1)]
-    for x in a.children:
-        row, above = [0], grid[-1]
-        for j, y in enumerate(b.children):
-            row.append(max(row[j], above[j + 1], above[j] + match(x, y, memo)))
-        grid.append(row)
-    return grid
-
-
-def aligned(a, b, memo: dict) -> list[tuple[int, int]]:
-    """Matched children of two matched nodes."""
-    grid, i, j, out = _grid(a, b, memo), len(a.children), len(b.children), []
-    while i and j:
-        m = match(a.children[i - 1], b.children[j - 1], memo)
-        if m and grid[i][j] == grid[i - 1][j - 1] + m:
-            out.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif grid[i][j] == grid[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return out[::-1]
-
-
-class Wrapper:
-    """The template tree of a host; ``slot`` marks the content slot."""
-
-    __slots__ = ("tag", "style", "children", "sign", "size", "slot", "marked", "texts")
-
-    def __init__(self, tag: str, style: str, children: list, slot: bool = False, marked: bool = False):
-        self.tag, self.style, self.children, self.slot, self.marked, self.texts = tag, style, children, slot, marked, []
-        self.measure()
-
-    def measure(self) -> None:
-        self.size = 1 + sum(c.size for c in self.children)
-        self.sign = f"{self.tag}.{self.style}({' '.join(c.sign for c in self.children)})"
-
-    def dump(self) -> list:
-        return [self.tag, self.style, [c.dump() for c in self.children], self.slot]
-
-    @staticmethod
-    def load(x: list) -> Wrapper:
-        return Wrapper(x[0], x[1], [Wrapper.load(c) for c in x[2]], x[3])
-
-
-def _own_text(f: Folded) -> str:
-    """The text right in the nodes, inline elements included, but not that of folded children."""
-    inner = {id(n) for c in f.children for n in c.real}
-    out: list[str] = []
-
-    def walk(node):
-        for c in node.children:
-            if isinstance(c, str):
-                out.append(c)
-            elif id(c) not in inner:
-                walk(c)
-
-    for node in f.real:
-        walk(node)
-    return " ".join("".join(out).split())
-
-
-def _first(f: Folded) -> Wrapper:
-    w = Wrapper(f.tag, f.style, [_first(c) for c in f.children], False, f.marked)
-    w.texts.append(_own_text(f))
-    return w
-
-
-def _join(w: Wrapper, f: Folded, memo: dict) -> None:
-    """Align one more page with the wrapper; nodes it has besides are added in place."""
-    w.texts.append(_own_text(f))
-    w.marked |= f.marked
-    pairs, at = aligned(w, f, memo), 0
-    found = dict((j, i) for i, j in pairs)
-    children, used = [], 0
-    for j, y in enumerate(f.children):
-        if j in found:
-            children += w.children[used : found[j] + 1]
-            used = found[j] + 1
-            _join(w.children[found[j]], y, memo)
-        else:
-            new = _first(y)
-            new.texts.append("")  # it is missing on the pages before
-            children.append(new)
-    w.children = children + w.children[used:]
-
-
-def _holds(w: Wrapper, tag: str) -> bool:
-    return any(c.tag == tag or _holds(c, tag) for c in w.children)
+                seen[key] = seen.get(key, 0) + 1
+                box.kids.append(Box([c], box, _step(*key, seen[key])))
+                last = key
+        stack.extend(reversed(box.kids))
+    return out
 
 
-def _closed(w: Wrapper) -> bool:
-    """An article is content as a whole, and so is a main without articles."""
-    return w.tag == "article" or w.tag == "main" and not _holds(w, "article")
-
-
-def induce(pages: list[str]) -> Wrapper | None:
-    """The wrapper of a host, or None if its pages do not differ."""
-    trees = [Folded([parse(p)]) for p in pages]
-    if len(trees) < 2:
-        return None
-    w = _first(trees[0])
-    for t in trees[1:]:
-        _join(w, t, {})
-        _measure(w)
-
-    def mass(x: Wrapper) -> int:
-        """Varying text of a subtree that no boilerplate role claims."""
-        own = 0 if x.marked else sum(map(len, x.texts)) * (len(set(x.texts)) > 1)
-        return 0 if x.marked else own + sum(mass(c) for c in x.children)
-
-    total = mass(w)
-    if not total:
-        return None
-    node = w
-    while not _closed(node) and (best := [c for c in node.children if mass(c) == total and c.tag not in FLOW]):
-        node = best[0]
-    node.slot = True
-    return w
-
-
-def _measure(w: Wrapper) -> None:
-    for c in w.children:
-        _measure(c)
-    w.measure()
-
-
-def _find(w: Wrapper, f: Folded, memo: dict) -> list[int] | None:
-    """The path of child numbers from a page's root to the node in the content slot's place."""
-    if w.slot:
-        return []
-    for i, j in aligned(w, f, memo):
-        if (rest := _find(w.children[i], f.children[j], memo)) is not None:
-            return [j, *rest]
-    return None
+def layout(found: list[Box]) -> int:
+    """A 64-bit hash of the tree of containers."""
+    h = hashlib.blake2b(digest_size=8)
+    for box in found:
+        h.update(f"{box.depth}{box.step};".encode())
+    return int.from_bytes(h.digest(), "little", signed=True)
+
+
+def texts(found: list[Box]) -> Iterator[tuple[str, int]]:
+    """(path, hash of the own text) of the page and of all containers with a text."""
+    for box in found:
+        text = box.text()
+        if text or not box.above:
+            yield box.path(), int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def slot_of(low: str, high: str) -> str:
+    """The path of the deepest node above all paths between two."""
+    n = 0
+    while n < min(len(low), len(high)) and low[n : n + STEP] == high[n : n + STEP]:
+        n += STEP
+    return low[:n]
+
+
+def _tally(pages: Iterable[tuple[str, str]]) -> Iterator[dict]:
+    """{(host, layout, path): [least and greatest hash, pages]}, some at a time."""
+    seen: dict[tuple[str, int, str], list[int]] = {}
+    for name, page in pages:
+        found = boxes(parse(page))
+        kind = layout(found)
+        for path, h in texts(found):
+            have = seen.get((name, kind, path))
+            if have is None:
+                seen[name, kind, path] = [h, h, 1]
+            else:
+                have[:] = min(have[0], h), max(have[1], h), have[2] + 1
+        if len(seen) > 100_000:
+            yield seen
+            seen = {}
+    yield seen
+
+
+def induce(pages: list[str]) -> dict[int, str] | None:
+    """The wrapper of one host whose pages are at hand, {layout: path of the content slot}; as ``wrappers``."""
+    seen: dict[tuple[str, int, str], list[int]] = {}
+    for part in _tally(("", p) for p in pages if p):
+        for key, (low, high, n) in part.items():
+            have = seen.get(key, [low, high, 0])
+            seen[key] = [min(have[0], low), max(have[1], high), have[2] + n]
+    by: dict[str, list[list[int]]] = defaultdict(list)
+    total = {kind: n for (_, kind, path), (_, _, n) in seen.items() if not path}
+    varies: dict[tuple[int, str], bool] = {}
+    for (_, kind, path), (low, high, n) in seen.items():
+        by[path].append([low, high])
+        varies[kind, path] = low < high or n < total[kind]
+    somewhere = {path for (_, path), v in varies.items() if v}
+    out = {}
+    for kind in total:
+        paths = [p for k, p in varies if k == kind]
+        at = [p for p in paths if p in somewhere]
+        if not at and len(total) > 1:
+            at = [p for p in paths if p and (len(by[p]) == 1 or min(by[p])[0] < max(h for _, h in by[p]))]
+        if at:
+            out[kind] = slot_of(min(at), max(at))
+    return out or None
 
 
 def _articles(root: Node) -> list[Node]:
@@ -361,70 +329,91 @@ def blocks(nodes: list[Node]) -> list[str]:
     return out
 
 
-def main_text(page: str | None, wrapper: Wrapper | None = None, paths: dict | None = None) -> str:
-    """The main text of one page. ``paths`` remembers where pages of one shape have their content."""
+def main_text(page: str | None, wrapper: dict[int, str] | None = None, paths: dict | None = None) -> str:
+    """The main text of one page by its host's wrapper, or by roles alone; ``paths`` is no longer needed."""
     if not page:
         return ""
     root = parse(page)
-    nodes = None
-    if wrapper is not None:
-        folded = Folded([root])
-        key = folded.sign
-        path = paths[key] if paths is not None and key in paths else _find(wrapper, folded, {}) if match(wrapper, folded, {}) else None
-        if paths is not None:
-            paths[key] = path
+    nodes = [root]
+    if wrapper:
+        found = boxes(root)
+        path = wrapper.get(layout(found))
         if path is not None:
-            for j in path:
-                folded = folded.children[j]
-            # articles inside the slot are the content; a slot without is content itself
-            nodes = [a for n in folded.real for a in (_articles(n) if n.tag not in ("article", "main") else [n])]
-    return "\n\n".join(blocks(nodes if nodes is not None else _articles(root)))
+            nodes = _at(found[0], path)
+    # articles inside the slot are the content; a slot without is content itself
+    return "\n\n".join(blocks([a for n in nodes for a in (_articles(n) if n.tag not in ("article", "main") else [n])]))
+
+
+def _at(box: Box, path: str) -> list[Node]:
+    for lo in range(0, len(path), STEP):
+        box = next(k for k in box.kids if k.step == path[lo : lo + STEP])
+    return box.real
 
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def _induce(table: pa.Table) -> pa.Table:
-    pages = sorted({p for p in table.column("html").to_pylist() if p})
-    w = induce(pages)
-    return pa.table({"host": table.column("host").slice(0, 1), "wrapper": pa.array([json.dumps(w.dump()) if w else None], pa.string())})
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pages = ((r["host"], r["html"]) for big in batches for lo in range(0, big.num_rows, 256) for r in big.slice(lo, 256).to_pylist())
+    for seen in _tally(pages):
+        names, kinds, paths = zip(*seen, strict=True) if seen else ((), (), ())
+        low, high, n = zip(*seen.values(), strict=True) if seen else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kinds, pa.int64()), pa.array(paths, pa.string()), *[pa.array(x, pa.int64()) for x in (low, high, n)]], ["host", "layout", "path", "low", "high", "n"])
+
+
+def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """(host, layout, low, high) for every layout with a slot, which is ``slot_of(low, high)``."""
+    rows = pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html")).where("host <> '' AND html <> ''")
+    seen = rows.mapInArrow(_count, "host string, layout long, path string, low long, high long, n long")
+    nodes = C.materialize(seen.groupBy("host", "layout", "path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")), "nodes")
+    total = nodes.where("path = ''").select("host", "layout", F.col("n").alias("total"))
+    seen = C.materialize(nodes.join(total, ["host", "layout"]).withColumn("varies", F.expr("low < high OR n < total")), "layouts")
+    C.drop(nodes)
+    # the page itself is in every layout, so its count is that of the layouts of the host
+    by_path = seen.groupBy("host", "path").agg(F.bool_or("varies").alias("somewhere"), (F.min("low") < F.max("high")).alias("differs"), F.count("*").alias("layouts"))
+    seen = seen.join(by_path, ["host", "path"])
+    alone = F.expr("path <> '' AND (layouts = 1 OR differs)")
+    out = seen.groupBy("host", "layout").agg(
+        F.max("layouts").alias("k"), *[f(F.when(c, F.col("path"))).alias(name) for name, f, c in (("low", F.min, F.col("somewhere")), ("high", F.max, F.col("somewhere")), ("low1", F.min, alone), ("high1", F.max, alone))]
+    )
+    out = out.select("host", "layout", *[F.coalesce(x, F.when(F.col("k") > 1, F.col(x + "1"))).alias(x) for x in ("low", "high")])
+    return out.where("low IS NOT NULL")
+
+
+def _layouts(batches: Iterator[pa.RecordBatch], html: str) -> Iterator[pa.RecordBatch]:
+    for big in batches:
+        for lo in range(0, big.num_rows, 256):
+            batch = big.slice(lo, 256)
+            kinds = [layout(boxes(parse(p))) if p and h else None for p, h in zip(batch.column(html).to_pylist(), batch.column("_host").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds, pa.int64())], [*batch.schema.names, "_layout"])
 
 
-def wrappers(pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id", per_host: int = PAGES) -> DataFrame:
-    """(host, wrapper) for every host with pages that differ."""
-    rows = pages.select(host(F.col(url)).alias("host"), F.xxhash64(F.col(page_id), F.col(url)).alias("h"), F.col(html).alias("html")).where("host <> '' AND html <> ''")
-    order = Window.partitionBy("host").orderBy("h")
-    chosen = rows.select("host", "h").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_host).select("host", "h").distinct()
-    chosen = C.materialize(chosen, "sample")
-    sample = rows.join(C.small_side(chosen, BROADCAST_BYTES, 80), ["host", "h"], "left_semi").select("host", "html")
-    return sample.groupBy("host").applyInArrow(_induce, "host string, wrapper string").where("wrapper IS NOT NULL")
+ADDED = ("_host", "_layout", "_low", "_high")
 
 
 def _extract(batches: Iterator[pa.RecordBatch], html: str) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[Wrapper, dict]] = {}
     for big in batches:
         for lo in range(0, big.num_rows, 256):
             batch = big.slice(lo, 256)
             texts = []
-            for page, w in zip(batch.column(html).to_pylist(), batch.column("_wrapper").to_pylist(), strict=True):
-                if w is not None and w not in known:
-                    if len(known) >= 1000:
-                        known.clear()
-                    known[w] = Wrapper.load(json.loads(w)), {}
-                texts.append(main_text(page, *known[w]) if w is not None else main_text(page))
-            rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in ("_wrapper", html)]
+            for page, kind, low, high in zip(*[batch.column(c).to_pylist() for c in (html, "_layout", "_low", "_high")], strict=True):
+                texts.append(main_text(page, {kind: slot_of(low, high)} if low is not None else None))
+            rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in (*ADDED, html)]
             yield pa.RecordBatch.from_arrays([*[c for _, c in rest], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*[n for n, _ in rest], "text", "n_chars"])
 
 
-def extract(pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id", per_host: int = PAGES) -> DataFrame:
+def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """The rows of ``pages`` with text and n_chars in place of the html."""
-    found = C.materialize(wrappers(pages, url, html, page_id, per_host), "wrappers")
-    size = found.agg(F.coalesce(F.sum(F.octet_length("wrapper") + 100), F.lit(0)).alias("n")).first().n
-    side = found.select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper"))
+    C.narrow_batches(pages.sparkSession)
+    found = C.materialize(wrappers(pages, url, html), "wrappers")
+    size = found.agg(F.coalesce(F.sum(F.octet_length("low") + F.octet_length("high") + F.octet_length("host") + 100), F.lit(0)).alias("n")).first().n
+    side = found.select(*[F.col(c).alias("_" + c) for c in ("host", "layout", "low", "high")])
     side = F.broadcast(side) if size <= BROADCAST_BYTES else side
-    rows = pages.drop(*[c for c in ("text", "n_chars") if c != html]).withColumn("_host", host(F.col(url))).join(side, "_host", "left").drop("_host")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("_wrapper", html)] + ["text string", "n_chars long"])
+    rows = pages.drop(*[c for c in ("text", "n_chars") if c != html]).withColumn("_host", host(F.col(url)))
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    rows = rows.mapInArrow(lambda it: _layouts(it, html), kept + ", _layout long").join(side, ["_host", "_layout"], "left")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in (*ADDED, html)] + ["text string", "n_chars long"])
     return rows.mapInArrow(lambda it: _extract(it, html), schema)
 
 

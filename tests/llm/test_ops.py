@@ -238,6 +238,23 @@ def test_the_slot_holds_all_varying_text():
         assert html_wrapper.main_text(page.format(9, body), w, {}) == f"News\n\n9 {body}"
 
 
+def test_every_page_and_layout_of_a_host_counts(spark):
+    a = '<body><div class="top">Brand</div><div class="box"><h2>Head {0}</h2><p>story {0}</p></div><div class="end">Made by us</div></body>'
+    b = '<body><div class="top">Brand</div><section><div class="long"><p>essay {0} ' + "goes on " * 400 + '</p></div></section><div class="tail">Our shop</div></body>'
+    c = '<body><div class="top">Brand</div><div class="letter"><p>dear {0}</p></div><div class="end">Made by us</div></body>'
+    again = '<body><div class="top">Brand</div><div class="box"><p>told {1}</p></div><div class="extra"></div><div class="seen">{0} times</div></body>'
+    pages = [a.format(i) for i in range(190)] + [b.format(i) for i in range(190, 200)] + [c.format(200)] + [again.format(i, 7) for i in range(201, 203)]
+    pages += ["<p>only this", "<div>" * 3000 + "deep"]
+    data = [(i, f"https://h.example/{i}", p) for i, p in enumerate(pages)] + [(i, f"https://copies.example/{i}", pages[0]) for i in range(300, 340)] + [(340, "https://copies.example/x", pages[1])]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(7)
+    got = {r.page_id: r.text for r in html_wrapper.extract(df).collect()}
+    assert all(got[i] == f"Head {i}\n\nstory {i}" for i in range(190)) and all(got[i] == "Head 0\n\nstory 0" for i in range(300, 340)) and got[340] == "Head 1\n\nstory 1"
+    assert all(got[i].startswith(f"essay {i} goes on") and got[i].endswith("goes on") for i in range(190, 200))
+    assert got[200] == "dear 200" and all("told 7" in got[i] for i in range(201, 203)) and got[203] == "only this" and got[204] == "deep"
+    w = html_wrapper.induce(pages)
+    assert all(got[i] == html_wrapper.main_text(p, w) for i, p in enumerate(pages))
+
+
 # 7
 
 
