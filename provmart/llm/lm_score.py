@@ -1,20 +1,30 @@
 """Language-model scoring with a log-bilinear neural model trained by noise-contrastive estimation.
 
 Tokens are words of the text with A-Z lower-cased, then one end.  The model predicts
-the class of a token from the two before it (the end stands before the beginning):
+a token from the two before it (the end stands before the beginning):
 
     s(c | a, b) = q_c . (C1 * r_b + C2 * r_a) + bias_c
 
 The most frequent words and the end are classes of their own; all other words share
-classes by their last letters.  A class is predicted by the network, a word inside its
-class by its smoothed frequency, so the probabilities of all words, with one unseen
-word per class, sum to one.
-
-Training gathers two things from the whole training part of the corpus: the count of
-every word, and the count of every triple of classes (bounded by classes**3).  The NCE
-objective and its noise expectation are then exact sums over all observed contexts,
-computed in numpy as batched matrix products.  Scoring looks up a table of normalised
-log-probabilities made by one such product.
+classes by their last letters.  This is the top of a class tree.  Below it, the most
+frequent words of each shared class, ``GROWTH`` times the root of the training tokens in
+all, are units with vectors of their own, as inputs and as outputs, and one unit stands
+for the rest of the class:
+
+    P(w | a, b) = P(class | a, b) * P(unit | class, a, b) * P(w | unit)
+
+The network gives the first two factors, each normalised in blocks.  The third is 1 for
+a word with a unit, and its smoothed frequency in the rest of its class.  So the
+probabilities of all words, with one unseen word per class, sum to one.
+
+Training gathers three things from the whole training part of the corpus: the count of
+every word, the count of every triple of classes (bounded by classes**3), and what one
+pass over all tokens changes in the vectors of the words.  For the classes the NCE
+objective and its noise expectation are exact sums over all observed contexts, computed
+in numpy as batched matrix products.  The vectors of words start as those of their
+classes; every task trains them by NCE with sampled noise on its tokens, and the changes
+are averaged by how often a task used a word.  So the vectors depend on how the input is
+cut into tasks, which the class model does not.
 
 Words beyond the ``FREQUENT`` most frequent are scored by a join with the word counts.
 Words are told apart by 64-bit hashes.
@@ -44,6 +54,9 @@ CLASSES = END + 1
 ALPHA = 0.1
 #: NCE: noise samples per token (as an expectation), epochs, contexts per step, Adam's rate.
 NOISE, EPOCHS, STEP, RATE = 8, 24, 512, 0.02
+#: Words with vectors of their own, per root of the training tokens; tokens per step, sampled noise
+#: classes a step and words a token, Adagrad's rate; rows of a block of vectors on its way to the driver.
+GROWTH, WORD_STEP, NOISE_CLASSES, NOISE_WORDS, WORD_RATE, BLOCK = 4, 1024, 32, 2, 0.1, 4096
 
 
 def _ending(w: C.Words) -> np.ndarray:
@@ -97,6 +110,34 @@ class Vocabulary:
         self.total = int(sum(t for t, _ in totals.values())) + n_docs
         self.distinct = int(sum(v for _, v in totals.values())) + (n_docs > 0)
         self.n_docs = n_docs
+        self._units(np.lexsort((self.h, -self.n))[: max(n_top, int(np.ceil(GROWTH * np.sqrt(self.total))))])
+
+    def _units(self, some: np.ndarray) -> None:
+        """Units of the network: in each shared class its words among ``some``, then one for the rest of the class."""
+        some = some[(self.cls[some] >= self.n_top) & (self.cls[some] >= TOP)]
+        cls = np.concatenate([self.cls[some], np.arange(TOP, END)])
+        order = np.lexsort((np.arange(len(cls)), cls))
+        self.unit_cls = cls[order]
+        self.first = np.searchsorted(self.unit_cls, np.arange(CLASSES + 1))
+        place = np.empty(len(cls), np.int64)
+        place[order] = np.arange(len(cls))
+        self.unit = np.full(len(self.h), -1, np.int64)
+        self.unit[some] = place[: len(some)]
+        self.rest = np.full(CLASSES, -1, np.int64)
+        self.rest[TOP:END] = place[len(some) :]
+        own_n, own_v = np.bincount(self.cls[some], self.n[some], CLASSES), np.bincount(self.cls[some], minlength=CLASSES)
+        #: the mass of what is left of a class, one unseen word included
+        self.rest_mass = self.size_n - own_n + ALPHA * (self.size_v - own_v + 1)
+        mass = np.empty(len(cls))
+        mass[self.unit[some]], mass[self.rest[TOP:END]] = self.n[some] + ALPHA, self.rest_mass[TOP:END]
+        self.unit_log = np.log(mass / np.add.reduceat(mass, self.first[TOP:END])[self.unit_cls - TOP]).astype(np.float32)
+        #: of an input: a class, or past the classes a unit
+        self.input_cls = np.concatenate([np.arange(CLASSES), self.unit_cls])
+
+    def inputs(self, cls: np.ndarray, at: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The input of every word: its unit, or else its class."""
+        unit = np.where(known, self.unit[at], -1) if len(self.h) else np.full(len(cls), -1)
+        return np.where(unit >= 0, CLASSES + unit, cls)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each hash is in the table, and whether it is there."""
@@ -226,11 +267,135 @@ class LogBilinear:
                     param += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
 
+    def add_words(self, vocabulary: Vocabulary) -> None:
+        """Vectors of words: as inputs those of their class, as outputs none, which gives each its frequency."""
+        self.inputs = self.word[vocabulary.input_cls].astype(np.float32)
+        self.units = np.zeros((len(vocabulary.unit_cls), DIM), np.float32)
+
+    def contexts(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        r = self.inputs[b] * self.near.astype(np.float32)
+        r += self.inputs[a] * self.far.astype(np.float32)
+        return r
+
+    def log_class(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """ln P(class | context), normalised over the classes in blocks."""
+        out, q, bias = np.empty(len(c), np.float32), np.ascontiguousarray(self.out.T, np.float32), self.bias.astype(np.float32)
+        for lo in range(0, len(c), 4096):
+            s = r[lo : lo + 4096] @ q
+            s += bias
+            out[lo : lo + 4096] = _log_share(s, c[lo : lo + 4096])
+        return out
+
+    def log_unit(self, r: np.ndarray, unit: np.ndarray, v: Vocabulary) -> np.ndarray:
+        """ln P(unit | its class, context), normalised over the units of the class in blocks."""
+        out, cls = np.empty(len(unit), np.float32), v.unit_cls[unit]
+        order = np.argsort(cls.astype(np.uint8), kind="stable")
+        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        for g in range(TOP, END):
+            units = slice(v.first[g], v.first[g + 1])
+            q, bias = np.ascontiguousarray(self.units[units].T), v.unit_log[units]
+            rows = max(64, (1 << 19) // max(1, len(bias)))
+            for lo in range(edge[g], edge[g + 1], rows):
+                some = order[lo : min(lo + rows, edge[g + 1])]
+                s = r[some] @ q
+                s += bias
+                out[some] = _log_share(s, unit[some] - v.first[g])
+        return out
+
+
+def _log_share(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    s -= s.max(1, keepdims=True)
+    own = s[np.arange(len(at)), at]
+    return own - np.log(np.exp(s, out=s).sum(1))
+
+
+def _sum_rows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids, the sum of the rows of each, and their number."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[at], np.add.reduceat(rows[order], at, 0), np.diff(np.append(at, len(ids)))
+
+
+def _train_words(batches: Iterator[pa.RecordBatch], vocabulary, model) -> Iterator[pa.RecordBatch]:
+    """One pass of NCE over the tokens of a task, with sampled noise; gives what changed, weighted by use."""
+    v, m = vocabulary.value, model.value
+    inputs, units, before = m.inputs.copy(), m.units.copy(), (m.inputs, m.units)
+    local = LogBilinear()
+    local.near, local.far, local.inputs = m.near, m.far, inputs
+    near, far, out = m.near.astype(np.float32), m.far.astype(np.float32), m.out.astype(np.float32)
+    noise = np.exp(m.bias) / np.exp(m.bias).sum()
+    odds = m.bias - np.log(NOISE * noise)
+    up = np.cumsum(np.exp(v.unit_log.astype(np.float64)))  # a whole number is reached at the end of each class
+    squares = [np.full(len(inputs), 1e-6, np.float32), np.full(len(units), 1e-6, np.float32)]
+    used = [np.zeros(len(inputs), np.float32), np.zeros(len(units), np.float32)]
+    rng = np.random.default_rng(7)
+
+    def move(kind, table, ids, grads):
+        if len(ids):
+            ids, grads, n = _sum_rows(ids, grads)
+            squares[kind][ids] += (grads * grads).mean(1)
+            used[kind][ids] += n
+            table[ids] += np.float32(WORD_RATE) * grads / np.sqrt(squares[kind][ids])[:, None]
+
+    for batch in batches:
+        for _, _, w in C.word_chunks(batch.column(0), lower=True):
+            cls, at, known = v.classes(w, w.hashes())
+            a, b, c, _ = _sequences(w, v.inputs(cls, at, known))
+            for lo in range(0, len(c), WORD_STEP):
+                x, y, z = a[lo : lo + WORD_STEP], b[lo : lo + WORD_STEP], c[lo : lo + WORD_STEP]
+                r = local.contexts(x, y)
+                k = v.input_cls[z]
+                # classes
+                p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", r, out[k]) + odds[k], -30, 30)))
+                gr = (1 - p).astype(np.float32)[:, None] * out[k]
+                drawn = rng.choice(CLASSES, NOISE_CLASSES, p=noise)
+                p = 1 / (1 + np.exp(-np.clip(r @ out[drawn].T + odds[drawn].astype(np.float32), -30, 30)))
+                gr -= np.float32(NOISE / NOISE_CLASSES) * (p @ out[drawn])
+                # words of shared classes
+                inside = np.flatnonzero((k >= TOP) & (k < END))
+                if len(inside):
+                    unit = np.where(z[inside] >= CLASSES, z[inside] - CLASSES, v.rest[k[inside]])
+                    base = np.repeat((k[inside] - TOP)[None], NOISE_WORDS, 0)
+                    false = np.minimum(np.searchsorted(up, base + rng.random(base.shape)), v.first[base + TOP + 1] - 1)
+                    ri, ids, grads = r[inside], [], []
+                    for some, label in [(unit, 1), *[(f, 0) for f in false]]:
+                        q = units[some]
+                        p = 1 / (1 + NOISE_WORDS * np.exp(-np.clip(np.einsum("ij,ij->i", ri, q), -30, 30)))
+                        g = (label - p)[:, None].astype(np.float32)
+                        gr[inside] += g * q
+                        ids.append(some), grads.append(g * ri)
+                    move(1, units, np.concatenate(ids), np.concatenate(grads))
+                ids = np.concatenate([x, y])
+                own = np.flatnonzero(ids >= CLASSES)  # the vectors of classes stay
+                move(0, inputs, ids[own], np.concatenate([gr * far, gr * near])[own])
+    for kind, table in enumerate((inputs, units)):
+        for lo in range(0, len(table), BLOCK):
+            at = lo + np.flatnonzero(used[kind][lo : lo + BLOCK])
+            if len(at):
+                n = used[kind][at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind], pa.int32()), pa.array([lo], pa.int64()), pa.array([(at - lo).astype("<u2").tobytes()], pa.binary()), pa.array([n.astype("<f4").tobytes()], pa.binary()), pa.array([(table[at] - before[kind][at]).astype("<f2").tobytes()], pa.binary())],
+                    ["kind", "first", "at", "n", "change"],
+                )
+
+
+def _mean_change(table: pa.Table) -> pa.Table:
+    """The mean change of each row of a block, by how often tasks used it."""
+    total, weight = np.zeros((BLOCK, DIM)), np.zeros(BLOCK)
+    for at, n, change in zip(table.column("at"), table.column("n"), table.column("change"), strict=True):
+        at, n = np.frombuffer(at.as_py(), "<u2"), np.frombuffer(n.as_py(), "<f4")
+        total[at] += n[:, None] * np.frombuffer(change.as_py(), "<f2").reshape(-1, DIM)
+        weight[at] += n
+    mean = (total / np.maximum(weight, 1)[:, None]).astype("<f4")
+    return pa.table({"kind": table.column("kind").slice(0, 1), "first": table.column("first").slice(0, 1), "change": pa.array([mean.tobytes()], pa.binary())})
+
+
 def _score(batches: Iterator[pa.RecordBatch], vocabulary, model) -> Iterator[pa.RecordBatch]:
     """Per text: what frequent words and the end give, and the hashes of all other words."""
     v = vocabulary.value
-    table = model.value.table()
-    in_class = np.log10(v.size_n + ALPHA * (v.size_v + 1))
+    m = model.value
+    rest = np.log10(v.rest_mass)
     denominator = np.log10(v.total + ALPHA * (v.distinct + 1))
     own = np.arange(CLASSES) < v.n_top
     own[END] = True
@@ -239,13 +404,17 @@ def _score(batches: Iterator[pa.RecordBatch], vocabulary, model) -> Iterator[pa.
         for lo, hi, w in C.word_chunks(batch.column("t"), lower=True):
             h = w.hashes()
             cls, at, known = v.classes(w, h)
-            a, b, c, doc = _sequences(w, cls)
+            a, b, c, doc = _sequences(w, v.inputs(cls, at, known))
             n = hi - lo
-            net = np.bincount(doc, table[(a * CLASSES + b) * CLASSES + c], n)
-            inside = ~own[cls]
+            r, k = m.contexts(a, b), v.input_cls[c]
+            net = m.log_class(r, k).astype(float)
+            shared = np.flatnonzero(~own[k])
+            net[shared] += m.log_unit(r[shared], np.where(c[shared] >= CLASSES, c[shared] - CLASSES, v.rest[k[shared]]), v)
+            net = np.bincount(doc, net / np.log(10), n)
+            inside = ~own[cls] & ~(known & (v.unit[at] >= 0) if len(v.h) else False)
             logs = np.where(known, log_n[at] if len(log_n) else 0, 0)
-            # words in shared classes: log(c + alpha) - log of the class mass; rare ones get log(c + alpha) from the join
-            word = np.bincount(w.doc[inside], logs[inside] - in_class[cls[inside]], n)
+            # words without a unit: log(c + alpha) - log of the mass of their rest; rare ones get log(c + alpha) from the join
+            word = np.bincount(w.doc[inside], logs[inside] - rest[cls[inside]], n)
             base = np.bincount(w.doc, logs, n) + np.log10(v.n_docs + ALPHA) - (w.count + 1) * denominator
             rare = np.flatnonzero(~known)
             edge = np.searchsorted(w.doc[rare], np.arange(n + 1)).astype(np.int32)
@@ -280,6 +449,12 @@ def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS) -> tuple[Da
     counts = {r.a: (np.frombuffer(r.at, "<u4").astype(np.int64), np.frombuffer(r.n, "<u8").astype(np.float64)) for r in triples.toLocalIterator()}
     model = LogBilinear()
     model.train(counts, epochs)
+    model.add_words(vocabulary)
+    start = spark.sparkContext.broadcast(model)
+    parts = texts.mapInArrow(lambda it: _train_words(it, shared, start), "kind int, first long, at binary, n binary, change binary")
+    for r in parts.groupBy("kind", "first").applyInArrow(_mean_change, "kind int, first long, change binary").toLocalIterator():
+        table = (model.inputs, model.units)[r.kind][r.first : r.first + BLOCK]
+        table += np.frombuffer(r.change, "<f4").reshape(-1, DIM)[: len(table)]
     return words, vocabulary, model
 
 

@@ -309,6 +309,32 @@ def test_base_score_and_normalisation(spark, docs, rows):
     assert all(np.isfinite(r.score) for r in lm_score.score(docs, *nothing).collect())
 
 
+def test_words_beyond_the_classes_reach_the_network(spark):
+    r = random.Random(8)
+    text = lambda pairs: " ".join(f"left{i}aa right{j}zz" for i, j in pairs)
+    rows = [(n, text([(i, i) for i in r.choices(range(300), k=30)])) for n in range(2000)]
+    words, vocabulary, model = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    own = lm_score.C.Words(*lm_score.C.buffers(pa.array([f"left{i}aa right{i}zz" for i in range(300)])))
+    _, at, known = vocabulary.classes(own, own.hashes())
+    assert known.all() and (vocabulary.unit[at] >= 0).sum() == 600 - lm_score.TOP  # all but the words that are classes
+    rare = [i for i in range(300) if (vocabulary.unit[at[2 * i : 2 * i + 2]] >= 0).all()]
+    pairs = list(zip(rare[::2], rare[1::2], strict=False))
+    asked = [(0, text([(i, i) for p in pairs for i in p])), (1, text([x for i, j in pairs for x in ((i, j), (j, i))]))]
+    got = {x.doc_id: x.score for x in lm_score.score(spark.createDataFrame(asked, "doc_id long, text string"), words, vocabulary, model).collect()}
+    assert got[0] > got[1] + 1  # the same words, each after its own partner or after another's
+    a, b = np.array([0, lm_score.END, lm_score.CLASSES + 3]), np.array([lm_score.CLASSES, lm_score.END, 5])
+    ctx = model.contexts(a, b)
+    assert np.allclose(sum(np.exp(model.log_class(ctx, np.full(3, c))) for c in range(lm_score.CLASSES)), 1, atol=1e-3)
+    share = np.array([np.exp(model.log_unit(ctx, np.full(3, u), vocabulary)) for u in range(len(vocabulary.unit_cls))])
+    assert np.allclose([share[vocabulary.unit_cls == g].sum(0) for g in range(lm_score.TOP, lm_score.END)], 1, atol=1e-3)
+
+
+def test_the_network_grows_with_the_corpus():
+    h = np.arange(1, 50_001, dtype=np.uint64)
+    sizes = [len(lm_score.Vocabulary(h, np.full(50_000, k), np.full(50_000, lm_score.TOP), {lm_score.TOP: (50_000 * k, 50_000)}, 10).unit_cls) for k in (2, 8, 32)]
+    assert sizes[1] > 1.9 * sizes[0] and sizes[2] > 1.9 * sizes[1]
+
+
 # 9
 
 
