@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps with their
 columns (doc_id, text, lang, source, n_chars); the last returns the encoded documents.
-Stages join back by id and text hash in small tables, so texts are not shuffled unless a
-checked size says that they must be.
+Stages join back by a hash of id and text in small tables, so texts are not shuffled unless
+a checked size says that they must be.  Ids may be null or repeated: a row is a document of
+its own, and of several rows with the same id and text one stays.
 """
 
 from __future__ import annotations
@@ -20,9 +21,13 @@ MIN_SCORE = 0.05
 DROP_BYTES = 32 << 20
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id is not in a work table of ids, which is broadcast if its counted size allows."""
-    return docs.join(C.small_side(ids, DROP_BYTES, 16), "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, substring_dedup.row_key("doc_id", "text").alias("_key"))
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """The documents whose key is not in a work table of keys, which is broadcast if its counted size allows."""
+    return keyed.join(C.small_side(keys, DROP_BYTES, 16), "_key", "left_anti").select(*keyed.columns)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,10 +38,17 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join; the smallest id of each component stays."""
-    found = ngram_jaccard.components_of(docs.select("doc_id", "text"))
-    ids = C.materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    return _without(docs.select(*COLUMNS), ids)
+    """N-gram Jaccard join; of each component the row of the smallest id stays, with null ids last."""
+    keyed = _keyed(docs)
+    found = ngram_jaccard.components_of(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    found = C.materialize(found.groupBy(F.col("doc_id").alias("_key")).agg(F.first("component_id").alias("part"), F.count("*").alias("n")), "parts")
+    ids = keyed.select("_key", "doc_id").join(found, "_key").select("part", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key").alias("row"))
+    kept = ids.groupBy("part").agg(F.min("row").alias("row")).select("row._key")
+    gone = C.materialize(found.join(kept, "_key", "left_anti").select("_key"), "copies")
+    again = C.materialize(found.where("n > 1").join(gone, "_key", "left_anti").select("_key"), "again")
+    # rows with the same id and text, of which one stays
+    twice = keyed.join(C.small_side(again, DROP_BYTES, 16), "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
+    return _without(_without(keyed, gone), again).select(*COLUMNS).unionByName(twice)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +60,9 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination; texts that cover a benchmark item go."""
-    found = decontaminate.tiled(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs.select(*COLUMNS), C.materialize(found.select("doc_id").distinct(), "leaks"))
+    keyed = _keyed(docs)
+    found = decontaminate.tiled(keyed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), doc_id="_key")
+    return _without(keyed, C.materialize(found.select(F.col("doc_id").alias("_key")).distinct(), "leaks")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

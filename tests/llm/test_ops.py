@@ -411,3 +411,16 @@ def test_the_last_stage_keeps_texts_that_decode_otherwise(spark, docs, rows):
     out = corpus_pipeline.encode(spark, docs, "").collect()
     assert collections.Counter(r.doc_id for r in out) == collections.Counter(d for d, _ in rows)
     assert {r.doc_id for r in out if not r.round_trip} == {ODD.index("🙂 é\n\t ▁▁ z")}
+
+
+def test_stages_tell_rows_with_null_and_repeated_ids_apart(spark, tmp_path):
+    import corpus_pipeline
+
+    a, b, c, d, e, leak = (prose(2000 + i, 60) for i in range(6))
+    rows = [(1, a), (None, a), (None, a), (2, b), (2, b), (None, c), (None, c), (3, d), (3, e), (3, leak), (None, leak + " tail")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_near_copies(spark, df, "").collect())
+    assert got == collections.Counter([(1, a), (2, b), (None, c), (3, d), (3, e), (3, leak)])
+    spark.createDataFrame([(7, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_benchmark_passages(spark, df, str(tmp_path)).collect())
+    assert got == collections.Counter(rows[:9])
