@@ -2,28 +2,32 @@
 
 Pages of one host share templates.  The layout of a page is the tree of its containers:
 without running text and inline elements, without what a boilerplate role claims, runs of
-like siblings folded, articles (and mains without articles) closed.  Nodes are aligned by
-their path, whose steps are tag, class and place among like siblings.  From all pages of a
-host the least and greatest hash of each node's own text and the pages that have one are
-gathered per layout and path, combined on the map side.  Nodes whose text is the same on
-all pages of every layout are template; nodes whose text varies in some layout of the host
-are content.  A layout without such nodes (one distinct page, say) is compared with the
-host's other layouts: what differs from them, or only it has, is content.
-
-The content slot of a layout is the deepest node that holds all its content nodes.  It
-is read on every page of the layout.  Hosts whose pages do not differ use the role rules
-from the page alone: article, else main, else body.
-
-Inside the content nothing is dropped but elements that a tag, role, class or id marks
-as menu, header, footer, sidebar, notice, advert, form, script, style or reader comment.
-Repeated passages inside an article stay: constancy only locates the slot.
-
-A slot is the common beginning of the least and greatest path of the content nodes, so
-whatever a host's number of pages and layouts, no task has to hold them together.
+like siblings folded.  The layout that most pages of a host have is the host's reference
+tree; every other layout of the host is aligned with it by simple tree matching (the
+largest set of pairs of equal containers that keeps parents and order).  A container
+without a partner keeps its place below its nearest ancestor that has one, so containers
+that the reference lacks are still compared among the layouts that have them.
+
+From all pages of a host the least and greatest hash of every aligned container's own
+text is gathered, combined on the map side.  A container whose text is the same on all
+pages that have it, at least ``SUPPORT`` different ones or inside an article
+``SUPPORT_INSIDE``, is template and goes; containers whose text varies are the slots, and their text is the content.
+The text of a container is all that lies in it outside other containers, so a paragraph
+that several articles share is part of a varying text and stays.
+
+Menus, adverts and comments differ from page to page, so no alignment finds them: elements
+that a tag, role, class or id marks as menu, header, footer, sidebar, notice, advert, form,
+script, style or reader comment go as well.  Inside articles only whole class names count,
+and running text is never marked.  Where a page has articles, content is what they hold;
+else what mains hold; else all that is left.  A page whose containers are all template keeps them.
+
+Different pages are counted with a bitmap of 64 places, which may take few pages for fewer
+and never for more.  No task holds a host's pages or layouts together.
 
 Defined cases: null or empty html gives the empty text; a null URL belongs to a host
 of its own (no wrapper); repeated rows give repeated results; broken markup is read as far
-as it goes.  Extra columns pass through ``extract`` unless named like its results.
+as it goes; nesting of any depth is walked without recursion.  Extra columns pass through
+``extract`` unless named like its results.
 """
 
 from __future__ import annotations
@@ -31,30 +35,44 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
-#: Hex digits of a step of a path.
-STEP, BROADCAST_BYTES = 8, 32 << 20
+#: Different pages that have to agree on a container's text: outside articles and mains, and inside.
+SUPPORT, SUPPORT_INSIDE = 2, 3
+#: Bound of the wrappers sent to every task.
+BROADCAST_BYTES = 32 << 20
 
 # Element kinds.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript xmp iframe".split())
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption".split())
 CLOSES_P = BLOCK - {"body", "html", "tr", "tbody", "thead", "tfoot", "caption"}
+CLOSES = {
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)),
+    "dd": (("dt", "dd"), ("dl",)),
+    "tr": (("tr", "td", "th"), ("table", "tbody", "thead", "tfoot")),
+    "td": (("td", "th"), ("tr", "table")),
+    "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select",)),
+}
 DROPPED = set("head nav header footer aside form script style noscript template iframe button select textarea input svg object canvas dialog menu title".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended comment comments disqus reply replies respond footer masthead toolbar pagination pager skip widget".split())
 
-#: Running text and inline elements, which are never the content slot.
-FLOW = VOID | set("p li ul ol dl table tr h1 h2 h3 h4 h5 h6 hgroup blockquote pre figure address details b i em strong span a u small sup sub code".split())
+# Class names and ids that are boilerplate inside an article too.
+INSIDE = set("ad ads advert adverts advertisement advertising sponsored comments comment-list commentlist comments-area comment-section reader-comments user-comments disqus_thread replies cookie-notice cookie-banner newsletter newsletter-signup share-buttons social-share related-posts related-articles breadcrumbs pagination".split())
+
+#: Running text and inline elements, which are never containers.
+FLOW = VOID | set("p li ul ol dl dt dd table tbody thead tfoot tr td th caption h1 h2 h3 h4 h5 h6 hgroup blockquote pre figure figcaption address details summary b i em strong span a u small sup sub code font label time mark q cite abbr".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^<>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -63,21 +81,23 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "marked", "children", "style")
+    __slots__ = ("tag", "marked", "children", "style", "inner")
 
-    def __init__(self, tag: str, marked: bool = False, style: str = ""):
-        self.tag, self.marked, self.style, self.children = tag, marked, style, []
+    def __init__(self, tag: str, marked: bool = False, style: str = "", inner: bool = False):
+        self.tag, self.marked, self.style, self.inner, self.children = tag, marked, style, inner or tag in ("article", "main"), []
 
 
-def _marks(tag: str, text: str) -> tuple[bool, str]:
+def _marks(tag: str, text: str, inner: bool) -> tuple[bool, str]:
     """Whether tag or attributes name a boilerplate role; and the class as part of the node's identity."""
     marked, style = tag in DROPPED, ""
+    if tag == "header" and inner:  # an article's own head: its title and lead
+        marked = False
     if len(text) > len(tag) + 2:
         for name, value in _ATTR.findall(text):
             name, value = name.lower(), entities.unescape(value.strip("\"'")).lower()
             if name in ("class", "id"):
-                words = set(_WORD.findall(value))
-                marked |= tag not in ("body", "html", "article", "main") and bool(words & WORDS)
+                if tag not in ("body", "html", "article", "main"):
+                    marked |= tag not in FLOW and bool(INSIDE & set(value.split())) if inner else bool(WORDS & set(_WORD.findall(value)))
                 style = value if name == "class" else style
             elif name == "role":
                 marked |= value in ROLES
@@ -121,7 +141,7 @@ def parse(text: str) -> Node:
                     break
                 if stack[i].tag in BLOCK or stack[i].tag in ("td", "th", "button"):
                     break
-        closes, stops = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table", "tbody", "thead", "tfoot")), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}.get(tag, ((), ()))
+        closes, stops = CLOSES.get(tag, ((), ()))
         if closes:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in closes:
@@ -129,7 +149,8 @@ def parse(text: str) -> Node:
                     break
                 if stack[i].tag in stops:
                     break
-        node = Node(tag, *_marks(tag, token))
+        inner = stack[-1].inner
+        node = Node(tag, *_marks(tag, token, inner), inner)
         stack[-1].children.append(node)
         if tag in VOID:
             continue
@@ -143,39 +164,28 @@ def parse(text: str) -> Node:
     return root
 
 
-def _closed(nodes: list[Node]) -> bool:
-    """An article is content as a whole, and so is a main without articles."""
-    if nodes[0].tag != "main":
-        return nodes[0].tag == "article"
-    stack = list(nodes)
-    while stack:
-        node = stack.pop()
-        if node.tag == "article":
-            return False
-        stack.extend(c for c in node.children if not isinstance(c, str) and not c.marked)
-    return True
+@lru_cache(1 << 16)
+def _symbol(tag: str, style: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{tag}.{style}".encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little")
 
 
-@lru_cache(1 << 16)
-def _step(tag: str, style: str, nth: int) -> str:
-    return hashlib.blake2b(f"{tag}.{style}#{nth}".encode(), digest_size=STEP // 2).hexdigest()
+def _hash(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _below(key: int, symbol: int, nth: int) -> int:
+    """The key of a container: that of its parent, its own tag and class, and its place among like ones."""
+    return _hash(b"%d %d %d" % (key, symbol, nth))
 
 
 class Box:
     """An unmarked container, like siblings that follow each other taken together; ``real`` are its nodes."""
 
-    __slots__ = ("real", "above", "step", "depth", "kids")
+    __slots__ = ("real", "symbol", "nth", "depth", "key", "kids")
 
-    def __init__(self, real: list[Node], above: Box | None = None, step: str = ""):
-        self.real, self.above, self.step, self.kids = real, above, step, []
-        self.depth = above.depth + 1 if above else 0
-
-    def path(self) -> str:
-        out, box = [], self
-        while box.above:
-            out.append(box.step)
-            box = box.above
-        return "".join(reversed(out))
+    def __init__(self, real: list[Node], above: Box | None = None, symbol: int = 0, nth: int = 0):
+        self.real, self.symbol, self.nth, self.kids = real, symbol, nth, []
+        self.depth, self.key = (above.depth + 1, _below(above.key, symbol, nth)) if above else (0, 0)
 
     def text(self) -> str:
         """Unmarked text outside the boxes below this one, with single spaces."""
@@ -196,90 +206,214 @@ def boxes(root: Node) -> list[Box]:
     while stack:
         box = stack.pop()
         out.append(box)
-        if _closed(box.real):
-            continue
         kids = [c for node in box.real for c in node.children if not isinstance(c, str) and not c.marked and c.tag not in FLOW]
         if len(box.real) > 1:  # a run: like children of all its members together
             kids.sort(key=lambda c: (c.tag, c.style))
-        seen: dict[tuple[str, str], int] = {}
+        seen: dict[int, int] = {}
         last = None
         for c in kids:
-            key = c.tag, c.style
-            if key == last:
+            symbol = _symbol(c.tag, c.style)
+            if symbol == last:
                 box.kids[-1].real.append(c)
             else:
-                seen[key] = seen.get(key, 0) + 1
-                box.kids.append(Box([c], box, _step(*key, seen[key])))
-                last = key
+                seen[symbol] = seen.get(symbol, 0) + 1
+                box.kids.append(Box([c], box, symbol, seen[symbol]))
+                last = symbol
         stack.extend(reversed(box.kids))
     return out
 
 
-def layout(found: list[Box]) -> int:
-    """A 64-bit hash of the tree of containers."""
-    h = hashlib.blake2b(digest_size=8)
-    for box in found:
-        h.update(f"{box.depth}{box.step};".encode())
-    return int.from_bytes(h.digest(), "little", signed=True)
-
-
-def texts(found: list[Box]) -> Iterator[tuple[str, int]]:
-    """(path, hash of the own text) of the page and of all containers with a text."""
-    for box in found:
-        text = box.text()
-        if text or not box.above:
-            yield box.path(), int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def slot_of(low: str, high: str) -> str:
-    """The path of the deepest node above all paths between two."""
-    n = 0
-    while n < min(len(low), len(high)) and low[n : n + STEP] == high[n : n + STEP]:
-        n += STEP
-    return low[:n]
-
-
-def _tally(pages: Iterable[tuple[str, str]]) -> Iterator[dict]:
-    """{(host, layout, path): [least and greatest hash, pages]}, some at a time."""
-    seen: dict[tuple[str, int, str], list[int]] = {}
+def packed(found: list[Box]) -> bytes:
+    """The tree of containers: depth, symbol and place of each in order."""
+    return np.array([(b.depth, b.symbol, b.nth) for b in found], "<u4").tobytes()
+
+
+# ------------------------------------------------------- simple tree matching
+
+
+class Tree:
+    """A packed tree of containers: keys, symbols, places and children by number in order."""
+
+    def __init__(self, data: bytes):
+        depth, self.symbol, self.nth = (x.tolist() for x in np.frombuffer(data, "<u4").reshape(-1, 3).T)
+        n = len(depth)
+        self.kids: list[list[int]] = [[] for _ in range(n)]
+        self.above, self.key, path = [-1] * n, [0] * n, []
+        for i in range(n):
+            del path[depth[i] :]
+            if path:
+                self.above[i] = path[-1]
+                self.kids[path[-1]].append(i)
+                self.key[i] = _below(self.key[path[-1]], self.symbol[i], self.nth[i])
+            path.append(i)
+
+
+class Matching:
+    """Simple tree matching of two trees; equal subtrees are told by number and matched at once."""
+
+    def __init__(self, a: Tree, b: Tree):
+        self.a, self.b, self.number, self.size, self.known = a, b, {}, [], {}
+        self.symbol: list[int] = []
+        self.kids: list[tuple[int, ...]] = []
+        self.of_a, self.of_b = self._shapes(a), self._shapes(b)
+
+    def _shapes(self, t: Tree) -> list[int]:
+        out = [0] * len(t.symbol)
+        for i in range(len(out) - 1, -1, -1):
+            kids = tuple(out[k] for k in t.kids[i])
+            shape = t.symbol[i], kids
+            if shape not in self.number:
+                self.number[shape] = len(self.size)
+                self.size.append(1 + sum(self.size[k] for k in kids))
+                self.symbol.append(t.symbol[i]), self.kids.append(kids)
+            out[i] = self.number[shape]
+        return out
+
+    @staticmethod
+    def _trim(x, y) -> tuple[int, int]:
+        """Equal subtrees at the beginning and at the end of two rows of children."""
+        n = min(len(x), len(y))
+        lo = next((i for i in range(n) if x[i] != y[i]), n)
+        hi = next((i for i in range(n - lo) if x[-1 - i] != y[-1 - i]), n - lo)
+        return lo, hi
+
+    def weight(self, x: int, y: int) -> int:
+        """Pairs in the largest matching of two subtrees whose roots are matched; 0 for unlike roots."""
+        if x == y:
+            return self.size[x]
+        if self.symbol[x] != self.symbol[y]:
+            return 0
+        todo = [(x, y)]
+        while todo:
+            p, q = todo[-1]
+            if (p, q) in self.known:
+                todo.pop()
+                continue
+            xs, ys = self.kids[p], self.kids[q]
+            lo, hi = self._trim(xs, ys)
+            xs, ys = xs[lo : len(xs) - hi], ys[lo : len(ys) - hi]
+            need = {(i, j) for i in set(xs) for j in set(ys) if i != j and self.symbol[i] == self.symbol[j] and (i, j) not in self.known}
+            if need:
+                todo.extend(need)
+                continue
+            todo.pop()
+            same = self.kids[p][:lo] + self.kids[p][len(self.kids[p]) - hi :]
+            self.known[p, q] = 1 + sum(self.size[k] for k in same) + self._rows(xs, ys)[0]
+        return self.known[x, y]
+
+    def _rows(self, xs, ys) -> tuple[int, list[np.ndarray], list[np.ndarray]]:
+        """The order-keeping assignment of children: its weight, and where leaving out a child of either side loses nothing."""
+        if not xs or not ys:
+            return 0, [], []
+        kinds = {j: k for k, j in enumerate(dict.fromkeys(ys))}
+        column = np.array([kinds[j] for j in ys])
+        gain: dict[int, np.ndarray] = {}
+        best, ups, lefts = np.zeros(len(ys) + 1, np.int64), [], []
+        for i in xs:
+            if i not in gain:
+                gain[i] = np.array([self.size[i] if i == j else self.known.get((i, j), 0) if self.symbol[i] == self.symbol[j] else 0 for j in kinds])[column]
+            new = np.maximum.accumulate(np.maximum(best, np.concatenate([[0], best[:-1] + gain[i]])))
+            ups.append(np.packbits(new[1:] == best[1:])), lefts.append(np.packbits(new[1:] == new[:-1]))
+            best = new
+        return int(best[-1]), ups, lefts
+
+    def pairs(self) -> dict[int, int]:
+        """Node of the second tree -> its partner in the first."""
+        out: dict[int, int] = {}
+        if self.symbol[self.of_a[0]] != self.symbol[self.of_b[0]]:
+            return out
+        self.weight(self.of_a[0], self.of_b[0])
+        todo = [(0, 0)]
+        while todo:
+            i, j = todo.pop()
+            out[j] = i
+            xs, ys = self.a.kids[i], self.b.kids[j]
+            sx, sy = [self.of_a[k] for k in xs], [self.of_b[k] for k in ys]
+            lo, hi = self._trim(sx, sy)
+            todo += zip(xs[:lo], ys[:lo], strict=True)
+            todo += zip(xs[len(xs) - hi :], ys[len(ys) - hi :], strict=True)
+            sx, sy = sx[lo : len(sx) - hi], sy[lo : len(sy) - hi]
+            _, ups, lefts = self._rows(sx, sy)
+            p, q = len(sx), len(sy)
+            while p and q and ups:
+                bit = lambda row, at: row[at >> 3] >> (7 - (at & 7)) & 1
+                if bit(ups[p - 1], q - 1):
+                    p -= 1
+                elif bit(lefts[p - 1], q - 1):
+                    q -= 1
+                else:
+                    p, q = p - 1, q - 1
+                    todo.append((xs[lo + p], ys[lo + q]))
+        return out
+
+
+def aligned(reference: bytes, layout: bytes) -> tuple[list[int], list[int]]:
+    """(key of every container of a layout, key of what it is aligned with)."""
+    a, b = Tree(reference), Tree(layout)
+    if reference == layout:
+        return b.key, b.key
+    pairs = Matching(a, b).pairs()
+    keys: list[int] = []
+    for j in range(len(b.key)):
+        keys.append(a.key[pairs[j]] if j in pairs else _below(keys[b.above[j]], b.symbol[j], b.nth[j]) if j else 0)
+    return b.key, keys
+
+
+# ------------------------------------------------------------------- wrappers
+
+
+def _tally(pages: Iterable[tuple[str, str]]) -> Iterator[tuple[dict, dict]]:
+    """({(host, layout): [packed tree, pages]}, {(host, layout, key): [least and greatest text hash, bitmap of pages, whether in an article]}), some at a time."""
+    trees: dict[tuple[str, int], list] = {}
+    seen: dict[tuple[str, int, int], list[int]] = {}
     for name, page in pages:
         found = boxes(parse(page))
-        kind = layout(found)
-        for path, h in texts(found):
-            have = seen.get((name, kind, path))
-            if have is None:
-                seen[name, kind, path] = [h, h, 1]
-            else:
-                have[:] = min(have[0], h), max(have[1], h), have[2] + 1
+        tree = packed(found)
+        kind = _hash(tree)
+        said = [(box.key, box.text(), box.real[0].inner) for box in found]
+        place = 1 << (_hash("\x1f".join(t for _, t, _ in said).encode("utf-8", "surrogatepass")) & 63)
+        trees.setdefault((name, kind), [tree, 0])[1] += 1
+        for key, text, inner in said:
+            if text:
+                h = _hash(text.encode("utf-8", "surrogatepass"))
+                have = seen.setdefault((name, kind, key), [h, h, 0, inner])
+                have[:3] = min(have[0], h), max(have[1], h), have[2] | place
         if len(seen) > 100_000:
-            yield seen
-            seen = {}
-    yield seen
-
-
-def induce(pages: list[str]) -> dict[int, str] | None:
-    """The wrapper of one host whose pages are at hand, {layout: path of the content slot}; as ``wrappers``."""
-    seen: dict[tuple[str, int, str], list[int]] = {}
-    for part in _tally(("", p) for p in pages if p):
-        for key, (low, high, n) in part.items():
-            have = seen.get(key, [low, high, 0])
-            seen[key] = [min(have[0], low), max(have[1], high), have[2] + n]
-    by: dict[str, list[list[int]]] = defaultdict(list)
-    total = {kind: n for (_, kind, path), (_, _, n) in seen.items() if not path}
-    varies: dict[tuple[int, str], bool] = {}
-    for (_, kind, path), (low, high, n) in seen.items():
-        by[path].append([low, high])
-        varies[kind, path] = low < high or n < total[kind]
-    somewhere = {path for (_, path), v in varies.items() if v}
-    out = {}
-    for kind in total:
-        paths = [p for k, p in varies if k == kind]
-        at = [p for p in paths if p in somewhere]
-        if not at and len(total) > 1:
-            at = [p for p in paths if p and (len(by[p]) == 1 or min(by[p])[0] < max(h for _, h in by[p]))]
-        if at:
-            out[kind] = slot_of(min(at), max(at))
-    return out or None
+            yield trees, seen
+            trees, seen = {}, {}
+    yield trees, seen
+
+
+def _merge(table: dict, key, low: int, high: int, places: int, inner: bool) -> None:
+    have = table.setdefault(key, [low, high, 0, inner])
+    have[:3] = min(have[0], low), max(have[1], high), have[2] | places
+
+
+def _is_template(low: int, high: int, places: int, inner: bool) -> bool:
+    return low == high and places.bit_count() >= (SUPPORT_INSIDE if inner else SUPPORT)
+
+
+def induce(pages: list[str]) -> dict[int, set[int]]:
+    """The wrapper of one host whose pages are at hand, {layout: keys of its template containers}; as ``wrappers``."""
+    trees: dict[int, list] = {}
+    seen: dict[tuple[int, int], list[int]] = {}
+    for kinds, part in _tally(("", p) for p in pages if p):
+        for (_, kind), (tree, n) in kinds.items():
+            trees.setdefault(kind, [tree, 0])[1] += n
+        for (_, kind, key), have in part.items():
+            _merge(seen, (kind, key), *have)
+    if not trees:
+        return {}
+    reference = trees[max(trees, key=lambda k: (trees[k][1], k))][0]
+    place = {kind: dict(zip(*aligned(reference, tree), strict=True)) for kind, (tree, _) in trees.items()}
+    whole: dict[int, list] = {}
+    for (kind, key), have in seen.items():
+        _merge(whole, place[kind][key], *have)
+    out: dict[int, set[int]] = {}
+    for kind, key in seen:
+        if _is_template(*whole[place[kind][key]]):
+            out.setdefault(kind, set()).add(key)
+    return out
 
 
 def _articles(root: Node) -> list[Node]:
@@ -297,7 +431,9 @@ def _articles(root: Node) -> list[Node]:
     return [root]
 
 
-def blocks(nodes: list[Node]) -> list[str]:
+def blocks(nodes: list[Node], kept: dict[int, bool] | None = None) -> list[str]:
+    """Lines of text below the nodes; ``kept`` says of containers whether their own text stays."""
+    kept = kept or {}
     out: list[str] = []
     now: list[str] = []
 
@@ -309,112 +445,143 @@ def blocks(nodes: list[Node]) -> list[str]:
             now.clear()
 
     for node in nodes:
-        stack: list = [node]
+        stack: list = [(node, True)]
         while stack:
-            x = stack.pop()
+            x, keep = stack.pop()
             if x is None:
                 flush()
             elif isinstance(x, str):
-                now.append(x)
+                if keep:
+                    now.append(x)
             elif x.tag == "br":
                 now.append(" ")
             elif not x.marked or x is node and x.tag not in DROPPED:
+                keep = kept.get(id(x), keep)
                 if x.tag in BLOCK:
                     flush()
-                    stack.append(None)
+                    stack.append((None, keep))
                 elif x.tag in ("td", "th"):
-                    stack.append(" ")
-                stack.extend(reversed(x.children))
+                    stack.append((" ", keep))
+                stack.extend((c, keep) for c in reversed(x.children))
         flush()
     return out
 
 
-def main_text(page: str | None, wrapper: dict[int, str] | None = None, paths: dict | None = None) -> str:
-    """The main text of one page by its host's wrapper, or by roles alone; ``paths`` is no longer needed."""
+def main_text(page: str | None, wrapper: dict[int, set[int]] | None = None) -> str:
+    """The main text of one page by its host's wrapper, or by roles alone."""
     if not page:
         return ""
     root = parse(page)
-    nodes = [root]
+    nodes, kept = _articles(root), {}
     if wrapper:
         found = boxes(root)
-        path = wrapper.get(layout(found))
-        if path is not None:
-            nodes = _at(found[0], path)
-    # articles inside the slot are the content; a slot without is content itself
-    return "\n\n".join(blocks([a for n in nodes for a in (_articles(n) if n.tag not in ("article", "main") else [n])]))
-
-
-def _at(box: Box, path: str) -> list[Node]:
-    for lo in range(0, len(path), STEP):
-        box = next(k for k in box.kids if k.step == path[lo : lo + STEP])
-    return box.real
+        template = wrapper.get(_hash(packed(found)))
+        if template:
+            kept = {id(n): box.key not in template for box in found for n in box.real}
+    return "\n\n".join(kept and blocks(nodes, kept) or blocks(nodes))
 
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
+_SEEN = "host string, layout long, tree binary, n long, key long, low long, high long, places long, inner boolean"
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pages = ((r["host"], r["html"]) for big in batches for lo in range(0, big.num_rows, 256) for r in big.slice(lo, 256).to_pylist())
-    for seen in _tally(pages):
-        names, kinds, paths = zip(*seen, strict=True) if seen else ((), (), ())
-        low, high, n = zip(*seen.values(), strict=True) if seen else ((), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(kinds, pa.int64()), pa.array(paths, pa.string()), *[pa.array(x, pa.int64()) for x in (low, high, n)]], ["host", "layout", "path", "low", "high", "n"])
+    for trees, seen in _tally(pages):
+        rows = [(h, k, tree, n, None, None, None, None, None) for (h, k), (tree, n) in trees.items()]
+        rows += [(h, k, None, None, key, low, high, _signed(places), inner) for (h, k, key), (low, high, places, inner) in seen.items()]
+        if rows:
+            names, kinds = zip(*[c.split() for c in _SEEN.split(", ")], strict=True)
+            arrow = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for r in batch.to_pylist():
+            keys, partners = aligned(r["reference"], r["tree"])
+            n = len(keys)
+            yield pa.RecordBatch.from_arrays([pa.array([r["host"]] * n, pa.string()), pa.array([r["layout"]] * n, pa.int64()), pa.array(keys, pa.int64()), pa.array(partners, pa.int64())], ["host", "layout", "key", "partner"])
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, layout, low, high) for every layout with a slot, which is ``slot_of(low, high)``."""
+    """(host, layout, keys of the template containers) of every layout that has some."""
     rows = pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html")).where("host <> '' AND html <> ''")
-    seen = rows.mapInArrow(_count, "host string, layout long, path string, low long, high long, n long")
-    nodes = C.materialize(seen.groupBy("host", "layout", "path").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")), "nodes")
-    total = nodes.where("path = ''").select("host", "layout", F.col("n").alias("total"))
-    seen = C.materialize(nodes.join(total, ["host", "layout"]).withColumn("varies", F.expr("low < high OR n < total")), "layouts")
-    C.drop(nodes)
-    # the page itself is in every layout, so its count is that of the layouts of the host
-    by_path = seen.groupBy("host", "path").agg(F.bool_or("varies").alias("somewhere"), (F.min("low") < F.max("high")).alias("differs"), F.count("*").alias("layouts"))
-    seen = seen.join(by_path, ["host", "path"])
-    alone = F.expr("path <> '' AND (layouts = 1 OR differs)")
-    out = seen.groupBy("host", "layout").agg(
-        F.max("layouts").alias("k"), *[f(F.when(c, F.col("path"))).alias(name) for name, f, c in (("low", F.min, F.col("somewhere")), ("high", F.max, F.col("somewhere")), ("low1", F.min, alone), ("high1", F.max, alone))]
-    )
-    out = out.select("host", "layout", *[F.coalesce(x, F.when(F.col("k") > 1, F.col(x + "1"))).alias(x) for x in ("low", "high")])
-    return out.where("low IS NOT NULL")
+    seen = rows.mapInArrow(_count, _SEEN)
+    # a null key marks the row of the layout itself; its tree is the same in all tasks
+    nodes = seen.groupBy("host", "layout", "key").agg(F.first("tree", True).alias("tree"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("places").alias("places"), F.bool_or("inner").alias("inner"))
+    nodes = C.materialize(nodes, "nodes")
+    layouts = nodes.where("key IS NULL").select("host", "layout", "tree", "n")
+    most = layouts.groupBy("host").agg(F.max(F.struct("n", "layout")).alias("m")).select("host", F.col("m.layout").alias("layout"))
+    reference = C.materialize(layouts.select("host", "layout", F.col("tree").alias("reference")).join(most, ["host", "layout"]).drop("layout"), "references")
+    size = reference.agg(F.coalesce(F.sum(F.octet_length("reference") + F.octet_length("host") + 64), F.lit(0)).alias("n")).first().n
+    side = F.broadcast(reference) if size <= BROADCAST_BYTES else reference
+    place = layouts.select("host", "layout", "tree").join(side, "host").mapInArrow(_align, "host string, layout long, key long, partner long")
+    said = C.materialize(nodes.where("key IS NOT NULL").join(place, ["host", "layout", "key"]).drop("tree", "n"), "aligned")
+    whole = said.groupBy("host", "partner").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("places").alias("places"), F.bool_or("inner").alias("inner"))
+    template = whole.where(f"low = high AND bit_count(places) >= if(inner, {SUPPORT_INSIDE}, {SUPPORT})").select("host", "partner")
+    out = said.select("host", "layout", "key", "partner").join(template, ["host", "partner"]).groupBy("host", "layout").agg(F.collect_set("key").alias("keys"))
+    out = C.materialize(out, "wrappers")
+    C.drop(nodes, reference, said)
+    return out
+
+
+ADDED = ("_host", "_layout", "_keys")
 
 
 def _layouts(batches: Iterator[pa.RecordBatch], html: str) -> Iterator[pa.RecordBatch]:
     for big in batches:
         for lo in range(0, big.num_rows, 256):
             batch = big.slice(lo, 256)
-            kinds = [layout(boxes(parse(p))) if p and h else None for p, h in zip(batch.column(html).to_pylist(), batch.column("_host").to_pylist(), strict=True)]
+            kinds = [_hash(packed(boxes(parse(p)))) if p and h else None for p, h in zip(batch.column(html).to_pylist(), batch.column("_host").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kinds, pa.int64())], [*batch.schema.names, "_layout"])
 
 
-ADDED = ("_host", "_layout", "_low", "_high")
-
-
-def _extract(batches: Iterator[pa.RecordBatch], html: str) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], html: str, known) -> Iterator[pa.RecordBatch]:
+    """Texts by the wrappers of all hosts at hand, or by those joined to the rows."""
     for big in batches:
         for lo in range(0, big.num_rows, 256):
             batch = big.slice(lo, 256)
-            texts = []
-            for page, kind, low, high in zip(*[batch.column(c).to_pylist() for c in (html, "_layout", "_low", "_high")], strict=True):
-                texts.append(main_text(page, {kind: slot_of(low, high)} if low is not None else None))
+            pages = batch.column(html).to_pylist()
+            if known is not None:
+                mine = [known.value.get(h) for h in batch.column("_host").to_pylist()]
+            else:
+                mine = [{k: set(x)} if x else None for k, x in zip(batch.column("_layout").to_pylist(), batch.column("_keys").to_pylist(), strict=True)]
+            texts = [main_text(page, wrapper) for page, wrapper in zip(pages, mine, strict=True)]
             rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in (*ADDED, html)]
             yield pa.RecordBatch.from_arrays([*[c for _, c in rest], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*[n for n, _ in rest], "text", "n_chars"])
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """The rows of ``pages`` with text and n_chars in place of the html."""
-    C.narrow_batches(pages.sparkSession)
-    found = C.materialize(wrappers(pages, url, html), "wrappers")
-    size = found.agg(F.coalesce(F.sum(F.octet_length("low") + F.octet_length("high") + F.octet_length("host") + 100), F.lit(0)).alias("n")).first().n
-    side = found.select(*[F.col(c).alias("_" + c) for c in ("host", "layout", "low", "high")])
-    side = F.broadcast(side) if size <= BROADCAST_BYTES else side
+    """The rows of ``pages`` with text and n_chars in place of the html.
+
+    Wrappers of a checked size go to all tasks, which then read every page once; larger ones
+    are joined to the pages by host and layout.
+    """
+    spark = pages.sparkSession
+    C.narrow_batches(spark)
+    found = wrappers(pages, url, html)
+    size = found.agg(F.coalesce(F.sum(F.size("keys") * 40 + F.octet_length("host") + 200), F.lit(0)).alias("n")).first().n
     rows = pages.drop(*[c for c in ("text", "n_chars") if c != html]).withColumn("_host", host(F.col(url)))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    rows = rows.mapInArrow(lambda it: _layouts(it, html), kept + ", _layout long").join(side, ["_host", "_layout"], "left")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in (*ADDED, html)] + ["text string", "n_chars long"])
-    return rows.mapInArrow(lambda it: _extract(it, html), schema)
+    fields = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    known = None
+    if size <= BROADCAST_BYTES:
+        table: dict[str, dict[int, set[int]]] = {}
+        for r in found.collect():
+            table.setdefault(r.host, {})[r.layout] = set(r["keys"])
+        known = spark.sparkContext.broadcast(table)
+    else:
+        side = found.select(F.col("host").alias("_host"), F.col("layout").alias("_layout"), F.col("keys").alias("_keys"))
+        rows = rows.mapInArrow(lambda it: _layouts(it, html), fields(rows) + ", _layout long").join(side, ["_host", "_layout"], "left")
+    schema = ", ".join([fields(rows.drop(*ADDED, html)), "text string", "n_chars long"]).removeprefix(", ")
+    return rows.mapInArrow(lambda it: _extract(it, html, known), schema)
 
 
 def op6_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:

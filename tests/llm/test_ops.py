@@ -220,22 +220,84 @@ def test_main_text(spark):
     assert got[22].text == got[23].text == "" and got[24].text == "only this"
     plain = '<html><body><div class="top">Brand</div><div class="box"><p>story {0} goes on and on and on</p></div><div class="end">c</div></body></html>'
     w = html_wrapper.induce([plain.format(i) for i in range(4)])
-    assert html_wrapper.main_text(plain.format(9), w, {}) == "story 9 goes on and on and on"
+    assert html_wrapper.main_text(plain.format(9), w) == "story 9 goes on and on and on"
+    assert html_wrapper.main_text(plain.format(9)) == "Brand\n\nstory 9 goes on and on and on\n\nc"
     assert not html_wrapper.extract(empty(df)).count()
 
 
-def test_the_slot_holds_all_varying_text():
+def test_constant_containers_go_and_varying_ones_stay():
     body = " ".join(f"word{k}" for k in range(80))
-    for page in (
-        "<body><div class=top>Brand</div><article><h1>Title {0}</h1><div class=entry>{0} {1}</div></article></body>",
-        "<body><div class=top>Brand</div><div class=box><h1>Title {0}</h1><div class=entry>{0} {1}</div></div></body>",
-    ):
-        w = html_wrapper.induce([page.format(i, body) for i in range(4)])
-        assert html_wrapper.main_text(page.format(9, body), w, {}) == f"Title 9\n\n9 {body}"
-    for tag in ("article", "main"):  # what all articles say stays
-        page = f"<body><div class=top>Brand</div><{tag}><h1>News</h1><div class=entry>{{0}} {{1}}</div></{tag}></body>"
-        w = html_wrapper.induce([page.format(i, body) for i in range(4)])
-        assert html_wrapper.main_text(page.format(9, body), w, {}) == f"News\n\n9 {body}"
+    for tag in ("article", "main", "div class=box"):  # with and without telling names
+        page = f"<body><div class=top>Brand</div><{tag}><h1>Title {{0}}</h1><div class=entry>{{0}} {{1}}</div><section class=x>Follow us</section></{tag.split()[0]}></body>"
+        pages = [page.format(i, body) for i in range(4)]
+        w = html_wrapper.induce(pages)
+        assert html_wrapper.main_text(page.format(9, body), w) == f"Title 9\n\n9 {body}"
+        assert html_wrapper.main_text(page.format(9, body)).endswith("Follow us")
+        few = html_wrapper.induce(pages[:2])  # two pages prove nothing about an article's own parts
+        assert html_wrapper.main_text(pages[0], few).endswith("Follow us") == (tag != "div class=box")
+    same = html_wrapper.induce([pages[0]] * 9)
+    assert html_wrapper.main_text(pages[0], same) == html_wrapper.main_text(pages[0])
+
+
+def test_what_articles_keep():
+    page = '<article><header><h1>T</h1></header><div class="share-price">up</div><div class="notice-board">n</div><p class="comments">c</p><section class="comments">gone</section><div class="ad">gone</div></article>'
+    assert html_wrapper.main_text(page) == "T\n\nup\n\nn\n\nc"
+
+
+def test_layouts_are_aligned(spark):
+    """A part that only some pages have does not stop the rest from being compared."""
+    extra = lambda i: f"<section class=q>extra {i}</section>" if i % 2 else "<section class=p></section>"
+    page2 = lambda i: f"<body><div class=a>Brand</div>{extra(i)}<div class=a>story {i}</div><section class=r></section><div class=a>Imprint</div></body>"
+    pages = [page2(i) for i in range(8)]
+    w = html_wrapper.induce(pages)
+    assert [html_wrapper.main_text(p, w) for p in pages[:2]] == ["story 0", "extra 1\n\nstory 1"]
+
+
+def matched(a, b):
+    if a[0] != b[0]:
+        return 0
+    best = [[0] * (len(b[1]) + 1) for _ in range(len(a[1]) + 1)]
+    for i, x in enumerate(a[1]):
+        for j, y in enumerate(b[1]):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + matched(x, y))
+    return 1 + best[-1][-1]
+
+
+def test_tree_matching_equals_brute_force():
+    r = random.Random(1)
+    grow = lambda depth: (r.choice("ab"), [grow(depth - 1) for _ in range(r.randrange(4))] if depth else [])
+
+    def pack(tree):
+        out, stack = [], [(tree, 0, 0)]
+        while stack:
+            (name, kids), depth, nth = stack.pop()
+            out.append((depth, ord(name), nth))
+            stack += reversed([(k, depth + 1, i) for i, k in enumerate(kids)])
+        return html_wrapper.Tree(np.array(out, "<u4").tobytes())
+
+    for _ in range(600):
+        x, y = grow(3), grow(3)
+        a, b = pack(x), pack(y)
+        pairs = html_wrapper.Matching(a, b).pairs()
+        assert len(pairs) == len(set(pairs.values())) == matched(x, y)
+        for j, i in pairs.items():
+            assert a.symbol[i] == b.symbol[j] and (not j or pairs[b.above[j]] == a.above[i])
+            inside = [pairs[k] for k in b.kids[j] if k in pairs]
+            assert inside == sorted(inside)
+
+
+def test_deep_wide_and_repeated_pages(spark, monkeypatch):
+    deep = "<div>" * 10_000 + "deep"
+    wide = lambda k: "".join(f"<div>t{i}</div><section class=c{i * k % 7}>u</section>" for i in range(400))
+    fonts = "<font>" * 3000 + "x" * 200_000
+    pages = [deep, deep, "<div>" * 9_000 + "other", wide(1), wide(3), fonts, None, ""]
+    df = spark.createDataFrame([(i, "http://h.example/x", p, "k") for i, p in enumerate(pages)], "page_id long, url string, html string, _keys string")
+    out = []
+    for bound in (32 << 20, -1):  # wrappers sent to all tasks, and joined
+        monkeypatch.setattr(html_wrapper, "BROADCAST_BYTES", bound)
+        got = {r.page_id: r.text for r in html_wrapper.extract(df.drop("_keys")).collect()}
+        out.append(got)
+    assert out[0] == out[1] and got[0] == got[1] == "deep" and got[2] == "other" and got[6] == got[7] == "" and len(got[5]) == 200_000
 
 
 def test_every_page_and_layout_of_a_host_counts(spark):
