@@ -412,17 +412,66 @@ def test_tiling_catches_reordered_passages(spark, rows):
     assert not decontaminate.tiled(df, empty(bench)).count() and not decontaminate.tiled(empty(df), bench).count()
 
 
-def test_greedy_tiles_do_not_overlap():
+def tiles_by_hand(a, b, k):
+    """The longest common run of unmarked words, first in b, then in a; again and again."""
+    used_a, used_b, out = set(), set(), []
+    while True:
+        best = (0, 0, 0)
+        for j in range(len(b)):
+            for i in range(len(a)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and i + n not in used_a and j + n not in used_b:
+                    n += 1
+                best = max(best, (n, -j, -i))
+        n, j, i = best[0], -best[1], -best[2]
+        if n < k:
+            return out
+        used_a |= set(range(i, i + n))
+        used_b |= set(range(j, j + n))
+        out.append((i, j, n))
+
+
+def test_greedy_tiles_equal_brute_force():
     r = random.Random(4)
-    for _ in range(60):
-        a, b = [[r.randrange(3) for _ in range(r.randrange(4, 40))] for _ in range(2)]
-        pairs = [(i, j) for i in range(len(a) - 2) for j in range(len(b) - 2) if a[i : i + 3] == b[j : j + 3]]
-        if pairs:
-            tiles = decontaminate.greedy_tiles(np.array(pairs), 3, len(a), len(b))
-            assert all(a[p : p + n] == b[t : t + n] and n >= 3 for p, t, n in tiles)
-            for side in (0, 1):
-                used = [x for tile in tiles for x in range(tile[side], tile[side] + tile[2])]
-                assert len(used) == len(set(used))
+    word = np.random.default_rng(1).integers(0, 2**63, 5, dtype=np.uint64)
+    for _ in range(150):
+        size = r.choice((2, 3, 4))
+        a, b = [[r.randrange(size) for _ in range(r.randrange(2, 40))] for _ in range(2)]
+        assert decontaminate.greedy_tiles(word[a], word[b], 3) == tiles_by_hand(a, b, 3)
+
+
+def test_tiling_of_texts_equals_brute_force(spark):
+    r = random.Random(9)
+    say = lambda n, k: " ".join(r.choice("abcdefghij"[:k]) for _ in range(n))
+    items = [(i, say(r.randrange(1, 30), r.choice((2, 10)))) for i in range(25)]
+    texts = [(i, say(r.randrange(0, 90), 10) + " " + " ".join(r.choice(items)[1] for _ in range(r.randrange(3)))) for i in range(60)]
+    df = spark.createDataFrame([(i, t, 7, 0.5, "x") for i, t in texts], "doc_id long, text string, item_id int, coverage double, _text string")
+    got = {(x.doc_id, x.item_id): (x.tiles, x.longest, x.matched) for x in decontaminate.tiled(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for d, t in texts:
+        for i, s in items:
+            a, b = s.split(), t.split()
+            if len(a) < 4:
+                if any(b[j : j + len(a)] == a for j in range(len(b))):
+                    want[d, i] = (1, len(a), len(a))
+                continue
+            tiles = tiles_by_hand(a, b, 4)
+            if sum(n for _, _, n in tiles) >= 0.5 * len(a):
+                want[d, i] = (len(tiles), max(n for _, _, n in tiles), sum(n for _, _, n in tiles))
+    assert got == want
+
+
+def test_tiling_of_one_repeated_word_takes_little_memory(spark):
+    import tracemalloc
+
+    word = np.full(200_000, 77, np.uint64)
+    tracemalloc.start()
+    assert decontaminate.greedy_tiles(word[:400], word, 4) == [(0, 0, 400)]
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    df = spark.createDataFrame([(1, "la " * 200_000), (2, None)], "doc_id long, text string")
+    (got,) = decontaminate.tiled(df, spark.createDataFrame([(5, "la " * 400)], "item_id long, text string")).collect()
+    assert (got.doc_id, got.tiles, got.matched) == (1, 1, 400)
 
 
 # 10
