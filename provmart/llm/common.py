@@ -7,9 +7,11 @@ ASCII, so byte work on UTF-8 gives the same words as a pattern over code points.
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,11 @@ LOWER[65:91] += 32
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
+    """The folder all executors share; a temporary one only where none is set and all runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="work-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -69,6 +73,15 @@ def small_side(df: DataFrame, bound_bytes: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= bound_bytes else df
 
 
+def one_side(df: DataFrame, most_rows: int, row_bytes: int, name: str, bound_bytes: int = 32 << 20) -> DataFrame:
+    """An aggregate of at most ``most_rows`` rows as the side of a join: broadcast if that bound fits.
+
+    A larger one is written first: then both sides of the join are plain exchanges, and adaptive
+    execution can split the rows of a heavy key, which it does not with an aggregate below the join.
+    """
+    return F.broadcast(df) if most_rows * row_bytes <= bound_bytes else materialize(df, name)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("n")).first().n
 
@@ -94,6 +107,22 @@ def narrow_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+@lru_cache(1)
+def one_thread() -> None:
+    """Matrix products of this worker on one thread, as Spark gives a task one core; other BLAS libraries are left as they are."""
+    try:
+        with open("/proc/self/maps") as maps:
+            paths = {line.split()[-1] for line in maps if "openblas" in line}
+    except OSError:
+        return
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+                break
+
+
 def give_back() -> None:
     """Return freed memory to the system, as workers idle between tasks while others run."""
     pa.default_memory_pool().release_unused()
@@ -242,18 +271,19 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     shared folder; nothing but a sum reaches the driver.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
+    n, before = edges.count(), None
     for _ in range(rounds):
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.where("b > a").join(one_side(low, 2 * n, 16, "low"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(one_side(least, 2 * n, 16, "least"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = materialize(small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
         drop(edges)
         edges = after
         now = edges.agg(F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h"), F.count_distinct("a").alias("d")).first()
+        n = now.n
         if before == now and now.n == now.d:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
         before = now

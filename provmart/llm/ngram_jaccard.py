@@ -4,13 +4,17 @@
    hash; each fragment counts in how many texts its n-grams occur and sends back
    only the shared ones (two texts or more).  A text whose shared n-grams cannot
    reach the threshold has no partner and leaves here: random prose leaves early.
+   An n-gram that ``OFTEN`` texts of a batch hold sends its hash and count once for the
+   batch; which texts hold it stays with the batch.
 2. *Global order.*  Rarest first: (floor(log2 count), hash).  The order is cut into
    fragments (count class, two leading hash bits); a text's n-grams become one
    short segment per fragment.
 3. *Candidates.*  Two sets at or above the threshold share an n-gram of their
    prefixes in the global order, and their overlap is at most the shared n-grams
-   from the first common one on (positional filter).  Equal sets are first folded to
-   one row.  Then (a) every set is paired with the set that represents most of its
+   from the first common one on (positional filter).  Sets of one size that share the
+   same n-grams with others have the same links to all other sets, and are first folded to
+   one row (they link with each other if the shared part suffices, and else meet through
+   any link that their row has).  Then (a) every set is paired with the set that represents most of its
    prefix n-grams (an n-gram is represented by the set whose n-grams occur in most
    texts, so the original of a group of near copies, not a copy), which costs a group
    one pair per member; (b) after those links are joined into components, all pairs
@@ -42,7 +46,11 @@ from . import common as C
 N, PERCENT = 5, 75
 #: Parts by hash whose sizes bound an overlap before it is counted.
 BINS = 64
-_BLOCK = "frag int, batch long, head binary, keys binary, at binary"
+#: Texts of a batch that hold an n-gram from which its count travels instead of its places.
+OFTEN = 8
+#: Sets of one n-gram that a block of the pairing holds on one side.
+PAIRED = 1000
+_BLOCK = "frag int, batch long, head binary, own binary, own_at binary, often binary, times binary, keys binary, at binary"
 _ROWS = "row long, id long, n int, shared int, sizes array<int>, segments array<struct<frag:int,grams:array<bigint>>>"
 _GATHER = 700_000
 
@@ -79,11 +87,25 @@ def _scatter(batches: Iterator[pa.RecordBatch], n: int, n_frag: int) -> Iterator
             doc.append(d + base), key.append(k), head.append(h)
             base += h.shape[1]
         doc, key = np.concatenate(doc), np.concatenate(key)
+        order = np.lexsort((doc, key))
+        ranked = key[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(key) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(key)))
+        many = times >= OFTEN
+        own = np.repeat(many, times)
+        own_key, own_doc = ranked[own], doc[order][own]
+        often, times = ranked[first[many]], times[many].astype("<u4")
+        often_edge = np.searchsorted(often >> shift, np.arange(n_frag + 1, dtype=np.uint64))
+        by_doc = np.argsort(own_doc, kind="stable")  # places have to rise
+        own_key, own_doc = own_key[by_doc], own_doc[by_doc]
+        single = np.empty(len(key), bool)
+        single[order] = ~own
+        doc, key = doc[single], key[single]
         frag = (key >> shift).astype(np.int64)
         order, edge = C.cut(frag, n_frag)
         key, doc = key[order], doc[order].astype("<u4")
         home = int(batch_id >> 32) % n_frag
-        rows = sorted({*np.flatnonzero(np.diff(edge)).tolist(), home})
+        rows = sorted({*np.flatnonzero(np.diff(edge) + np.diff(often_edge)).tolist(), home})
         top = np.concatenate(head, axis=1).astype("<i8").tobytes()
         for i in range(0, len(rows), 64):
             some = rows[i : i + 64]
@@ -93,10 +115,14 @@ def _scatter(batches: Iterator[pa.RecordBatch], n: int, n_frag: int) -> Iterator
                     pa.array(some, pa.int32()),
                     pa.array([batch_id] * len(some), pa.int64()),
                     pa.array([top if f == home else None for f in some], pa.binary()),
+                    pa.array([C.pack48(own_key) if f == home else None for f in some], pa.binary()),
+                    pa.array([C.pack_rising(own_doc.astype(np.int64)) if f == home else None for f in some], pa.binary()),
+                    pa.array([C.pack48(often[often_edge[f] : often_edge[f + 1]]) for f in some], pa.binary()),
+                    pa.array([times[often_edge[f] : often_edge[f + 1]].tobytes() for f in some], pa.binary()),
                     pa.array([C.pack48(key[p]) for p in part], pa.binary()),
                     pa.array([C.pack_rising(doc[p].astype(np.int64)) for p in part], pa.binary()),
                 ],
-                ["frag", "batch", "head", "keys", "at"],
+                ["frag", "batch", "head", "own", "own_at", "often", "times", "keys", "at"],
             )
         held, size = [], 0
         batch_id += 1
@@ -115,29 +141,35 @@ def _scatter(batches: Iterator[pa.RecordBatch], n: int, n_frag: int) -> Iterator
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """One fragment: shared n-grams, by batch, with their count class."""
+    """One fragment: shared n-grams, by batch, with their count class; ``often`` ones without places."""
     C.give_back()
     blocks = [C.unpack48(b.as_py()) for b in table.column("keys")]
-    keys = np.concatenate(blocks)
+    heavy = [C.unpack48(b.as_py()) for b in table.column("often")]
+    times = [np.frombuffer(b.as_py(), "<u4") for b in table.column("times")]
+    at_heavy = sum(map(len, blocks))
+    keys = np.concatenate(blocks + heavy)
+    weight = np.concatenate([np.ones(at_heavy, np.int64), *times])
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
     first = np.ones(len(keys), bool)
     first[1:] = ranked[1:] != ranked[:-1]
     group = np.cumsum(first) - 1
     count = np.empty(len(keys), np.int64)
-    count[order] = np.bincount(group)[group] if len(keys) else 0
+    count[order] = np.bincount(group, weight[order]).astype(np.int64)[group] if len(keys) else 0
     out, lo = [], 0
-    for b, at in zip(blocks, table.column("at"), strict=True):
+    for b, h, at in zip(blocks, heavy, table.column("at"), strict=True):
         own = count[lo : lo + len(b)]
         lo += len(b)
         hit = own > 1
-        if hit.any():
-            level = np.log2(own[hit]).astype(np.uint8)
-            out.append((C.pack48(b[hit]), C.pack_rising(C.unpack_rising(at.as_py())[hit]), level.tobytes()))
-        else:
-            out.append((None, None, None))
-    keep = pa.array([i for i, x in enumerate(out) if x[0] is not None or table.column("head")[i].is_valid], pa.int64())
-    return pa.table({"batch": table.column("batch").take(keep), "head": table.column("head").take(keep)} | {c: pa.array([out[i][k] for i in keep.to_pylist()], pa.binary()) for k, c in enumerate(("keys", "at", "level"))})
+        found = (C.pack48(b[hit]), C.pack_rising(C.unpack_rising(at.as_py())[hit]), np.log2(own[hit]).astype(np.uint8).tobytes()) if hit.any() else (None,) * 3
+        levels = np.log2(count[at_heavy : at_heavy + len(h)]).astype(np.uint8)
+        at_heavy += len(h)
+        out.append(found + ((C.pack48(h), levels.tobytes()) if len(h) else (None,) * 2))
+    keep = pa.array([i for i, x in enumerate(out) if x[0] is not None or x[3] is not None or table.column("head")[i].is_valid], pa.int64())
+    return pa.table(
+        {c: table.column(c).take(keep) for c in ("batch", "head", "own", "own_at")}
+        | {c: pa.array([out[i][k] for i in keep.to_pylist()], pa.binary()) for k, c in enumerate(("keys", "at", "level", "often", "often_level"))}
+    )
 
 
 def _gather(table: pa.Table, percent: int) -> pa.Table:
@@ -148,6 +180,13 @@ def _gather(table: pa.Table, percent: int) -> pa.Table:
     batch = table.column("batch")[0].as_py()
     got = [(C.unpack48(k.as_py()), C.unpack_rising(a.as_py()), np.frombuffer(v.as_py(), np.uint8)) for k, a, v in zip(table.column("keys"), table.column("at"), table.column("level"), strict=True) if k.is_valid]
     key, doc, level = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8))
+    many = [(C.unpack48(k.as_py()), np.frombuffer(v.as_py(), np.uint8)) for k, v in zip(table.column("often"), table.column("often_level"), strict=True) if k.is_valid]
+    if many:  # n-grams that many texts of the batch hold, and the count classes they got
+        own, own_at = next((o.as_py(), t.as_py()) for o, t, h in zip(table.column("own"), table.column("own_at"), table.column("head"), strict=True) if h.is_valid)
+        often, often_level = (np.concatenate(x) for x in zip(*many, strict=True))
+        order, own = np.argsort(often), C.unpack48(own)
+        key, doc = np.concatenate([key, own]), np.concatenate([doc, C.unpack_rising(own_at)])
+        level = np.concatenate([level, often_level[order][np.searchsorted(often[order], own)]])
     shared = np.bincount(doc, minlength=len(ids))
     live = (shared * 100 >= sizes * percent) & (sizes > 0)
     keep = live[doc]
@@ -176,7 +215,7 @@ def shared_grams(docs: DataFrame, n: int, percent: int, text: str, doc_id: str)
     n_frag = C.fragment_count(C.text_bytes(docs, text))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).alias("t"))
     blocks = rows.mapInArrow(lambda it: _scatter(it, n, n_frag), _BLOCK)
-    counted = blocks.groupBy("frag").applyInArrow(_count, "batch long, head binary, keys binary, at binary, level binary")
+    counted = blocks.groupBy("frag").applyInArrow(_count, "batch long, head binary, own binary, own_at binary, keys binary, at binary, level binary, often binary, often_level binary")
     return counted.groupBy("batch").applyInArrow(lambda t: _gather(t, percent), _ROWS)
 
 
@@ -190,13 +229,17 @@ def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
 
 
 def links(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(links between distinct sets by row, membership: row -> row that represents its equal sets)."""
+    """(links between sets by row, membership: row -> row of sets with the same links).
+
+    Sets of one size with the same shared n-grams have the same overlap with every other set.
+    They overlap each other in just these n-grams; where that is too little for a link among
+    them, they are joined only if their row has a link to another set.
+    """
     near = found.where("shared > 0")
-    # only sets all of whose n-grams are shared can have an equal
-    mark = F.when(F.col("shared") == F.col("n"), F.md5(F.to_json("segments"))).otherwise(F.concat(F.lit("row "), F.col("row").cast("string")))
-    member = C.materialize(near.select("row", "n", mark.alias("mark")), "member")
+    member = C.materialize(near.select("row", "n", "shared", F.md5(F.to_json("segments")).alias("mark")), "member")
     first = member.groupBy("mark", "n").agg(F.min("row").alias("rep"))
-    member = C.materialize(member.join(first, ["mark", "n"]).select("row", "rep"), "rep")
+    first = C.one_side(first, member.count(), 64, "first")
+    member = C.materialize(member.join(first, ["mark", "n"]).select("row", "rep", F.expr(f"100 * shared >= {percent} * (2 * n - shared)").alias("alike")), "rep")
     sets = C.materialize(near.join(member.where("row = rep").select("row"), "row").select("row", "n", "shared", "sizes", "segments"), "sets")
     segments = sets.select("row", F.explode("segments").alias("s")).select("row", "s.frag", "s.grams")
 
@@ -219,17 +262,31 @@ def links(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     # (b) everything that shares a prefix n-gram across components
     own = prefix.join(joined.select(F.col("id").alias("row"), "component"), "row", "left").select("row", "n", "rest", "gram", F.coalesce("component", "row").alias("comp"))
     own = C.materialize(own, "own")
-    mixed = own.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("gram")
+    mixed = own.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("gram", F.ceil(F.col("k") / PAIRED).cast("int").alias("parts"))
     own = own.join(mixed, "gram")
-    x, y = (own.select("gram", F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"r{k}"), F.col("comp").alias(f"c{k}")) for k in "ab")
-    across = x.join(y, "gram").where(f"a < b AND ca <> cb AND {near_size}").select("a", "na", "b", "nb").distinct()
+    x, y = (own.select("gram", F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"r{k}"), F.col("comp").alias(f"c{k}"), "parts") for k in "ab")
+    # the sets of a frequent n-gram are paired block by block
+    x = x.withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
+    y = y.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    across = x.join(y, ["gram", "part"]).where(f"a < b AND ca <> cb AND {near_size}").select("a", "na", "b", "nb").distinct()
     # an overlap is at most the sum, over parts by hash, of the smaller part
     part = lambda k: sets.select(F.col("row").alias(k), F.col("sizes").alias(f"s{k}"))
     most = "aggregate(zip_with(sa, sb, (p, q) -> least(p, q)), 0, (s, v) -> s + v)"
     across = across.join(part("a"), "a").join(part("b"), "b").where(f"{most} * {100 + percent} >= (na + nb) * {percent}").select("a", "na", "b", "nb")
     second_links = C.materialize(_verified(across, segments, percent), "links")
-    C.drop(prefix, own, joined, sets)
-    return first_links.union(second_links), member
+    C.drop(prefix, joined, sets)
+    both = C.materialize(first_links.union(second_links), "links")
+    # members that are not alike have no link among them, but each has those of their row
+    linked = both.select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("linked", F.lit(True))
+    member = member.join(C.one_side(linked, 2 * both.count(), 16, "linked"), "rep", "left")
+    return both, member.select("row", F.when(F.col("alike") | F.col("linked"), F.col("rep")).otherwise(F.col("row")).alias("rep"))
+
+
+def _least(base: DataFrame) -> DataFrame:
+    """(root, smallest id) of the components of several rows; a row alone is its own."""
+    known = F.when(F.col("id") != F.expr("-9223372036854775807L - 1L"), F.col("id"))
+    out = base.groupBy("root").agg(F.min(known).alias("least"), F.count("*").alias("k"))
+    return C.materialize(out.where("k > 1 AND least IS NOT NULL").drop("k"), "least")
 
 
 def components_of(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -237,19 +294,19 @@ def components_of(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str
     found = C.materialize(shared_grams(docs, n, percent, text, doc_id), "grams")
     pairs, member = links(found, percent)
     linked = C.materialize(C.components(pairs), "comp")
-    root = member.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("row", F.coalesce("component", "rep").alias("root"))
-    base = found.select("row", "id", "n").join(root, "row", "left").select("id", "n", F.coalesce("root", "row").alias("root"))
-    least = base.where(f"id <> {-(1 << 63)}").groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("k"))
+    root = member.join(C.small_side(linked.withColumnRenamed("id", "rep"), 32 << 20, 16), "rep", "left").select("row", F.coalesce("component", "rep").alias("root"))
+    base = C.materialize(found.select("row", "id", "n").join(root, "row", "left").select("id", "n", F.coalesce("root", "row").alias("root")), "base")
+    least = _least(base)
     # an id on several rows ties their components together
     by_id = base.groupBy("id").agg(F.min("root").alias("r"), F.max("root").alias("r2"))
     ties = C.materialize(by_id.where(f"r <> r2 AND id <> {-(1 << 63)}").select("id"), "ties")
-    out = base.join(least, "root", "left")
     if ties.limit(1).count():
         edges = base.join(ties, "id").select(F.col("root").alias("a"), F.col("id").alias("key"))
         first = edges.groupBy("key").agg(F.min("a").alias("b"))
         tied = C.components(edges.join(first, "key").select("a", "b"))
         base = C.materialize(base.join(tied.select(F.col("id").alias("root"), "component"), "root", "left").select("id", "n", F.coalesce("component", "root").alias("root")), "base")
-        out = base.join(base.where(f"id <> {-(1 << 63)}").groupBy("root").agg(F.min("id").alias("least")), "root", "left")
+        least = _least(base)
+    out = base.join(C.small_side(least, 32 << 20, 16), "root", "left").withColumn("least", F.coalesce("least", "id"))
     null_id = F.col("id") == F.lit(-(1 << 63))
     return out.select(F.when(~null_id, F.col("id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(~null_id, F.col("least")).alias("component_id"))
 

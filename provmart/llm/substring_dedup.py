@@ -6,10 +6,12 @@
    occurs twice or more, in one text or several, is repeated.
 3. Repeated windows of a text merge into maximal removal intervals.
 
-A fragment holds the hashes of about 8 MiB of text whatever the corpus size, so
-a fragment's task is bounded, and a passage that a third of all texts share is
-spread over as many fragments as it has windows.  Hashes travel in blocks of one
-fragment of one input batch; positions inside a block are gaps of two bytes.
+A fragment holds the hashes of about 8 MiB of text whatever the corpus size.
+Hashes travel in blocks of one fragment of one input batch; positions inside a block
+are gaps of two bytes.  A window that occurs twice or more within a batch is known to be
+repeated: its positions stay with the batch, and its hash travels once, marked as such.
+So a passage that a third of all texts share sends one hash for each of its windows and
+batch of ``_GATHER`` words, not one for each text.
 Two different windows are taken for equal only if both hashes agree (64 bits plus
 the fragment's): about n * 1.2e6 / 2**65 expected cases for n windows.
 
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WIDTH = 35
-_BLOCK = "frag int, batch long, head binary, keys binary, at binary"
+_BLOCK = "frag int, batch long, head binary, known binary, firm binary, keys binary, at binary"
 _SPANS = "_key long, _id long, _words long, _removed long, _spans binary"
 #: Words a block batch gathers before it is sent.
 _GATHER = 700_000
@@ -53,9 +55,19 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int, n_frag: int) -> Iter
             keys.append(k), frags.append(f), at.append(a + base), head.append(h)
             base += n
         keys, frags, at = np.concatenate(keys), np.concatenate(frags), np.concatenate(at)
+        order = np.lexsort((frags, keys))
+        new = np.ones(len(keys) + 1, bool)
+        new[1:-1] = (keys[order][1:] != keys[order][:-1]) | (frags[order][1:] != frags[order][:-1])
+        single = np.empty(len(keys), bool)
+        single[order] = new[1:] & new[:-1]
+        firm = order[new[:-1] & ~new[1:]]  # one of each that occurs more than once
+        firm_order, firm_edge = C.cut(frags[firm], n_frag)
+        firm = keys[firm][firm_order]
+        known = np.sort(at[~single])
+        keys, frags, at = keys[single], frags[single], at[single]
         order, edge = C.cut(frags, n_frag)
         keys, at = keys[order], at[order]
-        used = np.flatnonzero(np.diff(edge))
+        used = np.flatnonzero(np.diff(edge) + np.diff(firm_edge))
         home = int(batch_id >> 32) % n_frag
         rows = sorted({*used.tolist(), home})
         top = np.concatenate(head, axis=1).astype("<i8").tobytes()
@@ -66,10 +78,12 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int, n_frag: int) -> Iter
                     pa.array(some, pa.int32()),
                     pa.array([batch_id] * len(some), pa.int64()),
                     pa.array([top if f == home else None for f in some], pa.binary()),
+                    pa.array([C.pack_rising(known) if f == home else None for f in some], pa.binary()),
+                    pa.array([firm[firm_edge[f] : firm_edge[f + 1]].astype("<u8").tobytes() for f in some], pa.binary()),
                     pa.array([keys[edge[f] : edge[f + 1]].astype("<u8").tobytes() for f in some], pa.binary()),
                     pa.array([C.pack_rising(at[edge[f] : edge[f + 1]]) for f in some], pa.binary()),
                 ],
-                ["frag", "batch", "head", "keys", "at"],
+                ["frag", "batch", "head", "known", "firm", "keys", "at"],
             )
         held, words = [], 0
         batch_id += 1
@@ -91,7 +105,7 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int, n_frag: int) -> Iter
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """One fragment: the positions, by batch, of hashes that occur more than once."""
+    """One fragment: the positions, by batch, of hashes that occur more than once or are firm in a batch."""
     C.give_back()
     blocks = [np.frombuffer(b.as_py(), "<u8") for b in table.column("keys")]
     keys = np.concatenate(blocks)
@@ -99,15 +113,17 @@ def _repeated(table: pa.Table) -> pa.Table:
     ranked = keys[order]
     same = np.zeros(len(keys) + 1, bool)
     same[1:-1] = ranked[1:] == ranked[:-1]
+    firm = np.unique(np.concatenate([np.frombuffer(b.as_py(), "<u8") for b in table.column("firm")]))
+    hit = firm[np.minimum(np.searchsorted(firm, ranked), len(firm) - 1)] == ranked if len(firm) else np.zeros(len(keys), bool)
     twice = np.zeros(len(keys), bool)
-    twice[order] = same[1:] | same[:-1]
+    twice[order] = same[1:] | same[:-1] | hit
     out, lo = [], 0
     for b, at in zip(blocks, table.column("at"), strict=True):
         hit = twice[lo : lo + len(b)]
         out.append(C.pack_rising(C.unpack_rising(at.as_py())[hit]) if hit.any() else None)
         lo += len(b)
     keep = pa.array([i for i, x in enumerate(out) if x is not None or table.column("head")[i].is_valid], pa.int64())
-    return pa.table({"batch": table.column("batch").take(keep), "head": table.column("head").take(keep), "at": pa.array([out[i] for i in keep.to_pylist()], pa.binary())})
+    return pa.table({"batch": table.column("batch").take(keep), "head": table.column("head").take(keep), "known": table.column("known").take(keep), "at": pa.array([out[i] for i in keep.to_pylist()], pa.binary())})
 
 
 def _intervals(table: pa.Table, width: int) -> pa.Table:
@@ -117,7 +133,7 @@ def _intervals(table: pa.Table, width: int) -> pa.Table:
     row_key, doc_id, count = np.frombuffer(head, "<i8").reshape(3, -1)
     total, begin = int(count.sum()), np.concatenate([[0], np.cumsum(count)])
     step = np.zeros(total + 1, np.int32)
-    for x in table.column("at"):
+    for x in (*table.column("at"), *table.column("known")):
         if x.is_valid:
             start = C.unpack_rising(x.as_py())
             step[start] += 1
@@ -144,7 +160,7 @@ def intervals(docs: DataFrame, width: int = WIDTH, text: str = "text", doc_id: s
     n_frag = C.fragment_count(C.text_bytes(docs, text))
     rows = docs.select(row_key(doc_id, text).alias("_key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("_id"), F.col(text).alias("_text"))
     blocks = rows.mapInArrow(lambda it: _windows(it, width, n_frag), _BLOCK)
-    hits = blocks.groupBy("frag").applyInArrow(_repeated, "batch long, head binary, at binary")
+    hits = blocks.groupBy("frag").applyInArrow(_repeated, "batch long, head binary, known binary, at binary")
     return hits.groupBy("batch").applyInArrow(lambda t: _intervals(t, width), _SPANS)
 
 

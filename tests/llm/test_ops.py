@@ -115,6 +115,24 @@ def test_a_group_of_near_copies_without_its_original(spark):
     assert got == dict(enumerate(root))
 
 
+def test_templates_that_nearly_reach_the_threshold(spark):
+    """17 of 20 shingles in common are 0.74; a bridge links all that share them, and templates of other sizes link."""
+    words = prose(7, 21).split()
+    same = lambda tail: " ".join(words + tail)
+    apart = [(i, same([f"u{i}a", f"u{i}b", f"u{i}c"])) for i in range(40)]
+    longer = [(100 + i, " ".join(prose(8, 60).split() + [f"v{i}a", f"v{i}b", f"v{i}c"])) for i in range(30)]
+    bridge = [(200, same([]))]
+    for rows in (apart + longer, apart + longer + bridge, [(i, t) for i, t in apart for _ in range(2)]):
+        sets, root = shingle_sets(rows), list(range(len(rows)))
+        for _ in range(3):
+            for i in range(len(rows)):
+                for j in range(len(rows)):
+                    if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) or rows[i][0] == rows[j][0]:
+                        root[i] = root[j] = min(root[i], root[j])
+        got = collections.Counter((x.doc_id, x.component_id) for x in ngram_jaccard.components_of(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == collections.Counter((d, rows[root[i]][0]) for i, (d, _) in enumerate(rows))
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.id: r.component for r in C.components(spark.createDataFrame(links, "a long, b long")).collect()}
