@@ -220,7 +220,42 @@ def test_shards_balance_and_keep_light_groups_whole(spark):
         where[texts[r.doc_id]].add(r.shard)
     assert all(len(s) == 1 for s in where.values())
     same = kd_shards.assign(spark.createDataFrame([(i, "copy") for i in range(800)], "doc_id long, text string"), 8).collect()
-    assert max(collections.Counter(r.shard for r in same).values()) < 300
+    assert max(collections.Counter(r.shard for r in same).values()) < 200 and all(r.split for r in same)
+
+
+def test_heavy_groups_stay_whole_and_shards_stay_even(spark, tmp_path):
+    big = [prose(5000 + k, 60) for k in range(3)]
+    texts = [prose(i, 20 + i % 90) for i in range(1500)] + [big[0]] * 130 + [big[1]] * 60 + [big[2]] * 25 + [None, ""]
+    rows = [(i % 1600 if i % 7 else None, t, i, "x") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard int, node string")
+    got = kd_shards.assign(df, 8).collect()
+    size, where = collections.Counter(), collections.defaultdict(set)
+    for r in got:
+        size[r.shard] += r.size
+        where[r.size, r.text_crc32].add(r.shard)
+    assert len(size) == 8 and max(size.values()) < 1.1 * min(size.values())
+    assert all(len(s) == 1 for s in where.values()) and not any(r.split for r in got)
+    path = str(tmp_path / "shards")
+    kd_shards.write_shards(df, path, 8)
+    back = spark.read.parquet(path).collect()
+    manifest = collections.Counter((r.doc_id, r.size, r.shard) for r in got)
+    assert collections.Counter((r.doc_id, len((r.text or "").encode()) + 1, r.shard) for r in back) == manifest and {r.node for r in back} == {"x"}
+
+
+def test_cuts_equal_brute_force(spark):
+    """Each leaf holds what sorting by (value, tie) and summing gives, to within one group."""
+    r = random.Random(3)
+    groups = [(r.randrange(-(2**60), 2**60), float(r.choice((1, 2, r.random() * 4))), r.randrange(1, 50)) for _ in range(700)]
+    df = spark.createDataFrame(groups, "tie long, d0 double, bytes long")
+    wanted = [5.0, 1.0, 2.0]
+    total = sum(b for *_, b in groups)
+    levels = kd_shards.kd_tree(df, ["d0"], wanted)
+    placed = kd_shards.place(df.withColumn("node", F.lit(1).cast("long")), levels, ["d0"]).groupBy("node").agg(F.sum("bytes").alias("b"), F.min("d0").alias("lo"), F.max("d0").alias("hi")).collect()
+    number = kd_shards._leaf_numbers(3)
+    got = {number[x.node]: x for x in placed}
+    for leaf, part in enumerate(wanted):
+        assert abs(got[leaf].b - total * part / sum(wanted)) <= 101
+    assert got[0].hi <= got[1].lo and got[1].hi <= got[2].lo
 
 
 # 6
