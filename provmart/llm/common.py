@@ -56,13 +56,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/work/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete work tables that no later step reads."""
     for df in tables:
         if path := getattr(df, "work_path", None):
-            spark = df.sparkSession
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            delete(df.sparkSession, path)
 
 
 def small_side(df: DataFrame, bound_bytes: int, row_bytes: int) -> DataFrame:

@@ -4,7 +4,9 @@ Vectors get one more coordinate, sqrt(max norm**2 - norm**2), which turns larges
 inner product into smallest angle; queries get 0 there.  The trees are fitted on a
 bounded sample (``SAMPLE`` vectors, those of least hash); every vector is indexed.
 A query walks all trees through one shared priority queue, best margin first, until
-the leaves it has reached hold a budget of vectors.  All vectors of those leaves are
+the leaves it has reached hold a budget of vectors.  Queries that have fewer than ``k``
+different neighbours from these leaves (a vector lies in one leaf of every tree) are asked
+again with four times the budget, until they have them or have walked all leaves.  All vectors of those leaves are
 then reranked exactly, in double precision, on the original coordinates.
 
 The budget is measured, not guessed: ``CALIBRATE`` queries (those of least hash) are
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -38,6 +40,8 @@ TREES, SAMPLE, K = 24, 20_000, 20
 CALIBRATE, TARGET = 64, 0.96
 #: Rows of an index block, queries of a query block.
 BLOCK, QUERIES = 4096, 1024
+#: Parts in which the answers to one query are merged first.
+SIDES = 64
 
 
 class Forest:
@@ -152,7 +156,8 @@ def _rerank(key: tuple, queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
             top = np.argsort(-score, kind="stable")[: k + 1]  # ids rise, so ties keep the smaller id
             top = top[score[top] > -np.inf]
             out_q.append(one), out_i.append(ids[top]), out_s.append(score[top])
-    return pa.table({"q": pa.array(out_q, pa.int64()), "ids": pa.array(out_i, pa.list_(pa.int64())), "scores": pa.array(out_s, pa.list_(pa.float64()))})
+    side = hash(tuple(x.as_py() for x in key)) & 0xFFFFF
+    return pa.table({"q": pa.array(out_q, pa.int64()), "side": pa.array([side] * len(out_q), pa.int32()), "ids": pa.array(out_i, pa.list_(pa.int64())), "scores": pa.array(out_s, pa.list_(pa.float64()))})
 
 
 def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -165,7 +170,7 @@ def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
             _, first = np.unique(i, return_index=True)
             keep = np.sort(first)[:k]
             q.append(one), ids.append(i[keep]), scores.append(s[keep])
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], ["q", "ids", "scores"])
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), batch.column("side"), pa.array(ids, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))], ["q", "side", "ids", "scores"])
 
 
 def _brute(batches: Iterator[pa.RecordBatch], qs: list[int], q: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
@@ -189,7 +194,11 @@ def _budget(forest: Forest, size: dict[int, int], rows: DataFrame, asks: DataFra
         return 1.0
     qs, q = few["id"].tolist(), np.stack(few["v"].to_list()).astype(np.float64)
     near = rows.mapInArrow(lambda it: _brute(it, qs, q, k), "q long, score double, leaves array<long>")
-    best = near.groupBy("q").agg(F.expr(f"slice(reverse(array_sort(collect_list(struct(score, leaves)))), 1, {k}) AS best"))
+    # the best of a few hundred parts first, then of these
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "leaves"))
+    near = near.withColumn("part", F.pmod(F.xxhash64("score"), F.lit(256))).withColumn("r", rank("q", "part")).where(F.col("r") <= k)
+    near = near.withColumn("r", rank("q")).where(F.col("r") <= k)
+    best = near.groupBy("q").agg(F.collect_list(F.struct("score", "leaves")).alias("best"))
     order, seen = dict(zip(qs, forest.probe(q, size, np.inf), strict=True)), []
     for r in best.collect():
         reached = dict(zip(order[r.q], np.cumsum([size[x] for x in order[r.q]]).tolist(), strict=True))
@@ -224,6 +233,30 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
     sizes = spark.sparkContext.broadcast(size)
     budget = _budget(forest, size, placed, asks, k, target)
 
+    asks, budget, parts = C.materialize(asks, "asks"), float(budget), []
+    n_asks, walked = asks.count(), float(sum(size.values()))
+    while n_asks:
+        found = C.materialize(_asked(asks, placed, size, sizes, shared, budget, k), "found")
+        if budget >= walked:
+            parts.append(found)
+            break
+        enough = found.where(F.size("ids") >= min(k, stats.n - 1))
+        parts.append(enough)
+        short = asks.join(enough.select(F.col("q").alias("id")), "id", "left_anti")
+        asks, budget = C.materialize(short, "asks"), 4 * budget
+        n_asks = asks.count()
+    if not parts:
+        return empty
+    best = parts[0]
+    for more in parts[1:]:
+        best = best.unionByName(more)
+    return best.select(F.col("q").alias("query_id"), F.posexplode(F.arrays_zip("ids", "scores")).alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+
+
+def _asked(asks: DataFrame, placed: DataFrame, size: dict[int, int], sizes, shared, budget: float, k: int) -> DataFrame:
+    """(q, ids, scores): the k best of the vectors that the queries reach with a budget."""
+    spark = asks.sparkSession
+
     def probe(batches):
         for batch in batches:
             ids, v = _vectors(batch)
@@ -240,10 +273,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
     spread = placed.select("id", "v", F.explode("leaves").alias("leaf")).join(deal, "leaf")
     right = spread.select("id", "v", "leaf", mine("blocks").alias("block"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
     key = ["leaf", "block", "part"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda kk, a, b: _rerank(kk, a, b, k), "q long, ids array<long>, scores array<double>")
-    one = found.groupBy("q").agg(F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores"))
-    best = one.mapInArrow(lambda it: _best(it, k), "q long, ids array<long>, scores array<double>")
-    return best.select(F.col("q").alias("query_id"), F.posexplode(F.arrays_zip("ids", "scores")).alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda kk, a, b: _rerank(kk, a, b, k), "q long, side int, ids array<long>, scores array<double>")
+    # a query gathers the answers of its blocks in up to SIDES parts, and then the best of each part
+    for level in (f"pmod(side, {SIDES})", "0"):
+        found = found.withColumn("side", F.expr(level).cast("int")).groupBy("q", "side").agg(F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores"))
+        found = found.mapInArrow(lambda it: _best(it, k), "q long, side int, ids array<long>, scores array<double>")
+    return found.drop("side")
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,14 +4,15 @@ Writing: one record for each page; of pages with equal payloads the one with the
 largest id is a ``response``, the others are ``revisit`` records that refer to it.
 Digests are computed in the scan; only (digest, id) pairs are aggregated, so payloads
 are never shuffled.  Records are written by Spark's text writer (uncompressed
-WARC/1.1; the record ends in the writer's line end), in files of bounded size.
+WARC/1.1; the record ends in the writer's line end).  A file is closed with the record
+that reaches ``FILE_BYTES``, so it is at most that and one record long.
 
 Reading: every archive is parsed by its Content-Length fields, response payloads are
 hashed and compared with their digest field, and the captures of an archive form a run
 sorted by URL key and timestamp.
 
-Index merge: the runs are cut at common key ranges; each range merges its piece of all
-runs with a loser tree.  Range bounds include timestamp and id, so one URL or host that
+Index merge: the runs are cut at common key ranges of about ``RANGE_ROWS`` captures; each
+range merges its piece of all runs with a loser tree.  Range bounds include timestamp and id, so one URL or host that
 holds a third of all captures is spread over many ranges.  Partition order times row
 order is the global order of the capture histories.
 
@@ -30,12 +31,15 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
 
 FILE_BYTES = 16 << 20
+#: Captures of a key range, which one task merges.
+RANGE_ROWS = 50_000
 #: Bound of a broadcast table of repeated digests.
 BROADCAST_BYTES = 32 << 20
 EPOCH = 1_704_067_200
@@ -87,11 +91,25 @@ def records(rows: DataFrame) -> Column:
     )
 
 
+def _rolled(batches: Iterator[pa.RecordBatch], file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Records with the number of the file of this task that takes them."""
+    file, used = 0, 0
+    for batch in batches:
+        numbers = []
+        for size in pc.binary_length(batch.column(0)).to_pylist():
+            numbers.append(file)
+            used += size + 1
+            if used >= file_bytes:
+                file, used = file + 1, 0
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.int32())], ["value", "part"])
+
+
 def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0, captured_at: str | None = None, file_bytes: int = FILE_BYTES) -> None:
-    """Write the pages as WARC files of about ``file_bytes`` under ``path``."""
-    mean = pages.agg(F.avg(F.coalesce(F.octet_length(html), F.lit(0)) + 600).alias("m")).first().m or 600.0
+    """Write the pages as WARC files of about ``file_bytes`` in folders under ``path``."""
+    C.narrow_batches(pages.sparkSession)
     rows = planned(pages, page_id, url, html, least_bytes, captured_at)
-    rows.select(records(rows).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", max(1, int(file_bytes / mean))).text(path)
+    rows = rows.select(records(rows).alias("value")).mapInArrow(lambda it: _rolled(it, file_bytes), "value string, part int")
+    rows.write.option("lineSep", "\n").partitionBy("part").text(path)
 
 
 def url_key(url: str) -> str:
@@ -127,7 +145,7 @@ def parse(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            name = batch.column(0)[k].as_py().rsplit("/", 1)[-1]
+            name = "/".join(batch.column(0)[k].as_py().rsplit("/", 2)[-2:])  # folder and file
             rows = []
             for offset, length, f, block in parse(batch.column(1)[k].as_py()):
                 http, _, payload = block.partition(b"\r\n\r\n")
@@ -154,7 +172,7 @@ def _order(row: tuple) -> tuple:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The capture index of every archive under ``path``, one sorted run for each archive."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where("length > 0").select("path", "content")
     return files.mapInArrow(_runs, _ENTRY)
 
 
@@ -211,8 +229,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def merged_index(runs: DataFrame) -> DataFrame:
-    """The runs as one globally ordered index."""
-    cut = runs.repartitionByRange(F.col("urlkey"), F.col("timestamp"), F.col("page_id"), F.col("run"), F.col("seq"))
+    """The runs, which are a work table, as one globally ordered index."""
+    cut = runs.repartitionByRange(max(1, -(-runs.count() // RANGE_ROWS)), F.col("urlkey"), F.col("timestamp"), F.col("page_id"), F.col("run"), F.col("seq"))
     return cut.sortWithinPartitions("run", "seq").mapInArrow(_merge, _ENTRY)
 
 
@@ -220,4 +238,5 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = C.new_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
     runs = C.materialize(read(spark, path), "runs")
+    C.delete(spark, path)  # the runs hold all that is asked for
     return merged_index(runs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -187,6 +187,20 @@ def test_archives_round_trip(spark):
     assert warc_index.url_key("https://www.A.example:443/B") == "example,a)/b"
 
 
+def test_archives_are_closed_by_bytes(spark):
+    long = [(i, "http://h.example/x", "x" * (200_000 if i % 50 < 4 else 10) + str(i)) for i in range(200)]
+    pages = spark.createDataFrame(long, "page_id long, url string, html string").coalesce(1)
+    path = C.new_path(spark, "warc")
+    warc_index.write(pages, path, file_bytes=500_000)
+    files = [r.length for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("length").collect()]
+    assert len(files) > 1 and max(files) < 800_000
+    index = warc_index.merged_index(C.materialize(warc_index.read(spark, path), "runs"))
+    assert [r.page_id for r in index.collect()] == list(range(200))
+    none = C.new_path(spark, "warc")
+    warc_index.write(empty(pages), none)
+    assert not warc_index.merged_index(C.materialize(warc_index.read(spark, none), "runs")).count()
+
+
 def test_loser_tree_merges():
     r = random.Random(3)
     for k in (0, 1, 2, 3, 7, 16):
@@ -551,6 +565,17 @@ def test_nearest(spark):
     assert not nearest.search(empty(df), empty(df)).count()
 
 
+def test_queries_that_find_too_few_are_asked_again(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "_budget", lambda *a: 1.0)  # one leaf
+    r = np.random.default_rng(2)
+    v = r.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(3, v[3].tolist())], "vec_id long, embedding array<double>")
+    got = collections.Counter(x.query_id for x in nearest.search(df, df.where("vec_id % 50 = 0"), k=20).collect())
+    assert got == {q: 20 for q in range(0, 300, 50)}
+    few = nearest.search(df.where("vec_id < 10"), df.where("vec_id = 0"), k=20).collect()
+    assert [x.rank for x in few] == list(range(1, 10))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
