@@ -9,21 +9,23 @@ The most frequent words and the end are classes of their own; all other words sh
 classes by their last letters.  This is the top of a class tree.  Below it, the most
 frequent words of each shared class, ``GROWTH`` times the root of the training tokens in
 all, are units with vectors of their own, as inputs and as outputs, and one unit stands
-for the rest of the class:
+for the rest of the class.  ``GROUP`` units of a class, next to each other by frequency,
+form a group:
 
-    P(w | a, b) = P(class | a, b) * P(unit | class, a, b) * P(w | unit)
+    P(w | a, b) = P(class | a, b) * P(group | class, a, b) * P(unit | group, a, b) * P(w | unit)
 
-The network gives the first two factors, each normalised in blocks.  The third is 1 for
-a word with a unit, and its smoothed frequency in the rest of its class.  So the
-probabilities of all words, with one unseen word per class, sum to one.
+The network gives the first three factors, each normalised in blocks by a matrix product.
+The fourth is 1 for a word with a unit, and its smoothed frequency in the rest of its class.
+So the probabilities of all words, with one unseen word per class, sum to one.
 
 Training gathers three things from the whole training part of the corpus: the count of
 every word, the count of every triple of classes (bounded by classes**3), and what one
 pass over all tokens changes in the vectors of the words.  For the classes the NCE
 objective and its noise expectation are exact sums over all observed contexts, computed
 in numpy as batched matrix products.  The vectors of words start as those of their
-classes; every task trains them by NCE with sampled noise on its tokens, and the changes
-are averaged by how often a task used a word.  So the vectors depend on how the input is
+classes; every task trains them by NCE on its tokens, with noise classes and groups drawn
+for a step and a noise unit of the same group for each token, and the changes are
+averaged by how often a task used a word.  So the vectors depend on how the input is
 cut into tasks, which the class model does not.
 
 Words beyond the ``FREQUENT`` most frequent are scored by a join with the word counts.
@@ -54,9 +56,13 @@ CLASSES = END + 1
 ALPHA = 0.1
 #: NCE: noise samples per token (as an expectation), epochs, contexts per step, Adam's rate.
 NOISE, EPOCHS, STEP, RATE = 8, 24, 512, 0.02
-#: Words with vectors of their own, per root of the training tokens; tokens per step, sampled noise
-#: classes a step and words a token, Adagrad's rate; rows of a block of vectors on its way to the driver.
-GROWTH, WORD_STEP, NOISE_CLASSES, NOISE_WORDS, WORD_RATE, BLOCK = 4, 1024, 32, 2, 0.1, 4096
+#: Words with vectors of their own, per root of the training tokens; units of a group.
+GROWTH, GROUP = 4, 8
+#: Tokens per step (at least half the units); classes, and groups of each class, drawn as noise for a step;
+#: what the noise of a group counts; Adagrad's rate; rows of a block of vectors sent to the driver.
+WORD_STEP, NOISE_CLASSES, NOISE_GROUPS, NOISE_WORDS, WORD_RATE, BLOCK = 16_384, 32, 16, 2, 0.1, 4096
+#: Bytes of text scored or trained on at once.
+CHUNK = 1 << 20
 
 
 def _ending(w: C.Words) -> np.ndarray:
@@ -113,24 +119,37 @@ class Vocabulary:
         self._units(np.lexsort((self.h, -self.n))[: max(n_top, int(np.ceil(GROWTH * np.sqrt(self.total))))])
 
     def _units(self, some: np.ndarray) -> None:
-        """Units of the network: in each shared class its words among ``some``, then one for the rest of the class."""
+        """Units of the network: in each shared class its words among ``some``, most frequent first, then one for the rest.
+
+        A class begins a new group, so units have places in groups; places without a unit have no mass.
+        """
         some = some[(self.cls[some] >= self.n_top) & (self.cls[some] >= TOP)]
         cls = np.concatenate([self.cls[some], np.arange(TOP, END)])
-        order = np.lexsort((np.arange(len(cls)), cls))
-        self.unit_cls = cls[order]
-        self.first = np.searchsorted(self.unit_cls, np.arange(CLASSES + 1))
-        place = np.empty(len(cls), np.int64)
-        place[order] = np.arange(len(cls))
-        self.unit = np.full(len(self.h), -1, np.int64)
-        self.unit[some] = place[: len(some)]
-        self.rest = np.full(CLASSES, -1, np.int64)
-        self.rest[TOP:END] = place[len(some) :]
         own_n, own_v = np.bincount(self.cls[some], self.n[some], CLASSES), np.bincount(self.cls[some], minlength=CLASSES)
         #: the mass of what is left of a class, one unseen word included
         self.rest_mass = self.size_n - own_n + ALPHA * (self.size_v - own_v + 1)
-        mass = np.empty(len(cls))
-        mass[self.unit[some]], mass[self.rest[TOP:END]] = self.n[some] + ALPHA, self.rest_mass[TOP:END]
-        self.unit_log = np.log(mass / np.add.reduceat(mass, self.first[TOP:END])[self.unit_cls - TOP]).astype(np.float32)
+        order = np.argsort(cls, kind="stable")
+        per_class = np.bincount(cls, minlength=CLASSES)
+        groups = -(-per_class // GROUP)
+        self.group_first = np.concatenate([[0], np.cumsum(groups)])
+        self.group_cls = np.repeat(np.arange(CLASSES), groups)
+        self.unit_cls = cls[order]
+        begin = np.concatenate([[0], np.cumsum(per_class)])
+        self.place = self.group_first[self.unit_cls] * GROUP + np.arange(len(cls)) - begin[self.unit_cls]
+        number = np.empty(len(cls), np.int64)
+        number[order] = np.arange(len(cls))
+        self.unit = np.full(len(self.h), -1, np.int64)
+        self.unit[some] = number[: len(some)]
+        self.rest = np.full(CLASSES, -1, np.int64)
+        self.rest[TOP:END] = number[len(some) :]
+        mass = np.zeros(len(self.group_cls) * GROUP)
+        mass[self.place[self.unit[some]]], mass[self.place[self.rest[TOP:END]]] = self.n[some] + ALPHA, self.rest_mass[TOP:END]
+        of_group = mass.reshape(-1, GROUP).sum(1)
+        self.unit_share = (mass / np.repeat(of_group, GROUP)).astype(np.float32).reshape(-1, GROUP)
+        self.group_share = of_group / np.bincount(self.group_cls, of_group, CLASSES)[self.group_cls]
+        with np.errstate(divide="ignore"):
+            self.unit_log = np.maximum(np.log(self.unit_share), np.float32(-1e9))
+        self.group_log = np.log(self.group_share).astype(np.float32)
         #: of an input: a class, or past the classes a unit
         self.input_cls = np.concatenate([np.arange(CLASSES), self.unit_cls])
 
@@ -270,114 +289,183 @@ class LogBilinear:
     def add_words(self, vocabulary: Vocabulary) -> None:
         """Vectors of words: as inputs those of their class, as outputs none, which gives each its frequency."""
         self.inputs = self.word[vocabulary.input_cls].astype(np.float32)
-        self.units = np.zeros((len(vocabulary.unit_cls), DIM), np.float32)
+        self.groups = np.zeros((len(vocabulary.group_cls), DIM), np.float32)
+        self.units = np.zeros((len(vocabulary.group_cls) * GROUP, DIM), np.float32)
+
+    def tables(self) -> list[np.ndarray]:
+        return [self.inputs, self.groups, self.units]
 
     def contexts(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        r = self.inputs[b] * self.near.astype(np.float32)
-        r += self.inputs[a] * self.far.astype(np.float32)
+        r, more = self.inputs.take(b, 0), self.inputs.take(a, 0)
+        r *= self.near.astype(np.float32)
+        more *= self.far.astype(np.float32)
+        r += more
         return r
 
     def log_class(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
         """ln P(class | context), normalised over the classes in blocks."""
         out, q, bias = np.empty(len(c), np.float32), np.ascontiguousarray(self.out.T, np.float32), self.bias.astype(np.float32)
-        for lo in range(0, len(c), 4096):
-            s = r[lo : lo + 4096] @ q
-            s += bias
-            out[lo : lo + 4096] = _log_share(s, c[lo : lo + 4096])
+        for lo in range(0, len(c), 2048):
+            out[lo : lo + 2048] = _log_share(r[lo : lo + 2048] @ q, bias, c[lo : lo + 2048])
         return out
 
     def log_unit(self, r: np.ndarray, unit: np.ndarray, v: Vocabulary) -> np.ndarray:
-        """ln P(unit | its class, context), normalised over the units of the class in blocks."""
-        out, cls = np.empty(len(unit), np.float32), v.unit_cls[unit]
-        order = np.argsort(cls.astype(np.uint8), kind="stable")
-        edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        """ln P(unit | its class, context): over the groups of the class, then over the units of the group."""
+        out, place = np.empty(len(unit), np.float32), v.place[unit]
+        order = by_group(place)
+        group = place[order] // GROUP
+        edge = np.searchsorted(group, v.group_first)
+        of_group = self.units.reshape(-1, GROUP, DIM)
         for g in range(TOP, END):
-            units = slice(v.first[g], v.first[g + 1])
-            q, bias = np.ascontiguousarray(self.units[units].T), v.unit_log[units]
-            rows = max(64, (1 << 19) // max(1, len(bias)))
+            first, last = v.group_first[g], v.group_first[g + 1]
+            q, bias = np.ascontiguousarray(self.groups[first:last].T), v.group_log[first:last]
+            rows = max(64, (1 << 18) // max(1, last - first))
             for lo in range(edge[g], edge[g + 1], rows):
-                some = order[lo : min(lo + rows, edge[g + 1])]
-                s = r[some] @ q
-                s += bias
-                out[some] = _log_share(s, unit[some] - v.first[g])
+                hi = min(lo + rows, edge[g + 1])
+                some, at = order[lo:hi], group[lo:hi]
+                out[some] = _log_share(r.take(some, 0) @ q, bias, at - first)
+        for lo in range(0, len(order), 4096):
+            some, at = order[lo : lo + 4096], group[lo : lo + 4096]
+            out[some] += _log_share(np.einsum("nkd,nd->nk", of_group.take(at, 0), r.take(some, 0)), v.unit_log.take(at, 0), place[some] % GROUP)
         return out
 
 
-def _log_share(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-    s -= s.max(1, keepdims=True)
+def by_group(place: np.ndarray) -> np.ndarray:
+    """The order of tokens by the group of their unit."""
+    group = place // GROUP
+    return np.argsort(group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group, kind="stable")
+
+
+def _log_share(s: np.ndarray, bias: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """ln softmax of s + bias at one column of each row."""
+    s += bias
+    top = s.max()
+    if top - s[:, 0].min() < 60:  # one shift for all rows cannot underflow the largest score of a row
+        s -= top
+    else:
+        s -= s.max(1, keepdims=True)
     own = s[np.arange(len(at)), at]
-    return own - np.log(np.exp(s, out=s).sum(1))
+    return own - np.log(np.exp(s, out=s) @ np.ones(s.shape[1], np.float32))
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def _sum_rows(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ids, the sum of the rows of each, and their number."""
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    return ids[at], np.add.reduceat(rows[order], at, 0), np.diff(np.append(at, len(ids)))
+def _add_rows(table: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+    """table[ids] += rows, with repeated ids.
+
+    The views give arrays that were unpickled numpy's own type objects; without, numpy takes a path 15 times as slow.
+    """
+    at = (ids[:, None] * DIM + np.arange(DIM)).ravel()
+    np.add.at(table.reshape(-1).view(np.float32), at.view(np.int64), rows.ravel().view(np.float32))
+
+
+class _Step:
+    """Adagrad on the rows of one table, with one scale a row."""
+
+    def __init__(self, table: np.ndarray):
+        self.before, self.now, self.grads = table, table.copy(), np.zeros_like(table)
+        self.squares, self.used = np.full(len(table), 1e-6, np.float32), np.zeros(len(table), np.float32)
+
+    def add(self, ids: np.ndarray, grads: np.ndarray) -> None:
+        _add_rows(self.grads, ids, grads)
+        self.used += np.bincount(ids, minlength=len(self.used))
+
+    def move(self) -> None:
+        """Rows along what was added since the last move."""
+        size = np.einsum("ij,ij->i", self.grads, self.grads)
+        some = np.flatnonzero(size)
+        self.squares[some] += size[some] / DIM
+        grads = self.grads.take(some, 0)
+        grads *= (WORD_RATE / np.sqrt(self.squares[some]))[:, None]
+        self.now[some] += grads
+        self.grads[some] = 0
+
+    def changed(self, kind: int) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(self.now), BLOCK):
+            at = lo + np.flatnonzero(self.used[lo : lo + BLOCK])
+            if len(at):
+                change = self.now[at] - self.before[at]
+                columns = [(at - lo).astype("<u2"), self.used[at].astype("<f4"), change.astype("<f2")]
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([lo], pa.int64()), *[pa.array([c.tobytes()], pa.binary()) for c in columns]], ["kind", "first", "at", "n", "change"])
 
 
 def _train_words(batches: Iterator[pa.RecordBatch], vocabulary, model) -> Iterator[pa.RecordBatch]:
     """One pass of NCE over the tokens of a task, with sampled noise; gives what changed, weighted by use."""
+    C.one_thread()
     v, m = vocabulary.value, model.value
-    inputs, units, before = m.inputs.copy(), m.units.copy(), (m.inputs, m.units)
+    inputs, groups, units = (_Step(t) for t in m.tables())
     local = LogBilinear()
-    local.near, local.far, local.inputs = m.near, m.far, inputs
+    local.near, local.far, local.inputs = m.near, m.far, inputs.now
     near, far, out = m.near.astype(np.float32), m.far.astype(np.float32), m.out.astype(np.float32)
     noise = np.exp(m.bias) / np.exp(m.bias).sum()
-    odds = m.bias - np.log(NOISE * noise)
-    up = np.cumsum(np.exp(v.unit_log.astype(np.float64)))  # a whole number is reached at the end of each class
-    squares = [np.full(len(inputs), 1e-6, np.float32), np.full(len(units), 1e-6, np.float32)]
-    used = [np.zeros(len(inputs), np.float32), np.zeros(len(units), np.float32)]
+    odds = (m.bias - np.log(NOISE * noise)).astype(np.float32)
+    up = np.cumsum(v.group_share)  # a whole number is reached at the end of each class
+    within, less = np.cumsum(v.unit_share, 1), np.float32(np.log(NOISE_WORDS))
     rng = np.random.default_rng(7)
-
-    def move(kind, table, ids, grads):
-        if len(ids):
-            ids, grads, n = _sum_rows(ids, grads)
-            squares[kind][ids] += (grads * grads).mean(1)
-            used[kind][ids] += n
-            table[ids] += np.float32(WORD_RATE) * grads / np.sqrt(squares[kind][ids])[:, None]
+    step = max(WORD_STEP, len(v.unit_cls) // 2)
+
+    def inner(r: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Moves groups and units by the tokens of shared classes, sorted by group; gives the gradient of their contexts."""
+        group = place // GROUP
+        # groups: the true one, and some of its class drawn as noise
+        q = groups.now.take(group, 0)
+        p = 1 - _sigmoid(np.einsum("ij,ij->i", r, q) - less)
+        gr = p[:, None] * q
+        groups.add(group, p[:, None] * r)
+        edge = np.searchsorted(group, v.group_first)
+        for g in range(TOP, END):
+            if edge[g] < edge[g + 1]:
+                own = slice(edge[g], edge[g + 1])
+                drawn = np.minimum(np.searchsorted(up, g - TOP + rng.random(NOISE_GROUPS)), v.group_first[g + 1] - 1)
+                q = groups.now[drawn]
+                p = _sigmoid(r[own] @ q.T - less)
+                p *= np.float32(NOISE_WORDS / NOISE_GROUPS)
+                gr[own] -= p @ q
+                _add_rows(groups.grads, drawn, -(p.T @ r[own]))
+        groups.move()
+        # units: the true one, and one of the same group drawn as noise
+        other = group * GROUP + np.minimum((within.take(group, 0) < rng.random(len(place), np.float32)[:, None]).sum(1), GROUP - 1)
+        for some, label in ((place, 1), (other, 0)):
+            q = units.now.take(some, 0)
+            g = (label - _sigmoid(np.einsum("ij,ij->i", r, q)))[:, None]
+            q *= g
+            gr += q
+            units.add(some, g * r)
+        units.move()
+        return gr
 
     for batch in batches:
-        for _, _, w in C.word_chunks(batch.column(0), lower=True):
+        for _, _, w in C.word_chunks(batch.column(0), lower=True, size=CHUNK):
             cls, at, known = v.classes(w, w.hashes())
             a, b, c, _ = _sequences(w, v.inputs(cls, at, known))
-            for lo in range(0, len(c), WORD_STEP):
-                x, y, z = a[lo : lo + WORD_STEP], b[lo : lo + WORD_STEP], c[lo : lo + WORD_STEP]
+            for lo in range(0, len(c), step):
+                x, y, z = a[lo : lo + step], b[lo : lo + step], c[lo : lo + step]
                 r = local.contexts(x, y)
                 k = v.input_cls[z]
-                # classes
-                p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,ij->i", r, out[k]) + odds[k], -30, 30)))
-                gr = (1 - p).astype(np.float32)[:, None] * out[k]
+                gr = out.take(k, 0)
+                gr *= (1 - _sigmoid(np.einsum("ij,ij->i", r, gr) + odds[k]))[:, None]
                 drawn = rng.choice(CLASSES, NOISE_CLASSES, p=noise)
-                p = 1 / (1 + np.exp(-np.clip(r @ out[drawn].T + odds[drawn].astype(np.float32), -30, 30)))
-                gr -= np.float32(NOISE / NOISE_CLASSES) * (p @ out[drawn])
-                # words of shared classes
+                gr -= np.float32(NOISE / NOISE_CLASSES) * (_sigmoid(r @ out[drawn].T + odds[drawn]) @ out[drawn])
                 inside = np.flatnonzero((k >= TOP) & (k < END))
                 if len(inside):
-                    unit = np.where(z[inside] >= CLASSES, z[inside] - CLASSES, v.rest[k[inside]])
-                    base = np.repeat((k[inside] - TOP)[None], NOISE_WORDS, 0)
-                    false = np.minimum(np.searchsorted(up, base + rng.random(base.shape)), v.first[base + TOP + 1] - 1)
-                    ri, ids, grads = r[inside], [], []
-                    for some, label in [(unit, 1), *[(f, 0) for f in false]]:
-                        q = units[some]
-                        p = 1 / (1 + NOISE_WORDS * np.exp(-np.clip(np.einsum("ij,ij->i", ri, q), -30, 30)))
-                        g = (label - p)[:, None].astype(np.float32)
-                        gr[inside] += g * q
-                        ids.append(some), grads.append(g * ri)
-                    move(1, units, np.concatenate(ids), np.concatenate(grads))
-                ids = np.concatenate([x, y])
-                own = np.flatnonzero(ids >= CLASSES)  # the vectors of classes stay
-                move(0, inputs, ids[own], np.concatenate([gr * far, gr * near])[own])
-    for kind, table in enumerate((inputs, units)):
-        for lo in range(0, len(table), BLOCK):
-            at = lo + np.flatnonzero(used[kind][lo : lo + BLOCK])
-            if len(at):
-                n = used[kind][at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind], pa.int32()), pa.array([lo], pa.int64()), pa.array([(at - lo).astype("<u2").tobytes()], pa.binary()), pa.array([n.astype("<f4").tobytes()], pa.binary()), pa.array([(table[at] - before[kind][at]).astype("<f2").tobytes()], pa.binary())],
-                    ["kind", "first", "at", "n", "change"],
-                )
+                    place = v.place[np.where(z[inside] >= CLASSES, z[inside] - CLASSES, v.rest[k[inside]])]
+                    order = by_group(place)
+                    inside = inside[order]
+                    gr[inside] += inner(r.take(inside, 0), place[order])
+                # the vectors of classes stay
+                for ids, scale in ((x, far), (y, near)):
+                    own = np.flatnonzero(ids >= CLASSES)
+                    inputs.add(ids[own], gr.take(own, 0) * scale)
+                inputs.move()
+    for kind, table in enumerate((inputs, groups, units)):
+        yield from table.changed(kind)
+    C.give_back()
 
 
 def _mean_change(table: pa.Table) -> pa.Table:
@@ -393,6 +481,7 @@ def _mean_change(table: pa.Table) -> pa.Table:
 
 def _score(batches: Iterator[pa.RecordBatch], vocabulary, model) -> Iterator[pa.RecordBatch]:
     """Per text: what frequent words and the end give, and the hashes of all other words."""
+    C.one_thread()
     v = vocabulary.value
     m = model.value
     rest = np.log10(v.rest_mass)
@@ -401,7 +490,7 @@ def _score(batches: Iterator[pa.RecordBatch], vocabulary, model) -> Iterator[pa.
     own[END] = True
     log_n = np.log10(v.n + ALPHA)
     for batch in batches:
-        for lo, hi, w in C.word_chunks(batch.column("t"), lower=True):
+        for lo, hi, w in C.word_chunks(batch.column("t"), lower=True, size=CHUNK):
             h = w.hashes()
             cls, at, known = v.classes(w, h)
             a, b, c, doc = _sequences(w, v.inputs(cls, at, known))
@@ -453,7 +542,7 @@ def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS) -> tuple[Da
     start = spark.sparkContext.broadcast(model)
     parts = texts.mapInArrow(lambda it: _train_words(it, shared, start), "kind int, first long, at binary, n binary, change binary")
     for r in parts.groupBy("kind", "first").applyInArrow(_mean_change, "kind int, first long, change binary").toLocalIterator():
-        table = (model.inputs, model.units)[r.kind][r.first : r.first + BLOCK]
+        table = model.tables()[r.kind][r.first : r.first + BLOCK]
         table += np.frombuffer(r.change, "<f4").reshape(-1, DIM)[: len(table)]
     return words, vocabulary, model
 

@@ -158,6 +158,43 @@ def test_language_profiles(spark):
     assert language_id.train(empty(df)) == {}
 
 
+def test_profiles_and_distances_equal_brute_force(spark):
+    """Letter n-grams of padded words counted in plain Python; ties by gram code; repeated rows count twice."""
+    r = random.Random(12)
+    alphabet = {"xx": "abcde é", "yy": "abfgß h", "zz": "éßcg  "}
+    rows = [(i, lang, "".join(r.choice(alphabet[lang]) for _ in range(r.randrange(1, 60)))) for i, lang in enumerate(list(alphabet) * 12)]
+    rows += rows[:5] + [(99, "xx", None), (98, None, "abc")]
+    table = language_id.symbols()
+
+    def grams(text):
+        out, s = collections.Counter(), [0, *[int(table[ord(c)]) for c in text], 0]
+        for i in range(1, len(s) - 1):
+            if s[i]:
+                out[s[i]] += 1
+                out[(1 << 24) + (s[i - 1] << 8) + s[i]] += 1
+                out[(2 << 24) + (s[i - 1] << 16) + (s[i] << 8) + s[i + 1]] += 1
+                if not s[i + 1]:
+                    out[(1 << 24) + (s[i] << 8)] += 1
+        return out
+
+    top = lambda c, n: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:n]]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    profiles = language_id.train(df, size=20)
+    want = {}
+    for lang in alphabet:
+        total = collections.Counter()
+        for _, x, t in rows:
+            if x == lang and t:
+                total += grams(t)
+        want[lang] = top(total, 20)
+    assert profiles == want
+    for x in language_id.predict(df, profiles, 20).collect():
+        own = top(grams(x.text or ""), 20)
+        far = {k: sum(abs(i - p.index(g)) if g in p else 20 for i, g in enumerate(own)) for k, p in want.items()}
+        best = min(sorted(far), key=far.get) if own else "und"
+        assert x.lang_pred == best and abs(x.score - (1 - far[best] / (20 * len(own)) if own else 0)) < 1e-9
+
+
 def test_ranks_of_counts_beyond_the_packed_key():
     spell = lambda first, second, n: first * (n + 9) + " " + second * n
     batch = lambda **c: pa.RecordBatch.from_pydict(c)
@@ -458,6 +495,48 @@ def test_words_beyond_the_classes_reach_the_network(spark):
     assert np.allclose([share[vocabulary.unit_cls == g].sum(0) for g in range(lm_score.TOP, lm_score.END)], 1, atol=1e-3)
 
 
+def test_score_equals_brute_force_and_beats_the_base(spark):
+    """Every token's log10 probability by hand from the model's tables, and held-out texts scored better than by counts."""
+    said = [f"w{i}" for i in range(150)]
+    r = random.Random(6)
+    follow = {w: r.sample(said, 4) for w in said}
+
+    def text(n):
+        out = [r.choice(said)]
+        while len(out) < n:
+            out.append(r.choice(follow[out[-1]]))
+        return " ".join(out)
+
+    rows = [(i, text(r.randrange(5, 60))) for i in range(1500)]
+    held = [(i, text(40)) for i in range(2000, 2040)] + [(3000, "w1 unseen W2"), (3001, ""), (3002, None)]
+    words, v, m = lm_score.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(2))
+    got = {x.doc_id: x for x in lm_score.score(spark.createDataFrame(held, "doc_id long, text string"), words, v, m).collect()}
+    soft = lambda x: x - np.log(np.exp(x - x.max()).sum()) - x.max()
+    for d, t in held:
+        w = C.Words(*C.buffers(pa.array([t or ""])), True)
+        cls, at, known = v.classes(w, w.hashes())
+        inputs = [lm_score.END, lm_score.END, *v.inputs(cls, at, known).tolist(), lm_score.END]
+        total = 0.0
+        for k in range(2, len(inputs)):
+            ctx = m.inputs[inputs[k - 1]] * m.near + m.inputs[inputs[k - 2]] * m.far
+            c = int(v.input_cls[inputs[k]])
+            total += soft(m.out @ ctx + m.bias)[c]
+            if not (c < v.n_top or c == lm_score.END):
+                unit = inputs[k] - lm_score.CLASSES if inputs[k] >= lm_score.CLASSES else int(v.rest[c])
+                a, b = v.group_first[c], v.group_first[c + 1]
+                place = int(v.place[unit])
+                group = place // lm_score.GROUP
+                total += soft(m.groups[a:b] @ ctx + v.group_log[a:b])[group - a]
+                own = slice(group * lm_score.GROUP, (group + 1) * lm_score.GROUP)
+                total += soft(m.units[own] @ ctx + v.unit_log[group])[place % lm_score.GROUP]
+                if inputs[k] < lm_score.CLASSES:
+                    seen = int(v.n[at[k - 2]]) if known[k - 2] else 0
+                    total += np.log((seen + lm_score.ALPHA) / v.rest_mass[c])
+        assert abs(got[d].score - total / np.log(10)) < 1e-3 * got[d].n_tokens
+    better = [got[d].score > got[d].base_score for d, t in held[:40]]
+    assert sum(better) == 40
+
+
 def test_the_network_grows_with_the_corpus():
     h = np.arange(1, 50_001, dtype=np.uint64)
     sizes = [len(lm_score.Vocabulary(h, np.full(50_000, k), np.full(50_000, lm_score.TOP), {lm_score.TOP: (50_000 * k, 50_000)}, 10).unit_cls) for k in (2, 8, 32)]
