@@ -692,3 +692,55 @@ def test_stages_tell_rows_with_null_and_repeated_ids_apart(spark, tmp_path):
     spark.createDataFrame([(7, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_benchmark_passages(spark, df, str(tmp_path)).collect())
     assert got == collections.Counter(rows[:9])
+
+
+def test_the_pipeline_equals_brute_force(spark, tmp_path):
+    """Repeated rows, null ids and texts, the space mark, a long text, garbage, leaks and shared passages."""
+    import corpus_pipeline
+
+    passage, item = prose(70, 50), prose(71, 40)
+    base = [prose(100 + i, 50 + 7 * i) for i in range(24)]
+    texts = [(i, t) for i, t in enumerate(base)]
+    texts += [(40, base[1]), (None, base[2]), (None, prose(90, 45)), (None, prose(90, 45)), (3, base[3]), (3, base[3]), (3, prose(91, 66))]
+    texts += [(50, base[5] + " tail"), (51, f"{prose(92, 50)} {passage} {prose(93, 50)}"), (52, f"{prose(94, 50)}\n{passage}\n{prose(95, 60)}"), (53, passage)]
+    texts += [(60, f"{prose(96, 30)} {item}"), (61, " ".join(item.split()[20:] + ["so"] + item.split()[:20])), (62, "load \u2581\u2582 alpha12 beta7 gamma5"), (63, prose(97, 6000))]
+    texts += [(70, None), (71, ""), (72, "12 34 !?"), (73, "\u0416\u0409\u0436 \u0444\u0431\u0446 " * 9)]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    # the garbage text has no language, so that no profile is learned from it
+    rows = [(i, t, None if i == 73 else lang, s, n) for i, t, lang, s, n in rows]
+    spark.createDataFrame(rows, kind).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = [(i, t) for i, t in texts if t and any(c.isalpha() for c in t) and i != 73]
+    # near copies
+    sets, root = shingle_sets(left), list(range(len(left)))
+    for _ in range(2):
+        for a in range(len(left)):
+            for b in range(len(left)):
+                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    first = {}
+    for k, (i, t) in enumerate(left):
+        first.setdefault(root[k], []).append(((i is None, i or 0), k))
+    left = [left[k] for k in sorted(min(x)[1] for x in first.values())]
+    # repeated passages
+    words, kept = removed_by_hand(left, 35)
+    left = [(i, t if len(k) == len(w) else " ".join(x.decode() for x in k)) for (i, t), w, k in zip(left, words, kept, strict=True) if k or not w]
+    # leaks
+    loose = lambda t: "".join(c if c.isalnum() or ord(c) > 127 else " " for c in t.lower()).split()
+    own = loose(item)
+    left = [(i, t) for i, t in left if len(t) > 20_000 or sum(n for *_, n in tiles_by_hand(own, loose(t), 4)) < 0.5 * len(own)]
+    lib = sentencepiece_codec.Codec(sentencepiece_codec.default_model()).library
+    want = collections.Counter((i, lib.decode(lib.encode(t)), lib.decode(lib.encode(t)) == t) for i, t in left)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r.text, r.round_trip) for r in got) == want
+    assert sum(r.doc_id is None for r in got) == 1 and {51, 52, 62, 63} <= {r.doc_id for r in got} and not {53, 60, 61, 73} & {r.doc_id for r in got}
+
+
+def test_the_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert not corpus_pipeline.run(spark, str(tmp_path)).count()
