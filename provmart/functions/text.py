@@ -66,6 +66,12 @@ def word_start(text: Column, pattern: str) -> Column:
     return text.rlike(r"\b\Q" + pattern.replace("\\E", "") + r"\E")
 
 
+def any_word_start(text: Column, patterns: Iterable[str]) -> Column:
+    """Whether one of some literals begins a word of (folded) text: one pass over the text for all of them."""
+    parts = ["\\Q" + p.replace("\\E", "") + "\\E" for p in patterns]
+    return text.rlike(r"\b(?:" + "|".join(parts) + ")") if parts else F.lit(False)
+
+
 # --- shape validators: a value or null -------------------------------------
 
 
@@ -98,8 +104,20 @@ def half_step(c: Column) -> Column:
 
 def page_rating(c: Column) -> Column:
     """At most two digits and 32 decimals, rounded half-even to three places, 0 to 5."""
-    v = F.when(c.rlike(r"^[0-9]{1,2}(\.[0-9]{1,32})?\z"), F.bround(c.try_cast("decimal(38,32)"), 3).cast("decimal(4,3)"))
-    return F.when((v >= 0) & (v <= 5), v)
+    v = F.when(c.rlike(r"^[0-9]{1,2}(\.[0-9]{1,32})?\z"), F.bround(c.try_cast("decimal(38,32)"), 3))
+    return F.when((v >= 0) & (v <= 5), v).try_cast("decimal(4,3)")
+
+
+#: Precision, scale and greatest value of the decimal measures; the least is 0.
+MEASURES = {"rating": (4, 3, "5"), "one_star_share": (4, 3, "1"), "response_rate": (4, 3, "1"), "response_delay_days": (5, 1, "9999.9")}
+
+
+def measure(name: str, c: Column) -> Column:
+    """A measure exactly as written, inside its range; more digits than the column holds are refused, not rounded."""
+    precision, scale, most = MEASURES[name]
+    shape = rf"^[0-9]{{1,{precision - scale}}}(\.[0-9]{{1,{scale}}})?\z"
+    value = F.when(c.rlike(shape), c.try_cast(f"decimal({precision},{scale})"))
+    return F.when(value <= F.lit(most).cast(f"decimal({precision},{scale})"), value)
 
 
 def real_day(c: Column) -> Column:
@@ -138,11 +156,16 @@ def rounded(unit: str, c: Column) -> Column:
     return F.bround(c, 0) if unit == "count" else F.round(c, PLACES[unit])
 
 
+#: Display forms by unit.
+FORMS = {"stars": "%.1f★", "pct": "%.1f%%", "days": "%.1f days", "count": "%,.0f", "eur": "€%,.2f", "logeur": "%.6f log-euros", "": "%.2f"}
+
+
 def displayed(unit: str, c: Column) -> Column:
-    forms = {"star": "%.1f ★", "percent": "%.1f %%", "days": "%.1f days", "eur": "%,.2f €", "logeur": "%.4f log-euros", "count": "%,.0f"}
-    if unit not in forms:
-        raise ValueError(f"unknown unit {unit!r}")
-    return F.format_string(forms[unit], (c * 100 if unit == "percent" else c).cast("double"))
+    """A number as text in its display unit; a unit outside the closed set raises."""
+    if unit not in FORMS:
+        raise ValueError(f"unknown display unit {unit!r}; expected one of {sorted(FORMS)}")
+    value = c * 100 if unit == "pct" else F.bround(c, 0) if unit == "count" else c
+    return F.format_string(FORMS[unit], value.cast("double"))
 
 
 def rounded_up(c: Column) -> Column:

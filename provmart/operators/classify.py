@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, word_start
+from ..functions.text import any_word_start, fold
 
 UNCLASSIFIED, POSITIVE = "unclassified", "positive"
 
 
 def labels_of(text: Column, rules: dict[str, list[str]]) -> Column:
     """All themes with a pattern at a word start; else positive; else unclassified."""
-    hit = lambda ps: F.coalesce(F.greatest(*[word_start(text, p).cast("int") for p in ps], F.lit(0)) == 1, F.lit(False))
+    hit = lambda ps: F.coalesce(any_word_start(text, ps), F.lit(False))
     themes = F.array_compact(F.array(*[F.when(hit(ps), F.lit(label)) for label, ps in rules.items() if label != POSITIVE]))
     positive = hit(rules.get(POSITIVE, []))
     return F.when(F.size(themes) > 0, themes).when(positive, F.array(F.lit(POSITIVE))).otherwise(F.array(F.lit(UNCLASSIFIED)))
@@ -26,6 +26,15 @@ def classify(docs: DataFrame, rules: dict[str, list[str]], text: str = "text", k
     return folded.select(*keys, F.explode(labels_of(F.col("_folded"), rules)).alias("theme"))
 
 
+def decided(docs: DataFrame, rules: dict[str, list[str]], cache: DataFrame, prompt_version: str, model: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, theme) by rules, and by cached decisions where no rule matches: texts are classified once and joined once."""
+    labelled = docs.select(key, labels_of(fold(F.col(text)), rules).alias("_labels"))
+    known = cache.where((F.col("prompt_version") == prompt_version) & (F.col("model") == model)).groupBy(key).agg(F.collect_set("theme").alias("_known"))
+    open_ = F.col("_labels") == F.array(F.lit(UNCLASSIFIED))
+    themes = F.when(open_, F.coalesce("_known", "_labels")).otherwise(F.col("_labels"))
+    return labelled.join(known, key, "left").select(key, F.explode(themes).alias("theme"))
+
+
 def unresolved(classified: DataFrame, key: str = "doc_id") -> DataFrame:
     """Ids whose only label is unclassified."""
     return classified.groupBy(key).agg(F.min("theme").alias("lo"), F.max("theme").alias("hi")).where(f"lo = '{UNCLASSIFIED}' AND hi = '{UNCLASSIFIED}'").select(key)
@@ -49,11 +58,16 @@ def merge_decisions(classified: DataFrame, cache: DataFrame, prompt_version: str
     return kept.union(decided).distinct()
 
 
-def theme_share(classified: DataFrame, groups: list[str], key: str = "doc_id") -> DataFrame:
-    """Per cell and label: rows of the label over distinct ids of the cell. Shares may add up to more than one."""
+def theme_share(classified: DataFrame, groups: list[str], key: str = "doc_id", run_id: str | None = None) -> DataFrame:
+    """Per cell and label: rows of the label over distinct ids of the cell. Shares may add up to more than one.
+
+    With ``run_id`` a cell's label carries the least run id of its rows.
+    """
+    run = [F.min(run_id).alias("run_id")] if run_id else []
     total = classified.groupBy(*groups).agg(F.count_distinct(key).alias("reviews"))
-    rows = classified.groupBy(*groups, F.col("theme").alias("label")).agg(F.count("*").alias("label_rows"))
-    return rows.join(total, groups).select(*groups, "label", F.round(F.col("label_rows").cast("double") / F.col("reviews"), 6).alias("share"), "label_rows", "reviews")
+    rows = classified.groupBy(*groups, F.col("theme").alias("label")).agg(F.count("*").alias("label_rows"), *run)
+    share = F.round(F.col("label_rows").cast("double") / F.col("reviews"), 6).alias("share")
+    return rows.join(total, groups).select(*groups, "label", share, "label_rows", "reviews", *(["run_id"] if run_id else []))
 
 
 def grades(predicted: DataFrame, actual: DataFrame, labels: list[str], keys: list[str]) -> DataFrame:

@@ -148,9 +148,9 @@ def unresolved_ids(spark, sf):
 
 
 def merge_decisions(spark, sf):
-    c = classified(spark, sf)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     cache = table(spark, sf, "documents").where("doc_id % 2 = 0").select("doc_id", F.lit("v1").alias("prompt_version"), F.lit("m").alias("model"), F.expr("CASE WHEN doc_id % 3 = 0 THEN 'delay' ELSE 'refund' END").alias("theme"))
-    return K.merge_decisions(c, cache, "v1", "m")
+    return K.decided(docs, RULES, cache, "v1", "m")
 
 
 def theme_share_by_month(spark, sf):

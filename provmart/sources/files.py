@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.latest import latest_by
 from ..operators.load import Refused
 
 # Headers of the declared inputs.
@@ -19,16 +21,16 @@ MEASURES = ("rating", "review_count", "one_star_share", "response_rate", "respon
 
 
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...], sep: str = ",", exact: bool = True) -> DataFrame:
-    """A CSV file whose header equals the declared columns (or holds them); every cell is text.
+    """CSV files whose headers equal the declared columns (or hold them); every cell is text.
 
-    A row with too few or too many cells makes the read fail.
+    A header of any file that differs, or a row with too few or too many cells, makes the read fail.
     """
     head = spark.read.option("header", False).option("sep", sep).csv(path).limit(1).first()
     names = [(h or "").lstrip("﻿").strip() for h in head] if head else []
     if (tuple(names) != tuple(columns)) if exact else not set(columns) <= set(names):
         raise Refused(f"{path}: header {names}, declared {list(columns)}")
     schema = ", ".join(f"`{n}` string" for n in names)
-    return spark.read.option("header", True).option("sep", sep).option("mode", "FAILFAST").option("enforceSchema", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path).select(*columns)
+    return spark.read.option("header", True).option("sep", sep).option("mode", "FAILFAST").option("enforceSchema", False).option("multiLine", True).option("escape", '"').schema(schema).csv(path).select(*columns)
 
 
 def refuse_where(df: DataFrame, bad, rule: str, *show: str) -> None:
@@ -41,7 +43,7 @@ def _measured(df: DataFrame) -> DataFrame:
     blank = lambda c: F.nullif(F.trim(c), F.lit(""))
     for name in MEASURES:
         given = blank(F.col(name))
-        value = T.count_value(given) if name == "review_count" else F.when(T.decimal_shape(given), F.replace(given, F.lit(","), F.lit(".")).try_cast("decimal(5,1)" if name == "response_delay_days" else "decimal(4,3)"))
+        value = T.count_value(given) if name == "review_count" else T.measure(name, given)
         refuse_where(df, given.isNotNull() & value.isNull(), f"{name} is not a measure", name)
         df = df.withColumn(name, value)
     return df
@@ -61,8 +63,16 @@ def read_anchors(spark: SparkSession, path: str) -> DataFrame:
     return _measured(read_csv(spark, path, ANCHORS)).withColumnRenamed("platform", "source").withColumn("origin", F.lit("anchor"))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def read_manual(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:
-    """Hand-entered snapshots; only of declared sources without a parser."""
+    """Hand-entered snapshots; only of declared sources without a parser. A missing file is no rows."""
+    where, system = _hadoop(spark, path)
+    if not system.exists(where):
+        return _measured(spark.createDataFrame([], ", ".join(f"{c} string" for c in MANUAL))).withColumn("origin", F.lit("manual"))
     df = _measured(read_csv(spark, path, MANUAL))
     allowed = F.broadcast(sources.where("parser IS NULL").select("source"))
     if row := df.join(allowed, "source", "left_anti").first():
@@ -111,37 +121,137 @@ def read_star_export(spark: SparkSession, path: str, id_col: str, date_col: str,
     return out
 
 
-def read_amounts(spark: SparkSession, path: str, amount: str = "PRS_REM_MNT", kind: str = "PRS_REM_TYP", kinds: tuple[str, ...] = ("0", "1")) -> DataFrame:
-    """Positive amounts of the legal kinds. A gzip file is known by its first bytes, whatever its name."""
-    first = spark.read.format("binaryFile").load(path).select(F.hex(F.substring("content", 1, 2)).alias("m"), "path").collect()
-    for r in first:
-        if r.m == "1F8B" and not r.path.endswith(".gz"):
-            raise Refused(f"{r.path}: gzip data under a plain name; name it .gz")
-    df = read_csv(spark, path, (amount, kind), sep=";", exact=False)
+def _by_content(spark: SparkSession, path: str, scratch: str) -> list[str]:
+    """The files under a path; those whose name says otherwise than their first two bytes about gzip are copied under a right name."""
+    out = []
+    for r in spark.read.format("binaryFile").load(path).select("path").collect():
+        where, system = _hadoop(spark, r.path)
+        stream = system.open(where)
+        try:
+            zipped = [stream.read(), stream.read()] == [0x1F, 0x8B]
+        finally:
+            stream.close()
+        if zipped == r.path.endswith(".gz"):
+            out.append(r.path)
+            continue
+        right = f"{scratch.rstrip('/')}/{where.getName().removesuffix('.gz')}" + (".gz" if zipped else "")
+        to, other = _hadoop(spark, right)
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(system, where, other, to, False, spark._jsc.hadoopConfiguration())
+        out.append(right)
+    return out
+
+
+def read_amounts(spark: SparkSession, path: str, scratch: str, amount: str = "PRS_REM_MNT", kind: str = "PRS_REM_TYP", kinds: tuple[str, ...] = ("0", "1")) -> DataFrame:
+    """Positive amounts of the legal kinds. A gzip file is known by its first bytes; one with a wrong name is copied to ``scratch``, a shared folder."""
+    df = None
+    for name in _by_content(spark, path, scratch):
+        one = read_csv(spark, name, (amount, kind), sep=";", exact=False)
+        df = one if df is None else df.unionByName(one)
+    if df is None:
+        raise Refused(f"{path}: no file")
     return df.where(F.trim(kind).isin(*kinds)).select(T.amount(F.col(amount)).alias("amount")).where("amount IS NOT NULL")
 
 
+def read_fee_table(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
+    """A fee table, ``;`` between cells, with any number of byte order marks before its first header."""
+    head = spark.read.option("header", False).option("sep", ";").csv(path).limit(1).first()
+    names = [(h or "").lstrip("\ufeff").strip() for h in head] if head else []
+    if missing := sorted(set(columns) - set(names)):
+        raise Refused(f"{path}: columns {missing} are missing")
+    schema = ", ".join(f"`{n}` string" for n in names)
+    return spark.read.option("header", True).option("sep", ";").option("mode", "FAILFAST").option("enforceSchema", True).schema(schema).csv(path).select(*columns)
+
+
+def read_answer_key(spark: SparkSession, path: str, labels: tuple[str, ...]) -> DataFrame:
+    """(review_id, label) of a closed set of labels; a pair given twice or an empty id is refused."""
+    df = read_csv(spark, path, ("review_id", "label"))
+    refuse_where(df, ~F.col("label").isin(*labels) | F.col("label").isNull(), "label is not one of the closed set", "review_id", "label")
+    refuse_where(df, F.coalesce(F.trim("review_id"), F.lit("")) == "", "review_id is empty", "review_id", "label")
+    refuse_where(df.groupBy("review_id", "label").count(), F.col("count") > 1, "given twice", "review_id", "label")
+    return df
+
+
+def read_decisions(spark: SparkSession, path: str, labels: tuple[str, ...]) -> DataFrame:
+    """(review_id, prompt_version, model, theme) of cached decisions, themes from a closed set."""
+    df = read_csv(spark, path, ("review_id", "prompt_version", "model", "theme"))
+    refuse_where(df, ~F.col("theme").isin(*labels) | F.col("theme").isNull(), "theme is not one of the closed set", "review_id", "theme")
+    return df
+
+
 def read_name_values(spark: SparkSession, path: str, names: tuple[str, ...], most: int = 64 << 10) -> dict[str, str]:
     """A small name,value artifact with exactly the closed set of names."""
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length").alias("n")).first().n
     if size > most:
         raise Refused(f"{path}: {size} bytes, at most {most}")
     rows = [(r.name, r.value) for r in read_csv(spark, path, ("name", "value")).collect()]
-    if sorted(n for n, _ in rows) != sorted(names):
-        raise Refused(f"{path}: names differ from the declared set")
+    given = [n for n, _ in rows]
+    if twice := sorted({n for n in given if given.count(n) > 1}):
+        raise Refused(f"{path}: names {twice} are given twice")
+    if set(given) != set(names):
+        raise Refused(f"{path}: unknown names {sorted(set(given) - set(names))}, missing {sorted(set(names) - set(given))}")
     return dict(rows)
 
 
-def read_captures(spark: SparkSession, root: str) -> DataFrame:
-    """(source_url, captured_at, page, body) of a capture folder: page-<n>.<ext> with page-<n>.meta.json."""
+# Names of the fit artifact.
+FIT_NAMES = ("mu", "sigma", "n", "emp_mean", *[f"{side}_p{p}" for p in range(10, 100, 10) for side in ("emp", "fit")])
+
+
+def read_fit(spark: SparkSession, path: str) -> dict[str, float]:
+    """The fit artifact, every value a finite number, n a count."""
+    raw, out = read_name_values(spark, path, FIT_NAMES), {}
+    for name, text in raw.items():
+        if not re.fullmatch(r"[0-9]{1,10}" if name == "n" else r"-?[0-9]{1,12}(\.[0-9]{1,12})?", text or ""):
+            raise Refused(f"{path}: {name}={text!r}")
+        out[name] = int(text) if name == "n" else float(text)
+    return out
+
+
+def read_fee_split(spark: SparkSession, path: str, families: tuple[str, ...]) -> dict[str, tuple[int, int, float]]:
+    """family -> (extra, tariff, share): whole euros, and shares that equal the sums to six places."""
+    raw, out = read_name_values(spark, path, tuple(f"{f}_{x}" for f in (*families, "overall") for x in ("extra", "tariff", "share"))), {}
+    for f in (*families, "overall"):
+        cells = [raw[f"{f}_{x}"] or "" for x in ("extra", "tariff", "share")]
+        if not all(re.fullmatch(r"[0-9]{1,12}", c) for c in cells[:2]):
+            raise Refused(f"{path}: {f}: not whole euros")
+        extra, tariff = int(cells[0]), int(cells[1])
+        if extra + tariff == 0:
+            raise Refused(f"{path}: {f} billed nothing")
+        if cells[2] != f"{extra / (extra + tariff):.6f}":
+            raise Refused(f"{path}: {f}: share {cells[2]} is not that of the sums")
+        out[f] = extra, tariff, float(cells[2])
+    if [sum(out[f][k] for f in families) for k in (0, 1)] != list(out["overall"][:2]):
+        raise Refused(f"{path}: overall is not the sum of the families")
+    return out
+
+
+def read_captures(spark: SparkSession, root: str, declared: list[str] | None = None, host: str | None = None) -> DataFrame:
+    """(capture, source_url, captured_at, page, body) of capture folders: page-<n>.<ext> with page-<n>.meta.json.
+
+    A sidecar has exactly three fields: a real instant, status 200, and an https address
+    on the source's host that is one of its declared pages.  Refused pages
+    (``page-<n>.refused.<ext>``) are no pages.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.decode("content", "UTF-8").alias("body"))
     stem = F.regexp_extract("path", r"^(.*/page-[0-9]+)\.", 1)
     meta = files.where("path LIKE '%.meta.json'").select(stem.alias("stem"), F.from_json("body", "source_url string, captured_at string, status int").alias("m"), F.json_object_keys("body").alias("keys"))
     refuse_where(meta, ~(F.array_sort("keys") == F.array(F.lit("captured_at"), F.lit("source_url"), F.lit("status"))), "sidecar keys", "stem")
-    pages = files.where("path NOT LIKE '%.meta.json'").select(stem.alias("stem"), "body")
+    address = F.col("m.source_url")
+    bad = F.col("m.status").isNull() | (F.col("m.status") != 200) | T.real_instant(F.col("m.captured_at")).isNull() | address.isNull() | ~address.startswith("https://")
+    if host is not None:
+        bad |= F.lower(F.regexp_extract(address, r"^https://([^/?#:@]+)", 1)) != host
+    if declared is not None:
+        bad |= ~address.isin(*declared)
+    refuse_where(meta, F.coalesce(bad, F.lit(True)), "sidecar values", "stem", "m")
+    pages = files.where(F.col("path").rlike(r"/page-[0-9]+\.[^./]+\z")).select(stem.alias("stem"), "body")
     if row := pages.join(meta, "stem", "left_anti").first():
         raise Refused(f"{row.stem}: no sidecar")
-    return pages.join(meta, "stem").select("m.source_url", "m.captured_at", F.regexp_extract("stem", r"page-([0-9]+)$", 1).cast("int").alias("page"), "body")
+    capture = F.regexp_extract("stem", r"([^/]+)/page-[0-9]+$", 1).alias("capture")
+    return pages.join(meta, "stem").select(capture, "m.source_url", "m.captured_at", F.regexp_extract("stem", r"page-([0-9]+)$", 1).cast("int").alias("page"), "body")
+
+
+def first_snapshot(snapshots: DataFrame, capture: str = "capture", page: str = "page") -> DataFrame:
+    """One snapshot of each capture: that of its first page that carries one."""
+    return latest_by(snapshots, [capture], [F.asc(page)])
 
 
 def read_rules(path_text: str, allowed: tuple[str, ...]) -> dict[str, list[str]]:

@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SCRIPT = re.compile(r"<script[^>]*application/ld\+json[^>]*>(.*?)</script", re.I | re.S)
@@ -43,44 +43,61 @@ def aggregate_rating(html: str) -> tuple[str, str]:
 
 
 class _Microdata(HTMLParser):
-    """Scopes with their properties; what is inside an author scope is never read."""
+    """Scopes with their properties; what is inside an author scope is never read.
+
+    A property given twice in a scope, and a review inside a review, are refused.  Open
+    elements are found by the places of their tag, so unclosed ones cost nothing more.
+    """
 
     void = set("area base br col embed hr img input link meta source track wbr".split())
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open, self.scopes = [], []
+        self.open, self.scopes, self.places = [], [], {}
+        self.owners, self.texts, self.hidden = [], [], []
 
     def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        hidden = bool(self.open and self.open[-1]["hidden"]) or a.get("itemprop") == "author"
-        frame = {"tag": tag, "hidden": hidden, "prop": a.get("itemprop"), "scope": None}
+        a, depth = dict(attrs), len(self.open)
+        hidden = bool(self.hidden) or a.get("itemprop") == "author"
+        prop, scope, text = a.get("itemprop"), None, False
         if "itemscope" in a and not hidden:
-            frame["scope"] = {"type": (a.get("itemtype") or "").rsplit("/", 1)[-1]}
-            self.scopes.append(frame["scope"])
-        owner = self._owner()
-        if frame["prop"] and not hidden and owner is not None and frame["scope"] is None:
-            owner.setdefault(frame["prop"], a.get("content") if "content" in a else "")
-            frame["text"] = "content" not in a
-        if tag not in self.void:
-            self.open.append(frame)
+            scope = {"type": (a.get("itemtype") or "").rsplit("/", 1)[-1]}
+            if scope["type"] == "Review" and any(o["type"] == "Review" for _, o in self.owners):
+                raise ValueError("a review inside a review")
+            self.scopes.append(scope)
+        elif prop and not hidden and self.owners:
+            owner = self.owners[-1][1]
+            if prop in owner:
+                raise ValueError(f"{prop} is given twice")
+            owner[prop], text = a.get("content") or "", "content" not in a
+        if tag in self.void:
+            return
+        self.open.append(tag)
+        self.places.setdefault(tag, []).append(depth)
+        if hidden:
+            self.hidden.append(depth)
+        if scope is not None:
+            self.owners.append((depth, scope))
+        if text:
+            self.texts.append((depth, self.owners[-1][1], prop))
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i]["tag"] == tag:
-                del self.open[i:]
-                break
-
-    def _owner(self):
-        return next((f["scope"] for f in reversed(self.open) if f["scope"] is not None), None)
+        if not self.places.get(tag):
+            return
+        depth = self.places[tag][-1]
+        for inner in self.open[depth:]:
+            self.places[inner].pop()
+        del self.open[depth:]
+        for stack in (self.owners, self.texts):
+            while stack and stack[-1][0] >= depth:
+                stack.pop()
+        while self.hidden and self.hidden[-1] >= depth:
+            self.hidden.pop()
 
     def handle_data(self, data):
-        for f in reversed(self.open):
-            if f["hidden"]:
-                return
-            if f["prop"] and f.get("text"):
-                self._owner()[f["prop"]] += data
-                return
+        if self.texts and not self.hidden:
+            _, owner, prop = self.texts[-1]
+            owner[prop] += data
 
 
 _DATED = re.compile(r"([0-9]{2})/([0-9]{2})/([0-9]{4})")
@@ -202,11 +219,32 @@ def robots_allows(text: str, url: str, agent: str) -> bool:
     return True
 
 
-def allowed_pages(pages: DataFrame, robots: str, agent: str) -> DataFrame:
-    """(page_id, allowed) under one robots text."""
+def rule_pattern(rule: str) -> str:
+    """A rule as a regular expression in which no part is matched twice, so that many wildcards stay cheap."""
+    anchored = rule.endswith("$")
+    first, *rest = (rule[:-1] if anchored else rule).split("*")
+    quoted = ["\\Q" + part + "\\E" if part else "" for part in rest]
+    if not rest:
+        return "^\\Q" + first + "\\E" + ("\\z" if anchored else "")
+    inner = "".join(f"(?>.*?{part})" for part in (quoted[:-1] if anchored else quoted))
+    return "(?s)^" + ("\\Q" + first + "\\E" if first else "") + inner + (f".*{quoted[-1]}\\z" if anchored else "")
+
+
+def robots_allowed(url: Column, text: str, agent: str) -> Column:
+    """Allowed by the rules for the agent and by those for everyone, as an expression: the longest rule wins, ties allow."""
+    path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1), r"^(?!/)", "/")
+    path = F.regexp_replace(path, r"\?$", "")
+    named = lambda a: a not in ("", "*") and (agent in a or len(a) >= 3 and a in agent)
+    groups, out = parse_robots(text), F.lit(True)
+    for chosen in (named, lambda a: a == "*"):
+        rules = [r for agents, rs in groups if any(map(chosen, agents)) for r in rs if r[1]]
+        hits = [F.when(path.rlike(rule_pattern(p)), F.struct(F.lit(len(p)).alias("n"), F.lit(allow).alias("allow"))) for allow, p in rules]
+        if hits:
+            best = F.array_max(F.array(*hits))
+            out &= F.coalesce(best["allow"], F.lit(True))
+    return F.when(url.isNotNull(), out)
 
-    @F.pandas_udf("boolean")
-    def allows(urls: pd.Series) -> pd.Series:
-        return urls.map(lambda u: robots_allows(robots, u, agent), na_action="ignore")
 
-    return pages.select("page_id", allows("url").alias("allowed"))
+def allowed_pages(pages: DataFrame, robots: str, agent: str) -> DataFrame:
+    """(page_id, allowed) under one robots text; the rules are parsed once and matched in the JVM."""
+    return pages.select("page_id", robots_allowed(F.col("url"), robots, agent).alias("allowed"))

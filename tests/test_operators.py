@@ -136,3 +136,188 @@ def test_panel_contract():
         with pytest.raises(load.Refused):
             serve.check_panel(serve.Panel("P", "k", "t", [bad]))
     assert datetime  # no clock is read on the data path
+
+
+def test_display_forms(spark):
+    d = spark.createDataFrame([(1234.5, 0.231, 4.13, 2.5)], "eur double, pct double, stars double, count double")
+    row = d.select(*[T.displayed(u, F.col(c)).alias(c + u) for c, u in (("eur", "eur"), ("pct", "pct"), ("stars", "stars"), ("count", "count"), ("eur", "logeur"), ("eur", "days"), ("eur", ""))]).first()
+    assert tuple(row) == ("€1,234.50", "23.1%", "4.1★", "2", "1234.500000 log-euros", "1234.5 days", "1234.50")
+    with pytest.raises(ValueError):
+        T.displayed("yen", F.col("eur"))
+
+
+def test_measures_are_exact_and_in_range(spark):
+    got = one(spark, ["4.123", "4.1234", "9.5", "-3", "5", "0.5", "", "12"], *[T.measure(n, F.col("x")).cast("string") for n in ("rating", "one_star_share", "response_delay_days")])
+    assert got["4.123"] == ("4.123", None, None) and got["4.1234"] == got["-3"] == got[""] == (None, None, None)
+    assert got["9.5"] == (None, None, "9.5") and got["5"] == ("5.000", None, "5.0") and got["0.5"] == ("0.500", "0.500", "0.5") and got["12"] == (None, None, "12.0")
+
+
+def sheet(path, header, *rows):
+    path.write_text("\n".join([header, *rows]) + "\n", encoding="utf-8")
+    return str(path)
+
+
+def test_snapshot_readers_refuse(spark, tmp_path):
+    sources = spark.createDataFrame([("hand", None, False, ["https://a.example/1"]), ("page", "jsonld", True, ["https://b.example/1", "https://b.example/2"])], "source string, parser string, fetchable boolean, pages array<string>")
+    manual, fetched, anchors = (",".join(x) for x in (files.MANUAL, files.FETCHED, files.ANCHORS))
+    ok = files.read_manual(spark, sheet(tmp_path / "m.csv", manual, "hand,2026-01-01T00:00:00,4.5,10,0.125,,3.5,seen"), sources).first()
+    assert (str(ok.rating), ok.review_count, ok.response_rate, str(ok.response_delay_days), ok.origin) == ("4.500", 10, None, "3.5", "manual")
+    assert not files.read_manual(spark, str(tmp_path / "none.csv"), sources).count()
+    for row in ("page,2026-01-01T00:00:00,4.5,10,,,,seen", "hand,2026-01-01T00:00:00,9.5,10,,,,seen", "hand,2026-01-01T00:00:00,4.12345,10,,,,seen", "hand,2026-01-01T00:00:00,4.5,10,5.5,,,seen", "hand,2026-01-01T00:00:00,4.5,10,,,-3,seen"):
+        with pytest.raises(load.Refused):
+            files.read_manual(spark, sheet(tmp_path / "bad.csv", manual, row), sources)
+    got = files.read_fetched(spark, sheet(tmp_path / "f.csv", fetched, "page,2026-01-01T00:00:00,4.5,10,,,"), sources).first()
+    assert (got.source_url, got.origin) == ("https://b.example/1", "fetch")
+    with pytest.raises(load.Refused):
+        files.read_fetched(spark, sheet(tmp_path / "g.csv", fetched, "hand,2026-01-01T00:00:00,4.5,10,,,"), sources)
+    a = files.read_anchors(spark, sheet(tmp_path / "a.csv", anchors, "p,q,s,c,4.0,1,,,,2026-01-01T00:00:00,u,doc")).first()
+    assert (a.source, a.origin, str(a.rating)) == ("p", "anchor", "4.000")
+
+
+def test_every_file_of_a_folder_has_the_header(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    sheet(folder / "a.csv", "name,value", "x,1")
+    sheet(folder / "b.csv", "value,name", "2,y")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_csv(spark, str(folder), ("name", "value")).collect()
+
+
+def test_amounts_by_content(spark, tmp_path):
+    import gzip
+
+    text = "PRS_REM_MNT;PRS_REM_TYP;X\n1,5;0;a\n-2;0;a\n7;1;a\n9;4;a\n"
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "plain.csv").write_text(text)
+    (folder / "wrong.csv").write_bytes(gzip.compress(text.encode()))
+    (folder / "also.csv.gz").write_text(text)
+    (folder / "right.csv.gz").write_bytes(gzip.compress(text.encode()))
+    got = [r.amount for r in files.read_amounts(spark, str(folder), f"file://{tmp_path}/scratch").collect()]
+    assert sorted(got) == [1.5] * 4 + [7.0] * 4
+
+
+def test_captures_are_checked(spark, tmp_path):
+    import json
+
+    def capture(name, **meta):
+        folder = tmp_path / name / "c1"
+        folder.mkdir(parents=True)
+        for n in (1, 2, 10):
+            (folder / f"page-{n}.html").write_text(f"<p>{n}")
+            (folder / f"page-{n}.meta.json").write_text(json.dumps({"source_url": "https://h.example/a", "captured_at": "2026-01-02T03:04:05", "status": 200} | meta))
+        (folder / "page-3.refused.html").write_text("no")
+        return files.read_captures(spark, str(tmp_path / name), ["https://h.example/a"], "h.example")
+
+    got = capture("good").collect()
+    assert sorted((r.page, r.body, r.capture) for r in got) == [(1, "<p>1", "c1"), (2, "<p>2", "c1"), (10, "<p>10", "c1")]
+    assert [r.page for r in files.first_snapshot(capture("first")).collect()] == [1]
+    for k, bad in enumerate(({"status": 404}, {"captured_at": "2026-02-30T00:00:00"}, {"source_url": "http://h.example/a"}, {"source_url": "https://x.example/a"}, {"source_url": "https://h.example/b"}, {"more": 1})):
+        with pytest.raises(load.Refused):
+            capture(f"bad{k}", **bad)
+
+
+def test_microdata_refuses_nested_and_repeated():
+    review = '<div itemscope itemtype="x/Review"><i itemprop="datePublished">01/02/2026</i><b itemprop="reviewRating" itemscope itemtype="x/Rating"><meta itemprop="ratingValue" content="4">{0}</b>{1}</div>'
+    assert len(html_pages.microdata(review.format("", ""))[0]) == 1
+    for bad in (review.format("", review.format("", "")), review.format('<meta itemprop="ratingValue" content="5">', "")):
+        with pytest.raises(ValueError):
+            html_pages.microdata(bad)
+    html_pages.microdata("<div itemprop=a>" * 20_000)  # unclosed elements cost no more than closed ones
+
+
+def test_robots_expression_equals_the_matcher(spark):
+    text = "User-agent: *\nDisallow: /a*b$\nDisallow: /x\nAllow: /x/y\nDisallow: /*?q=\n\nUser-agent: ours\nDisallow: /only\nAllow: /only/*z$\n"
+    urls = ["https://h" + p for p in ("/a-b", "/a-bc", "/aXbYb", "/x/z", "/x/y/z", "/only/1", "/only/1z", "/", "", "?q=1", "/p?q=2#f", "/p?")] + ["https://h/" + "a" * 300]
+    got = one(spark, urls, html_pages.robots_allowed(F.col("x"), text + "Disallow: /" + "*a" * 30 + "x$\n", "ours-bot"))
+    assert got == {u: html_pages.robots_allows(text, u, "ours-bot") for u in urls}
+
+
+def test_artifacts(spark, tmp_path):
+    from provmart.sources import artifacts
+
+    fit = {"mu": 3.8, "sigma": 2.1, "n": 5000, "emp_mean": 847.5}
+    artifacts.write_fit(str(tmp_path / "fit.csv"), fit, [{"pct": p, "emp": p / 10, "fit": p / 11} for p in range(10, 100, 10)])
+    back = files.read_fit(spark, str(tmp_path / "fit.csv"))
+    assert (back["mu"], back["n"], back["emp_p90"]) == (3.8, 5000, 9.0) and M.parameters(fit | {"emp_p50": back["emp_p50"]})
+    sheet(tmp_path / "fit2.csv", "name,value", *(tmp_path / "fit.csv").read_text().splitlines()[1:], "mu,1")
+    for bad in ("fit2.csv",):
+        with pytest.raises(load.Refused):
+            files.read_fit(spark, str(tmp_path / bad))
+    rows = [{"family": "b", "extra": 1, "tariff": 3}, {"family": "overall", "extra": 3, "tariff": 9}, {"family": "a", "extra": 2, "tariff": 6}]
+    artifacts.write_fee_split(str(tmp_path / "fee.csv"), rows)
+    assert files.read_fee_split(spark, str(tmp_path / "fee.csv"), ("a", "b"))["overall"] == (3, 9, 0.25)
+    artifacts.write_fee_split(str(tmp_path / "fee2.csv"), rows[:1] + rows[2:] + [{"family": "overall", "extra": 4, "tariff": 9}])
+    with pytest.raises(load.Refused):
+        files.read_fee_split(spark, str(tmp_path / "fee2.csv"), ("a", "b"))
+    old, new = (spark.createDataFrame(x, "source string, captured_at string, rating string") for x in ([("s", "2026-01-01", "4")], [("s", "2026-01-01", "4"), ("s", "2026-01-08", "5")]))
+    path = str(tmp_path / "series.csv")
+    assert artifacts.record_series(path, old, new, ["source", "captured_at"]) == 1
+    first = (tmp_path / "series.csv").read_bytes()
+    assert artifacts.record_series(path, new, new, ["source", "captured_at"]) == 0 and (tmp_path / "series.csv").read_bytes() == first
+    artifacts.write_fixture(str(tmp_path / "fx"), {"a.csv": (["h"], [["1"]])})
+    artifacts.check_fixture(str(tmp_path / "fx"))
+    (tmp_path / "fx" / "a.csv").write_text("h\n2\n")
+    with pytest.raises(load.Refused):
+        artifacts.check_fixture(str(tmp_path / "fx"))
+    (tmp_path / "fees.csv").write_text("\ufeff\ufeffyear;extra\n2024;5\n", encoding="utf-8")
+    assert tuple(files.read_fee_table(spark, str(tmp_path / "fees.csv"), ("year", "extra")).first()) == ("2024", "5")
+    key = sheet(tmp_path / "key.csv", "review_id,label", "r1,delay")
+    assert files.read_answer_key(spark, key, ("delay",)).count() == 1
+    decisions = spark.createDataFrame([("r2", "v", "m", "delay"), ("r1", "v", "m", "delay")], "review_id string, prompt_version string, model string, theme string")
+    artifacts.write_decisions(str(tmp_path / "d.csv"), decisions)
+    assert [r.review_id for r in files.read_decisions(spark, str(tmp_path / "d.csv"), ("delay",)).collect()] == ["r1", "r2"]
+    for read, name, line in ((files.read_answer_key, "review_id,label", "r1,other"), (files.read_decisions, "review_id,prompt_version,model,theme", "r1,v,m,other")):
+        with pytest.raises(load.Refused):
+            read(spark, sheet(tmp_path / "bad.csv", name, line), ("delay",))
+
+
+def test_segments_and_families_are_closed(spark):
+    from provmart.sources import artifacts
+
+    reviews = spark.createDataFrame([(1, "a")], "id int, source string")
+    declared = lambda *rows: spark.createDataFrame(rows, "platform string, segment string")
+    assert artifacts.with_segment(reviews, declared(("a", "x"), ("b", "y"))).first().segment == "x"
+    for rows in ([("b", "y")], [("a", "x"), ("a", "y")]):
+        with pytest.raises(load.Refused):
+            artifacts.with_segment(reviews, declared(*rows)).collect()
+    split = spark.createDataFrame([("a", 1.0, 3.0, 0.25), ("b", 1.0, 1.0, 0.5), ("overall", 2.0, 4.0, 0.33)], "family string, extra double, tariff double, share double")
+    assert {(r.lowest, r.highest) for r in artifacts.closed_families(split, ["a", "b"]).collect()} == {(0.25, 0.5)}
+    with pytest.raises(load.Refused):
+        artifacts.closed_families(split, ["a", "c"])
+
+
+def test_serving_guards(spark, tmp_path):
+    import sqlite3
+
+    df = spark.createDataFrame([("run-1", "t", 1.50)], "run_id string, label string, share double").withColumn("share", F.col("share").cast("decimal(4,2)"))
+    assert serve.corpus_gate(df, {"run-1": "counted"}) == "counted" and serve.corpus_gate(df.where("false"), {}) == "no data"
+    for bad in ({}, {"run-2": "x"}):
+        with pytest.raises(load.Refused):
+            serve.corpus_gate(df, bad)
+    assert len(serve.served(df, {"run_id", "label", "share"})) == 1
+    with pytest.raises(load.Refused):
+        serve.served(df, {"label"})
+    serve.export_sqlite({"m": df}, str(tmp_path / "x.db"), {"body"})
+    db = sqlite3.connect(tmp_path / "x.db")
+    assert db.execute("SELECT share FROM m").fetchall() == [("1.50",)]
+    with pytest.raises(load.Refused):
+        serve.export_sqlite({"m": df}, str(tmp_path / "x.db"), {"label"})
+    serve.write_csv(df, str(tmp_path / "x.csv"), ["label"])
+    assert (tmp_path / "x.csv").read_text() == "run_id,label,share\nrun-1,t,1.50\n"
+
+
+def test_decided_equals_merged(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta"), (3, "none"), (4, "good"), (5, None)], "doc_id long, text string")
+    rules = {"a": ["alpha"], "b": ["beta"], "positive": ["good"]}
+    cache = spark.createDataFrame([(3, "v", "m", "b"), (3, "v", "m", "a"), (3, "w", "m", "c"), (1, "v", "m", "b")], "doc_id long, prompt_version string, model string, theme string")
+    want = {tuple(r) for r in K.merge_decisions(K.classify(docs, rules), cache, "v", "m").collect()}
+    got = K.decided(docs, rules, cache, "v", "m").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_reply_tokens_and_texts(spark):
+    assert one(spark, ["Delay, re-fund!", "-delay-", "delayed"], T.reply_labels(F.col("x"), ["delay", "re-fund"])) == {"Delay, re-fund!": ["delay", "re-fund"], "-delay-": ["delay"], "delayed": []}
+    d = spark.createDataFrame([(" t ", "b\n"), (None, "b"), ("t", " "), (None, None)], "t string, b string")
+    assert [r.x for r in d.select(T.joined_text(F.col("t"), F.col("b")).alias("x")).collect()] == ["t\nb", "b", "t", ""]
+    assert one(spark, ["1234.0", "0.034"], T.rounded_up(F.col("x").cast("double"))) == {"1234.0": 2000.0, "0.034": pytest.approx(0.04)}

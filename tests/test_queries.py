@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from provmart.plans import registry
+from provmart.plans import panels, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -17,12 +17,15 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(registry.SQL))
+QUERIES, SQL = registry.QUERIES | panels.QUERIES, registry.SQL | panels.SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, db, name):
-    df = registry.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
-    cur = db.execute(registry.SQL[name])
+    cur = db.execute(SQL[name])
     names = [d[0] for d in cur.description]
     assert sorted(names) == cols
     want = sorted(repr(tuple(r[names.index(c)] for c in cols)) for r in cur.fetchall())
