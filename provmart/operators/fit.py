@@ -20,19 +20,66 @@ def lognormal_fit(df: DataFrame, amount: str) -> DataFrame:
     return df.agg(F.round(F.avg(F.ln(x)), 6).alias("mu"), F.round(F.stddev_pop(F.ln(x)), 6).alias("sigma"), F.count(x).alias("n"), F.round(F.avg(x), 6).alias("emp_mean"))
 
 
-def fit_deciles(df: DataFrame, amount: str) -> DataFrame:
-    """Empirical deciles (exact, interpolated) against exp(mu + sigma z).
+#: Bins of a round; rows of a bin that one task sorts.
+BINS, SORTED = 2048, 50_000
+
+
+def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
+    """The values at some places (from 0) of a column of numbers in order, without sorting it.
 
-    Exact percentiles need the distinct amounts with their counts; they are counted first,
-    so that what one task merges grows with the distinct amounts only.
+    A histogram is refined inside the bins that hold the places, until each holds one value or
+    few enough rows to sort; the driver gets bins only.
     """
+    x = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
+    ends = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).first()
+    out: dict[int, float] = {}
+    todo = {(ends.lo, ends.hi, ends.n): [(r, r) for r in ranks if 0 <= r < ends.n]} if ends.n else {}
+    while todo := {span: asked for span, asked in todo.items() if asked}:
+        deeper: dict[tuple, list[tuple[int, int]]] = {}
+        for (lo, hi, n), asked in todo.items():
+            inside = x.where((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)))
+            if lo == hi:
+                out |= {rank: lo for rank, _ in asked}
+            elif n <= SORTED:
+                places = [place for _, place in asked]
+                row = inside.groupBy("x").count().orderBy("x").collect() if n <= 1000 else None
+                if row is None:
+                    w = Window.orderBy("x")
+                    row = inside.withColumn("k", F.row_number().over(w) - 1).where(F.col("k").isin(places)).collect()
+                    at = {r.k: r.x for r in row}
+                else:
+                    at, before = {}, 0
+                    for r in row:
+                        at |= {place: r.x for place in places if before <= place < before + r["count"]}
+                        before += r["count"]
+                out |= {rank: at[place] for rank, place in asked}
+            else:
+                bin_ = F.least(F.lit(BINS - 1), ((F.col("x") - F.lit(lo)) / F.lit(hi - lo) * BINS).cast("int"))
+                bins = inside.groupBy(bin_.alias("bin")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).collect()
+                before = 0
+                for r in sorted(bins, key=lambda r: r.bin):
+                    own = [(rank, place - before) for rank, place in asked if before <= place < before + r.n]
+                    deeper.setdefault((r.lo, r.hi, r.n), []).extend(own)
+                    before += r.n
+        todo = deeper
+    return out
+
+
+def fit_deciles(df: DataFrame, amount: str) -> DataFrame:
+    """Empirical deciles (exact, interpolated) against exp(mu + sigma z)."""
+    spark = df.sparkSession
     x = df.where(F.col(amount) > 0).select(F.col(amount).alias("x"))
-    fit = x.agg(F.avg(F.ln("x")).alias("mu"), F.stddev_pop(F.ln("x")).alias("sigma"))
-    counted = x.groupBy("x").agg(F.count("*").alias("n"))
-    emp = counted.agg(F.percentile("x", F.array(*[F.lit(p) for p in DECILES]), F.col("n")).alias("q"))
-    zs = F.array(*[F.lit(z(p)) for p in DECILES])
-    both = fit.crossJoin(emp)  # one row each
-    return both.select(F.posexplode("q").alias("i", "emp"), "mu", "sigma").select(((F.col("i") + 1) * 10).cast("int").alias("pct"), F.round("emp", 4).alias("emp"), F.round(F.exp(F.col("mu") + F.col("sigma") * F.get(zs, F.col("i"))), 4).alias("fit"))
+    fit = x.agg(F.avg(F.ln("x")).alias("mu"), F.stddev_pop(F.ln("x")).alias("sigma"), F.count("*").alias("n")).first()
+    if not fit.n:
+        return spark.createDataFrame([], "pct int, emp double, fit double")
+    places = {p: (fit.n - 1) * p for p in DECILES}
+    at = order_statistics(x, "x", sorted({r for h in places.values() for r in (int(h), min(fit.n - 1, int(h) + 1))}))
+    rows = []
+    for p, h in places.items():
+        low, high = at[int(h)], at[min(fit.n - 1, int(h) + 1)]
+        rows.append((round(p * 100), low + (high - low) * (h - int(h)), fit.mu, fit.sigma, z(p)))
+    out = spark.createDataFrame(rows, "pct int, emp double, mu double, sigma double, z double")
+    return out.select("pct", F.round("emp", 4).alias("emp"), F.round(F.exp(F.col("mu") + F.col("sigma") * F.col("z")), 4).alias("fit"))
 
 
 def systematic_sample(df: DataFrame, valid: Column, order: str, n: int) -> DataFrame:

@@ -321,3 +321,67 @@ def test_reply_tokens_and_texts(spark):
     d = spark.createDataFrame([(" t ", "b\n"), (None, "b"), ("t", " "), (None, None)], "t string, b string")
     assert [r.x for r in d.select(T.joined_text(F.col("t"), F.col("b")).alias("x")).collect()] == ["t\nb", "b", "t", ""]
     assert one(spark, ["1234.0", "0.034"], T.rounded_up(F.col("x").cast("double"))) == {"1234.0": 2000.0, "0.034": pytest.approx(0.04)}
+
+
+def test_order_statistics_equal_sorting(spark, monkeypatch):
+    import random
+
+    from provmart.operators import fit as fitting
+
+    r = random.Random(5)
+    values = [r.lognormvariate(3, 2) for _ in range(6000)] + [7.5] * 4000 + [0.0, -3.0]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    want = sorted(values)
+    ranks = [0, 1, 2500, 5000, 5001, 9999, len(values) - 1]
+    for most in (50_000, 300):
+        monkeypatch.setattr(fitting, "SORTED", most)
+        assert fitting.order_statistics(df, "x", ranks) == {k: want[k] for k in ranks}
+    assert fitting.order_statistics(df.where("false"), "x", [0]) == {}
+
+
+def test_sql_files(spark):
+    from provmart.plans import warehouse
+
+    text = "-- now; it begins\nSELECT 1 AS a, 'x;now()' AS b;\nSELECT 2 AS c -- like this\n;"
+    assert [df.columns for df in warehouse.run_sql(spark, text)] == [["a", "b"], ["c"]] and not warehouse.lint(text)
+    assert len(warehouse.lint("SELECT now() FROM t WHERE a LIKE 'b' QUALIFY 1 = 1")) == 3
+    spark.range(3).createOrReplaceTempView("three")
+    assert "three" in warehouse.tables(spark) and warehouse.columns(spark, "three") == [("id", "bigint")]
+    with pytest.raises(load.Refused):
+        warehouse.columns(spark, "none")
+
+
+def test_commands(spark, tmp_path, capsys):
+    import json
+
+    from provmart import __main__ as cli
+
+    project, store = tmp_path / "project", str(tmp_path / "store")
+    project.mkdir()
+    source = {"source": "a", "platform": "a", "segment": "digital", "channel": "open", "profile": "p", "parser": None, "fetchable": False, "pages": ["https://a.example/1", "https://a.example/2"]}
+    (project / "sources.json").write_text(json.dumps([source]))
+    review = "a,{0},u,2026-01-0{0}T00:00:00,2026-01-0{0},4,{1},{2}"
+    sheet(project / "reviews.csv", ",".join(files.REVIEWS), review.format(1, "slow", "answer is late"), review.format(2, "good", "fine"), review.format(3, "x", "nothing"), review.format(3, "x", "nothing"))
+    sheet(project / "manual.csv", ",".join(files.MANUAL), "a,2026-01-01T00:00:00,4.5,10,0.125,,3.5,seen")
+    (project / "rules.yaml").write_text("delay:\n  - late\npositive:\n  - fine\n")
+    sheet(project / "decisions.csv", "review_id,prompt_version,model,theme", "a:3,v1,none,refund")
+    assert cli.run(spark, cli.parser().parse_args(["idempotency-check", str(project), store])) is None
+    spark.catalog.clearCache()
+    themes = {(r.review_id, r.theme) for r in spark.read.parquet(f"{store}/stg_classified_reviews").collect()}
+    assert themes == {("a:1", "delay"), ("a:2", "positive"), ("a:3", "refund")}
+    assert spark.read.parquet(f"{store}/rating_trend").count() == 1 and spark.read.parquet(f"{store}/raw_reviews").count() == 3
+    key = sheet(tmp_path / "key.csv", "review_id,label", "a:1,delay")
+    (tmp_path / "fees.csv").write_text("f;t;e\nx;3;1\ny;4;4\n")
+    (tmp_path / "amounts.csv").write_text("PRS_REM_MNT;PRS_REM_TYP\n" + "".join(f"{k};0\n" for k in range(1, 40)))
+    for args in (
+        ["label-sample", store, "2", str(tmp_path / "sheet.csv")], ["classify-eval", store, key], ["report", store, str(tmp_path / "r.html"), "--run", "check-1"], ["export", store, str(tmp_path / "x.db")],
+        ["split-fees", str(tmp_path / "fees.csv"), "f", "t", "e", str(tmp_path / "split.csv")], ["fit-amounts", str(tmp_path / "amounts.csv"), str(tmp_path / "scratch"), str(tmp_path / "fit.csv")], ["simulate"],
+    ):
+        cli.run(spark, cli.parser().parse_args(args))
+    assert len((tmp_path / "sheet.csv").read_text().splitlines()) == 3 and "digital delay" in (tmp_path / "r.html").read_text()
+    assert files.read_fee_split(spark, str(tmp_path / "split.csv"), ("x", "y"))["overall"][:2] == (5, 7) and files.read_fit(spark, str(tmp_path / "fit.csv"))["emp_p50"] == 20.0
+    for bad in (["rebuild", str(project), store, "--stage", "all"], ["reset", store], ["label-sample", store, "0", "x"]):
+        with pytest.raises(load.Refused):
+            cli.run(spark, cli.parser().parse_args(bad))
+    cli.run(spark, cli.parser().parse_args(["reset", store, "--confirm", "store"]))
+    assert "deleted" in capsys.readouterr().out
