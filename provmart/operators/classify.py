@@ -21,9 +21,12 @@ def labels_of(text: Column, rules: dict[str, list[str]]) -> Column:
 
 
 def classify(docs: DataFrame, rules: dict[str, list[str]], text: str = "text", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(keys, theme), one row per label; column expressions only."""
+    """(keys, theme), one row per label; column expressions only.
+
+    A text always has a label.  The outer form says so: the plain one adds a filter that evaluates all rules again.
+    """
     folded = docs.select(*keys, fold(F.col(text)).alias("_folded"))
-    return folded.select(*keys, F.explode(labels_of(F.col("_folded"), rules)).alias("theme"))
+    return folded.select(*keys, F.explode_outer(labels_of(F.col("_folded"), rules)).alias("theme"))
 
 
 def decided(docs: DataFrame, rules: dict[str, list[str]], cache: DataFrame, prompt_version: str, model: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -32,7 +35,7 @@ def decided(docs: DataFrame, rules: dict[str, list[str]], cache: DataFrame, prom
     known = cache.where((F.col("prompt_version") == prompt_version) & (F.col("model") == model)).groupBy(key).agg(F.collect_set("theme").alias("_known"))
     open_ = F.col("_labels") == F.array(F.lit(UNCLASSIFIED))
     themes = F.when(open_, F.coalesce("_known", "_labels")).otherwise(F.col("_labels"))
-    return labelled.join(known, key, "left").select(key, F.explode(themes).alias("theme"))
+    return labelled.join(known, key, "left").select(key, F.explode_outer(themes).alias("theme"))
 
 
 def unresolved(classified: DataFrame, key: str = "doc_id") -> DataFrame:
