@@ -7,16 +7,23 @@ from .html_wrapper import op6_html_wrapper
 from .kd_shards import op5_kd_shards
 from .language_id import op3_language_id
 from .lm_score import op8_lm_score
+from .merkle import op11_merkle_manifest
 from .nearest import op10_nearest
 from .ngram_jaccard import op2_ngram_jaccard
 from .sentencepiece_codec import op1_sentencepiece
 from .substring_dedup import op7_substring_dedup
 from .warc_index import op4_warc_index
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard, op3_language_id, op4_warc_index, op5_kd_shards, op6_html_wrapper, op7_substring_dedup, op8_lm_score, op9_decontamination, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard, op3_language_id, op4_warc_index, op5_kd_shards, op6_html_wrapper, op7_substring_dedup, op8_lm_score, op9_decontamination, op10_nearest, op11_merkle_manifest)}
 
 _WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
 
+
+def _field(c: str) -> str:
+    """A field as it enters a leaf of the manifest."""
+    return f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+
+
 SQL = {
     "op2_ngram_jaccard": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
@@ -43,4 +50,28 @@ v AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 34], ' ')) AS h FROM (SEL
 c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM v WHERE h IN (SELECT h FROM v GROUP BY h HAVING count(*) > 1)),
 k AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.j) AS kept, count(*) AS n FROM t ANTI JOIN c ON t.doc_id = c.doc_id AND t.j = c.j GROUP BY t.doc_id)
 SELECT w.doc_id, len(ws) AS n_words, len(ws) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+    "op11_merkle_manifest": """
+WITH RECURSIVE c AS (SELECT *, list_reduce(list_transform(split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT)), lambda r, b:
+    list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(r, b)), CAST(4294967295 AS BIGINT)) AS r FROM documents),
+d AS (SELECT doc_id, source, xor(r, 4294967295) % 5 = 0 AS forged, text,
+    concat_ws('', {doc_id}, {source}, {lang}, {n_chars}) AS head FROM c),
+l AS (SELECT doc_id, source, sha256(concat(head, {text})) AS leaf, sha256(concat(head, {other})) AS other, forged,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM d),
+g AS (SELECT source, 0 AS level, idx, leaf AS h, n FROM l
+    UNION ALL SELECT source, level + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), (n + 15) // 16 FROM g WHERE n > 1 GROUP BY source, level, idx // 16, n),
+s AS (SELECT source, h, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM g WHERE n = 1),
+u AS (SELECT 0 AS level, idx, h, n FROM s
+    UNION ALL SELECT level + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), (n + 15) // 16 FROM u WHERE n > 1 GROUP BY level, idx // 16, n),
+w AS (SELECT doc_id, source, 0 AS level, idx, n, CASE WHEN forged THEN other ELSE leaf END AS h, '' AS proof FROM l
+    UNION ALL SELECT w.doc_id, w.source, w.level + 1, w.idx // 16, (w.n + 15) // 16, sha256(string_agg(CASE WHEN g.idx = w.idx THEN w.h ELSE g.h END, '' ORDER BY g.idx)),
+      any_value(w.proof) || coalesce(string_agg(CASE WHEN g.idx <> w.idx THEN g.h END, '' ORDER BY g.idx), '')
+    FROM w JOIN g ON g.source IS NOT DISTINCT FROM w.source AND g.level = w.level AND g.idx // 16 = w.idx // 16 WHERE w.n > 1 GROUP BY w.doc_id, w.source, w.level, w.idx, w.n),
+v AS (SELECT w.doc_id, w.source, 0 AS level, s.idx, s.n, w.h, w.proof FROM w JOIN s ON s.source IS NOT DISTINCT FROM w.source WHERE w.n = 1
+    UNION ALL SELECT v.doc_id, v.source, v.level + 1, v.idx // 16, (v.n + 15) // 16, sha256(string_agg(CASE WHEN u.idx = v.idx THEN v.h ELSE u.h END, '' ORDER BY u.idx)),
+      any_value(v.proof) || coalesce(string_agg(CASE WHEN u.idx <> v.idx THEN u.h END, '' ORDER BY u.idx), '')
+    FROM v JOIN u ON u.level = v.level AND u.idx // 16 = v.idx // 16 WHERE v.n > 1 GROUP BY v.doc_id, v.source, v.level, v.idx, v.n),
+r AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT l.doc_id, l.leaf, s.h AS subroot, r.root, sha256(v.proof) AS proof_sha256, v.h AS folded_root, v.h = r.root AS verified
+FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN v ON v.doc_id = l.doc_id AND v.n = 1, r""".format(
+        **{c: _field(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}, other=_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")),
 }
