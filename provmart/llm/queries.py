@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .content_sort import op12_exact_dedup
 from .decontaminate import op9_decontamination
 from .html_wrapper import op6_html_wrapper
 from .kd_shards import op5_kd_shards
@@ -12,9 +13,10 @@ from .nearest import op10_nearest
 from .ngram_jaccard import op2_ngram_jaccard
 from .sentencepiece_codec import op1_sentencepiece
 from .substring_dedup import op7_substring_dedup
+from .term_audit import op13_source_audit
 from .warc_index import op4_warc_index
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard, op3_language_id, op4_warc_index, op5_kd_shards, op6_html_wrapper, op7_substring_dedup, op8_lm_score, op9_decontamination, op10_nearest, op11_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_ngram_jaccard, op3_language_id, op4_warc_index, op5_kd_shards, op6_html_wrapper, op7_substring_dedup, op8_lm_score, op9_decontamination, op10_nearest, op11_merkle_manifest, op12_exact_dedup, op13_source_audit)}
 
 _WORDS = r"coalesce(regexp_extract_all({}, '[^\x20\x09-\x0D]+'), [])"
 
@@ -74,4 +76,23 @@ r AS (SELECT h AS root FROM u WHERE n = 1)
 SELECT l.doc_id, l.leaf, s.h AS subroot, r.root, sha256(v.proof) AS proof_sha256, v.h AS folded_root, v.h = r.root AS verified
 FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN v ON v.doc_id = l.doc_id AND v.n = 1, r""".format(
         **{c: _field(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}, other=_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")),
+    "op12_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size,
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))""",
+    "op13_source_audit": r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (coalesce(n.n, 0) + 2 * v.v) AS p, 1 + (1000000000::HUGEINT * (k.c + 2)) // (v.n + 2 * v.v) AS q
+      FROM g JOIN k ON k.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN n ON n.lang = g.lang AND n.source = g.source LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE c > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM o WHERE part = 'pair' OR rank <= 10""",
 }

@@ -3,13 +3,16 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from provmart.llm import common as C
-from provmart.llm import merkle
+from provmart.llm import content_sort, merkle, term_audit
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 ODD = [None, "", " ", "\x00", "One", "two Words", "x" * 3000, "\U0001f642 é\n\t ÉA ß", "La " * 4000, "A-b_c9D"]
@@ -103,3 +106,126 @@ def test_a_parent_is_emitted_by_the_task_that_adds_its_last_child():
     want = levels_of([d.hex() for d in digests])
     assert sorted((x[2], x[3], x[6].hex()) for x in out) == [(1, 0, want[1][0]), (1, 1, want[1][1]), (2, 0, want[2][0])]
     assert not list(forest.left()) and out[-1][-1]
+
+
+# 12
+
+
+def groups_by_hand(rows):
+    """keep_id, size and digest of every row; of the rows with the id that stays, one is kept."""
+    by = collections.defaultdict(list)
+    for i, text in rows:
+        by[text or ""].append(i)
+    for text, ids in by.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        digest, left = hashlib.sha256(text.encode()).hexdigest(), True
+        for i in ids:
+            yield i, keep, len(ids), left and i == keep, digest
+            left &= i != keep
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 37])
+def test_groups_of_equal_texts_over_any_number_of_ranges(spark, rows, ranges):
+    """A group of a third of all rows, texts with a long common beginning, longer and shorter ones."""
+    r = random.Random(ranges)
+    long = "the same beginning of many texts, longer than what splitters see " * 3
+    texts = [t for *_, t in rows] + ["the copy of a third of all rows"] * 600 + [long + str(k % 20) for k in range(60)] + ["y" * 400_000] * 3
+    data = [(r.randrange(10**6) if k % 50 else None, t) for k, t in enumerate(texts)] + [(5, "twice"), (5, "twice"), (None, "never an id")]
+    docs = spark.createDataFrame([(*x, "clash", 1) for x in data], "doc_id long, text string, digest string, part int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = collections.Counter(tuple(x) for x in content_sort.exact_groups(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == collections.Counter(groups_by_hand(data))
+
+
+def test_equality_after_a_normal_form_and_an_empty_table(spark):
+    docs = spark.createDataFrame([("b", "A  x"), ("a", "a x"), ("c", None), ("d", "")], "doc_id string, text string")
+    plain = lambda c: F.regexp_replace(F.lower(c), " +", " ")
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in content_sort.exact_groups(docs, normalise=plain).collect()}
+    assert got == {"a": ("b", 2, False), "b": ("b", 2, True), "c": ("d", 2, False), "d": ("d", 2, True)}
+    assert not content_sort.exact_groups(docs.where("false")).count()
+
+
+def test_digests_decide_nothing():
+    """Neighbours with one digest and different texts stay apart."""
+    runs = content_sort.Runs(pa.int64())
+    texts = ["a", "a", "b", "b", "c"]
+    out = [*runs.read(3, pa.array([9, 8, 7, 6, 5]), pa.array([b"x"] * 5), pa.array(texts)), *runs.read(3, pa.array([4, 3]), pa.array([b"x"] * 2), pa.array(["c", "d"])), *runs.close(end=True)]
+    table = pa.Table.from_batches(out)
+    assert table.column("keep_id").to_pylist() == [9, 9, 7, 7, 5, 5, 3] and table.column("group_size").to_pylist() == [2, 2, 2, 2, 2, 2, 1]
+    assert table.column("edge").to_pylist() == [1, 1, 0, 0, 0, 0, 2] and table.column("edge_text").to_pylist() == ["a", None, None, None, None, None, "d"]
+
+
+# 13
+
+
+def audit_by_hand(rows, least=10, top=10):
+    """rows: (lang, source, text)."""
+    rows = [tuple(x or "" for x in r) for r in rows]
+    count, docs = collections.Counter(), collections.defaultdict(set)
+    for n, (lang, source, text) in enumerate(rows):
+        for term in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text.translate(LOW)):
+            count[lang, source, term] += 1
+            docs[lang, term].add(n)
+    for lang in {r[0] for r in rows}:
+        kept = [t for (x, t), d in docs.items() if x == lang and len(d) >= least]
+        v, sources = len(kept), sorted({r[1] for r in rows if r[0] == lang})
+        p = {}
+        for s in sources:
+            n = sum(count[lang, s, t] for t in kept)
+            p[s] = {t: 1 + 10**9 * (count[lang, s, t] + 2) // (n + 2 * v) for t in kept}
+        n = sum(count[lang, s, t] for s in sources for t in kept)
+        q = {t: 1 + 10**9 * (sum(count[lang, s, t] for s in sources) + 2) // (n + 2 * v) for t in kept}
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        for s in sources:
+            pairs = [(-sum(f(p[s][t], p[o][t]) for t in kept), o.encode(), o) for o in sources if o != s]
+            terms = [(-f(p[s][t], q[t]), t.encode(), t) for t in kept if count[lang, s, t] and p[s][t] > q[t]]
+            for part, found, most in (("pair", pairs, None), ("term", terms, top)):
+                for rank, (value, _, item) in enumerate(sorted(found)[:most], 1):
+                    yield lang, s, part, item, -value, rank
+
+
+@pytest.fixture(scope="module")
+def audited(rows):
+    r = random.Random(8)
+    words = "the The of été ÉTÉ naïve x yy zzz 日本 日本語 日 ß the-end a_b don't thea thean".split()
+    out = [(lang, source, (text or "") + " " + " ".join(r.choice(words) for _ in range(r.randrange(12)))) for _, source, lang, _, text in rows]
+    return [*out, (None, None, None), ("xx", "no terms", "12 34 !"), ("en", "no terms", ""), ("en", "rare", "hapax " * 40), ("de", "hot", "q" * 200_000), *[("en", "hot", "q" * 5000)] * 12]
+
+
+def shape(df):
+    return collections.Counter(tuple(x) for x in df.select("lang", "source", "part", "item", "value", "rank").collect())
+
+
+@pytest.mark.parametrize("leaves, cells, rows_of_range", [(term_audit.TRIE_LEAVES, term_audit.SUM_CELLS, term_audit.RANGE_ROWS), (5, 40, 20)])
+def test_audit_equals_the_one_by_hand(spark, audited, monkeypatch, leaves, cells, rows_of_range):
+    """Also with tries that are handed on early, many ranges, and sums that are handed on early."""
+    monkeypatch.setattr(term_audit, "RANGE_ROWS", rows_of_range)
+    defaults = term_audit.Limits(leaves, cells)
+    docs = spark.createDataFrame([(*x, "clash", 2) for x in audited], "lang string, source string, text string, term string, sid int").repartition(5)
+    got = shape(term_audit.audit(docs, limits=defaults))
+    assert got == collections.Counter(audit_by_hand(audited)) and len(got) > 1000
+
+
+def test_audit_of_nothing(spark, audited):
+    docs = spark.createDataFrame(audited, "lang string, source string, text string")
+    assert not term_audit.audit(docs.where("false")).count()
+    none = term_audit.audit(docs.where("lang = 'xx' OR source = 'rare'"), min_docs=99)
+    assert not none.count()
+
+
+def test_a_trie_walks_in_the_order_of_bytes_and_numbers_its_leaves():
+    r = random.Random(2)
+    terms = ["".join(r.choice("ab日é") for _ in range(r.randrange(1, 9))).encode() for _ in range(800)]
+    trie = term_audit.Trie()
+    leaf = {t: trie.add(t) for t in terms}
+    assert all(trie.add(t) == leaf[t] for t in terms) and sorted(leaf.values()) == list(range(trie.size))
+    assert list(trie.walk()) == sorted(leaf.items())
+
+
+def test_shares_of_counts_beyond_64_bits():
+    counts, total = np.array([10**12, 0]), np.array([3 * 10**12, 3 * 10**12])
+    assert term_audit.share(counts, total).tolist() == [1 + 10**9 * (10**12 + 2) // (3 * 10**12), 1 + 2 * 10**9 // (3 * 10**12)]
