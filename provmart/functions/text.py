@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
-#: Latin letters with marks, and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
-UNIT_SEPARATOR = "\u001f"
 
+from .folding import fold as fold
 
-def fold(text: Column) -> Column:
-    """Lower case without Latin accents; sharp s becomes ss. Stays in the JVM."""
-    return F.replace(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit("ß"), F.lit("ss"))
+UNIT_SEPARATOR = "\u001f"
 
 
-@F.pandas_udf(StringType())
-def fold_any(texts: pd.Series) -> pd.Series:
-    """Fold of any script: compatibility decomposition, marks removed, case folded."""
-    one = lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).casefold()
-    return texts.map(one, na_action="ignore")
+#: The fold of any script; the same as ``fold``, which once knew Latin letters only.
+fold_any = fold
 
 
 def month(day: Column) -> Column:
@@ -61,17 +49,6 @@ def joined_text(title: Column, body: Column) -> Column:
     return stripped(F.concat_ws("\n", part(title), part(body)))
 
 
-def word_start(text: Column, pattern: str) -> Column:
-    """Whether a literal begins a word of (folded) text."""
-    return text.rlike(r"\b\Q" + pattern.replace("\\E", "") + r"\E")
-
-
-def any_word_start(text: Column, patterns: Iterable[str]) -> Column:
-    """Whether one of some literals begins a word of (folded) text: one pass over the text for all of them."""
-    parts = ["\\Q" + p.replace("\\E", "") + "\\E" for p in patterns]
-    return text.rlike(r"\b(?:" + "|".join(parts) + ")") if parts else F.lit(False)
-
-
 # --- shape validators: a value or null -------------------------------------
 
 
@@ -115,8 +92,10 @@ MEASURES = {"rating": (4, 3, "5"), "one_star_share": (4, 3, "1"), "response_rate
 def measure(name: str, c: Column) -> Column:
     """A measure exactly as written, inside its range; more digits than the column holds are refused, not rounded."""
     precision, scale, most = MEASURES[name]
-    shape = rf"^[0-9]{{1,{precision - scale}}}(\.[0-9]{{1,{scale}}})?\z"
-    value = F.when(c.rlike(shape), c.try_cast(f"decimal({precision},{scale})"))
+    whole = F.substring_index(c, ".", 1)
+    places = F.when(c.contains("."), F.char_length(c) - F.char_length(whole) - 1).otherwise(0)
+    fits = c.rlike(r"^[0-9]+(\.[0-9]+)?\z") & (F.char_length(whole) <= precision - scale) & (places <= scale)
+    value = F.when(fits, c).try_cast(f"decimal({precision},{scale})")
     return F.when(value <= F.lit(most).cast(f"decimal({precision},{scale})"), value)
 
 

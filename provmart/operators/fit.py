@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from . import work
+from .load import Refused
+from .ranks import ranked
+
 DECILES = [k / 10 for k in range(1, 10)]
 
 
@@ -20,60 +25,84 @@ def lognormal_fit(df: DataFrame, amount: str) -> DataFrame:
     return df.agg(F.round(F.avg(F.ln(x)), 6).alias("mu"), F.round(F.stddev_pop(F.ln(x)), 6).alias("sigma"), F.count(x).alias("n"), F.round(F.avg(x), 6).alias("emp_mean"))
 
 
-#: Bins of a round; rows of a bin that one task sorts.
-BINS, SORTED = 2048, 50_000
+#: Accuracy of the sketch: ranks are known to one part in so many.
+ACCURACY = 10_000
+#: Rows of a range of bracketed values, which one task sorts.
+SORTED = 50_000
+
 
+def finite(c: Column) -> Column:
+    """A number that is one: null, NaN and infinities are none."""
+    x = c.cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
 
-def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
-    """The values at some places (from 0) of a column of numbers in order, without sorting it.
 
-    A histogram is refined inside the bins that hold the places, until each holds one value or
-    few enough rows to sort; the driver gets bins only.
+def order_statistics(df: DataFrame, column: str, ranks: list[int], n: int | None = None, sketch: list[tuple[float, float]] | None = None) -> dict[int, float]:
+    """The values at some places (from 0) of the numbers of a column in order: two scans at any size.
+
+    A quantile sketch gives a bracket around every place.  One exact pass then counts what lies below each
+    bracket and writes the rows inside all of them, a few parts in ten thousand; their ranks, over
+    ranges, name the values.  A bracket that missed its place is widened to the whole column.
     """
-    x = df.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
-    ends = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).first()
+    x = df.select(finite(F.col(column)).alias("x")).where("x IS NOT NULL")
+    if n is None or sketch is None:
+        n, sketch = _sketched(x, ranks, n)
+    asked = [r for r in ranks if 0 <= r < n]
+    if not asked:
+        return {}
+    spans = sorted({sketch[ranks.index(r)] for r in asked})
     out: dict[int, float] = {}
-    todo = {(ends.lo, ends.hi, ends.n): [(r, r) for r in ranks if 0 <= r < ends.n]} if ends.n else {}
-    while todo := {span: asked for span, asked in todo.items() if asked}:
-        deeper: dict[tuple, list[tuple[int, int]]] = {}
-        for (lo, hi, n), asked in todo.items():
-            inside = x.where((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)))
-            if lo == hi:
-                out |= {rank: lo for rank, _ in asked}
-            elif n <= SORTED:
-                places = [place for _, place in asked]
-                row = inside.groupBy("x").count().orderBy("x").collect() if n <= 1000 else None
-                if row is None:
-                    w = Window.orderBy("x")
-                    row = inside.withColumn("k", F.row_number().over(w) - 1).where(F.col("k").isin(places)).collect()
-                    at = {r.k: r.x for r in row}
-                else:
-                    at, before = {}, 0
-                    for r in row:
-                        at |= {place: r.x for place in places if before <= place < before + r["count"]}
-                        before += r["count"]
-                out |= {rank: at[place] for rank, place in asked}
-            else:
-                bin_ = F.least(F.lit(BINS - 1), ((F.col("x") - F.lit(lo)) / F.lit(hi - lo) * BINS).cast("int"))
-                bins = inside.groupBy(bin_.alias("bin")).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")).collect()
-                before = 0
-                for r in sorted(bins, key=lambda r: r.bin):
-                    own = [(rank, place - before) for rank, place in asked if before <= place < before + r.n]
-                    deeper.setdefault((r.lo, r.hi, r.n), []).extend(own)
-                    before += r.n
-        todo = deeper
+    while len(out) < len(asked):
+        seen = Observation()
+        inside = F.array_compact(F.array(*[F.when((F.col("x") >= F.lit(lo)) & (F.col("x") <= F.lit(hi)), F.lit(k)) for k, (lo, hi) in enumerate(spans)]))
+        below = [F.count_if(F.col("x") < F.lit(lo)).alias(f"b{k}") for k, (lo, _) in enumerate(spans)]
+        kept = x.observe(seen, *below).select("x", F.explode(inside).alias("span")).groupBy("span", "x").agg(F.count("*").alias("k"))
+        kept = work.stored(kept, "brackets")
+        # places of equal values are the first and the one after the last, from counts summed over ranges
+        placed = _running(kept)
+        for k in range(len(spans)):
+            first = seen.get[f"b{k}"]
+            own = [r for r in asked if r not in out and r >= first]
+            if own:
+                rows = placed.where(F.col("span") == k).where(reduce(lambda a, b: a | b, [(F.col("before") <= r - first) & (F.col("before") + F.col("k") > r - first) for r in own])).collect()
+                out |= {r: v.x for r in own for v in rows if v.before <= r - first < v.before + v.k}
+        work.forget(kept)
+        spans = [(float("-inf"), float("inf"))]
     return out
 
 
+def _sketched(x: DataFrame, ranks: list[int], n: int | None) -> tuple[int, list[tuple[float, float]]]:
+    n = x.count() if n is None else n
+    if not n:
+        return 0, []
+    ends = [max(0.0, min(1.0, r / n + side * 3 / ACCURACY)) for r in ranks for side in (-1, 1)]
+    found = x.agg(F.percentile_approx("x", ends, ACCURACY).alias("q"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    return n, [(found.lo if ends[2 * i] == 0 else found.q[2 * i], found.hi if ends[2 * i + 1] == 1 else found.q[2 * i + 1]) for i in range(len(ranks))]
+
+
+def _running(values: DataFrame) -> DataFrame:
+    """(span, x, k, before): how many rows of the span come before each value, from sums over ranges of values."""
+    parts = max(1, -(-values.count() // SORTED))
+    cut = work.stored(values.repartitionByRange(parts, "span", "x").select("*", F.spark_partition_id().alias("part")), "spans")
+    sums = cut.groupBy("span", "part").agg(F.sum("k").alias("n"))
+    sums = sums.select("span", "part", F.coalesce(F.sum("n").over(Window.partitionBy("span").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = Window.partitionBy("span", "part").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    return cut.withColumn("own", F.coalesce(F.sum("k").over(own), F.lit(0))).join(sums, ["span", "part"]).select("span", "x", "k", (F.col("base") + F.col("own")).alias("before"))
+
+
 def fit_deciles(df: DataFrame, amount: str) -> DataFrame:
-    """Empirical deciles (exact, interpolated) against exp(mu + sigma z)."""
+    """Empirical deciles (exact, interpolated) against exp(mu + sigma z): the fit and a sketch in one scan, one exact pass."""
     spark = df.sparkSession
-    x = df.where(F.col(amount) > 0).select(F.col(amount).alias("x"))
-    fit = x.agg(F.avg(F.ln("x")).alias("mu"), F.stddev_pop(F.ln("x")).alias("sigma"), F.count("*").alias("n")).first()
+    x = df.select(finite(F.col(amount)).alias("x")).where("x > 0")
+    # the interpolated place of a decile lies between two ranks; both are within a bracket around it
+    near = [max(0.0, min(1.0, p + side * 3 / ACCURACY)) for p in DECILES for side in (-1, 1)]
+    fit = x.agg(F.avg(F.ln("x")).alias("mu"), F.stddev_pop(F.ln("x")).alias("sigma"), F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.percentile_approx("x", near, ACCURACY).alias("q")).first()
     if not fit.n:
         return spark.createDataFrame([], "pct int, emp double, fit double")
     places = {p: (fit.n - 1) * p for p in DECILES}
-    at = order_statistics(x, "x", sorted({r for h in places.values() for r in (int(h), min(fit.n - 1, int(h) + 1))}))
+    spans = {p: (fit.lo if fit.n < ACCURACY else fit.q[2 * i], fit.hi if fit.n < ACCURACY else fit.q[2 * i + 1]) for i, p in enumerate(DECILES)}
+    asked = [(r, spans[p]) for p, h in places.items() for r in (int(h), min(fit.n - 1, int(h) + 1))]
+    at = order_statistics(x, "x", [r for r, _ in asked], fit.n, [s for _, s in asked])
     rows = []
     for p, h in places.items():
         low, high = at[int(h)], at[min(fit.n - 1, int(h) + 1)]
@@ -85,18 +114,13 @@ def fit_deciles(df: DataFrame, amount: str) -> DataFrame:
 def systematic_sample(df: DataFrame, valid: Column, order: str, n: int) -> DataFrame:
     """Every stride-th valid row in order, n at most; stride = max(1, valid // n).
 
-    Rows are numbered by counting key ranges first, so that no task numbers the whole table.
+    The order may be of any type; null keys come first.  Ranks come from ranges of rows, so no task numbers more than one range.
     """
-    rows = df.where(valid)
-    ends = rows.agg(F.count("*").alias("k"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
-    if not ends.k:
-        return rows
-    stride, step = max(1, ends.k // n), max(1, (int(ends.hi) - int(ends.lo)) // 200 + 1)
-    part = rows.withColumn("_range", F.floor((F.col(order) - F.lit(ends.lo)) / step).cast("int"))
-    base = part.groupBy("_range").agg(F.count("*").alias("_k")).withColumn("_base", F.sum("_k").over(Window.orderBy("_range")) - F.col("_k")).drop("_k")
-    numbered = part.withColumn("_rn", F.row_number().over(Window.partitionBy("_range").orderBy(order))).join(F.broadcast(base), "_range")
-    at = F.col("_base") + F.col("_rn") - 1
-    return numbered.where((at % stride == 0) & (at / stride < n)).drop("_range", "_rn", "_base")
+    if n < 1:
+        raise Refused(f"a sample of {n} rows")
+    rows = ranked(df.where(valid), [F.col(order).asc_nulls_first()])
+    stride = F.greatest(F.lit(1), F.expr(f"n DIV {n}"))
+    return rows.where((F.col("idx") % stride == 0) & (F.expr("idx") / stride < n)).select(*df.columns)
 
 
 def fee_split(df: DataFrame, family: str, tariff: str, extra: str) -> DataFrame:

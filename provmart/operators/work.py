@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import tempfile
-import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@lru_cache(1)
+def _own() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="work-")
+
+
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset and all runs in one process, as in tests, a new folder is set."""
+    """``spark.checkpoint.dir``; where it is unset and all runs in one process, as in tests, a folder of this process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="work-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own()
     return found.rstrip("/")
 
 
+_COUNTER = itertools.count()
+
+
+def unique(spark: SparkSession) -> str:
+    """A name that no other application and no other call has; nothing is drawn at random."""
+    return f"{spark.sparkContext.applicationId}-{next(_COUNTER)}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/work/{name}-{uuid.uuid4().hex}"
+    return f"{folder(spark)}/work/{name}-{unique(spark)}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

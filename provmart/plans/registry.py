@@ -66,7 +66,8 @@ def dated(spark: SparkSession, sf: str) -> DataFrame:
     """Classified documents with language and the month of the order of the same number."""
     d = table(spark, sf, "documents").select("doc_id", F.col("lang").alias("segment"), "source")
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("doc_id"), F.date_format("o_orderdate", "yyyy-MM").alias("month"))
-    return classified(spark, sf).join(d, "doc_id").join(o, "doc_id")
+    found = K.classified_once(table(spark, sf, "documents").select("doc_id", "text"), RULES)
+    return found.join(d, "doc_id").join(o, "doc_id")
 
 
 _DATED = f"(SELECT c.doc_id, c.theme, d.lang AS segment, d.source, strftime(o.o_orderdate, '%Y-%m') AS month FROM {_CLASSIFIED} c JOIN documents d USING (doc_id) JOIN orders o ON o.o_orderkey = c.doc_id)"

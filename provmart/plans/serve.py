@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import html
+import re
 import sqlite3
 from dataclasses import dataclass, field
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.load import Refused
+from ..sources.artifacts import write_sorted
 
 TAGS = ("Measured", "Documented", "Modeled", "Pending")
 
@@ -30,6 +33,8 @@ class Panel:
     points: list[Point] = field(default_factory=list)
     markers: list[float] = field(default_factory=list)
     grid: list[float] = field(default_factory=list)
+    note: str = ""
+    links: list[str] = field(default_factory=list)
 
 
 def check_panel(p: Panel) -> Panel:
@@ -43,9 +48,24 @@ def check_panel(p: Panel) -> Panel:
             raise Refused(f"{p.id}/{x.label}: a pending number has a value")
     if not set(p.markers) <= set(p.grid):
         raise Refused(f"{p.id}: a marker is off the grid")
+    for link in p.links:
+        if not (web_address(link) or repository_file(link)):
+            raise Refused(f"{p.id}: {link!r} is no web address and no file of the repository")
     return p
 
 
+def web_address(text: str) -> bool:
+    """http or https with a host, and nothing that ends an attribute or begins a line."""
+    parts = urlsplit(text)
+    return parts.scheme in ("http", "https") and bool(parts.hostname) and not re.search(r"[\s\"'<>]", text)
+
+
+def repository_file(text: str) -> bool:
+    """A relative path of plain names without a step up."""
+    steps = text.split("/")
+    return all(re.fullmatch(r"[A-Za-z0-9_.-]+", s) and s != ".." for s in steps)
+
+
 def served(df: DataFrame, allowed: set[str], most: int = 4000) -> list:
     """Rows of a small mart whose columns are all on the allow-list."""
     if extra := set(df.columns) - allowed:
@@ -71,12 +91,14 @@ def render(panels: list[Panel]) -> str:
     out = []
     for p in map(check_panel, panels):
         rows = "".join(f"<tr><th>{html.escape(x.label)}</th><td>{html.escape(x.absent or f'{x.value:g}')}</td><td>{x.tag}</td></tr>" for x in p.points)
-        out.append(f'<section id="{html.escape(p.id, True)}" class="{html.escape(p.kind, True)}"><h2>{html.escape(p.title)}</h2><table>{rows}</table></section>')
+        note = f"<p>{html.escape(p.note)}</p>" if p.note else ""
+        links = "".join(f'<a href="{html.escape(x, True)}">{html.escape(x)}</a> ' for x in p.links)
+        out.append(f'<section id="{html.escape(p.id, True)}" class="{html.escape(p.kind, True)}"><h2>{html.escape(p.title)}</h2>{note}<table>{rows}</table>{links}</section>')
     return "<!doctype html><meta charset=utf-8>" + "".join(out)
 
 
 def export_sqlite(marts: dict[str, DataFrame], path: str, forbidden: set[str]) -> None:
-    """Small marts into a SQLite file; text columns that may identify a person never leave. Decimals are exact strings."""
+    """Marts into a SQLite file; text columns that may identify a person never leave. Decimals are exact strings."""
     db = sqlite3.connect(path)
     with db:
         for name, df in marts.items():
@@ -85,15 +107,11 @@ def export_sqlite(marts: dict[str, DataFrame], path: str, forbidden: set[str]) -
             plain = df.select(*[F.col(f.name).cast("string") if f.dataType.typeName() == "decimal" else F.col(f.name) for f in df.schema.fields])
             db.execute(f'DROP TABLE IF EXISTS "{name}"')
             db.execute(f'CREATE TABLE "{name}" ({", ".join(chr(34) + c + chr(34) for c in df.columns)})')
-            db.executemany(f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(df.columns))})', [tuple(r) for r in plain.collect()])
+            # one partition at a time, all in one transaction
+            db.executemany(f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(df.columns))})', (tuple(r) for r in plain.toLocalIterator()))
     db.close()
 
 
 def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
-    """A small table as one sorted, byte-stable CSV file on the driver."""
-    import csv
-
-    with open(path, "w", newline="", encoding="utf-8") as f:
-        w = csv.writer(f, lineterminator="\n")
-        w.writerow(df.columns)
-        w.writerows(["" if x is None else x for x in r] for r in df.orderBy(*order).collect())
+    """A table as one sorted, byte-stable CSV file."""
+    write_sorted(df, path, order)

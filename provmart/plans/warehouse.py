@@ -10,27 +10,34 @@ from ..operators.load import Refused
 
 # What portable SQL files do not use.
 BANNED = {
-    "a clock": r"\b(now|current_date|current_timestamp|getdate|sysdate)\b",
-    "a pattern": r"\b(like|ilike|similar|rlike|regexp\w*)\b",
-    "a form of one engine": r"\b(qualify|pivot|unpivot|lateral)\b|::",
+    "a clock": r"\b(now|today|getdate|sysdate)\s*\(|\b(current_date|current_time|current_timestamp|localtime|localtimestamp)\b",
+    "a pattern": r"\b(like|ilike|rlike|glob|similar\s+to)\b|regexp\w*|~",
+    "a reader": r"\b(read_csv|read_parquet|read_json)\w*",
+    "a form of one engine": r"\b(qualify|pivot|unpivot|lateral|summarize|list_value|group\s+by\s+all)\b|::",
 }
+#: A string, a quoted name, a comment to the line's end or between /* and */, or one other character.
+_TOKEN = re.compile(r"(?P<string>'(?:[^']|'')*')|(?P<name>\"(?:[^\"]|\"\")*\")|(?P<comment>--[^\n]*|/\*.*?\*/)|(?P<end>;)|.", re.S)
 
 
 def stripped_sql(text: str) -> str:
-    """SQL without comments and with string literals emptied, so that what they say is not judged."""
-    return re.sub(r"--[^\n]*", "", re.sub(r"'(?:[^']|'')*'", "''", text))
+    """SQL with comments as a space and strings and quoted names emptied, in one pass, so that what they say is not judged."""
+    return "".join(" " if m["comment"] else "''" if m["string"] else '""' if m["name"] else m[0] for m in _TOKEN.finditer(text))
 
 
 def lint(text: str) -> list[str]:
     """What a SQL file uses that it should not, one line each."""
     plain = stripped_sql(text)
-    return [f"{why}: {m.group()}" for why, pattern in BANNED.items() for m in re.finditer(pattern, plain, re.I)]
+    return [f"{why}: {' '.join(m.group().split())}" for why, pattern in BANNED.items() for m in re.finditer(pattern, plain, re.I)]
 
 
 def statements(text: str) -> list[str]:
-    """Statements of a file; a semicolon inside a string or a comment ends none."""
-    parts = re.findall(r"(?:'(?:[^']|'')*'|--[^\n]*|[^;'])+", text)
-    return [p.strip() for p in parts if stripped_sql(p).strip()]
+    """Statements of a file; a semicolon inside a string, a quoted name or a comment ends none."""
+    parts, at = [], 0
+    for m in _TOKEN.finditer(text):
+        if m["end"]:
+            parts.append(text[at : m.start()])
+            at = m.end()
+    return [p.strip() for p in [*parts, text[at:]] if stripped_sql(p).strip()]
 
 
 def run_sql(spark: SparkSession, text: str) -> list[DataFrame]:
@@ -47,16 +54,6 @@ def columns(spark: SparkSession, table: str) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in spark.table(table).schema.fields]
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
-def replace(df: DataFrame, path: str) -> None:
-    """Full replace of a table that is not read by ``df``."""
-    df.write.mode("overwrite").parquet(path)
-
-
 def drop(spark: SparkSession, path: str) -> bool:
     """Delete a built table or store; False if there was none."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

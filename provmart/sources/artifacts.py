@@ -1,4 +1,4 @@
-"""Writers of small, byte-stable artifacts on the driver, and the series that grows week by week."""
+"""Byte-stable artifacts: small ones written on the driver, large ones as sorted parts that are joined byte by byte."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import work
 from ..operators.load import Refused
 
 
@@ -23,6 +24,41 @@ def write_rows(path: str, header: list[str], rows: list[list[str]]) -> None:
     os.replace(part, path)
 
 
+def write_sorted(df: DataFrame, path: str, order: list[str]) -> None:
+    """A table of any size as one CSV file, sorted by ``order`` and then by all columns, with its header.
+
+    Spark writes range-sorted parts; their bytes are copied one after another into a file beside the
+    target, which then takes its place.  Rows never reach the driver, equal tables give equal bytes.
+    """
+    spark = df.sparkSession
+    text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+    keys = [*order, *[c for c in df.columns if c not in order]]
+    parts = work.new_path(spark, "sorted")
+    options = {"header": False, "escape": '"', "emptyValue": "", "nullValue": "", "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    text.orderBy(*[F.col(k).asc_nulls_first() for k in keys]).write.options(**options).csv(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs.Path
+    source, target, aside = hadoop(parts), hadoop(path), hadoop(f"{path}.part")
+    system, to = source.getFileSystem(conf), target.getFileSystem(conf)
+    to.setWriteChecksum(False)  # a checksum file beside it would outlive a later change by other means
+    out = to.create(aside, True)
+    try:
+        out.write(bytearray((",".join(df.columns) + "\n").encode()))
+        for name in sorted(f.getPath().getName() for f in system.listStatus(source)):
+            if name.startswith("part-"):
+                stream = system.open(hadoop(source, name))
+                try:
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+                finally:
+                    stream.close()
+    finally:
+        out.close()
+        to.setWriteChecksum(True)
+    to.delete(target, False)
+    to.rename(aside, target)
+    system.delete(source, True)
+
+
 def write_fit(path: str, fit: dict, deciles: list) -> None:
     """The fit artifact: fixed decimals, names in a fixed order."""
     rows = [["mu", f"{fit['mu']:.6f}"], ["sigma", f"{fit['sigma']:.6f}"], ["n", str(int(fit["n"]))], ["emp_mean", f"{fit['emp_mean']:.6f}"]]
@@ -48,17 +84,19 @@ def merged_series(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def record_series(path: str, old: DataFrame, new: DataFrame, keys: list[str]) -> int:
-    """Rewrite a weekly series sorted by its keys and return how many keys are new; nothing new leaves the same bytes."""
+    """Rewrite a series sorted by its keys and return how many keys are new; nothing new leaves the same bytes.
+
+    ``old`` must not read the file itself: the readers of ``files`` give work tables.
+    """
     fresh = new.join(old.select(*keys), keys, "left_anti").count()
-    rows = merged_series(old, new, keys).orderBy(*keys).collect()
-    write_rows(path, old.columns, [["" if x is None else str(x) for x in r] for r in rows])
+    write_sorted(merged_series(old, new, keys), path, keys)
     return fresh
 
 
 def write_decisions(path: str, decisions: DataFrame) -> None:
     """The decision cache, sorted, one row for each decision."""
     columns = ["review_id", "prompt_version", "model", "theme"]
-    write_rows(path, columns, [list(map(str, r)) for r in decisions.select(*columns).distinct().orderBy(*columns).collect()])
+    write_sorted(decisions.select(*columns).distinct(), path, columns)
 
 
 def write_fixture(folder: str, files: dict[str, tuple[list[str], list[list[str]]]]) -> None:
@@ -91,9 +129,10 @@ def closed_families(split: DataFrame, families: list[str]) -> DataFrame:
 
 def with_segment(reviews: DataFrame, sources: DataFrame) -> DataFrame:
     """Reviews with the segment of their platform; an unknown platform, and one under two segments, is refused."""
-    known = sources.select("platform", "segment").distinct()
-    if row := known.groupBy("platform").count().where("count > 1").first():
-        raise Refused(f"{row.platform}: two segments")
-    if row := reviews.join(F.broadcast(known), reviews["source"] == known["platform"], "left_anti").select("source").first():
+    known = sources.select(F.col("platform").alias("source"), "segment").distinct()
+    if row := known.groupBy("source").count().where("count > 1").first():
+        raise Refused(f"{row.source}: two segments")
+    side = work.sized(known, 200)
+    if row := reviews.join(side, "source", "left_anti").select("source").first():
         raise Refused(f"{row.source}: not a declared platform")
-    return reviews.join(F.broadcast(known.withColumnRenamed("platform", "source")), "source")
+    return reviews.join(side, "source")

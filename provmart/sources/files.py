@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import work
 from ..operators.latest import latest_by
 from ..operators.load import Refused
+from . import amounts, records
 
 # Headers of the declared inputs.
 REVIEWS = ("source", "external_id", "source_url", "captured_at", "review_date", "rating", "title", "body")
@@ -21,16 +24,8 @@ MEASURES = ("rating", "review_count", "one_star_share", "response_rate", "respon
 
 
 def read_csv(spark: SparkSession, path: str, columns: tuple[str, ...], sep: str = ",", exact: bool = True) -> DataFrame:
-    """CSV files whose headers equal the declared columns (or hold them); every cell is text.
-
-    A header of any file that differs, or a row with too few or too many cells, makes the read fail.
-    """
-    head = spark.read.option("header", False).option("sep", sep).csv(path).limit(1).first()
-    names = [(h or "").lstrip("﻿").strip() for h in head] if head else []
-    if (tuple(names) != tuple(columns)) if exact else not set(columns) <= set(names):
-        raise Refused(f"{path}: header {names}, declared {list(columns)}")
-    schema = ", ".join(f"`{n}` string" for n in names)
-    return spark.read.option("header", True).option("sep", sep).option("mode", "FAILFAST").option("enforceSchema", False).option("multiLine", True).option("escape", '"').schema(schema).csv(path).select(*columns)
+    """CSV files whose headers equal the declared columns (or hold them); every cell is text. See ``records.read``."""
+    return records.read(spark, path, columns, sep=sep, exact=exact).drop("ordinal")
 
 
 def refuse_where(df: DataFrame, bad, rule: str, *show: str) -> None:
@@ -39,28 +34,60 @@ def refuse_where(df: DataFrame, bad, rule: str, *show: str) -> None:
         raise Refused(f"{rule}: {', '.join(f'{k}={row[k]!r}' for k in show)}")
 
 
-def _measured(df: DataFrame) -> DataFrame:
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+def blank(c: str) -> Column:
+    return F.coalesce(F.trim(c), F.lit("")) == ""
+
+
+def _measured(df: DataFrame) -> tuple[DataFrame, list[records.Rule]]:
+    """The five measures as numbers, with a rule for each: given, but no number of its range."""
+    rules = []
     for name in MEASURES:
-        given = blank(F.col(name))
+        given = F.nullif(F.trim(name), F.lit(""))
         value = T.count_value(given) if name == "review_count" else T.measure(name, given)
-        refuse_where(df, given.isNotNull() & value.isNull(), f"{name} is not a measure", name)
-        df = df.withColumn(name, value)
-    return df
+        df = df.withColumn(f"_{name}", F.col(name)).withColumn(name, value)
+        rules.append((f"{name} is not a measure", F.nullif(F.trim(f"_{name}"), F.lit("")).isNotNull() & F.col(name).isNull(), (f"_{name}",)))
+    return df, rules
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    return df.drop(*[f"_{m}" for m in MEASURES])
 
 
 def read_reviews(spark: SparkSession, path: str) -> DataFrame:
-    df = read_csv(spark, path, REVIEWS)
-    for key in ("source", "external_id"):
-        refuse_where(df, F.coalesce(F.trim(key), F.lit("")) == "", f"{key} is empty", "source", "external_id")
-    refuse_where(df, T.half_step(F.col("rating")).isNull(), "rating is not a half step", "external_id", "rating")
-    refuse_where(df, T.real_day(F.col("review_date")).isNull(), "review_date is no day", "external_id", "review_date")
-    df = df.withColumn("content_hash", T.fingerprint(*[F.col(c) for c in ("rating", "review_date", "title", "body")]))
-    return df.withColumn("rating", T.half_step(F.col("rating"))).withColumn("ordinal", F.monotonically_increasing_id())
+    """Reviews with their content hash and ``ordinal``, their place in the files."""
+
+    def shape(rows: DataFrame) -> tuple[DataFrame, list[records.Rule]]:
+        rows = rows.withColumn("content_hash", T.fingerprint(*[F.col(c) for c in ("rating", "review_date", "title", "body")]))
+        rows = rows.withColumn("_rating", F.col("rating")).withColumn("rating", T.half_step(F.col("rating")))
+        rules = [(f"{k} is empty", blank(k), ("source", "external_id")) for k in ("source", "external_id")]
+        rules += [("rating is not a half step", F.col("rating").isNull(), ("external_id", "_rating")), ("review_date is no day", T.real_day(F.col("review_date")).isNull(), ("external_id", "review_date"))]
+        return rows, rules
+
+    return records.read(spark, path, REVIEWS, shape).drop("_rating")
+
+
+# Channels of a snapshot; only the first is compared among peers.
+CHANNELS = ("unsolicited", "solicited")
+
+
+def read_anchors(spark: SparkSession, path: str, segments: Sequence[str] | None = None, channels: Sequence[str] | None = None, published: bool = False) -> DataFrame:
+    """Reference points: slugs, attributions of closed sets where they are given, a real day or instant and where each figure is from.
+
+    ``published``: addresses have to be https and times days, as in a seed that is shown to readers.
+    """
 
+    def shape(rows: DataFrame) -> tuple[DataFrame, list[records.Rule]]:
+        slug = lambda c: ~F.coalesce(F.col(c).rlike(r"^[a-z0-9]+(-[a-z0-9]+)*\z"), F.lit(False))
+        rules = [(f"{c} is not a slug", slug(c), (c,)) for c in ("platform", "profile")]
+        rules += [(f"{c} is not one of {', '.join(known)}", ~F.coalesce(F.col(c).isin(*known), F.lit(False)), (c,)) for c, known in (("segment", segments), ("channel", channels)) if known is not None]
+        at = T.real_day(F.col("captured_at")) if published else F.coalesce(T.real_day(F.col("captured_at")), T.real_instant(F.col("captured_at")))
+        rules += [("seeded_from is empty", blank("seeded_from"), ("platform",)), ("captured_at is no day", at.isNull(), ("captured_at",))]
+        if published:
+            rules.append(("source_url is not an https address", ~F.coalesce(F.col("source_url").startswith("https://"), F.lit(False)), ("source_url",)))
+        rows, more = _measured(rows)
+        return rows, [*rules, *more]
 
-def read_anchors(spark: SparkSession, path: str) -> DataFrame:
-    return _measured(read_csv(spark, path, ANCHORS)).withColumnRenamed("platform", "source").withColumn("origin", F.lit("anchor"))
+    return _plain(records.read(spark, path, ANCHORS, shape)).withColumnRenamed("platform", "source").withColumn("origin", F.lit("anchor"))
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -68,25 +95,37 @@ def _hadoop(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def present(spark: SparkSession, path: str) -> bool:
+    where, system = _hadoop(spark, path)
+    return system.exists(where)
+
+
+def _of_sources(spark: SparkSession, path: str, columns: tuple[str, ...], allowed: DataFrame, why: str, instant: Callable[[Column], Column]) -> DataFrame:
+    """Snapshots of some of the declared sources; ``allowed``: source, and what to add from its declaration."""
+    side = work.sized(allowed.withColumn("_known", F.lit(True)), 1000)
+
+    def shape(rows: DataFrame) -> tuple[DataFrame, list[records.Rule]]:
+        rows = rows.join(side, "source", "left")
+        rows, rules = _measured(rows)
+        return rows, [(why, F.col("_known").isNull(), ("source",)), ("captured_at is no day or instant", instant(F.col("captured_at")).isNull(), ("captured_at",)), *rules]
+
+    return _plain(records.read(spark, path, columns, shape)).drop("_known")
+
+
 def read_manual(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:
     """Hand-entered snapshots; only of declared sources without a parser. A missing file is no rows."""
-    where, system = _hadoop(spark, path)
-    if not system.exists(where):
-        return _measured(spark.createDataFrame([], ", ".join(f"{c} string" for c in MANUAL))).withColumn("origin", F.lit("manual"))
-    df = _measured(read_csv(spark, path, MANUAL))
-    allowed = F.broadcast(sources.where("parser IS NULL").select("source"))
-    if row := df.join(allowed, "source", "left_anti").first():
-        raise Refused(f"{row.source}: not a source entered by hand")
-    return df.withColumn("origin", F.lit("manual"))
+    if not present(spark, path):
+        empty = spark.createDataFrame([], ", ".join(f"{c} string" for c in MANUAL) + ", ordinal struct<file:string,block:bigint,line:bigint>")
+        return _plain(_measured(empty)[0]).withColumn("origin", F.lit("manual"))
+    rows = _of_sources(spark, path, MANUAL, sources.where("parser IS NULL").select("source"), "not a source entered by hand", lambda c: F.coalesce(T.real_day(c), T.real_instant(c)))
+    return rows.withColumn("origin", F.lit("manual"))
 
 
 def read_fetched(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:
     """Fetched snapshots; only of fetchable, parsed sources; the address is the first declared page."""
-    df = _measured(read_csv(spark, path, FETCHED))
     allowed = sources.where("parser IS NOT NULL AND fetchable").select("source", F.element_at("pages", 1).alias("source_url"))
-    if row := df.join(F.broadcast(allowed), "source", "left_anti").first():
-        raise Refused(f"{row.source}: not a fetched source")
-    return df.join(F.broadcast(allowed), "source").withColumn("origin", F.lit("fetch"))
+    rows = _of_sources(spark, path, FETCHED, allowed, "not a fetched source", lambda c: F.coalesce(T.real_day(c), T.real_instant(c)))
+    return rows.withColumn("origin", F.lit("fetch"))
 
 
 def declared_pages(sources: DataFrame) -> DataFrame:
@@ -113,69 +152,43 @@ MONTHS = "January February March April May June July August September October No
 
 def read_star_export(spark: SparkSession, path: str, id_col: str, date_col: str, star_col: str, title_col: str, body_col: str) -> DataFrame:
     """A review export: rating from a star image address, dates with English month names; only the named columns are read."""
-    df = read_csv(spark, path, (id_col, date_col, star_col, title_col, body_col), exact=False)
-    number = F.coalesce(*[F.when(F.regexp_extract(date_col, r"^([A-Z][a-z]+) ", 1) == m, F.lit(f"{i:02d}")) for i, m in enumerate(MONTHS, 1)])
-    day = F.concat(F.regexp_extract(date_col, r", ([0-9]{4})\z", 1), F.lit("-"), number, F.lit("-"), F.lpad(F.regexp_extract(date_col, r" ([0-9]{1,2}),", 1), 2, "0"))
-    out = df.select(F.col(id_col).alias("external_id"), T.real_day(day).alias("review_date"), F.nullif(F.regexp_extract(star_col, r"stars-([1-5](?:\.5)?)\.", 1), F.lit("")).alias("rating"), F.col(title_col).alias("title"), F.coalesce(body_col, F.lit("")).alias("body"))
-    refuse_where(out, F.col("external_id").isNull() | F.col("review_date").isNull() | F.col("rating").isNull(), "row", "external_id", "review_date", "rating")
-    return out
 
+    def shape(rows: DataFrame) -> tuple[DataFrame, list[records.Rule]]:
+        number = F.coalesce(*[F.when(F.regexp_extract(date_col, r"^([A-Z][a-z]+) ", 1) == m, F.lit(f"{i:02d}")) for i, m in enumerate(MONTHS, 1)])
+        day = F.concat(F.regexp_extract(date_col, r", ([0-9]{4})\z", 1), F.lit("-"), number, F.lit("-"), F.lpad(F.regexp_extract(date_col, r" ([0-9]{1,2}),", 1), 2, "0"))
+        star = F.nullif(F.regexp_extract(star_col, r"^https://[^?#]*stars-([1-5](?:\.5)?)\.(?:svg|png)\z", 1), F.lit(""))
+        out = rows.select(F.col(id_col).alias("external_id"), F.col(date_col).alias("_day"), F.col(star_col).alias("_star"), T.real_day(day).alias("review_date"), star.alias("rating"), F.col(title_col).alias("title"), F.coalesce(body_col, F.lit("")).alias("body"), "ordinal", "_broken")
+        return out, [("the id is empty", blank("external_id"), ("external_id",)), ("not a printed day", F.col("review_date").isNull(), ("external_id", "_day")), ("not a star address", F.col("rating").isNull(), ("external_id", "_star"))]
 
-def _by_content(spark: SparkSession, path: str, scratch: str) -> list[str]:
-    """The files under a path; those whose name says otherwise than their first two bytes about gzip are copied under a right name."""
-    out = []
-    for r in spark.read.format("binaryFile").load(path).select("path").collect():
-        where, system = _hadoop(spark, r.path)
-        stream = system.open(where)
-        try:
-            zipped = [stream.read(), stream.read()] == [0x1F, 0x8B]
-        finally:
-            stream.close()
-        if zipped == r.path.endswith(".gz"):
-            out.append(r.path)
-            continue
-        right = f"{scratch.rstrip('/')}/{where.getName().removesuffix('.gz')}" + (".gz" if zipped else "")
-        to, other = _hadoop(spark, right)
-        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(system, where, other, to, False, spark._jsc.hadoopConfiguration())
-        out.append(right)
-    return out
+    return records.read(spark, path, (id_col, date_col, star_col, title_col, body_col), shape, exact=False).drop("_day", "_star")
 
 
-def read_amounts(spark: SparkSession, path: str, scratch: str, amount: str = "PRS_REM_MNT", kind: str = "PRS_REM_TYP", kinds: tuple[str, ...] = ("0", "1")) -> DataFrame:
-    """Positive amounts of the legal kinds. A gzip file is known by its first bytes; one with a wrong name is copied to ``scratch``, a shared folder."""
-    df = None
-    for name in _by_content(spark, path, scratch):
-        one = read_csv(spark, name, (amount, kind), sep=";", exact=False)
-        df = one if df is None else df.unionByName(one)
-    if df is None:
-        raise Refused(f"{path}: no file")
-    return df.where(F.trim(kind).isin(*kinds)).select(T.amount(F.col(amount)).alias("amount")).where("amount IS NOT NULL")
+def read_amounts(spark: SparkSession, path: str, scratch: str | None = None, amount: str = "PRS_REM_MNT", kind: str = "PRS_REM_TYP", kinds: tuple[str, ...] = ("0", "1")) -> DataFrame:
+    """(amount, file, at): positive amounts of the legal kinds with their place; gzip files are known by their first bytes, see ``amounts``.
+
+    ``scratch`` is where mis-named files were once copied to; nothing is copied any more.
+    """
+    rows = amounts.rows(spark, path, amount, kind)
+    return rows.where(F.trim("kind").isin(*kinds)).select(T.amount(F.col("amount")).alias("amount"), "file", "at").where("amount IS NOT NULL")
 
 
 def read_fee_table(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
     """A fee table, ``;`` between cells, with any number of byte order marks before its first header."""
-    head = spark.read.option("header", False).option("sep", ";").csv(path).limit(1).first()
-    names = [(h or "").lstrip("\ufeff").strip() for h in head] if head else []
-    if missing := sorted(set(columns) - set(names)):
-        raise Refused(f"{path}: columns {missing} are missing")
-    schema = ", ".join(f"`{n}` string" for n in names)
-    return spark.read.option("header", True).option("sep", ";").option("mode", "FAILFAST").option("enforceSchema", True).schema(schema).csv(path).select(*columns)
+    return read_csv(spark, path, columns, sep=";", exact=False)
 
 
 def read_answer_key(spark: SparkSession, path: str, labels: tuple[str, ...]) -> DataFrame:
     """(review_id, label) of a closed set of labels; a pair given twice or an empty id is refused."""
-    df = read_csv(spark, path, ("review_id", "label"))
-    refuse_where(df, ~F.col("label").isin(*labels) | F.col("label").isNull(), "label is not one of the closed set", "review_id", "label")
-    refuse_where(df, F.coalesce(F.trim("review_id"), F.lit("")) == "", "review_id is empty", "review_id", "label")
+    closed = ("label is not one of the closed set", ~F.coalesce(F.col("label").isin(*labels), F.lit(False)), ("review_id", "label"))
+    df = records.read(spark, path, ("review_id", "label"), lambda rows: (rows, [closed, ("review_id is empty", blank("review_id"), ("review_id", "label"))])).drop("ordinal")
     refuse_where(df.groupBy("review_id", "label").count(), F.col("count") > 1, "given twice", "review_id", "label")
     return df
 
 
 def read_decisions(spark: SparkSession, path: str, labels: tuple[str, ...]) -> DataFrame:
     """(review_id, prompt_version, model, theme) of cached decisions, themes from a closed set."""
-    df = read_csv(spark, path, ("review_id", "prompt_version", "model", "theme"))
-    refuse_where(df, ~F.col("theme").isin(*labels) | F.col("theme").isNull(), "theme is not one of the closed set", "review_id", "theme")
-    return df
+    closed = ("theme is not one of the closed set", ~F.coalesce(F.col("theme").isin(*labels), F.lit(False)), ("review_id", "theme"))
+    return records.read(spark, path, ("review_id", "prompt_version", "model", "theme"), lambda rows: (rows, [closed])).drop("ordinal")
 
 
 def read_name_values(spark: SparkSession, path: str, names: tuple[str, ...], most: int = 64 << 10) -> dict[str, str]:
@@ -225,28 +238,32 @@ def read_fee_split(spark: SparkSession, path: str, families: tuple[str, ...]) ->
 
 
 def read_captures(spark: SparkSession, root: str, declared: list[str] | None = None, host: str | None = None) -> DataFrame:
-    """(capture, source_url, captured_at, page, body) of capture folders: page-<n>.<ext> with page-<n>.meta.json.
+    """(capture, source_url, captured_at, page, body, source) of capture folders: page-<n>.<ext> with page-<n>.meta.json.
 
     A sidecar has exactly three fields: a real instant, status 200, and an https address
     on the source's host that is one of its declared pages.  Refused pages
-    (``page-<n>.refused.<ext>``) are no pages.
+    (``page-<n>.refused.<ext>``) are no pages.  Files are read once; ``source`` is the folder above a capture's.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.decode("content", "UTF-8").alias("body"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", F.decode("content", "UTF-8").alias("body"))
     stem = F.regexp_extract("path", r"^(.*/page-[0-9]+)\.", 1)
-    meta = files.where("path LIKE '%.meta.json'").select(stem.alias("stem"), F.from_json("body", "source_url string, captured_at string, status int").alias("m"), F.json_object_keys("body").alias("keys"))
-    refuse_where(meta, ~(F.array_sort("keys") == F.array(F.lit("captured_at"), F.lit("source_url"), F.lit("status"))), "sidecar keys", "stem")
+    kind = F.when(F.col("path").endswith(".meta.json"), "meta").when(F.col("path").rlike(r"/page-[0-9]+\.[^./]+\z"), "page")
+    found = work.stored(found.select(stem.alias("stem"), kind.alias("kind"), "body").where("kind IS NOT NULL"), "captures")
+    meta = found.where("kind = 'meta'").select("stem", F.from_json("body", "source_url string, captured_at string, status int").alias("m"), F.json_object_keys("body").alias("keys"))
     address = F.col("m.source_url")
     bad = F.col("m.status").isNull() | (F.col("m.status") != 200) | T.real_instant(F.col("m.captured_at")).isNull() | address.isNull() | ~address.startswith("https://")
     if host is not None:
         bad |= F.lower(F.regexp_extract(address, r"^https://([^/?#:@]+)", 1)) != host
     if declared is not None:
         bad |= ~address.isin(*declared)
-    refuse_where(meta, F.coalesce(bad, F.lit(True)), "sidecar values", "stem", "m")
-    pages = files.where(F.col("path").rlike(r"/page-[0-9]+\.[^./]+\z")).select(stem.alias("stem"), "body")
-    if row := pages.join(meta, "stem", "left_anti").first():
-        raise Refused(f"{row.stem}: no sidecar")
-    capture = F.regexp_extract("stem", r"([^/]+)/page-[0-9]+$", 1).alias("capture")
-    return pages.join(meta, "stem").select(capture, "m.source_url", "m.captured_at", F.regexp_extract("stem", r"page-([0-9]+)$", 1).cast("int").alias("page"), "body")
+    odd = ~F.coalesce(F.array_sort("keys") == F.array(F.lit("captured_at"), F.lit("source_url"), F.lit("status")), F.lit(False))
+    pages = found.where("kind = 'page'").select(F.col("stem").alias("page_stem"), "body")
+    both = meta.join(pages, meta["stem"] == pages["page_stem"], "full")
+    says = F.when(F.col("stem").isNull(), "no sidecar").when(odd, "sidecar keys").when(F.coalesce(bad, F.lit(True)), "sidecar values")
+    if row := both.select(F.coalesce("stem", "page_stem").alias("at"), says.alias("says")).where("says IS NOT NULL").agg(F.min(F.struct("at", "says")).alias("r")).first().r:
+        raise Refused(f"{row.at}: {row.says}")
+    capture, source = (F.regexp_extract("stem", pattern, 1) for pattern in (r"([^/]+)/page-[0-9]+$", r"([^/]+)/[^/]+/page-[0-9]+$"))
+    rows = both.where("page_stem IS NOT NULL")
+    return rows.select(capture.alias("capture"), "m.source_url", "m.captured_at", F.regexp_extract("stem", r"page-([0-9]+)$", 1).cast("int").alias("page"), "body", source.alias("source"))
 
 
 def first_snapshot(snapshots: DataFrame, capture: str = "capture", page: str = "page") -> DataFrame:

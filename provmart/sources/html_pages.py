@@ -1,163 +1,271 @@
-"""HTML readers: JSON-LD ratings, microdata reviews, titles; and robots rules."""
+"""Page parsers as a table function that is joined laterally to captures; titles; robots rules.
+
+A parser turns one page into rows of one kind each: review, snapshot or, for a page outside its
+shape, one refusal.  Figures come out as the page spells them; expressions check them afterwards.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SCRIPT = re.compile(r"<script[^>]*application/ld\+json[^>]*>(.*?)</script", re.I | re.S)
-_PAGE = "key string, kind string, external_id string, rating string, review_date string, body string, review_count string, error string"
+from ..functions import text as T
+
+_PAGE = "kind string, external_id string, review_date string, rating string, title string, body string, review_count string, error string"
+
+
+@dataclass
+class _Element:
+    """An element of a page; ``texts``: the first and the last of the page's text pieces inside it."""
+
+    tag: str
+    attrs: dict[str, str | None]
+    parent: int
+    item: int  # the element of the item that this one belongs to, or -1
+    hidden: bool
+    texts: list[int]
+
+
+class _Page(HTMLParser):
+    """Elements in document order, each with its item, as microdata defines it: the nearest element above with itemscope.
+
+    An end tag closes the nearest open element of its name and all inside it; one that has no open element
+    is skipped, which a count of open elements by name tells at once.
+    """
+
+    void = set("area base br col embed hr img input link meta source track wbr".split())
+
+    def __init__(self, html: str):
+        super().__init__(convert_charrefs=True)
+        self.all: list[_Element] = []
+        self.pieces: list[str] = []
+        self.now, self.open = -1, Counter()
+        self.feed(html)
+        self.close()
+        while self.now >= 0:
+            self._close()
+
+    def handle_starttag(self, tag, attrs):
+        above = self.all[self.now] if self.now >= 0 else None
+        item = -1 if above is None else self.now if "itemscope" in above.attrs else above.item
+        own = dict(attrs)
+        hidden = own.get("itemprop") == "author" or above is not None and above.hidden
+        self.all.append(_Element(tag, own, self.now, item, hidden, [len(self.pieces)] * 2))
+        if tag not in self.void:
+            self.now = len(self.all) - 1
+            self.open[tag] += 1
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+
+    def _close(self) -> str:
+        element = self.all[self.now]
+        element.texts[1] = len(self.pieces)
+        self.open[element.tag] -= 1
+        self.now = element.parent
+        return element.tag
+
+    def handle_endtag(self, tag):
+        if self.open[tag]:
+            while self._close() != tag:
+                pass
+
+    def handle_data(self, data):
+        if self.now < 0 or not self.all[self.now].hidden:
+            self.pieces.append(data)
+
+    def text(self, element: _Element) -> str:
+        return "".join(self.pieces[slice(*element.texts)])
+
+    def items(self) -> dict[int, tuple[str, dict[str, str]]]:
+        """By element: the type's last part and the properties of every item outside author scopes."""
+        out: dict[int, tuple[str, dict[str, str]]] = {}
+        for i, e in enumerate(self.all):
+            if e.hidden:
+                continue
+            name = e.attrs.get("itemprop")
+            if "itemscope" in e.attrs:
+                out[i] = ((e.attrs.get("itemtype") or "").rsplit("/", 1)[-1], {})
+            elif name and e.item in out:
+                held = out[e.item][1]
+                if name in held:
+                    raise ValueError(f"{name} is given twice")
+                held[name] = (e.attrs["content"] or "") if "content" in e.attrs else self.text(e)
+        return out
+
+
+# --- JSON-LD -------------------------------------------------------------------
+
+
+def _no_constant(name: str) -> None:
+    raise ValueError(f"{name} is no JSON")
+
+
+def _loaded(text: str):
+    """JSON with numbers as they are spelled."""
+    return json.loads(text, parse_int=str, parse_float=str, parse_constant=_no_constant)
+
+
+def _spelled(value: object, name: str) -> str:
+    if not isinstance(value, str):
+        raise ValueError(f"{name} is no figure: {value!r}")
+    return value.strip()
 
 
 def aggregate_rating(html: str) -> tuple[str, str]:
-    """(ratingValue, count) of the one aggregateRating of a page; anything else raises."""
-    found = []
-    for block in _SCRIPT.findall(html):
+    """(ratingValue, count) of the one aggregateRating of a page, as spelled; anything else raises."""
+    page, found = _Page(html), []
+    for e in page.all:
+        if e.tag != "script" or (e.attrs.get("type") or "").split(";")[0].strip().lower() != "application/ld+json":
+            continue
         try:
-            data = json.loads(block)
+            todo = [_loaded(page.text(e))]
         except ValueError:
-            continue  # a block that is not JSON is none of ours
-        todo = [data]
+            continue  # a block that is not JSON declares nothing
         while todo:
             x = todo.pop()
             if isinstance(x, list):
                 todo += x
             elif isinstance(x, dict):
-                todo += x.get("@graph", []) if isinstance(x.get("@graph"), list) else []
-                if isinstance(x.get("aggregateRating"), dict):
-                    found.append(x["aggregateRating"])
+                todo += x["@graph"] if isinstance(x.get("@graph"), list) else []
+                found += [x["aggregateRating"]] if "aggregateRating" in x else []
     if len(found) != 1:
         raise ValueError(f"{len(found)} ratings on the page, one is needed")
-    counts = [found[0][k] for k in ("ratingCount", "reviewCount") if k in found[0]]
-    if len(counts) != 1 or "ratingValue" not in found[0]:
-        raise ValueError("a rating value and one count are needed")
-    return str(found[0]["ratingValue"]), str(counts[0])
+    if not isinstance(found[0], dict) or "ratingValue" not in found[0]:
+        raise ValueError("the rating has no value")
+    counts = [k for k in ("ratingCount", "reviewCount") if k in found[0]]
+    if len(counts) != 1:
+        raise ValueError("one count is needed")
+    return _spelled(found[0]["ratingValue"], "ratingValue"), _spelled(found[0][counts[0]], counts[0])
 
 
-class _Microdata(HTMLParser):
-    """Scopes with their properties; what is inside an author scope is never read.
+# --- microdata -----------------------------------------------------------------
 
-    A property given twice in a scope, and a review inside a review, are refused.  Open
-    elements are found by the places of their tag, so unclosed ones cost nothing more.
-    """
+_DATED = re.compile(r"([0-9]{2})/([0-9]{2})/([0-9]{4})")
 
-    void = set("area base br col embed hr img input link meta source track wbr".split())
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open, self.scopes, self.places = [], [], {}
-        self.owners, self.texts, self.hidden = [], [], []
+def _on_scale(properties: dict[str, str], worst: str, best: str, whose: str) -> None:
+    if (properties.get("worstRating", worst).strip(), properties.get("bestRating", best).strip()) != (worst, best):
+        raise ValueError(f"{whose} scale is not {worst} to {best}")
 
-    def handle_starttag(self, tag, attrs):
-        a, depth = dict(attrs), len(self.open)
-        hidden = bool(self.hidden) or a.get("itemprop") == "author"
-        prop, scope, text = a.get("itemprop"), None, False
-        if "itemscope" in a and not hidden:
-            scope = {"type": (a.get("itemtype") or "").rsplit("/", 1)[-1]}
-            if scope["type"] == "Review" and any(o["type"] == "Review" for _, o in self.owners):
+
+def microdata(html: str) -> tuple[list[dict], dict | None]:
+    """(reviews, aggregate) of a page with Review and AggregateRating items; an author's item is never read."""
+    page = _Page(html)
+    items = page.items()
+    totals = [p for kind, p in items.values() if kind == "AggregateRating"]
+    if len(totals) > 1:
+        raise ValueError("more than one aggregate")
+    for p in totals:
+        _on_scale(p, "0", "5", "the aggregate's")
+    ratings: dict[int, list[dict]] = {}
+    for i, (kind, p) in items.items():
+        if kind == "Rating":
+            ratings.setdefault(page.all[i].item, []).append(p)
+    out = []
+    for i, (kind, p) in items.items():
+        if kind != "Review":
+            continue
+        above = page.all[i].item
+        while above >= 0:
+            if above in items and items[above][0] == "Review":
                 raise ValueError("a review inside a review")
-            self.scopes.append(scope)
-        elif prop and not hidden and self.owners:
-            owner = self.owners[-1][1]
-            if prop in owner:
-                raise ValueError(f"{prop} is given twice")
-            owner[prop], text = a.get("content") or "", "content" not in a
-        if tag in self.void:
-            return
-        self.open.append(tag)
-        self.places.setdefault(tag, []).append(depth)
-        if hidden:
-            self.hidden.append(depth)
-        if scope is not None:
-            self.owners.append((depth, scope))
-        if text:
-            self.texts.append((depth, self.owners[-1][1], prop))
+            above = page.all[above].item
+        own = ratings.get(i, [])
+        if len(own) > 1:
+            raise ValueError("a review with two ratings")
+        for r in own:
+            _on_scale(r, "1", "5", "a review's")
+        rating = {**p, **(own[0] if own else {})}.get("ratingValue")
+        days = ["-".join(reversed(d)) for d in _DATED.findall(p.get("datePublished", ""))]
+        if not days or rating is None:
+            raise ValueError(f"review {len(out)}: no date or rating")
+        rating, body = rating.strip(), " ".join(p.get("reviewBody", "").split())
+        own_id = hashlib.sha256("\x1f".join([days[0], days[-1], rating, body]).encode()).hexdigest()
+        out.append({"external_id": own_id, "rating": rating, "review_date": days[0], "body": body})
+    return out, totals[0] if totals else None
 
-    def handle_endtag(self, tag):
-        if not self.places.get(tag):
-            return
-        depth = self.places[tag][-1]
-        for inner in self.open[depth:]:
-            self.places[inner].pop()
-        del self.open[depth:]
-        for stack in (self.owners, self.texts):
-            while stack and stack[-1][0] >= depth:
-                stack.pop()
-        while self.hidden and self.hidden[-1] >= depth:
-            self.hidden.pop()
 
-    def handle_data(self, data):
-        if self.texts and not self.hidden:
-            _, owner, prop = self.texts[-1]
-            owner[prop] += data
+# --- the table function --------------------------------------------------------
 
 
-_DATED = re.compile(r"([0-9]{2})/([0-9]{2})/([0-9]{4})")
+def _listing(body: str) -> Iterator[dict]:
+    value, count = aggregate_rating(body)
+    yield {"kind": "snapshot", "rating": value, "review_count": count}
 
 
-def microdata(html: str) -> tuple[list[dict], dict | None]:
-    """(reviews, aggregate) of a page with Review and AggregateRating scopes."""
-    p = _Microdata()
-    p.feed(html)
-    ratings = [s for s in p.scopes if s["type"] == "AggregateRating"]
-    if len(ratings) > 1:
-        raise ValueError("more than one aggregate")
-    if ratings and (ratings[0].get("worstRating", "0").strip(), ratings[0].get("bestRating", "5").strip()) != ("0", "5"):
-        raise ValueError("the aggregate's scale is not 0 to 5")
-    reviews, now = [], None
-    for s in p.scopes:
-        if s["type"] == "Review":
-            now = dict(s)
-            reviews.append(now)
-        elif s["type"] == "Rating" and now is not None:
-            if (s.get("worstRating", "1").strip(), s.get("bestRating", "5").strip()) != ("1", "5"):
-                raise ValueError("a review's scale is not 1 to 5")
-            now |= {k: v for k, v in s.items() if k != "type"}
-    out = []
-    for n, r in enumerate(reviews):
-        days = _DATED.findall(r.get("datePublished", ""))
-        if not days or "ratingValue" not in r:
-            raise ValueError(f"review {n}: no date or rating")
-        iso = ["-".join(reversed(d)) for d in days]
-        body, rating = " ".join(r.get("reviewBody", "").split()), r["ratingValue"].strip()
-        own = hashlib.sha256("\x1f".join([iso[0], iso[-1], rating, body]).encode()).hexdigest()
-        out.append({"external_id": own, "rating": rating, "review_date": iso[0], "body": body})
-    return out, ratings[0] if ratings else None
-
-
-def _parse(batches: Iterator[pd.DataFrame], style: str) -> Iterator[pd.DataFrame]:
-    cols = [c.split()[0] for c in _PAGE.split(", ")]
-    for pdf in batches:
-        rows = []
-        for key, html in zip(pdf["key"], pdf["html"], strict=True):
-            try:
-                if style == "jsonld":
-                    value, count = aggregate_rating(html or "")
-                    rows.append({"key": key, "kind": "snapshot", "rating": value, "review_count": count})
-                else:
-                    reviews, total = microdata(html or "")
-                    rows += [{"key": key, "kind": "review", **r} for r in reviews]
-                    if total:
-                        rows.append({"key": key, "kind": "snapshot", "rating": total.get("ratingValue", "").strip(), "review_count": (total.get("ratingCount") or total.get("reviewCount") or "").strip()})
-            except ValueError as e:  # one bad item refuses its whole page
-                rows.append({"key": key, "kind": "refused", "error": str(e)})
-        yield pd.DataFrame(rows, columns=cols)
+def _microdata(body: str) -> Iterator[dict]:
+    reviews, total = microdata(body)
+    yield from ({"kind": "review", **r} for r in reviews)
+    if total is not None:
+        yield {"kind": "snapshot", "rating": total.get("ratingValue", "").strip(), "review_count": (total.get("ratingCount") or total.get("reviewCount") or "").strip()}
+
+
+def _feed(body: str) -> Iterator[dict]:
+    """Reviews of a JSON feed: no entry is an empty page, an entry that is no list is refused."""
+    feed = _loaded(body).get("feed") if body.lstrip().startswith("{") else None
+    if not isinstance(feed, dict):
+        raise ValueError("the page is no feed")
+    entries = feed.get("entry", [])
+    if not isinstance(entries, list):
+        raise ValueError("the feed's entry is not a list")
+    for n, e in enumerate(entries):
+        cell = {k: e[name].get("label") if isinstance(e, dict) and isinstance(e.get(name), dict) else None for k, name in (("external_id", "id"), ("title", "title"), ("body", "content"), ("rating", "im:rating"), ("at", "updated"))}
+        if not all(isinstance(v, str) for v in cell.values()):
+            raise ValueError(f"entry {n} is not as declared")
+        yield {"kind": "review", "review_date": cell.pop("at"), **cell}
+
+
+PARSERS = {"jsonld": _listing, "microdata": _microdata, "feed": _feed}
+
+
+class _ParsePage:
+    """One page of the parser that its source declares; a page is read whole or refused whole."""
+
+    def eval(self, parser: str, body: str) -> Iterator[tuple]:
+        names = [c.split()[0] for c in _PAGE.split(", ")]
+        try:
+            if parser not in PARSERS:
+                raise ValueError(f"no parser {parser!r}")
+            rows = list(PARSERS[parser](body or ""))
+        except ValueError as e:
+            rows = [{"kind": "refused", "error": str(e)}]
+        for r in rows:
+            yield tuple(r.get(n) for n in names)
+
+
+parse_page = F.udtf(_ParsePage, returnType=_PAGE, useArrow=True)
+
+
+def parsed(pages: DataFrame, parser: str = "parser", body: str = "body") -> DataFrame:
+    """The columns of ``pages`` but the body, with the rows of every page; a review's day, and all figures, checked and typed.
+
+    A page with a figure outside its shape is refused like one that cannot be read.
+    """
+    rows = pages.withColumnRenamed(body, "_page").lateralJoin(parse_page(F.col(parser).outer(), F.col("_page").outer())).drop("_page")
+    day = F.coalesce(T.real_day(F.col("review_date")), T.printed_day(F.col("review_date")))
+    rows = rows.withColumns({"_day": day, "_half": F.when(F.col("kind") == "review", T.half_step(F.col("rating"))), "_mean": F.when(F.col("kind") == "snapshot", T.page_rating(F.col("rating"))), "_count": T.count_value(F.col("review_count"))})
+    bad = F.when((F.col("kind") == "review") & (F.col("_day").isNull() | F.col("_half").isNull()), F.concat(F.lit("no day or half step: "), F.concat_ws(", ", "review_date", "rating")))
+    bad = bad.when((F.col("kind") == "snapshot") & (F.col("_mean").isNull() | F.col("_count").isNull()), F.concat(F.lit("no rating or count: "), F.concat_ws(", ", "rating", "review_count")))
+    rows = rows.withColumns({"error": F.coalesce("error", bad), "review_date": F.col("_day")})
+    return rows.withColumn("kind", F.when(F.col("error").isNotNull(), "refused").otherwise(F.col("kind"))).drop("_day", "rating", "review_count").withColumnsRenamed({"_half": "review_rating", "_mean": "rating", "_count": "review_count"})
 
 
 def parse_pages(pages: DataFrame, style: str, key: str = "source_url", html: str = "body") -> DataFrame:
-    """Reviews and snapshots of HTML pages as one tagged table; refused pages carry only an error."""
-    if style not in ("jsonld", "microdata"):
+    """(key, kind, ...) of pages that all have one parser."""
+    if style not in PARSERS:
         raise ValueError(style)
-    rows = pages.select(F.col(key).cast("string").alias("key"), F.col(html).alias("html"))
-    return rows.mapInPandas(lambda it: _parse(it, style), _PAGE)
+    rows = pages.select(F.col(key).cast("string").alias("key"), F.lit(style).alias("parser"), F.col(html).alias("body"))
+    return parsed(rows).drop("parser")
 
 
 def page_titles(pages: DataFrame) -> DataFrame:
@@ -169,23 +277,39 @@ def page_titles(pages: DataFrame) -> DataFrame:
 
 
 def parse_robots(text: str) -> list[tuple[set[str], list[tuple[bool, str]]]]:
-    """Groups of (agents, rules); a rule is (allow, pattern)."""
-    groups, agents, rules = [], set(), []
-    for line in text.splitlines():
-        key, _, value = line.split("#")[0].partition(":")
-        key, value = key.strip().lower(), value.strip()
-        if key == "user-agent":
-            if rules:
-                groups.append((agents, rules))
-                agents, rules = set(), []
-            agents.add(value.lower())
-        elif key in ("allow", "disallow") and agents:
-            rules.append((key == "allow", value))
-    if agents:
-        groups.append((agents, rules))
+    """Groups of (agents, rules); a rule is (allow, pattern).
+
+    A group begins with a run of user-agent lines, which any other line ends, known or not; lines
+    before the first group belong to none.
+    """
+    groups, naming = [], False
+    for line in text.lstrip("\ufeff").splitlines():
+        name, colon, value = line.partition("#")[0].partition(":")
+        if not colon:
+            continue
+        name, value = name.strip().lower(), value.strip()
+        if name == "user-agent":
+            if not naming:
+                groups.append((set(), []))
+            groups[-1][0].add(value.lower())
+        elif name in ("allow", "disallow") and groups and value:
+            groups[-1][1].append((name == "allow", value))
+        naming = name == "user-agent"
     return groups
 
 
+def names_agent(value: str, agent: str) -> bool:
+    """Whether a user-agent value names us by a product token: the same, ours with more around it, or three letters of ours or more."""
+    tokens, (ours, *_) = re.findall(r"[a-z_-]+", value.lower()), [*re.findall(r"[a-z_-]+", agent.lower()), ""]
+    return any(len(t) > 2 and t in ours or ours and ours in t for t in tokens)
+
+
+def rules_for(groups: list[tuple[set[str], list[tuple[bool, str]]]], agent: str | None) -> list[tuple[bool, str]]:
+    """The rules of all groups that name us or, without an agent, everyone."""
+    own = (lambda a: a == "*") if agent is None else (lambda a: names_agent(a, agent))
+    return [rule for agents, rules in groups if any(map(own, agents)) for rule in rules]
+
+
 def rule_matches(rule: str, path: str) -> bool:
     """Whether a rule matches a path: linear scan for each part between wildcards."""
     anchored = rule.endswith("$")
@@ -210,9 +334,8 @@ def robots_allows(text: str, url: str, agent: str) -> bool:
     """Allowed by the rules for the agent and by those for everyone; the longest rule wins, ties allow."""
     parts = urlsplit(url)
     path = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
-    named = lambda a: a not in ("", "*") and (agent in a or len(a) >= 3 and a in agent)
-    for chosen in (named, lambda a: a == "*"):
-        rules = [r for agents, rs in parse_robots(text) if any(map(chosen, agents)) for r in rs if r[1]]
+    groups = parse_robots(text)
+    for rules in (rules_for(groups, agent), rules_for(groups, None)):
         best = max(((len(p), allow) for allow, p in rules if rule_matches(p, path)), default=(0, True))
         if not best[1]:
             return False
@@ -230,14 +353,16 @@ def rule_pattern(rule: str) -> str:
     return "(?s)^" + ("\\Q" + first + "\\E" if first else "") + inner + (f".*{quoted[-1]}\\z" if anchored else "")
 
 
+def robots_path(url: Column) -> Column:
+    """What rules are matched with: path and query of an address."""
+    path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1), r"^(?!/)", "/")
+    return F.regexp_replace(path, r"\?$", "")
+
+
 def robots_allowed(url: Column, text: str, agent: str) -> Column:
     """Allowed by the rules for the agent and by those for everyone, as an expression: the longest rule wins, ties allow."""
-    path = F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)", 1), r"^(?!/)", "/")
-    path = F.regexp_replace(path, r"\?$", "")
-    named = lambda a: a not in ("", "*") and (agent in a or len(a) >= 3 and a in agent)
-    groups, out = parse_robots(text), F.lit(True)
-    for chosen in (named, lambda a: a == "*"):
-        rules = [r for agents, rs in groups if any(map(chosen, agents)) for r in rs if r[1]]
+    path, groups, out = robots_path(url), parse_robots(text), F.lit(True)
+    for rules in (rules_for(groups, agent), rules_for(groups, None)):
         hits = [F.when(path.rlike(rule_pattern(p)), F.struct(F.lit(len(p)).alias("n"), F.lit(allow).alias("allow"))) for allow, p in rules]
         if hits:
             best = F.array_max(F.array(*hits))
@@ -248,3 +373,31 @@ def robots_allowed(url: Column, text: str, agent: str) -> Column:
 def allowed_pages(pages: DataFrame, robots: str, agent: str) -> DataFrame:
     """(page_id, allowed) under one robots text; the rules are parsed once and matched in the JVM."""
     return pages.select("page_id", robots_allowed(F.col("url"), robots, agent).alias("allowed"))
+
+
+_RULES = "host string, ours array<struct<pattern:string,n:int,allow:boolean>>, all array<struct<pattern:string,n:int,allow:boolean>>"
+
+
+def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
+    """(host, ours, all) of (host, text): the rules of each text as patterns, for us and for everyone."""
+
+    def rows(batches: Iterator) -> Iterator:
+        for pdf in batches:
+            out = []
+            for host, text in zip(pdf["host"], pdf["text"], strict=True):
+                groups = parse_robots(text or "")
+                own, everyone = ([{"pattern": rule_pattern(p), "n": len(p), "allow": allow} for allow, p in rules_for(groups, a)] for a in (agent, None))
+                out.append((host, own, everyone))
+            yield type(pdf)(out, columns=["host", "ours", "all"])
+
+    return robots.select("host", "text").mapInPandas(rows, _RULES)
+
+
+def allowed_by_host(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """(page_id, allowed): every page under the rules of its host; a host without robots text allows all.
+
+    ``rules`` is one row a host with its patterns, so a page meets one row; the patterns are matched in the JVM.
+    """
+    rows = pages.select("page_id", F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"), robots_path(F.col("url")).alias("path"), F.col("url").isNull().alias("none"))
+    best = lambda c: F.array_max(F.transform(F.filter(c, lambda r: F.rlike(F.col("path"), r["pattern"])), lambda r: F.struct(r["n"].alias("n"), r["allow"].alias("allow"))))["allow"]
+    return rows.join(rules, "host", "left").select("page_id", F.when(~F.col("none"), F.coalesce(best("ours"), F.lit(True)) & F.coalesce(best("all"), F.lit(True))).alias("allowed"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from provmart.functions import text as T
 from provmart.operators import classify as K
 from provmart.operators import latest, load
+from provmart.operators.commits import Store
 from provmart.plans import cost_model as M
 from provmart.plans import serve
 from provmart.sources import files, html_pages
@@ -367,9 +368,10 @@ def test_commands(spark, tmp_path, capsys):
     sheet(project / "decisions.csv", "review_id,prompt_version,model,theme", "a:3,v1,none,refund")
     assert cli.run(spark, cli.parser().parse_args(["idempotency-check", str(project), store])) is None
     spark.catalog.clearCache()
-    themes = {(r.review_id, r.theme) for r in spark.read.parquet(f"{store}/stg_classified_reviews").collect()}
+    at = Store(spark, store)
+    themes = {(r.review_id, r.theme) for r in at.read("stg_classified_reviews").collect()}
     assert themes == {("a:1", "delay"), ("a:2", "positive"), ("a:3", "refund")}
-    assert spark.read.parquet(f"{store}/rating_trend").count() == 1 and spark.read.parquet(f"{store}/raw_reviews").count() == 3
+    assert at.read("rating_trend").count() == 1 and at.read("raw_reviews").count() == 3
     key = sheet(tmp_path / "key.csv", "review_id,label", "a:1,delay")
     (tmp_path / "fees.csv").write_text("f;t;e\nx;3;1\ny;4;4\n")
     (tmp_path / "amounts.csv").write_text("PRS_REM_MNT;PRS_REM_TYP\n" + "".join(f"{k};0\n" for k in range(1, 40)))
