@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.folding import fold, found_literals, meant
+from ..functions.folding import fold, folded, found_literals, meant
 from . import work
 
 UNCLASSIFIED, POSITIVE = "unclassified", "positive"
@@ -21,7 +21,7 @@ def labelled(docs: DataFrame, rules: dict[str, list[str]], text: str = "text", k
     evaluates either again.
     """
     # a rule pattern is a literal; the forms that quoting of expressions uses never were part of one
-    clean = {label: [q for p in ps if (q := p.replace("\\E", ""))] for label, ps in rules.items()}
+    clean = {label: [q for p in ps if (q := folded(p.replace("\\E", "")))] for label, ps in rules.items()}
     known = [p for ps in clean.values() for p in ps]
     if not known:
         return docs.select(*keys, F.array(F.lit(UNCLASSIFIED)).alias("_labels"))

@@ -2,7 +2,8 @@
 
 A project folder holds ``sources.json`` (source, platform, segment, channel, profile,
 parser, fetchable, pages), ``reviews.csv``, ``rules.yaml`` and, where they exist,
-``anchors.csv``, ``manual.csv``, ``fetched.csv``, ``decisions.csv``, ``labels.csv`` and
+``anchors.csv``, ``manual.csv``, ``fetched.csv``, ``decisions.csv``, ``labels.csv``, the
+artifacts ``fit.csv`` and ``fees.csv`` with ``families.json``, and
 ``captures/<source>/<capture>/page-<n>.<ext>``.  Raw tables only grow; the others are replaced.  Every
 stage is one commit: a refusal or a lost job leaves the store as it was.
 """
@@ -23,6 +24,7 @@ from ..operators import load, work
 from ..operators.commits import Batch, Store
 from ..sources import artifacts, files, html_pages
 from . import cost_model as M
+from . import panels as panels_of
 from . import serve
 
 LABELS = ("billing", "delay", "contact", "coverage", "refund", K.POSITIVE, K.UNCLASSIFIED)
@@ -149,14 +151,23 @@ def _classify(spark: SparkSession, project: str, store: Store, decider: K.Asked
         if files.present(spark, key):
             gold = files.read_answer_key(spark, key, LABELS).select("review_id", F.col("label").alias("theme"))
             b.replace("classifier_quality", quality(rows, gold))
-        for name, df in (("cost_model_params", M.cost_params(spark)), ("cost_model_outputs", M.cost_outputs(spark)), ("cost_curves", M.cost_curves(spark)), ("guardrail_sim", M.guardrail_sim(spark)), ("sla_threshold", M.sla_threshold(spark))):
-            b.replace(name, df)
+        model = model_rows(spark, project)
+        for name, table in (("cost_model_params", M.cost_params), ("cost_model_outputs", M.cost_outputs), ("cost_curves", M.cost_curves), ("guardrail_sim", M.guardrail_sim), ("sla_threshold", M.sla_threshold)):
+            b.replace(name, table(spark, model))
         stages = [("raw", "raw_reviews"), ("staged", "stg_reviews"), ("classified", "stg_classified_reviews")]
         listed = {n: sum(rows for _, rows in store.folders(e)) for n, e in b.state["tables"].items()}
         runs = [r.run_id for r in reviews.select("run_id").distinct().limit(2).collect()]
         b.replace("pipeline_row_counts", spark.createDataFrame([(stage, listed[name], runs[0] if len(runs) == 1 else None) for stage, name in stages], "stage string, n long, run_id string"))
 
 
+def model_rows(spark: SparkSession, project: str) -> list[tuple] | None:
+    """The model's parameters from the artifacts ``fit.csv`` and ``fees.csv`` (families in ``families.json``), if the project has them."""
+    if not all(files.present(spark, f"{project}/{name}") for name in ("fit.csv", "fees.csv", "families.json")):
+        return None
+    families = tuple(json.loads(Path(project, "families.json").read_text(encoding="utf-8")))
+    return M.from_artifacts(files.read_fit(spark, f"{project}/fit.csv"), files.read_fee_split(spark, f"{project}/fees.csv", families))
+
+
 def rebuild(spark: SparkSession, project: str, store: str, run_id: str, stage: str = "classify", decider: K.Asked | None = None) -> dict[str, int]:
     """Run the stages up to ``stage``; gives the rows of every table of the store."""
     if stage not in STAGES:
@@ -214,6 +225,29 @@ def report(spark: SparkSession, store: str, run_ids: dict[str, str]) -> str:
     themes = read("theme_share_by_segment", ["segment", "label", "share"], ["segment", "label"])
     add("B2.5", "bar", f"Themes by segment ({state})", _points(themes, lambda r: f"{r.segment} {r.label}", "share"), True)
     outputs = read("cost_model_outputs", ["name", "value"], ["name"], "scenario = 'baseline'")
-    add("B3.1", "formulas", "Cost model, baseline", _points(outputs, lambda r: r["name"], "value", "Modeled"))
+    place = {name: i for i, (name, _, _) in enumerate(M.FORMULAS)}
+    add("B3.1", "formulas", "Cost model, baseline", _points(sorted(outputs, key=lambda r: place.get(r["name"], len(place))), lambda r: r["name"], "value", "Modeled"))
+    curve = read("cost_curves", ["scenario", "flag_rate", "net", "is_default"], ["scenario", "flag_rate"])
+    baseline = [r for r in curve if r.scenario == "baseline"]
+    if sum(r.is_default for r in baseline) != 1:
+        raise load.Refused("the curve needs one default point")
+    markers = [r.value for r in outputs if r["name"].endswith("crossover_flag_rate") and r.value is not None]
+    add("B3.2", "curve", "Net by share flagged, baseline", _points(baseline, lambda r: f"{r.flag_rate:g}", "net", "Modeled"))
+    panels[-1].markers, panels[-1].grid = markers, [r.flag_rate for r in baseline]
+    for panel, sourcing, title in (("B3.3", "sourced", "Parameters with a source"), ("B3.4", "unsourced", "Parameters without one")):
+        rows = read("cost_model_params", ["name", "default_value", "unit", "tag"], ["name"], f"sourcing = '{sourcing}'")
+        add(panel, "parameters", title, [serve.Point(f"{r['name']} ({r.unit})", r.default_value, r.tag) for r in rows])
+    add("B4.1", "curve", "Net of the four scenarios", _points(curve, lambda r: f"{r.scenario} {r.flag_rate:g}", "net", "Modeled"))
+    timer = read("sla_threshold", ["timer_days", "timer_amount_eur", "share_under"], ["timer_days"], "is_default")
+    if len(timer) != 1:
+        raise load.Refused("one timer is the default")
+    add("B4.2", "stats", f"Timer of {timer[0].timer_days} days", [serve.Point(c, float(timer[0][c]), "Modeled") for c in ("timer_amount_eur", "share_under")])
+    holds = serve.served(M.hold_summary(at.read("guardrail_sim")).select("scenario", "mean_hold_days", "released_share").orderBy("scenario"), {"scenario", "mean_hold_days", "released_share"})
+    add("B4.3", "bar", "Holds by scenario", [p for side in ("mean_hold_days", "released_share") for p in _points(holds, lambda r, side=side: f"{r.scenario} {side}", side, "Modeled")])
+    for panel, title in (("B1.1", "Claims behind the reviews"), ("B2.1", "Reviews behind a theme"), ("B4.4", "Effect of a fix")):
+        add(panel, "hero", title, [], none="not measured yet")
+    facts = panels_of.determinism_facts(spark, "").orderBy("fact").collect()  # three facts
+    add("B5.1", "stats", "What the code does not do", _points(facts, lambda r: r.fact, "value"))
     add("B5.2", "table", f"Rows of each stage ({state})", _points(read("pipeline_row_counts", ["stage", "n"], ["stage"]), lambda r: r.stage, "n"), True)
+    panels.sort(key=lambda p: p.id)
     return serve.render(panels)

@@ -31,6 +31,12 @@ KNOBS = [
     ("days_per_round", 7.0, "days per document round trip", "unsourced", 1.0, 21.0),
     ("timer_days", 14.0, "days a hold may run before the clock", "unsourced", 1.0, 60.0),
 ]
+# Where the sourced parameters are from; the others have no source.
+CITED = {
+    **dict.fromkeys(("arr_eur", "members", "fraud_pool_eur", "refunded_eur"), "published figures of the insurer"),
+    **dict.fromkeys(("mu", "sigma", "emp_p50", "emp_mean"), "fit of the open amounts"),
+    "extra_billing_share": "fee table of the public insurer",
+}
 FIT = {"mu": 3.809814, "sigma": 2.187981, "n": 5000, "emp_p50": 49.76, "emp_mean": 847.590174}
 FEE_SHARE = (0.172708, 0.010292, 0.493113)
 
@@ -68,19 +74,35 @@ def parameters(fit: dict[str, float] = FIT, fee: tuple[float, float, float] = FE
         ("extra_billing_share", round(fee[0], 6), "share of fees billed", "sourced", round(fee[1], 6), round(fee[2], 6)),
     ]
     rows = SCALE + fitted + KNOBS
-    for name, default, _, sourcing, low, high in rows:
-        if sourcing not in ("sourced", "unsourced") or not low <= default <= high:
-            raise ValueError(f"{name}: sourcing or range is wrong")
+    for row in rows:
+        check_parameter(row, CITED.get(row[0], ""))
     return rows
 
 
-def cost_params(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(parameters(), "name string, default_value double, unit string, sourcing string, low double, high double").withColumn("tag", F.when(F.col("sourcing") == "sourced", "Documented").otherwise("Modeled"))
+def check_parameter(row: tuple, citation: str) -> None:
+    """One of two sourcings, a citation if and only if it is sourced, and a default inside its range."""
+    name, default, _, sourcing, low, high = row
+    if sourcing not in ("sourced", "unsourced"):
+        raise ValueError(f"{name}: sourcing {sourcing!r} is neither sourced nor unsourced")
+    if (sourcing == "sourced") != bool(citation):
+        raise ValueError(f"{name}: {sourcing}, with{'' if citation else 'out'} a citation")
+    if not low <= default <= high:
+        raise ValueError(f"{name}: default {default} outside {low} to {high}")
 
 
-def _base(spark: SparkSession, scenarios: dict[str, dict[str, str]] = SCENARIOS) -> DataFrame:
+def from_artifacts(fit: dict[str, float], split: dict[str, tuple[int, int, float]]) -> list[tuple]:
+    """The parameters of a fit artifact and a fee-split artifact as ``files.read_fit`` and ``read_fee_split`` give them."""
+    shares = [share for family, (_, _, share) in split.items() if family != "overall"]
+    return parameters(fit, (split["overall"][2], min(shares), max(shares)))
+
+
+def cost_params(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
+    return spark.createDataFrame(rows or parameters(), "name string, default_value double, unit string, sourcing string, low double, high double").withColumn("tag", F.when(F.col("sourcing") == "sourced", "Documented").otherwise("Modeled"))
+
+
+def _base(spark: SparkSession, scenarios: dict[str, dict[str, str]] = SCENARIOS, rows: list[tuple] | None = None) -> DataFrame:
     """One row per scenario with its parameter values."""
-    values = {r[0]: r[1] for r in parameters()}
+    values = {r[0]: r[1] for r in rows or parameters()}
     df = spark.createDataFrame([(s,) for s in scenarios], "scenario string").select("scenario", *[F.lit(float(v)).alias(n) for n, v in values.items()])
     changed = {n for o in scenarios.values() for n in o}
     for n in sorted(changed):
@@ -96,62 +118,91 @@ def evaluated(df: DataFrame) -> DataFrame:
     return df
 
 
-def cost_outputs(spark: SparkSession) -> DataFrame:
+def cost_outputs(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
     """13 outputs and 2 crossovers for every scenario: 60 rows."""
-    points = evaluated(_base(spark)).select("scenario", *[rounded(u, F.col(n)).alias(n) for n, _, u in FORMULAS])
+    points = evaluated(_base(spark, rows=rows)).select("scenario", *[rounded(u, F.col(n)).alias(n) for n, _, u in FORMULAS])
     long = points.unpivot(["scenario"], [n for n, _, _ in FORMULAS], "name", "value")
-    cross = crossovers(spark).unpivot(["scenario"], ["crossover_flag_rate", "marginal_crossover_flag_rate"], "name", "value")
+    cross = crossovers(spark, rows).unpivot(["scenario"], ["crossover_flag_rate", "marginal_crossover_flag_rate"], "name", "value")
     units = spark.createDataFrame([*[(n, u) for n, _, u in FORMULAS], ("crossover_flag_rate", "rate"), ("marginal_crossover_flag_rate", "rate")], "name string, unit string")
     return long.union(cross).join(F.broadcast(units), "name").select("scenario", "name", "value", "unit")
 
 
-def cost_curves(spark: SparkSession) -> DataFrame:
+def cost_curves(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
     """41 grid points of every scenario; net and its parts rounded on output."""
     grid = spark.range(GRID).select(F.round(F.col("id") * GRID_STEP, 6).alias("grid_rate"))
-    rows = _base(spark).crossJoin(F.broadcast(grid))  # four by forty-one
+    points = _base(spark, rows=rows).crossJoin(F.broadcast(grid))  # four by forty-one
     default = F.col("flag_rate")
-    rows = rows.withColumn("is_default", F.abs(F.col("grid_rate") - default) < 1e-9).withColumn("flag_rate", F.col("grid_rate"))
-    return evaluated(rows).select("scenario", "flag_rate", *[rounded("eur", F.col(n)).alias(n) for n in ("fraud_saved", "friction_cost", "net")], "is_default")
+    points = points.withColumn("is_default", F.abs(F.col("grid_rate") - default) < 1e-9).withColumn("flag_rate", F.col("grid_rate"))
+    return evaluated(points).select("scenario", "flag_rate", *[rounded("eur", F.col(n)).alias(n) for n in ("fraud_saved", "friction_cost", "net")], "is_default")
 
 
-def crossovers(spark: SparkSession) -> DataFrame:
+def crossovers(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
     """First rate with a net below zero, and first whose net is below the rate before it; of rounded nets."""
     w = Window.partitionBy("scenario").orderBy("flag_rate")
-    curves = cost_curves(spark).withColumn("before", F.lag("net").over(w))
+    curves = cost_curves(spark, rows).withColumn("before", F.lag("net").over(w))
     return curves.groupBy("scenario").agg(F.min(F.when(F.col("net") < 0, F.col("flag_rate"))).alias("crossover_flag_rate"), F.min(F.when(F.col("net") < F.col("before"), F.col("flag_rate"))).alias("marginal_crossover_flag_rate"))
 
 
-def synthetic_claims(spark: SparkSession) -> DataFrame:
+def synthetic_claims(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
     """1,000 amounts at the middle quantiles of the fitted distribution."""
-    rows = [(k, (k - 0.5) / RANKS, z((k - 0.5) / RANKS)) for k in range(1, RANKS + 1)]
-    zs = spark.createDataFrame(rows, "claim_rank int, quantile double, z double")
-    return zs.select("claim_rank", F.round("quantile", 6).alias("quantile"), F.round(F.exp(F.lit(FIT["mu"]) + F.lit(FIT["sigma"]) * F.col("z")), 2).alias("amount_eur"))
+    fit = {r[0]: r[1] for r in rows or parameters()}
+    ranks = [(k, (k - 0.5) / RANKS, z((k - 0.5) / RANKS)) for k in range(1, RANKS + 1)]
+    zs = spark.createDataFrame(ranks, "claim_rank int, quantile double, z double")
+    return zs.select("claim_rank", F.round("quantile", 6).alias("quantile"), F.round(F.exp(F.lit(fit["mu"]) + F.lit(fit["sigma"]) * F.col("z")), 2).alias("amount_eur"))
 
 
-def _loop_and_timer(spark: SparkSession) -> DataFrame:
+def _loop_and_timer(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
     """Per simulated scenario: whole loop and timer days, and the baseline's threshold in cents."""
-    point = {r.scenario: r for r in evaluated(_base(spark)).select("scenario", F.round("loop_days", 2).alias("loop"), "timer_days", F.round("timer_amount_eur", 2).alias("t")).collect()}
-    rows = [(s, c, int(round(point["contacts_once" if once else "baseline"].loop)), int(round(point["baseline"].timer_days)), timer, point["baseline"].t) for s, (c, once, timer) in SIMULATED.items()]
-    return spark.createDataFrame(rows, "scenario string, curves_scenario string, loop_days int, timer_days int, timer_on boolean, threshold double")
+    point = {r.scenario: r for r in evaluated(_base(spark, rows=rows)).select("scenario", F.round("loop_days", 2).alias("loop"), "timer_days", F.round("timer_amount_eur", 2).alias("t")).collect()}
+    held = [(s, c, int(round(point["contacts_once" if once else "baseline"].loop)), int(round(point["baseline"].timer_days)), timer, point["baseline"].t) for s, (c, once, timer) in SIMULATED.items()]
+    return spark.createDataFrame(held, "scenario string, curves_scenario string, loop_days int, timer_days int, timer_on boolean, threshold double")
 
 
-def guardrail_sim(spark: SparkSession) -> DataFrame:
-    """Every claim under every scenario: how long it is held and how the hold ends. 4,000 rows."""
-    rows = synthetic_claims(spark).crossJoin(F.broadcast(_loop_and_timer(spark)))  # a thousand by four
+def held(claims: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """(claims, scenario, ..., hold_days, outcome): every claim under each of four scenarios, which are sent to it."""
+    rows = claims.crossJoin(F.broadcast(scenarios))  # four rows for each claim
     loop = ~F.col("timer_on") | (F.col("loop_days") <= F.col("timer_days"))
     under = F.col("amount_eur") < F.col("threshold")
     hold = F.when(loop, F.col("loop_days")).when(under, F.col("timer_days")).otherwise(F.col("loop_days"))
     outcome = F.when(loop, "loop_released").when(under, "timer_released").otherwise("timer_escalated")
-    return rows.select("scenario", "curves_scenario", "claim_rank", "quantile", "amount_eur", "loop_days", hold.alias("hold_days"), outcome.alias("outcome"))
+    return rows.withColumns({"hold_days": hold, "outcome": outcome})
+
+
+def guardrail_sim(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
+    """Every synthetic claim under every scenario: how long it is held and how the hold ends. 4,000 rows."""
+    return held(synthetic_claims(spark, rows), _loop_and_timer(spark, rows)).select("scenario", "curves_scenario", "claim_rank", "quantile", "amount_eur", "loop_days", "hold_days", "outcome")
+
+
+def holds_of(claims: DataFrame, rows: list[tuple] | None = None) -> DataFrame:
+    """What the scenarios do to real claims (amount_eur), of any number: one pass, four partial sums a task."""
+    return hold_summary(held(claims.select("amount_eur"), _loop_and_timer(claims.sparkSession, rows)))
 
 
-def sla_threshold(spark: SparkSession) -> DataFrame:
-    """The threshold re-evaluated for timers of 1 to 60 days, and the share of claims strictly under it."""
+def _timers(spark: SparkSession, rows: list[tuple] | None) -> DataFrame:
+    """(day, is_default, timer_amount_eur) of timers of 1 to 60 days."""
     days = spark.range(1, SLA_DAYS + 1).select(F.col("id").cast("int").alias("day"))
-    base = _base(spark, {"baseline": {}})
-    at = base.crossJoin(days).withColumn("is_default", F.col("day") == F.col("timer_days")).withColumn("timer_days", F.col("day").cast("double"))
-    at = evaluated(at).select("day", "is_default", F.round("timer_amount_eur", 2).alias("timer_amount_eur"))
-    share = at.crossJoin(F.broadcast(synthetic_claims(spark))).groupBy("day", "is_default", "timer_amount_eur").agg(F.round(F.avg(F.when(F.col("amount_eur") < F.col("timer_amount_eur"), 1.0).otherwise(0.0)), 6).alias("share_under"))
+    at = _base(spark, {"baseline": {}}, rows).crossJoin(days).withColumn("is_default", F.col("day") == F.col("timer_days")).withColumn("timer_days", F.col("day").cast("double"))
+    return evaluated(at).select("day", "is_default", F.round("timer_amount_eur", 2).alias("timer_amount_eur"))
+
+
+def sla_of(claims: DataFrame, rows: list[tuple] | None = None) -> DataFrame:
+    """The share of real claims strictly under the threshold of each timer: claims are counted by how many thresholds they reach, once."""
+    spark = claims.sparkSession
+    timers = _timers(spark, rows).orderBy("day").collect()  # sixty rows
+    steps = F.array(*[F.lit(t.timer_amount_eur) for t in timers])
+    reached = F.size(F.filter(steps, lambda t: t <= F.col("amount_eur")))
+    counted = claims.where("amount_eur IS NOT NULL").groupBy(reached.alias("reached")).agg(F.count("*").alias("k"))
+    # a threshold that is reached by none of the first ``n`` is above the claim, as thresholds never fall
+    places = spark.createDataFrame([(t.day, t.is_default, t.timer_amount_eur, sum(o.timer_amount_eur <= t.timer_amount_eur for o in timers) - sum(o.timer_amount_eur == t.timer_amount_eur for o in timers)) for t in timers], "timer_days int, is_default boolean, timer_amount_eur double, below int")
+    under = F.sum(F.when(F.col("reached") <= F.col("below"), F.col("k")).otherwise(0))
+    out = places.crossJoin(counted).groupBy("timer_days", "timer_amount_eur", "is_default").agg((under / F.sum("k")).alias("s"))  # sixty by sixty-one
+    return out.select("timer_days", "timer_amount_eur", F.round("s", 6).alias("share_under"), "is_default")
+
+
+def sla_threshold(spark: SparkSession, rows: list[tuple] | None = None) -> DataFrame:
+    """The threshold re-evaluated for timers of 1 to 60 days, and the share of synthetic claims strictly under it."""
+    at = _timers(spark, rows)
+    share = at.crossJoin(F.broadcast(synthetic_claims(spark, rows))).groupBy("day", "is_default", "timer_amount_eur").agg(F.round(F.avg(F.when(F.col("amount_eur") < F.col("timer_amount_eur"), 1.0).otherwise(0.0)), 6).alias("share_under"))
     return share.select(F.col("day").alias("timer_days"), "timer_amount_eur", "share_under", "is_default")
 
 

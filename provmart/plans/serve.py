@@ -86,6 +86,15 @@ def corpus_gate(df: DataFrame, known: dict[str, str], column: str = "run_id") ->
     return known[runs[0]]
 
 
+def gate_states(df: DataFrame, known: dict[str, str], by: list[str], column: str = "run_id") -> DataFrame:
+    """(by, state, runs): the gate of many corpora in one aggregate; 'refused' where a corpus has two run ids or an unknown one."""
+    runs = df.groupBy(*by).agg(F.min(column).alias("first"), F.max(column).alias("last"), F.count_distinct(column).alias("runs"))
+    state = F.when(F.col("first") != F.col("last"), "refused").when(F.col("first").isNull(), "no data")
+    for run, says in known.items():
+        state = state.when(F.col("first") == run, says)
+    return runs.select(*by, state.otherwise("refused").alias("state"), "runs")
+
+
 def render(panels: list[Panel]) -> str:
     """The report: one section per panel, everything escaped."""
     out = []

@@ -12,7 +12,9 @@ from ..operators import work
 from ..operators.commits import Store
 from ..operators.load import Refused
 from ..sources import files, html_pages, records
+from . import cost_model as M
 from . import registry as R
+from . import serve
 
 
 def strict_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,10 +124,60 @@ def sample_by_text(spark: SparkSession, sf: str) -> DataFrame:
     return fitting.systematic_sample(c, F.lit(True), "key", 100).where("key IS NOT NULL").select("c_custkey", "key")
 
 
-_ALL = (strict_rows, batch_commit, latest_kept, amounts_by_content, robots_by_host, parsed_captures, decision_cache, sample_by_text)
+def _fitted(spark: SparkSession, sf: str) -> list[tuple]:
+    """The model's parameters with the fit and the fee split of the line items instead of the declared ones."""
+    x = R.table(spark, sf, "lineitem").select("l_extendedprice", "l_returnflag", "l_tax")
+    fit = fitting.lognormal_fit(x, "l_extendedprice").first().asDict()
+    middle = {d.pct: d.emp for d in fitting.fit_deciles(x, "l_extendedprice").collect()}[50]  # nine rows
+    split = {r.family: r.share for r in fitting.fee_split(x.withColumn("extra", F.col("l_extendedprice") * F.col("l_tax")), "l_returnflag", "l_extendedprice", "extra").collect()}
+    shares = [v for k, v in split.items() if k != "overall"]
+    return M.parameters(fit | {"emp_p50": middle}, (split["overall"], min(shares), max(shares)))
+
+
+def _claims(spark: SparkSession, sf: str) -> DataFrame:
+    return R.table(spark, sf, "lineitem").select((F.col("l_extendedprice") / 1000).alias("amount_eur"))
+
+
+def fitted_params(spark: SparkSession, sf: str) -> DataFrame:
+    """The 17 parameters, nine of them from the line items."""
+    return M.cost_params(spark, _fitted(spark, sf)).select("name", "default_value", "sourcing", "low", "high", "tag")
+
+
+def fitted_outputs(spark: SparkSession, sf: str) -> DataFrame:
+    """All outputs and crossovers of the four scenarios under these parameters; sums of money to the euro."""
+    out = M.cost_outputs(spark, _fitted(spark, sf))
+    return out.select("scenario", "name", F.round("value", 2).alias("value"))
+
+
+def fitted_holds(spark: SparkSession, sf: str) -> DataFrame:
+    """How long every line item, taken as a claim in thousands, is held under each scenario."""
+    return M.holds_of(_claims(spark, sf), _fitted(spark, sf))
+
+
+def fitted_sla(spark: SparkSession, sf: str) -> DataFrame:
+    """The share of line items under the threshold of every timer."""
+    return M.sla_of(_claims(spark, sf), _fitted(spark, sf))
+
+
+def corpus_gates(spark: SparkSession, sf: str) -> DataFrame:
+    """What the gate says of the orders of every month, whose status is the run they are of."""
+    rows = R.table(spark, sf, "orders").select(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderstatus").alias("run_id"))
+    return serve.gate_states(rows, {"F": "counted", "O": "fixture"}, ["month"])
+
+
+_ALL = (strict_rows, batch_commit, latest_kept, amounts_by_content, robots_by_host, parsed_captures, decision_cache, sample_by_text, fitted_params, fitted_outputs, fitted_holds, fitted_sla, corpus_gates)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _PATH = r"regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^#]*)', 1), '^([^/]|$)', '/\1'), '[?]$', '')"
+_FIT = """(SELECT round(avg(ln(l_extendedprice)), 6) AS mu, round(stddev_pop(ln(l_extendedprice)), 6) AS sigma, count(*) AS n, round(quantile_cont(l_extendedprice, 0.5), 2) AS emp_p50, round(avg(l_extendedprice), 2) AS emp_mean FROM lineitem WHERE l_extendedprice > 0)"""
+_FEES = "(SELECT max(CASE WHEN g = 1 THEN s END) AS share, min(CASE WHEN g = 0 THEN s END) AS low, max(CASE WHEN g = 0 THEN s END) AS high FROM (SELECT grouping(l_returnflag) AS g, round(sum(l_extendedprice * l_tax) / (sum(l_extendedprice) + sum(l_extendedprice * l_tax)), 6) AS s FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), ())))"
+_OWN = {"mu": "mu", "sigma": "sigma", "emp_p50": "emp_p50", "emp_mean": "emp_mean", "extra_billing_share": "share"}
+_BASE = "SELECT scenario, " + ", ".join(
+    f"CASE WHEN scenario IN ('contacts_once', 'both') THEN 1.0::DOUBLE ELSE {v!r}::DOUBLE END AS {n}" if n == "contacts" else f"CASE WHEN scenario IN ('churn_halved', 'both') THEN {v / 2!r}::DOUBLE ELSE {v!r}::DOUBLE END AS {n}" if n == "churn_prob" else f"{_OWN[n]}::DOUBLE AS {n}" if n in _OWN else f"{v!r}::DOUBLE AS {n}" for n, v in R._PARAM.items()
+) + f" FROM (VALUES ('baseline'), ('contacts_once'), ('churn_halved'), ('both')) s(scenario), {_FIT}, {_FEES}"
+_POINTS = f"({R._model_sql(_BASE)})"
+_NETS = "(SELECT scenario, flag_rate, round(net, 2) AS net FROM (" + R._model_sql(f"SELECT * REPLACE (round(i * 0.005, 6)::DOUBLE AS flag_rate) FROM ({_BASE}), range(41) r(i)") + "))"
+_CROSS = f"(SELECT scenario, min(CASE WHEN net < 0 THEN flag_rate END) AS crossover_flag_rate, min(CASE WHEN net < before THEN flag_rate END) AS marginal_crossover_flag_rate FROM (SELECT *, lag(net) OVER (PARTITION BY scenario ORDER BY flag_rate) AS before FROM {_NETS}) GROUP BY scenario)"
 _DAY = "strftime(o_orderdate, '%Y-%m-%d')"
 
 SQL = {
@@ -145,4 +197,19 @@ SQL = {
       CASE WHEN o_orderkey % 3 > 0 THEN 'order ' || o_orderkey END AS review_body FROM orders""",
     "decision_cache": f"SELECT doc_id, 'v1' AS prompt_version, 'm' AS model, ['delay', 'refund', 'unclassified'][length(text) % 3 + 1] AS theme FROM {R._CLASSIFIED} JOIN documents USING (doc_id) WHERE theme = 'unclassified'",
     "sample_by_text": "SELECT c_custkey, key FROM (SELECT *, row_number() OVER (ORDER BY key NULLS FIRST) - 1 AS rn, greatest(1, count(*) OVER () // 100) AS stride FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN reverse(c_name) END AS key FROM customer)) WHERE rn % stride = 0 AND rn // stride < 100 AND key IS NOT NULL",
+    "fitted_params": f"""WITH f AS (SELECT *, sigma / sqrt(n) AS a, sigma / sqrt(2 * n) AS b FROM {_FIT}), x AS (SELECT * FROM {_FEES})
+      SELECT 'mu' AS name, mu AS default_value, 'sourced' AS sourcing, round(mu - 2 * a, 6) AS low, round(mu + 2 * a, 6) AS high, 'Documented' AS tag FROM f
+      UNION ALL SELECT 'sigma', sigma, 'sourced', round(sigma - 2 * b, 6), round(sigma + 2 * b, 6), 'Documented' FROM f
+      UNION ALL SELECT 'emp_p50', emp_p50, 'sourced', emp_p50, emp_p50, 'Documented' FROM f UNION ALL SELECT 'emp_mean', emp_mean, 'sourced', emp_mean, emp_mean, 'Documented' FROM f
+      UNION ALL SELECT 'extra_billing_share', share, 'sourced', low, high, 'Documented' FROM x UNION ALL SELECT * FROM (VALUES """
+    + ", ".join(f"('{n}', {d!r}::DOUBLE, '{s}', {lo!r}::DOUBLE, {hi!r}::DOUBLE, '{'Documented' if s == 'sourced' else 'Modeled'}')" for n, d, _, s, lo, hi in M.parameters() if n not in _OWN)
+    + ") v",
+    "fitted_outputs": f"WITH p AS (SELECT * FROM {_POINTS}), c AS (SELECT * FROM {_CROSS}) " + " UNION ALL ".join([f"SELECT scenario, '{n}' AS name, round({R._ROUND[u].format(n)}, 2) AS value FROM p" for n, _, u in M.FORMULAS] + [f"SELECT scenario, '{n}', round({n}, 2) FROM c" for n in ("crossover_flag_rate", "marginal_crossover_flag_rate")]),
+    "fitted_holds": f"""WITH t AS (SELECT round(timer_amount_eur, 2) AS threshold, CAST(timer_days AS INT) AS timer, CAST(round(loop_days, 2) AS INT) AS loop FROM {_POINTS} WHERE scenario = 'baseline'),
+      o AS (SELECT CAST(round(loop_days, 2) AS INT) AS once FROM {_POINTS} WHERE scenario = 'contacts_once'),
+      s AS (SELECT scenario, timer_on, CASE WHEN once_on THEN once ELSE loop END AS loop_days, timer, threshold FROM (VALUES ('no_fix', false, false), ('ask_once', true, false), ('hold_timer', false, true), ('both_fixes', true, true)) v(scenario, once_on, timer_on), t, o),
+      h AS (SELECT scenario, timer_on AND loop_days > timer AND l_extendedprice / 1000 < threshold AS released, loop_days, timer FROM lineitem, s)
+      SELECT scenario, round(avg(CASE WHEN released THEN timer ELSE loop_days END), 2) AS mean_hold_days, round(avg(CASE WHEN released THEN 1.0 ELSE 0.0 END), 6) AS released_share, count(*) FILTER (released) AS released, count(*) AS claims FROM h GROUP BY scenario""",
+    "fitted_sla": "WITH a AS (SELECT day, is_default, round(timer_amount_eur, 2) AS t FROM (" + R._model_sql(f"SELECT * REPLACE (d::DOUBLE AS timer_days), CAST(d AS INT) AS day, d = timer_days AS is_default FROM ({_BASE}), range(1, 61) r(d) WHERE scenario = 'baseline'") + ")) SELECT day AS timer_days, t AS timer_amount_eur, round(avg(CASE WHEN l_extendedprice / 1000 < t THEN 1.0 ELSE 0.0 END), 6) AS share_under, is_default FROM a, lineitem GROUP BY ALL",
+    "corpus_gates": "SELECT strftime(o_orderdate, '%Y-%m') AS month, CASE WHEN count(DISTINCT o_orderstatus) > 1 THEN 'refused' WHEN min(o_orderstatus) = 'F' THEN 'counted' WHEN min(o_orderstatus) = 'O' THEN 'fixture' ELSE 'refused' END AS state, count(DISTINCT o_orderstatus) AS runs FROM orders GROUP BY month",
 }

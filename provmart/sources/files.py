@@ -271,23 +271,47 @@ def first_snapshot(snapshots: DataFrame, capture: str = "capture", page: str = "
     return latest_by(snapshots, [capture], [F.asc(page)])
 
 
+def _scalar(text: str, where: str) -> str:
+    """A plain, single-quoted or double-quoted scalar of one line; a comment may follow it."""
+    if m := re.fullmatch(r"'((?:[^']|'')*)'\s*(?:#.*)?", text):
+        return m[1].replace("''", "'")
+    if m := re.fullmatch(r'"((?:[^"\\]|\\.)*)"\s*(?:#.*)?', text):
+        return json.loads(f'"{m[1]}"')
+    plain = re.sub(r"(^|\s)#.*$", "", text).strip()
+    if not plain or plain[0] in "'\"[]{}>|*&!%@`,#" or re.search(r":(\s|$)", plain):
+        raise Refused(f"{where}: {text!r} is no plain text")
+    return plain
+
+
 def read_rules(path_text: str, allowed: tuple[str, ...]) -> dict[str, list[str]]:
-    """Rules as JSON or simple YAML (label: then '- pattern' lines); closed keys, non-empty lists."""
+    """Rules as JSON or as the YAML of a rule file: labels, each with a list in lines or in brackets; closed keys, non-empty lists.
+
+    Anything else that YAML knows - anchors, tags, nested maps, tabs, a label given twice - is refused.
+    """
     if path_text.lstrip().startswith("{"):
-        rules = json.loads(path_text)
+        pairs = json.loads(path_text, object_pairs_hook=lambda p: p)
+        rules = dict(pairs)
+        if len(rules) < len(pairs):
+            raise Refused("a rule is given twice")
     else:
         rules, now = {}, None
-        for line in path_text.splitlines():
-            line = line.split(" #")[0].rstrip()
-            if not line or line.lstrip().startswith("#"):
+        for n, line in enumerate(path_text.lstrip("\ufeff").splitlines(), 1):
+            where, bare = f"rule line {n}", line.strip()
+            if "\t" in line[: len(line) - len(line.lstrip())]:
+                raise Refused(f"{where}: a tab before text")
+            if not bare or bare.startswith("#") or bare == "---" and now is None:
                 continue
-            if line.endswith(":") and not line.startswith((" ", "-")):
-                now = rules.setdefault(line[:-1].strip(), [])
-            elif line.lstrip().startswith("- ") and now is not None:
-                now.append(line.lstrip()[2:].strip().strip("\"'"))
+            if bare.startswith("- ") and now is not None:
+                rules[now].append(_scalar(bare[2:].strip(), where))
+            elif m := re.fullmatch(r"([^\s#'\"\[\]{}-][^:#]*|'[^']+'|\"[^\"]+\"):\s*(\[.*\])?\s*(?:#.*)?", line):
+                now = _scalar(m[1].strip(), where)
+                if now in rules:
+                    raise Refused(f"{where}: {now!r} is given twice")
+                cells = re.findall(r"\s*('(?:[^']|'')*'|\"(?:[^\"\\]|\\.)*\"|[^,]+)", m[2][1:-1]) if m[2] else []
+                rules[now] = [_scalar(c.strip(), where) for c in cells if c.strip()]
             else:
-                raise Refused(f"rule line {line!r}")
+                raise Refused(f"{where}: {line!r}")
     for label, patterns in rules.items():
-        if label not in allowed or not patterns or not all(isinstance(p, str) and p for p in patterns):
+        if label not in allowed or not isinstance(patterns, list) or not patterns or not all(isinstance(p, str) and p for p in patterns):
             raise Refused(f"rule {label!r}")
     return rules

@@ -16,6 +16,7 @@ from provmart.operators import fit, latest
 from provmart.operators.commits import Store
 from provmart.operators.load import Refused
 from provmart.plans import build, serve, warehouse
+from provmart.plans import cost_model as M
 from provmart.sources import amounts, artifacts, files, html_pages, records
 
 # --- commits -------------------------------------------------------------------
@@ -322,6 +323,30 @@ def test_a_decider_is_asked_once_for_each_open_text(spark, tmp_path):
     assert (share.decided, share.texts, share.share) == (3, 5, 0.6)
 
 
+def test_rule_files_are_read_as_yaml_says():
+    read = lambda t: files.read_rules(t, ("a", "b-c", "positive"))
+    text = "--- \n# rules\na:   # first\n  - plain word # said so\n  - 'it''s # here'\n- \"\\u00e9: x\"\nb-c: [one, 'two, three', \"four\"]\n'positive':\n  - un par un\n  - a#b\n"
+    assert read(text) == {"a": ["plain word", "it's # here", "é: x"], "b-c": ["one", "two, three", "four"], "positive": ["un par un", "a#b"]}
+    assert read('{"a": ["x"]}') == {"a": ["x"]}
+    for bad in ("a:\n", "a:\n\t- x\n", "a:\n  - x\na:\n  - y\n", "a: &x\n", "a:\n  - k: v\n", "other:\n  - x\n", "- x\n", "a:\n  - [x]\n", "a: text\n", '{"a": [], "a": ["x"]}', '{"a": [1]}', '{"a": "x"}', "a:\n  - *x\n"):
+        with pytest.raises(Refused):
+            read(bad)
+
+
+def test_parameters_have_a_source_if_and_only_if_they_say_so(spark, tmp_path):
+    good = ("x", 1.0, "u", "sourced", 0.5, 2.0)
+    M.check_parameter(good, "somewhere")
+    for row, citation in ((good, ""), ((*good[:3], "unsourced", *good[4:]), "somewhere"), ((*good[:3], "guessed", *good[4:]), "x"), ((*good[:4], 1.5, 2.0), "x")):
+        with pytest.raises(ValueError, match="x:"):
+            M.check_parameter(row, citation)
+    fitted = {"mu": 3.0, "sigma": 1.0, "n": 400, "emp_p50": 20.0, "emp_mean": 33.0}
+    rows = {r[0]: r for r in M.from_artifacts(fitted, {"f": (1, 9, 0.1), "g": (3, 7, 0.3), "overall": (4, 16, 0.2)})}
+    assert rows["mu"][1:] == (3.0, "log-euros", "sourced", 2.9, 3.1) and rows["extra_billing_share"][1:] == (0.2, "share of fees billed", "sourced", 0.1, 0.3)
+    claims = spark.createDataFrame([(v,) for v in (0.0, 10.0, 42.67, 42.66, 500.0)], "amount_eur double")
+    sim = M.holds_of(claims).where("scenario = 'hold_timer'").first()
+    assert (sim.claims, sim.released) == (5, 3) and {r.timer_days: r.share_under for r in M.sla_of(claims).collect()}[14] == 0.6
+
+
 # --- ranks, deciles, files -------------------------------------------------------
 
 
@@ -384,7 +409,12 @@ def project_of(folder):
     write_csv(folder / "reviews.csv", files.REVIEWS, [("hand", "1", "u", "2026-01-01T00:00:00", "2026-01-01", "4", "slow", "answer\nis late")])
     write_csv(folder / "anchors.csv", files.ANCHORS, [anchor(platform="peer", segment="digital-first", channel="unsolicited")])
     write_csv(folder / "labels.csv", ("review_id", "label"), [(f"hand:{i}", "delay") for i in range(1, 20)])
-    (folder / "rules.yaml").write_text("delay:\n  - late\npositive:\n  - fine\n")
+    (folder / "rules.yaml").write_text("delay:\n  - LATÉ\npositive:\n  - fine\n")  # patterns are folded as texts are
+    fit_rows = [("mu", "3.000000"), ("sigma", "1.000000"), ("n", "400"), ("emp_mean", "33.000000"), *((f"{s}_p{p}", "20.0000") for p in range(10, 100, 10) for s in ("emp", "fit"))]
+    write_csv(folder / "fit.csv", ("name", "value"), fit_rows)
+    fees = {"f": (1, 9), "g": (3, 7), "overall": (4, 16)}
+    write_csv(folder / "fees.csv", ("name", "value"), [(f"{k}_{x}", v) for k, (e, t) in fees.items() for x, v in (("extra", e), ("tariff", t), ("share", f"{e / (e + t):.6f}"))])
+    (folder / "families.json").write_text('["f", "g"]')
     entry = lambda i, text: {"id": {"label": i}, "title": {"label": "t"}, "content": {"label": text}, "im:rating": {"label": "5"}, "updated": {"label": "2026-02-03T10:00:00Z"}}
     micro = '<div itemscope itemtype="x/AggregateRating"><meta itemprop=ratingValue content="3.2"><meta itemprop=reviewCount content=9></div><div itemscope itemtype="x/Review"><p itemprop=reviewBody>too late</p><i itemprop=datePublished>05/01/2026</i><u itemprop=ratingValue>2.5</u></div>'
     capture(folder, "list", "c1", 1, '<script type="application/ld+json">{"aggregateRating": {"ratingValue": 4.1235, "ratingCount": 7}}</script>')
@@ -415,8 +445,11 @@ def test_rebuild_with_anchors_captures_and_all_marts(spark, tmp_path):
     assert counts["raw_source_pages"] == 8 and counts["classifier_quality"] in (0, 7) and counts["pipeline_row_counts"] == 3
     themes = {(r.source, r.external_id, r.theme) for r in store.read("stg_classified_reviews").collect() if r.source != "micro"}
     assert themes == {("hand", "1", "delay"), ("feed", "7", "positive"), ("feed", "8", "unclassified")}
+    params = {r["name"]: r.default_value for r in store.read("cost_model_params").collect()}
+    assert len(params) == 17 and (params["mu"], params["extra_billing_share"]) == (3.0, 0.2)
     html = build.report(spark, at, {"check-1": "counted"})
-    assert all(f'id="{p}"' in html for p in ("B1.2", "B1.3", "B1.4", "B2.2", "B2.3", "B2.5", "B3.1", "B5.2")) and "peer" in html and 'href="https://feed.example/1"' in html
+    panels = ["B1.1", "B1.2", "B1.3", "B1.4", "B2.1", "B2.2", "B2.3", "B2.4", "B2.5", "B3.1", "B3.2", "B3.3", "B3.4", "B4.1", "B4.2", "B4.3", "B4.4", "B5.1", "B5.2"]
+    assert [p for p in panels if f'id="{p}"' not in html] == [] and "peer" in html and 'href="https://feed.example/1"' in html
     with pytest.raises(Refused, match="run ids"):
         build.report(spark, at, {"another": "counted"})
     before = store.versions()
