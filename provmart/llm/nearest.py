@@ -133,13 +133,23 @@ def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return ids, flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
 
 
-def valid(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """(id, v) of the rows that take part."""
+def valid(vectors: DataFrame, vec_id: str, vector: str, length: int | None = None) -> DataFrame:
+    """(id, v) of the rows that take part; vectors of another length than ``length``, by default the usual one, take none."""
     v = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), v.alias("v")).where("id IS NOT NULL AND size(v) > 0")
     rows = rows.where("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0)")
-    shape = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (shape.d if shape else 0))
+    if length is None:
+        shape = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
+        length = shape.d if shape else 0
+    return rows.where(F.size("v") == length)
+
+
+def drawn(rows: DataFrame, n: int, seed: int | None, count: int) -> DataFrame:
+    """The ``n`` rows with the least hash of their id, of ``count``: a threshold leaves little more than ``n`` rows to sort."""
+    h = F.xxhash64("id") if seed is None else F.xxhash64("id", F.lit(seed))
+    share = (n + 10 * n**0.5 + 10) / max(1, count)
+    few = rows if share >= 1 else rows.where(h < F.lit(int(share * 2.0**64) - (1 << 63)))
+    return few.orderBy(h, "id").limit(n)
 
 
 def _rerank(key: tuple, queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
@@ -187,9 +197,9 @@ def _brute(batches: Iterator[pa.RecordBatch], qs: list[int], q: np.ndarray, k: i
                 yield pa.RecordBatch.from_arrays([pa.array([one] * len(top), pa.int64()), pa.array(score[top]), pa.array(list(leaves[top]), pa.list_(pa.int64()))], ["q", "score", "leaves"])
 
 
-def _budget(forest: Forest, size: dict[int, int], rows: DataFrame, asks: DataFrame, k: int, target: float) -> float:
+def _budget(forest: Forest, size: dict[int, int], rows: DataFrame, asks: DataFrame, n_asks: int, k: int, target: float) -> float:
     """Vectors a query has to reach so that ``target`` of the true neighbours are among them."""
-    few = asks.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(CALIBRATE).toPandas()
+    few = drawn(asks, CALIBRATE, 1, n_asks).toPandas()
     if few.empty:
         return 1.0
     qs, q = few["id"].tolist(), np.stack(few["v"].to_list()).astype(np.float64)
@@ -210,12 +220,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
     """query_id, rank, vec_id, score of the k nearest found for every query vector."""
     spark = vectors.sparkSession
     rows = C.materialize(valid(vectors, vec_id, vector), "vectors")
-    asks = valid(queries, vec_id, vector)
-    stats = rows.agg(F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).alias("m"), F.count("*").alias("n")).first()
+    stats = rows.agg(F.max(F.expr("aggregate(v, 0D, (a, x) -> a + x * x)")).alias("m"), F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not stats.n:
         return empty
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow().column("v").combine_chunks()
+    asks = C.materialize(valid(queries, vec_id, vector, stats.d), "asks")
+    n_asks = asks.count()
+    sample = drawn(rows, SAMPLE, None, stats.n).select("v").toArrow().column("v").combine_chunks()
     sample = sample.flatten().to_numpy().reshape(len(sample), -1)
     # in the sample, a leaf that holds about 100 of all vectors, but 8 sampled ones at least
     forest = Forest(sample, float(np.sqrt(stats.m)), trees, max(8, 100 * len(sample) // stats.n))
@@ -231,10 +242,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
     # bounded by the number of leaves, which the sample bounds
     size = {r.leaf: r.n for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     sizes = spark.sparkContext.broadcast(size)
-    budget = _budget(forest, size, placed, asks, k, target)
+    budget = _budget(forest, size, placed, asks, n_asks, k, target)
 
-    asks, budget, parts = C.materialize(asks, "asks"), float(budget), []
-    n_asks, walked = asks.count(), float(sum(size.values()))
+    budget, parts, walked = float(budget), [], float(sum(size.values()))
     while n_asks:
         found = C.materialize(_asked(asks, placed, size, sizes, shared, budget, k), "found")
         if budget >= walked:
