@@ -520,6 +520,27 @@ def _score(batches: Iterator[pa.RecordBatch], vocabulary, model) -> Iterator[pa.
             )
 
 
+def most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """The ``most`` words of greatest count, ties by hash, without a sort of more than little more than these.
+
+    Counts fall into bins: each of its own below 1,024, above that by their first ten bits.  The bin in which the
+    ``most``-th word lies is cut by a threshold on the hash, as by far most words may share one small count.
+    """
+    wide = F.greatest(F.lit(0), F.length(F.bin("n")) - 10)
+    bin_ = F.col("n") - F.pmod(F.col("n"), F.pow(F.lit(2.0), wide).cast("long"))
+    sized = words.groupBy(bin_.alias("bin")).agg(F.count("*").alias("k")).collect()  # some thousands of bins at most
+    above = 0
+    for r in sorted(sized, key=lambda r: -r.bin):
+        if above + r.k >= most:
+            need = most - above
+            share = min(1.0, (need + 10 * need**0.5 + 10) / r.k)
+            edge = F.col("h") < F.lit(min((1 << 63) - 1, int(share * 2.0**64) - (1 << 63))) if share < 1 and r.bin < 1024 else F.lit(True)
+            words = words.where((bin_ > r.bin) | (bin_ == r.bin) & edge)
+            break
+        above += r.k
+    return words.orderBy(F.desc("n"), "h").limit(most)
+
+
 def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS) -> tuple[DataFrame, Vocabulary, LogBilinear]:
     """(word counts, frequent words and class totals, network) from every row of ``docs``."""
     spark = docs.sparkSession
@@ -528,7 +549,7 @@ def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS) -> tuple[Da
     words = C.materialize(words, "words")
     totals = {r.cls: (r.total, r.k) for r in words.groupBy("cls").agg(F.sum("n").alias("total"), F.count("*").alias("k")).collect()}
     # the bound of the table that is broadcast: FREQUENT rows of 20 bytes
-    frequent = words.orderBy(F.desc("n"), "h").limit(FREQUENT)
+    frequent = most_frequent(words, FREQUENT)
     got = frequent.toArrow() if totals else None
     cols = [got.column(c).to_numpy() for c in ("h", "n", "cls")] if got else [np.zeros(0, np.int64)] * 3
     vocabulary = Vocabulary(cols[0].astype(np.int64).view(np.uint64), cols[1].astype(np.int64), cols[2].astype(np.int64), totals, docs.count())
