@@ -29,13 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import common as C
 
 SEED, COVERAGE = 4, 0.5
 #: Bytes of benchmark text in a block.
 BLOCK_BYTES = 8 << 20
-_FOUND = "item_id long, coverage double, tiles int, longest int, matched int"
+_FOUND = "coverage double, tiles int, longest int, matched int"
 
 
 class _Side:
@@ -167,7 +168,7 @@ class Block:
                 yield d, i
 
 
-def _tile(batches: Iterator[pa.RecordBatch], block, coverage: float) -> Iterator[pa.RecordBatch]:
+def _tile(batches: Iterator[pa.RecordBatch], block, coverage: float, item: pa.DataType) -> Iterator[pa.RecordBatch]:
     b: Block = block.value
     k = b.k
     for batch in batches:
@@ -199,7 +200,7 @@ def _tile(batches: Iterator[pa.RecordBatch], block, coverage: float) -> Iterator
             kept = [i for i, n in enumerate(batch.schema.names) if n != "_text"]
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays(
-                [taken.column(i) for i in kept] + [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.float64())] + [pa.array(c, pa.int32()) for c in cols[2:]],
+                [taken.column(i) for i in kept] + [pa.array(cols[0], item), pa.array(cols[1], pa.float64())] + [pa.array(c, pa.int32()) for c in cols[2:]],
                 [batch.schema.names[i] for i in kept] + ["item_id", "coverage", "tiles", "longest", "matched"],
             )
 
@@ -207,7 +208,7 @@ def _tile(batches: Iterator[pa.RecordBatch], block, coverage: float) -> Iterator
 def blocks(benchmark: DataFrame, bytes_: int, item_id: str, text: str) -> Iterator[tuple[list, list[str]]]:
     """The benchmark in blocks of bounded size, fetched one partition at a time."""
     ids, texts, size = [], [], 0
-    for r in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where("t IS NOT NULL").toLocalIterator():
+    for r in benchmark.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL").toLocalIterator():
         ids.append(r.i), texts.append(r.t)
         size += len(r.t)
         if size >= bytes_:
@@ -222,13 +223,14 @@ def tiled(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: flo
     spark, out = docs.sparkSession, None
     C.narrow_batches(spark)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {_FOUND}"
+    kind = benchmark.schema[item_id].dataType
+    schema, item = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {kind.simpleString()}, {_FOUND}", to_arrow_type(kind)
     parts = blocks(benchmark, block_bytes, item_id, item_text)
     now = next(parts, None)
     while now:
         after = next(parts, None)
         shared = spark.sparkContext.broadcast(Block(*now, seed))
-        part = rows.mapInArrow(lambda it, s=shared: _tile(it, s, coverage), schema)
+        part = rows.mapInArrow(lambda it, s=shared: _tile(it, s, coverage, item), schema)
         if out is not None or after:  # one block at a time is held
             part = C.materialize(part, "tiles")
             shared.destroy()
