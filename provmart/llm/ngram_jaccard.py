@@ -254,6 +254,7 @@ def links(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     # (a) each set with the set that represents most of its prefix n-grams
     star = prefix.groupBy("gram").agg(F.max(F.struct("hub", "row", "n", "rest")).alias("c"), F.count("*").alias("k")).where("k > 1").select("gram", F.col("c.row").alias("b"), F.col("c.n").alias("nb"), F.col("c.rest").alias("rb"))
+    star = C.one_side(star, prefix.count(), 32, "star")
     votes = prefix.select("gram", F.col("row").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra")).join(star, "gram").where(f"a <> b AND {near_size}").groupBy("a", "na", "b", "nb").count()
     best = votes.groupBy("a", "na").agg(F.max(F.struct("count", "b", "nb")).alias("m")).select("a", "na", "m.b", "m.nb")
     first_links = C.materialize(_verified(best, segments, percent), "links")
@@ -263,6 +264,7 @@ def links(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     own = prefix.join(joined.select(F.col("id").alias("row"), "component"), "row", "left").select("row", "n", "rest", "gram", F.coalesce("component", "row").alias("comp"))
     own = C.materialize(own, "own")
     mixed = own.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("gram", F.ceil(F.col("k") / PAIRED).cast("int").alias("parts"))
+    mixed = C.one_side(mixed, own.count(), 16, "mixed")
     own = own.join(mixed, "gram")
     x, y = (own.select("gram", F.col("row").alias(k), F.col("n").alias(f"n{k}"), F.col("rest").alias(f"r{k}"), F.col("comp").alias(f"c{k}"), "parts") for k in "ab")
     # the sets of a frequent n-gram are paired block by block
