@@ -106,10 +106,38 @@ def _marks(tag: str, text: str, inner: bool) -> tuple[bool, str]:
     return marked, style
 
 
+class _Open:
+    """Open elements, and the places of each tag among them, so that the nearest of some tags is found at once."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def nearest(self, tags) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close(self, tags, stops) -> None:
+        """Close the nearest open one of ``tags`` and all inside it, unless one of ``stops`` is nearer."""
+        at = self.nearest(tags)
+        if at and at >= self.nearest(stops):
+            for node in self.stack[at:]:
+                self.places[node.tag].pop()
+            del self.stack[at:]
+
+
+_STOPS_P = BLOCK | {"td", "th", "button"}
+_SECTIONS = ("article", "table", "body", "main")
+_CLOSE_ALL = ("body", "html", "main", "article", "div", "section", "table")
+
+
 def parse(text: str) -> Node:
-    """A tree of the page; unclosed and misplaced tags are repaired the usual way."""
+    """A tree of the page; unclosed and misplaced tags are repaired the usual way, in time that follows the text."""
     root = Node("#root")
-    stack, at, n = [root], 0, len(text)
+    open_, at, n = _Open(root), 0, len(text)
+    stack = open_.stack
     while at < n:
         m = _TOKEN.match(text, at)
         token = m.group()
@@ -127,28 +155,13 @@ def parse(text: str) -> Node:
             continue
         tag = name.group(1).lower()
         if token[1] == "/":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "table", "body", "main") and tag not in ("body", "html", "main", "article", "div", "section", "table"):
-                    break
+            open_.close((tag,), () if tag in _CLOSE_ALL else _SECTIONS)
             continue
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK or stack[i].tag in ("td", "th", "button"):
-                    break
+            open_.close(("p",), _STOPS_P)
         closes, stops = CLOSES.get(tag, ((), ()))
         if closes:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in closes:
-                    del stack[i:]
-                    break
-                if stack[i].tag in stops:
-                    break
+            open_.close(closes, stops)
         inner = stack[-1].inner
         node = Node(tag, *_marks(tag, token, inner), inner)
         stack[-1].children.append(node)
@@ -160,7 +173,7 @@ def parse(text: str) -> Node:
             at = text.find(">", end.start()) + 1 or n if end else n
             continue
         if not token.endswith("/>") or tag in BLOCK:
-            stack.append(node)
+            open_.push(node)
     return root
 
 
