@@ -9,16 +9,22 @@ without a partner keeps its place below its nearest ancestor that has one, so co
 that the reference lacks are still compared among the layouts that have them.
 
 From all pages of a host the least and greatest hash of every aligned container's own
-text is gathered, combined on the map side.  A container whose text is the same on all
-pages that have it, at least ``SUPPORT`` different ones or inside an article
-``SUPPORT_INSIDE``, is template and goes; containers whose text varies are the slots, and their text is the content.
-The text of a container is all that lies in it outside other containers, so a paragraph
-that several articles share is part of a varying text and stays.
-
-Menus, adverts and comments differ from page to page, so no alignment finds them: elements
-that a tag, role, class or id marks as menu, header, footer, sidebar, notice, advert, form,
-script, style or reader comment go as well.  Inside articles only whole class names count,
-and running text is never marked.  Where a page has articles, content is what they hold;
+text is gathered, combined on the map side, with its words, those of them in links, whether it
+has headings, and how many different texts it shows on how many pages.  The text of a container is all
+that lies in it outside other containers, so a paragraph that several articles share is part of a varying text.
+
+- A container whose text is the same on all pages that have it, at least ``SUPPORT`` different
+  ones or inside an article ``SUPPORT_INSIDE``, is template and goes; so do, outside articles, those
+  whose words are mostly links, and those that show few texts again and again.
+- The others vary.  The slot of a layout is the one with most words a page, widened to the container around it
+  while that has words of its own that vary, or a heading beside it.  If the slot holds ``DOMINANT``
+  times the words of all that varies outside it, and ``SLOT_WORDS`` a page, it alone is content: menus, adverts
+  and imprints that differ from page to page go by their place in the aligned trees, whatever they are called.
+
+Tags, roles, class names and ids decide where alignment does not: on hosts and layouts without such a
+slot, and inside it.  Elements that one of these marks as menu, header, footer, sidebar, notice, advert, form,
+script, style or reader comment go; inside articles only whole class names count,
+and running text is never marked.  There, where a page has articles, content is what they hold;
 else what mains hold; else all that is left.  A page whose containers are all template keeps them.
 
 Different pages are counted with a bitmap of 64 places, which may take few pages for fewer
@@ -47,6 +53,8 @@ from . import common as C
 
 #: Different pages that have to agree on a container's text: outside articles and mains, and inside.
 SUPPORT, SUPPORT_INSIDE = 2, 3
+#: Words a page that make a slot, and how many times the words that vary outside it; pages that show when texts come again.
+SLOT_WORDS, DOMINANT, RECURRING = 25, 4, 8
 #: Bound of the wrappers sent to every task.
 BROADCAST_BYTES = 32 << 20
 
@@ -64,6 +72,7 @@ CLOSES = {
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
 }
+HEADS = ("h1", "h2", "h3")
 DROPPED = set("head nav header footer aside form script style noscript template iframe button select textarea input svg object canvas dialog menu title".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 WORDS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended comment comments disqus reply replies respond footer masthead toolbar pagination pager skip widget".split())
@@ -200,17 +209,21 @@ class Box:
         self.real, self.symbol, self.nth, self.kids = real, symbol, nth, []
         self.depth, self.key = (above.depth + 1, _below(above.key, symbol, nth)) if above else (0, 0)
 
-    def text(self) -> str:
-        """Unmarked text outside the boxes below this one, with single spaces."""
-        inner, out = {id(n) for kid in self.kids for n in kid.real}, []
-        stack: list = list(reversed(self.real))
+    def said(self) -> tuple[str, int, bool]:
+        """Unmarked text outside the boxes below this one, with single spaces; its words inside links; whether it has headings."""
+        inner, out, linked, heads = {id(n) for kid in self.kids for n in kid.real}, [], [], False
+        stack: list = [(x, False) for x in reversed(self.real)]
         while stack:
-            x = stack.pop()
+            x, link = stack.pop()
             if isinstance(x, str):
                 out.append(x)
+                if link:
+                    linked.append(x)
             else:
-                stack.extend(c for c in reversed(x.children) if isinstance(c, str) or not c.marked and id(c) not in inner)
-        return " ".join("".join(out).split())
+                heads |= x.tag in HEADS
+                link |= x.tag == "a"
+                stack.extend((c, link) for c in reversed(x.children) if isinstance(c, str) or not c.marked and id(c) not in inner)
+        return " ".join("".join(out).split()), len(" ".join(linked).split()), heads
 
 
 def boxes(root: Node) -> list[Box]:
@@ -375,63 +388,115 @@ def aligned(reference: bytes, layout: bytes) -> tuple[list[int], list[int]]:
 # ------------------------------------------------------------------- wrappers
 
 
+class Stats:
+    """What the pages of a host have in a container; adds up in any order."""
+
+    __slots__ = ("low", "high", "places", "inner", "words", "linked", "heads", "shown", "n")
+
+    def __init__(self, low: int, high: int, places: int = 0, inner: bool = False, words: int = 0, linked: int = 0, heads: bool = False, shown: int = 0, n: int = 0):
+        self.low, self.high, self.places, self.inner, self.words, self.linked, self.heads, self.shown, self.n = low, high, places, inner, words, linked, heads, shown, n
+
+    def values(self) -> tuple:
+        return self.low, self.high, self.places, self.inner, self.words, self.linked, self.heads, self.shown, self.n
+
+    def add(self, other: Stats) -> None:
+        self.low, self.high = min(self.low, other.low), max(self.high, other.high)
+        self.places |= other.places
+        self.shown |= other.shown
+        self.heads |= other.heads
+        self.words, self.linked, self.n = self.words + other.words, self.linked + other.linked, self.n + other.n
+
+    def goes(self) -> bool:
+        """Constant, or outside articles a list of links or one of few texts that come again."""
+        pages = self.places.bit_count()
+        if self.low == self.high:
+            return pages >= (SUPPORT_INSIDE if self.inner else SUPPORT)
+        return not self.inner and (2 * self.linked > self.words or pages >= RECURRING and 2 * self.shown.bit_count() <= pages)
+
+
 def _tally(pages: Iterable[tuple[str, str]]) -> Iterator[tuple[dict, dict]]:
-    """({(host, layout): [packed tree, pages]}, {(host, layout, key): [least and greatest text hash, bitmap of pages, whether in an article]}), some at a time."""
+    """({(host, layout): [packed tree, pages]}, {(host, layout, key): stats}), some at a time."""
     trees: dict[tuple[str, int], list] = {}
-    seen: dict[tuple[str, int, int], list[int]] = {}
+    seen: dict[tuple[str, int, int], Stats] = {}
     for name, page in pages:
         found = boxes(parse(page))
         tree = packed(found)
         kind = _hash(tree)
-        said = [(box.key, box.text(), box.real[0].inner) for box in found]
-        place = 1 << (_hash("\x1f".join(t for _, t, _ in said).encode("utf-8", "surrogatepass")) & 63)
+        said = [(box.key, *box.said(), box.real[0].inner) for box in found]
+        place = 1 << (_hash("\x1f".join(x[1] for x in said).encode("utf-8", "surrogatepass")) & 63)
         trees.setdefault((name, kind), [tree, 0])[1] += 1
-        for key, text, inner in said:
+        for key, text, linked, heads, inner in said:
             if text:
                 h = _hash(text.encode("utf-8", "surrogatepass"))
-                have = seen.setdefault((name, kind, key), [h, h, 0, inner])
-                have[:3] = min(have[0], h), max(have[1], h), have[2] | place
+                own = Stats(h, h, place, inner, text.count(" ") + 1, linked, heads, 1 << (h & 63), 1)
+                have = seen.setdefault((name, kind, key), own)
+                if have is not own:
+                    have.add(own)
         if len(seen) > 100_000:
             yield trees, seen
             trees, seen = {}, {}
     yield trees, seen
 
 
-def _merge(table: dict, key, low: int, high: int, places: int, inner: bool) -> None:
-    have = table.setdefault(key, [low, high, 0, inner])
-    have[:3] = min(have[0], low), max(have[1], high), have[2] | places
+def slot(data: bytes, stats: dict[int, Stats]) -> tuple[set[int], int | None]:
+    """(keys of what goes, key of the slot or None) of a layout, from the stats of the containers its own are aligned with."""
+    tree = Tree(data)
+    gone = {key for key, s in stats.items() if s.goes()}
+    words = [stats[k].words / stats[k].n if k in stats and k not in gone else 0.0 for k in tree.key]
+    heads = [k in stats and k not in gone and stats[k].heads for k in tree.key]
+    inside, head_inside = words[:], heads[:]
+    for i in range(len(words) - 1, 0, -1):
+        inside[tree.above[i]] += inside[i]
+        head_inside[tree.above[i]] |= head_inside[i]
+    at = max(range(len(words)), key=lambda i: words[i])
+    while at and tree.above[at] >= 0:
+        above = tree.above[at]
+        if not words[above] and not any(head_inside[k] for k in tree.kids[above] if k != at):
+            break
+        at = above
+    clear = inside[at] >= SLOT_WORDS and inside[at] >= DOMINANT * (inside[0] - inside[at])
+    return gone, tree.key[at] if at and clear else None
 
 
-def _is_template(low: int, high: int, places: int, inner: bool) -> bool:
-    return low == high and places.bit_count() >= (SUPPORT_INSIDE if inner else SUPPORT)
+Wrapper = tuple[set[int], int | None]
 
 
-def induce(pages: list[str]) -> dict[int, set[int]]:
-    """The wrapper of one host whose pages are at hand, {layout: keys of its template containers}; as ``wrappers``."""
+def induce(pages: list[str]) -> dict[int, Wrapper]:
+    """The wrapper of one host whose pages are at hand, {layout: (keys of what goes, key of the slot)}; as ``wrappers``."""
     trees: dict[int, list] = {}
-    seen: dict[tuple[int, int], list[int]] = {}
+    seen: dict[tuple[int, int], Stats] = {}
     for kinds, part in _tally(("", p) for p in pages if p):
         for (_, kind), (tree, n) in kinds.items():
             trees.setdefault(kind, [tree, 0])[1] += n
         for (_, kind, key), have in part.items():
-            _merge(seen, (kind, key), *have)
+            seen.setdefault((kind, key), Stats(have.low, have.high, inner=have.inner)).add(have)
     if not trees:
         return {}
     reference = trees[max(trees, key=lambda k: (trees[k][1], k))][0]
     place = {kind: dict(zip(*aligned(reference, tree), strict=True)) for kind, (tree, _) in trees.items()}
-    whole: dict[int, list] = {}
+    whole: dict[int, Stats] = {}
     for (kind, key), have in seen.items():
-        _merge(whole, place[kind][key], *have)
-    out: dict[int, set[int]] = {}
+        total = whole.setdefault(place[kind][key], Stats(have.low, have.high))
+        total.add(have)
+        total.inner |= have.inner
+    own: dict[int, dict[int, Stats]] = {}
     for kind, key in seen:
-        if _is_template(*whole[place[kind][key]]):
-            out.setdefault(kind, set()).add(key)
-    return out
+        own.setdefault(kind, {})[key] = whole[place[kind][key]]
+    many = _pages(whole.values()) >= SUPPORT
+    out = {kind: slot(trees[kind][0], stats) if many else (set(), None) for kind, stats in own.items()}
+    return {kind: found for kind, found in out.items() if found[0] or found[1] is not None}
+
 
+def _pages(stats: Iterable[Stats]) -> int:
+    places = 0
+    for s in stats:
+        places |= s.places
+    return places.bit_count()
 
-def _articles(root: Node) -> list[Node]:
+
+def _articles(root: Node, tags: tuple[str, ...] = ("article", "main", "body")) -> list[Node]:
     """By roles alone: outermost articles, else mains, else bodies, else the page."""
-    for tag in ("article", "main", "body"):
+    for tag in tags:
         found, stack = [], [root]
         while stack:
             node = stack.pop()
@@ -480,17 +545,21 @@ def blocks(nodes: list[Node], kept: dict[int, bool] | None = None) -> list[str]:
     return out
 
 
-def main_text(page: str | None, wrapper: dict[int, set[int]] | None = None) -> str:
+def main_text(page: str | None, wrapper: dict[int, Wrapper] | None = None) -> str:
     """The main text of one page by its host's wrapper, or by roles alone."""
     if not page:
         return ""
     root = parse(page)
-    nodes, kept = _articles(root), {}
-    if wrapper:
-        found = boxes(root)
-        template = wrapper.get(_hash(packed(found)))
-        if template:
-            kept = {id(n): box.key not in template for box in found for n in box.real}
+    found = boxes(root) if wrapper else []
+    gone, key = (wrapper or {}).get(_hash(packed(found)), (set(), None)) if found else (set(), None)
+    held = next((box for box in found if box.key == key), None) if key is not None else None
+    if held is None or held.real[0].tag in ("body", "html"):
+        nodes = _articles(root)
+    else:
+        nodes = held.real
+        if not held.real[0].inner:  # the slot lies around an article: what that holds
+            nodes = [x for node in nodes for x in _articles(node, ("article", "main"))] or nodes
+    kept = {id(n): box.key not in gone for box in found for n in box.real} if gone else {}
     return "\n\n".join(kept and blocks(nodes, kept) or blocks(nodes))
 
 
@@ -498,7 +567,11 @@ def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-_SEEN = "host string, layout long, tree binary, n long, key long, low long, high long, places long, inner boolean"
+_STATS = "low long, high long, places long, inner boolean, words long, linked long, heads boolean, shown long, pages long"
+_SEEN = f"host string, layout long, tree binary, n long, key long, {_STATS}"
+def _added_up() -> list[Column]:
+    """How stats of the same container add up."""
+    return [F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("places").alias("places"), F.bool_or("inner").alias("inner"), F.sum("words").alias("words"), F.sum("linked").alias("linked"), F.bool_or("heads").alias("heads"), F.bit_or("shown").alias("shown"), F.sum("pages").alias("pages")]
 
 
 def _signed(x: int) -> int:
@@ -508,14 +581,31 @@ def _signed(x: int) -> int:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pages = ((r["host"], r["html"]) for big in batches for lo in range(0, big.num_rows, 256) for r in big.slice(lo, 256).to_pylist())
     for trees, seen in _tally(pages):
-        rows = [(h, k, tree, n, None, None, None, None, None) for (h, k), (tree, n) in trees.items()]
-        rows += [(h, k, None, None, key, low, high, _signed(places), inner) for (h, k, key), (low, high, places, inner) in seen.items()]
+        rows = [(h, k, tree, n, *[None] * 10) for (h, k), (tree, n) in trees.items()]
+        rows += [(h, k, None, None, key, s.low, s.high, _signed(s.places), s.inner, s.words, s.linked, s.heads, _signed(s.shown), s.n) for (h, k, key), s in seen.items()]
         if rows:
             names, kinds = zip(*[c.split() for c in _SEEN.split(", ")], strict=True)
             arrow = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_()}
             yield pa.RecordBatch.from_arrays([pa.array(c, arrow[k]) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], list(names))
 
 
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What goes and the slot of every layout, from its tree and the stats of its containers."""
+    for batch in batches:
+        out = []
+        for r in batch.to_pylist():
+            stats = {x["key"]: Stats(x["low"], x["high"], x["places"] & _ALL, x["inner"], x["words"], x["linked"], x["heads"], x["shown"] & _ALL, x["pages"]) for x in r["stats"]}
+            gone, key = slot(r["tree"], stats)
+            if gone or key is not None:
+                out.append((r["host"], r["layout"], sorted(gone), key))
+        if out:
+            types = [pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["host", "layout", "keys", "slot"])
+
+
+_ALL = (1 << 64) - 1
+
+
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for r in batch.to_pylist():
@@ -525,11 +615,11 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, layout, keys of the template containers) of every layout that has some."""
+    """(host, layout, keys of what goes, key of the slot) of every layout of hosts with several different pages."""
     rows = pages.select(host(F.col(url)).alias("host"), F.col(html).alias("html")).where("host <> '' AND html <> ''")
     seen = rows.mapInArrow(_count, _SEEN)
     # a null key marks the row of the layout itself; its tree is the same in all tasks
-    nodes = seen.groupBy("host", "layout", "key").agg(F.first("tree", True).alias("tree"), F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("places").alias("places"), F.bool_or("inner").alias("inner"))
+    nodes = seen.groupBy("host", "layout", "key").agg(F.first("tree", True).alias("tree"), F.sum("n").alias("n"), *_added_up())
     nodes = C.materialize(nodes, "nodes")
     layouts = nodes.where("key IS NULL").select("host", "layout", "tree", "n")
     most = layouts.groupBy("host").agg(F.max(F.struct("n", "layout")).alias("m")).select("host", F.col("m.layout").alias("layout"))
@@ -537,16 +627,21 @@ def wrappers(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
     size = reference.agg(F.coalesce(F.sum(F.octet_length("reference") + F.octet_length("host") + 64), F.lit(0)).alias("n")).first().n
     side = F.broadcast(reference) if size <= BROADCAST_BYTES else reference
     place = layouts.select("host", "layout", "tree").join(side, "host").mapInArrow(_align, "host string, layout long, key long, partner long")
-    said = C.materialize(nodes.where("key IS NOT NULL").join(place, ["host", "layout", "key"]).drop("tree", "n"), "aligned")
-    whole = said.groupBy("host", "partner").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("places").alias("places"), F.bool_or("inner").alias("inner"))
-    template = whole.where(f"low = high AND bit_count(places) >= if(inner, {SUPPORT_INSIDE}, {SUPPORT})").select("host", "partner")
-    out = said.select("host", "layout", "key", "partner").join(template, ["host", "partner"]).groupBy("host", "layout").agg(F.collect_set("key").alias("keys"))
-    out = C.materialize(out, "wrappers")
+    said = C.materialize(nodes.where("key IS NOT NULL").drop("tree", "n").join(place, ["host", "layout", "key"]), "aligned")
+    several = said.groupBy("host").agg(F.bit_count(F.bit_or("places")).alias("k")).where(f"k >= {SUPPORT}").select("host")
+    whole = said.groupBy("host", "partner").agg(*_added_up()).join(several, "host")
+    whole = C.one_side(whole, said.count(), 120, "whole", BROADCAST_BYTES)
+    stats = said.select("host", "layout", "key", "partner").join(whole, ["host", "partner"])
+    names = [c.split()[0] for c in _STATS.split(", ")]
+    # the containers of one layout together, as one page has them
+    by_layout = stats.groupBy("host", "layout").agg(F.collect_list(F.struct("key", *names)).alias("stats"))
+    out = layouts.select("host", "layout", "tree").join(by_layout, ["host", "layout"]).select("host", "layout", "tree", "stats")
+    out = C.materialize(out.mapInArrow(_slots, "host string, layout long, keys array<long>, slot long"), "wrappers")
     C.drop(nodes, reference, said)
     return out
 
 
-ADDED = ("_host", "_layout", "_keys")
+ADDED = ("_host", "_layout", "_keys", "_slot")
 
 
 def _layouts(batches: Iterator[pa.RecordBatch], html: str) -> Iterator[pa.RecordBatch]:
@@ -566,7 +661,7 @@ def _extract(batches: Iterator[pa.RecordBatch], html: str, known) -> Iterator[pa
             if known is not None:
                 mine = [known.value.get(h) for h in batch.column("_host").to_pylist()]
             else:
-                mine = [{k: set(x)} if x else None for k, x in zip(batch.column("_layout").to_pylist(), batch.column("_keys").to_pylist(), strict=True)]
+                mine = [{k: (set(x), at)} if x is not None else None for k, x, at in zip(*[batch.column(c).to_pylist() for c in ADDED[1:]], strict=True)]
             texts = [main_text(page, wrapper) for page, wrapper in zip(pages, mine, strict=True)]
             rest = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n not in (*ADDED, html)]
             yield pa.RecordBatch.from_arrays([*[c for _, c in rest], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*[n for n, _ in rest], "text", "n_chars"])
@@ -586,12 +681,12 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     fields = lambda df: ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     known = None
     if size <= BROADCAST_BYTES:
-        table: dict[str, dict[int, set[int]]] = {}
+        table: dict[str, dict[int, Wrapper]] = {}
         for r in found.collect():
-            table.setdefault(r.host, {})[r.layout] = set(r["keys"])
+            table.setdefault(r.host, {})[r.layout] = set(r["keys"]), r.slot
         known = spark.sparkContext.broadcast(table)
     else:
-        side = found.select(F.col("host").alias("_host"), F.col("layout").alias("_layout"), F.col("keys").alias("_keys"))
+        side = found.select(F.col("host").alias("_host"), F.col("layout").alias("_layout"), F.col("keys").alias("_keys"), F.col("slot").alias("_slot"))
         rows = rows.mapInArrow(lambda it: _layouts(it, html), fields(rows) + ", _layout long").join(side, ["_host", "_layout"], "left")
     schema = ", ".join([fields(rows.drop(*ADDED, html)), "text string", "n_chars long"]).removeprefix(", ")
     return rows.mapInArrow(lambda it: _extract(it, html, known), schema)
