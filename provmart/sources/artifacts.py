@@ -31,11 +31,11 @@ def write_sorted(df: DataFrame, path: str, order: list[str]) -> None:
     target, which then takes its place.  Rows never reach the driver, equal tables give equal bytes.
     """
     spark = df.sparkSession
-    text = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
     keys = [*order, *[c for c in df.columns if c not in order]]
+    text = df.orderBy(*[F.col(k).asc_nulls_first() for k in keys]).select(*[F.col(c).cast("string").alias(c) for c in df.columns])
     parts = work.new_path(spark, "sorted")
     options = {"header": False, "escape": '"', "emptyValue": "", "nullValue": "", "lineSep": "\n", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    text.orderBy(*[F.col(k).asc_nulls_first() for k in keys]).write.options(**options).csv(parts)
+    text.write.options(**options).csv(parts)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     hadoop = jvm.org.apache.hadoop.fs.Path
     source, target, aside = hadoop(parts), hadoop(path), hadoop(f"{path}.part")

@@ -2,6 +2,7 @@
 
 import csv
 import gzip
+import io
 import json
 import random
 import unicodedata
@@ -241,6 +242,25 @@ def test_feeds_and_pages_that_cannot_be_read(spark):
     assert {(r.external_id, r.review_date, float(r.review_rating)) for r in got if r.kind == "review"} == {("1", "2026-01-02", 4.0), ("2", "2026-01-02", 4.0)}
 
 
+def test_exports_keep_no_personal_column(spark):
+    def sheet(*rows, header=html_pages.EXPORT):
+        out = io.StringIO()
+        csv.writer(out).writerows([header, *rows])
+        return out.getvalue()
+
+    def row(**more):
+        given = dict.fromkeys(html_pages.EXPORT, "private") | {"headline": "t", "reviewbody": "", "data3": "March 5, 2026", "rating": "https://cdn.example/x/stars-4.svg"} | more
+        return list(given.values())
+
+    good = "\ufeff" + sheet(row(), row(reviewbody='two\nlines, "quoted"'))
+    bad = [sheet(row(data3="Marsh 5, 2026")), sheet(row(data3="February 30, 2026")), sheet(row(rating="https://cdn.example/stars-6.svg")), sheet(row()[:-1]), sheet(row(), header=html_pages.EXPORT[:-1]), "", 'a"b"\n"']
+    got = html_pages.parse_pages(spark.createDataFrame(list(enumerate([good, *bad])), "source_url int, body string"), "export").collect()
+    assert sorted((int(r.key), r.kind) for r in got) == [(0, "review"), (0, "review"), *((i, "refused") for i in range(1, 8))]
+    reviews = [r for r in got if r.kind == "review"]
+    assert {(r.review_date, float(r.review_rating), r.title, r.body) for r in reviews} == {("2026-03-05", 4.0, "t", ""), ("2026-03-05", 4.0, "t", 'two\nlines, "quoted"')}
+    assert len({r.external_id for r in reviews}) == 2 and not any("private" in str(r) for r in got)
+
+
 def test_microdata_by_items():
     nested = '<div itemscope itemtype="x/Product"><div itemscope itemtype="x/AggregateRating"><meta itemprop=ratingValue content=4.1><b itemprop=ratingCount>12</b></div><div itemscope itemtype="x/Review"><p itemprop=reviewBody>one <em>two</em><br> three</p></section><i itemprop=datePublished>01/02/2026 le 03/01/2026</i><span itemprop=ratingValue>5</span></div></div>'
     (review,), total = html_pages.microdata(nested)
@@ -457,3 +477,24 @@ def test_rebuild_with_anchors_captures_and_all_marts(spark, tmp_path):
     with pytest.raises(Refused, match="outside its shape"):
         build.rebuild(spark, str(project), at, "check-1")
     assert store.versions() == before and store.counts() == counts
+
+
+def test_commands_that_sample_slice_and_split(spark, tmp_path):
+    from provmart import __main__ as cli
+
+    run = lambda *args: cli.run(spark, cli.parser().parse_args([str(a) for a in args]))
+    folder = tmp_path / "amounts"
+    folder.mkdir()
+    (folder / "a.csv").write_text("PRS_REM_MNT;PRS_REM_TYP\n" + "".join(f"{k},5;0\n" for k in range(30)))
+    (folder / "b.csv").write_bytes(gzip.compress(b"PRS_REM_TYP;PRS_REM_MNT\n" + b"".join(b"1;%d\n" % k for k in range(100, 130))))
+    run("sample-amounts", folder, "6", tmp_path / "sample.csv")
+    lines = (tmp_path / "sample.csv").read_text().splitlines()
+    assert lines[0] == "file,at,amount" and [x.rsplit(",", 1)[1] for x in lines[1:]] == ["0.50", "10.50", "20.50", "100.00", "110.00", "120.00"]
+    (tmp_path / "fees.csv").write_text("f;t;e\nx;3;1\ny;4;4\nz;1;1\nx;1;0\n")
+    run("slice-fees", tmp_path / "fees.csv", "f", "t", "e", "x,y", tmp_path / "slice.csv")
+    assert (tmp_path / "slice.csv").read_text() == "f,t,e\nx,1,0\nx,3,1\ny,4,4\n"
+    for bad in (("sample-amounts", folder, "0", "x"), ("slice-fees", tmp_path / "fees.csv", "f", "t", "e", "x,none", tmp_path / "s"), ("split-fees", tmp_path / "fees.csv", "f", "t", "e", tmp_path / "s", "--families", "x,y")):
+        with pytest.raises(Refused):
+            run(*bad)
+    run("split-fees", tmp_path / "fees.csv", "f", "t", "e", tmp_path / "split.csv", "--families", "x,y,z")
+    assert files.read_fee_split(spark, str(tmp_path / "split.csv"), ("x", "y", "z"))["overall"][:2] == (6, 9)
