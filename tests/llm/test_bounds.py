@@ -6,7 +6,8 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from provmart.llm import decontaminate, html_wrapper, lm_score, nearest
+from provmart.llm import common as C
+from provmart.llm import decontaminate, html_wrapper, language_id, lm_score, nearest, sentencepiece_codec, warc_index
 
 
 def test_samples_are_the_rows_of_least_hash(spark):
@@ -54,3 +55,31 @@ def test_pages_of_open_elements_and_stray_ends_are_read_in_linear_time():
     tree = html_wrapper.parse("<article><p>a<p>b</section></i><div>c</article>d</p>e")
     kinds = [c.tag for c in tree.children[0].children]
     assert kinds == ["p", "p"] or kinds == ["p", "p", "div"]
+
+
+def test_one_stretch_of_several_megabytes_encodes_as_the_library_does():
+    """No space anywhere, so nothing of it can be cut off or remembered."""
+    codec, r = sentencepiece_codec.Codec(sentencepiece_codec.default_model()), random.Random(1)
+    text = "".join(r.choice(["a", "b", "th", "é", "中", "1"]) for _ in range(1_500_000))
+    assert len(text.encode()) > 2_000_000
+    (ids,) = codec.encode_all([text])
+    want = [codec.library.bos_id(), *codec.library.encode(text), codec.library.eos_id()]
+    assert np.frombuffer(ids, "<u4").tolist() == want and codec.decode(ids) == codec.library.decode(want)
+
+
+def test_repeated_rows_are_predicted_alike_and_train_like_so_many_rows(spark):
+    rows = [(i, lang, text) for i in range(40) for lang, text in (("en", "the house and the garden with this tree"), ("de", "der hund und die katze nicht mit dem baum"))]
+    df = spark.createDataFrame([*rows, *rows[:6], *rows[:6]], "doc_id long, lang string, text string")
+    once, twice = (language_id.train(language_id.training_rows(d)) for d in (df, df.union(df)))
+    assert {k: list(v) for k, v in once.items()} == {k: list(v) for k, v in twice.items()}
+    got = language_id.predict(df, once).collect()
+    assert len(got) == len(rows) + 12 and all(r.lang_pred == r.lang for r in got) and len({(r.lang, r.score) for r in got}) == 2
+
+
+def test_a_page_of_several_megabytes_is_archived_whole(spark):
+    long = "é<p>" * 1_500_000
+    pages = spark.createDataFrame([(1, "http://h.example/1", long), (2, "http://h.example/2", "short"), (3, "http://h.example/3", long)], "page_id long, url string, html string")
+    path = C.new_path(spark, "warc")
+    warc_index.write(pages, path, file_bytes=1 << 20)
+    got = warc_index.merged_index(C.materialize(warc_index.read(spark, path), "runs")).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
+    assert [tuple(r) for r in got] == [(1, 7_500_000, "revisit", 3), (2, 5, "response", None), (3, 7_500_000, "response", None)]
