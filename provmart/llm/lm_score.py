@@ -23,10 +23,11 @@ every word, the count of every triple of classes (bounded by classes**3), and wh
 pass over all tokens changes in the vectors of the words.  For the classes the NCE
 objective and its noise expectation are exact sums over all observed contexts, computed
 in numpy as batched matrix products.  The vectors of words start as those of their
-classes; every task trains them by NCE on its tokens, with noise classes and groups drawn
+classes; they are trained by NCE on pieces of the corpus, with noise classes and groups drawn
 for a step and a noise unit of the same group for each token, and the changes are
-averaged by how often a task used a word.  So the vectors depend on how the input is
-cut into tasks, which the class model does not.
+averaged by how often a piece used a word.  Pieces hold about ``PIECE`` tokens and are dealt by a
+hash of id and text, so the scores depend neither on files nor on the number of tasks, and
+a larger corpus has more pieces, not smaller ones.
 
 Words beyond the ``FREQUENT`` most frequent are scored by a join with the word counts.
 Words are told apart by 64-bit hashes.
@@ -63,6 +64,8 @@ GROWTH, GROUP = 4, 8
 WORD_STEP, NOISE_CLASSES, NOISE_GROUPS, NOISE_WORDS, WORD_RATE, BLOCK = 16_384, 32, 16, 2, 0.1, 4096
 #: Bytes of text scored or trained on at once.
 CHUNK = 1 << 20
+#: Training tokens of a piece, on which one task trains from the common start.
+PIECE = 8_000_000
 
 
 def _ending(w: C.Words) -> np.ndarray:
@@ -396,7 +399,7 @@ class _Step:
 
 
 def _train_words(batches: Iterator[pa.RecordBatch], vocabulary, model) -> Iterator[pa.RecordBatch]:
-    """One pass of NCE over the tokens of a task, with sampled noise; gives what changed, weighted by use."""
+    """One pass of NCE over the tokens of a piece, with sampled noise; gives what changed, weighted by use."""
     C.one_thread()
     v, m = vocabulary.value, model.value
     inputs, groups, units = (_Step(t) for t in m.tables())
@@ -541,7 +544,17 @@ def most_frequent(words: DataFrame, most: int) -> DataFrame:
     return words.orderBy(F.desc("n"), "h").limit(most)
 
 
-def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS) -> tuple[DataFrame, Vocabulary, LogBilinear]:
+def pieces(docs: DataFrame, text: str, doc_id: str, tokens: int, size: int) -> DataFrame:
+    """The texts dealt by a hash of id and text into pieces of about ``size`` tokens, each in a fixed order.
+
+    What is learnt then depends neither on files nor on cores, and the tokens of a piece are the same for any corpus.
+    """
+    key = [F.col(c) for c in (text, doc_id) if c in docs.columns]
+    rows = docs.select(F.col(text).alias("t"), F.xxhash64(*key).alias("h"))
+    return rows.repartition(max(1, -(-tokens // size)), "h").sortWithinPartitions("h", "t").select("t")
+
+
+def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS, doc_id: str = "doc_id", piece: int = PIECE) -> tuple[DataFrame, Vocabulary, LogBilinear]:
     """(word counts, frequent words and class totals, network) from every row of ``docs``."""
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("t"))
@@ -561,7 +574,8 @@ def train(docs: DataFrame, text: str = "text", epochs: int = EPOCHS) -> tuple[Da
     model.train(counts, epochs)
     model.add_words(vocabulary)
     start = spark.sparkContext.broadcast(model)
-    parts = texts.mapInArrow(lambda it: _train_words(it, shared, start), "kind int, first long, at binary, n binary, change binary")
+    dealt = pieces(docs, text, doc_id, vocabulary.total, piece)
+    parts = dealt.mapInArrow(lambda it: _train_words(it, shared, start), "kind int, first long, at binary, n binary, change binary")
     for r in parts.groupBy("kind", "first").applyInArrow(_mean_change, "kind int, first long, change binary").toLocalIterator():
         table = model.tables()[r.kind][r.first : r.first + BLOCK]
         table += np.frombuffer(r.change, "<f4").reshape(-1, DIM)[: len(table)]

@@ -83,3 +83,21 @@ def test_a_page_of_several_megabytes_is_archived_whole(spark):
     warc_index.write(pages, path, file_bytes=1 << 20)
     got = warc_index.merged_index(C.materialize(warc_index.read(spark, path), "runs")).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
     assert [tuple(r) for r in got] == [(1, 7_500_000, "revisit", 3), (2, 5, "response", None), (3, 7_500_000, "response", None)]
+
+
+def test_scores_depend_neither_on_files_nor_on_tasks(spark, tmp_path):
+    """The same rows as 1, 4 and 32 files, learnt in one piece and in several."""
+    r = random.Random(7)
+    words = [f"w{k}" for k in range(300)]
+    rows = [(i, " ".join(r.choices(words, range(300, 0, -1), k=r.randrange(5, 120)))) for i in range(400)] + [(i, "the same text again and again") for i in range(400, 440)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for piece, least in ((lm_score.PIECE, 1), (6000, 3)):
+        found = []
+        for n in (1, 4, 32):
+            path = f"{tmp_path}/{piece}-{n}"
+            df.repartition(n).write.parquet(path)
+            docs = lm_score.training_rows(spark.read.parquet(path))
+            trained = lm_score.train(docs, epochs=2, piece=piece)
+            assert lm_score.pieces(docs, "text", "doc_id", trained[1].total, piece).rdd.getNumPartitions() >= least
+            found.append({x.doc_id: x.score for x in lm_score.score(df, *trained).collect()})
+        assert all(abs(found[0][i] - other[i]) <= 1e-6 * abs(found[0][i]) for other in found[1:] for i in found[0])
