@@ -7,8 +7,6 @@ ASCII, so byte work on UTF-8 gives the same words as a pattern over code points.
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -19,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import work
+
 _CHUNK = 1 << 19
 _P, _Q, _R = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _SEPARATOR = np.zeros(256, bool)
@@ -33,14 +33,8 @@ LOWER[65:91] += 32
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set and all runs in one process (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="work-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder all executors share; one of this process only where none is set and all runs in it (tests)."""
+    return work.folder(spark)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
