@@ -60,12 +60,11 @@ def order_statistics(df: DataFrame, column: str, ranks: list[int], n: int | None
         kept = work.stored(kept, "brackets")
         # places of equal values are the first and the one after the last, from counts summed over ranges
         placed = _running(kept)
-        for k in range(len(spans)):
-            first = seen.get[f"b{k}"]
-            own = [r for r in asked if r not in out and r >= first]
-            if own:
-                rows = placed.where(F.col("span") == k).where(reduce(lambda a, b: a | b, [(F.col("before") <= r - first) & (F.col("before") + F.col("k") > r - first) for r in own])).collect()
-                out |= {r: v.x for r in own for v in rows if v.before <= r - first < v.before + v.k}
+        wanted = [(r, span, r - seen.get[f"b{span}"]) for span in range(len(spans)) for r in asked if r not in out and r >= seen.get[f"b{span}"]]
+        if wanted:
+            here = [(F.col("span") == span) & (F.col("before") <= at) & (F.col("before") + F.col("k") > at) for _, span, at in wanted]
+            rows = placed.where(reduce(lambda a, b: a | b, here)).collect()  # a row or none for each
+            out |= {r: v.x for r, span, at in wanted for v in rows if v.span == span and v.before <= at < v.before + v.k}
         work.forget(kept)
         spans = [(float("-inf"), float("inf"))]
     return out
