@@ -9,13 +9,19 @@ different neighbours from these leaves (a vector lies in one leaf of every tree)
 again with four times the budget, until they have them or have walked all leaves.  All vectors of those leaves are
 then reranked exactly, in double precision, on the original coordinates.
 
+The leaves of a query come in the order of that queue: a leaf's place in it is the largest margin on
+the wrong side of which its path lies, which is worked out for all leaves of some queries at once.
+
 The budget is measured, not guessed: ``CALIBRATE`` queries (those of least hash) are
 answered by brute force in one linear pass, and the budget is where ``TARGET`` of
 their true neighbours have been reached.  On vectors without structure no forest
 can do with a small part of the rows; the budget then grows with the index.
 
-Leaves with many vectors or many queries are dealt out in blocks of bounded size,
-so a vector that a third of all rows repeat does not gather in one task.
+Vectors and queries are dealt out by hash in blocks of bounded size, and each block of
+vectors meets each block of queries once.  ``CHUNK`` queries travel as one row, with a word of bits for every leaf that
+says which of them reached it; the words of a vector's leaves, or-ed, say which of them it
+is a candidate of.  So a vector that lies in several reached leaves is scored once, one that a third of
+all rows repeat does not gather in one task, and memory is that of one block of either.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite
 component take no part; nor do vectors of another length than most.  A null id
@@ -25,7 +31,6 @@ on several rows is found once, by its best score.  Ties go to the smaller id.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +43,10 @@ from . import common as C
 TREES, SAMPLE, K = 24, 20_000, 20
 #: Queries that set the budget, and the part of their neighbours it has to reach.
 CALIBRATE, TARGET = 64, 0.96
-#: Rows of an index block, queries of a query block.
-BLOCK, QUERIES = 4096, 1024
+#: Rows of an index block at most and at least, blocks of a smaller index, queries of a query block.
+BLOCK, LEAST_BLOCK, BLOCKS, QUERIES = 32_768, 512, 24, 4096
+#: Queries whose bits make one word, queries that walk the trees at once, vectors placed by a task.
+CHUNK, WALKED, PLACED = 64, 16, 16_384
 #: Parts in which the answers to one query are merged first.
 SIDES = 64
 
@@ -94,45 +101,54 @@ class Forest:
             out[:, t] = -at
         return out
 
-    def probe(self, q: np.ndarray, size: dict[int, int], search: float) -> list[list[int]]:
-        """Leaves for every query, by one queue over all trees, until they hold ``search`` vectors."""
+    def levels(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """From the roots down: nodes, and where their two children are in a row of all nodes and then all leaves."""
+        if not hasattr(self, "_levels"):
+            self._levels, at = [], np.array([r for r in self.roots if r >= 0], np.int64)
+            while len(at):
+                kids = self.children[at]
+                self._levels.append((at, np.where(kids >= 0, kids, len(self.normals) - kids)))
+                at = kids[kids >= 0]
+        return self._levels
+
+    def probe(self, q: np.ndarray, size: np.ndarray, search: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For every query the leaves, by one queue over all trees, until they hold ``search`` vectors, and how many they hold up to each."""
         x = np.concatenate([q, np.zeros((len(q), 1))], 1)
         x /= np.sqrt((x * x).sum(1))[:, None]
         x *= self.most
-        out = []
-        for margins in (x @ self.normals.T - self.offsets) if len(self.normals) else np.zeros((len(q), 0)):
-            m = margins.tolist()
-            queue = [(-np.inf, r) for r in self.roots]
-            heapq.heapify(queue)
-            found, total = [], 0
-            while queue and total < search:
-                far, node = heapq.heappop(queue)
-                while node >= 0:
-                    side = m[node]
-                    low, high = self.children_[node]
-                    near, other = (high, low) if side > 0 else (low, high)
-                    heapq.heappush(queue, (max(far, abs(side)), other))
-                    node = near
-                if (n := size.get(-node, 0)) > 0:
-                    found.append(-node)
-                    total += n
-            out.append(found)
-        return out
-
-    @property
-    def children_(self) -> list[list[int]]:
-        if not hasattr(self, "_kids"):
-            self._kids = self.children.tolist()
-        return self._kids
+        n = len(self.normals)
+        full = np.flatnonzero(size)
+        for lo in range(0, len(x), WALKED):
+            some = x[lo : lo + WALKED]
+            margins = some @ self.normals.T - self.offsets if n else np.zeros((len(some), 0))
+            place = np.full((len(some), n + len(size)), -np.inf)
+            for at, kids in self.levels():
+                side, far = margins[:, at], place[:, at]
+                other = np.maximum(far, np.abs(side))
+                place[:, kids[:, 0]], place[:, kids[:, 1]] = np.where(side > 0, other, far), np.where(side > 0, far, other)
+            for own in place[:, n + full]:
+                order = np.argsort(own, kind="stable")
+                held = np.cumsum(size[full[order]])
+                end = int(np.searchsorted(held, search)) + 1
+                yield full[order[:end]], held[:end]
 
 
 def _vectors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     col = batch.column("v")
     ids = batch.column("id").to_numpy(zero_copy_only=False)
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = _unpacked(col, np.float64) if pa.types.is_binary(col.type) else col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return ids, flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 1))
 
 
+def _packed(rows: np.ndarray) -> pa.Array:
+    """A row of numbers as one binary value."""
+    return pa.array([r.tobytes() for r in np.ascontiguousarray(rows)], pa.binary())
+
+
+def _unpacked(col: pa.Array, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), kind)
+
+
 def valid(vectors: DataFrame, vec_id: str, vector: str, length: int | None = None) -> DataFrame:
     """(id, v) of the rows that take part; vectors of another length than ``length``, by default the usual one, take none."""
     v = F.col(vector).cast("array<double>")
@@ -152,22 +168,51 @@ def drawn(rows: DataFrame, n: int, seed: int | None, count: int) -> DataFrame:
     return few.orderBy(h, "id").limit(n)
 
 
+def _nearest(ids: np.ndarray, v: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of some rows by the exact measure, ties to the smaller id; an id counts once."""
+    score = np.einsum("ij,j->i", v, q, optimize=False)
+    order = np.lexsort((ids, -score))
+    ids, score = ids[order], score[order]
+    _, first = np.unique(ids, return_index=True)
+    keep = np.sort(first)[:k]
+    return ids[keep], score[keep]
+
+
 def _rerank(key: tuple, queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
-    """Exact scores of one block of queries against one block of a leaf: the k best of each."""
+    """The k best candidates in one block of the index for each query of a block."""
+    C.one_thread()
     out_q, out_i, out_s = [], [], []
     if queries.num_rows and rows.num_rows:
-        ids, v = _vectors(rows.select(["id", "v"]).combine_chunks().to_batches()[0])
+        batch = rows.combine_chunks().to_batches()[0]
+        ids, v = _vectors(batch)
+        leaves = _unpacked(batch.column("leaves"), np.int32).reshape(len(ids), -1)
         order = np.argsort(ids, kind="stable")
-        ids, v = ids[order], v[order]
-        qs, q = _vectors(queries.select(["id", "v"]).combine_chunks().to_batches()[0])
-        for one, vec in zip(qs.tolist(), q, strict=True):
-            score = np.einsum("ij,j->i", v, vec, optimize=False)
-            score[ids == one] = -np.inf
-            top = np.argsort(-score, kind="stable")[: k + 1]  # ids rise, so ties keep the smaller id
-            top = top[score[top] > -np.inf]
-            out_q.append(one), out_i.append(ids[top]), out_s.append(score[top])
-    side = hash(tuple(x.as_py() for x in key)) & 0xFFFFF
-    return pa.table({"q": pa.array(out_q, pa.int64()), "side": pa.array([side] * len(out_q), pa.int32()), "ids": pa.array(out_i, pa.list_(pa.int64())), "scores": pa.array(out_s, pa.list_(pa.float64()))})
+        ids, v, leaves = ids[order], v[order], leaves[order]
+        most = np.sqrt((v * v).sum(1).max())
+        for names, vectors, words in zip(*(queries.column(c).to_pylist() for c in ("ids", "v", "words")), strict=True):
+            asked = np.bitwise_or.reduce(np.frombuffer(words, "<u8")[leaves], axis=1)
+            some = np.flatnonzero(asked)  # what at least one of these queries reaches
+            if not len(some):
+                continue
+            own, asked = (v, asked) if len(some) == len(v) else (v[some], asked[some])
+            qs, q = np.frombuffer(names, np.int64), np.frombuffer(vectors, np.float64).reshape(-1, v.shape[1])
+            scores = q @ own.T
+            for j, one in enumerate(qs.tolist()):
+                reached = (asked >> np.uint64(j)) & np.uint64(1) > 0
+                reached[slice(*np.searchsorted(ids[some], [one, one + 1]))] = False
+                near = np.where(reached, scores[j], -np.inf)
+                # of k groups' best, the least is no more than the k-th best; products in another order differ in the last digits
+                cut = len(near) // 64 * 64
+                best = np.concatenate([near[:cut].reshape(-1, 64).max(1), near[cut:]])
+                bound = np.partition(best, -k)[-k] if len(best) >= k else -np.inf
+                found = np.flatnonzero(~(near < bound - 1e-12 * most * np.sqrt(q[j] @ q[j])) & reached)
+                got = _nearest(ids[some[found]], own[found], q[j], k)
+                if len(got[0]) < k and len(found) < np.count_nonzero(reached):  # an id on many rows
+                    found = np.flatnonzero(reached)
+                    got = _nearest(ids[some[found]], own[found], q[j], k)
+                if len(got[0]):
+                    out_q.append(one), out_i.append(got[0]), out_s.append(got[1])
+    return pa.table({"q": pa.array(out_q, pa.int64()), "side": pa.array([key[0].as_py()] * len(out_q), pa.int32()), "ids": pa.array(out_i, pa.list_(pa.int64())), "scores": pa.array(out_s, pa.list_(pa.float64()))})
 
 
 def _best(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
@@ -187,32 +232,35 @@ def _brute(batches: Iterator[pa.RecordBatch], qs: list[int], q: np.ndarray, k: i
     """The k best rows of every batch for a few queries."""
     for batch in batches:
         ids, v = _vectors(batch)
-        leaves = np.array(batch.column("leaves").to_pylist(), np.int64)
+        if not len(ids):
+            continue
+        leaves = _unpacked(batch.column("leaves"), np.int32).reshape(len(ids), -1)
         for one, vec in zip(qs, q, strict=True):
             score = v @ vec
             score[ids == one] = -np.inf
             top = np.argsort(-score)[:k]
             top = top[score[top] > -np.inf]
             if len(top):
-                yield pa.RecordBatch.from_arrays([pa.array([one] * len(top), pa.int64()), pa.array(score[top]), pa.array(list(leaves[top]), pa.list_(pa.int64()))], ["q", "score", "leaves"])
+                yield pa.RecordBatch.from_arrays([pa.array([one] * len(top), pa.int64()), pa.array(score[top]), _packed(leaves[top])], ["q", "score", "leaves"])
 
 
-def _budget(forest: Forest, size: dict[int, int], rows: DataFrame, asks: DataFrame, n_asks: int, k: int, target: float) -> float:
+def _budget(forest: Forest, size: np.ndarray, rows: DataFrame, asks: DataFrame, n_asks: int, k: int, target: float) -> float:
     """Vectors a query has to reach so that ``target`` of the true neighbours are among them."""
     few = drawn(asks, CALIBRATE, 1, n_asks).toPandas()
     if few.empty:
         return 1.0
     qs, q = few["id"].tolist(), np.stack(few["v"].to_list()).astype(np.float64)
-    near = rows.mapInArrow(lambda it: _brute(it, qs, q, k), "q long, score double, leaves array<long>")
+    near = rows.mapInArrow(lambda it: _brute(it, qs, q, k), "q long, score double, leaves binary")
     # the best of a few hundred parts first, then of these
     rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "leaves"))
     near = near.withColumn("part", F.pmod(F.xxhash64("score"), F.lit(256))).withColumn("r", rank("q", "part")).where(F.col("r") <= k)
     near = near.withColumn("r", rank("q")).where(F.col("r") <= k)
     best = near.groupBy("q").agg(F.collect_list(F.struct("score", "leaves")).alias("best"))
-    order, seen = dict(zip(qs, forest.probe(q, size, np.inf), strict=True)), []
-    for r in best.collect():
-        reached = dict(zip(order[r.q], np.cumsum([size[x] for x in order[r.q]]).tolist(), strict=True))
-        seen += [min(reached[leaf] for leaf in b.leaves) for b in r.best]
+    best, seen = {r.q: r.best for r in best.collect()}, []
+    for one, (order, held) in zip(qs, forest.probe(q, size, np.inf), strict=True):
+        reached = np.full(len(size), np.inf)
+        reached[order] = held
+        seen += [reached[np.frombuffer(b.leaves, np.int32)].min() for b in best.get(one, [])]
     return float(np.quantile(seen, target)) if seen else 1.0
 
 
@@ -228,25 +276,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
     n_asks = asks.count()
     sample = drawn(rows, SAMPLE, None, stats.n).select("v").toArrow().column("v").combine_chunks()
     sample = sample.flatten().to_numpy().reshape(len(sample), -1)
-    # in the sample, a leaf that holds about 100 of all vectors, but 8 sampled ones at least
-    forest = Forest(sample, float(np.sqrt(stats.m)), trees, max(8, 100 * len(sample) // stats.n))
+    # in the sample, a leaf that holds about 100 of all vectors, but 16 sampled ones at least
+    forest = Forest(sample, float(np.sqrt(stats.m)), trees, max(16, 100 * len(sample) // stats.n))
     shared = spark.sparkContext.broadcast(forest)
 
     def assign(batches):
         for batch in batches:
             ids, v = _vectors(batch)
             if len(ids):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(shared.value.place(v)), pa.list_(pa.int64()))], ["id", "v", "leaves"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), _packed(v), _packed(shared.value.place(v).astype(np.int32))], ["id", "v", "leaves"])
 
-    placed = C.materialize(rows.mapInArrow(assign, "id long, v array<double>, leaves array<long>"), "placed")
+    def held(batches):
+        total = np.zeros(shared.value.leaves + 1, np.int64)
+        for batch in batches:
+            total += np.bincount(_unpacked(batch.column("leaves"), np.int32), minlength=len(total))
+        leaf = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(total[leaf])], ["leaf", "n"])
+
+    dealt = rows.repartition(max(1, stats.n // PLACED), F.xxhash64("id", "v"))
+    placed = C.materialize(dealt.mapInArrow(assign, "id long, v binary, leaves binary"), "placed")
     # bounded by the number of leaves, which the sample bounds
-    size = {r.leaf: r.n for r in placed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    size = np.zeros(forest.leaves + 1, np.int64)
+    for r in placed.select("leaves").mapInArrow(held, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():
+        size[r.leaf] = r.n
     sizes = spark.sparkContext.broadcast(size)
     budget = _budget(forest, size, placed, asks, n_asks, k, target)
 
-    budget, parts, walked = float(budget), [], float(sum(size.values()))
+    budget, parts, walked = float(budget), [], float(size.sum())
     while n_asks:
-        found = C.materialize(_asked(asks, placed, size, sizes, shared, budget, k), "found")
+        found = C.materialize(_asked(asks, n_asks, placed, stats.n, sizes, shared, budget, k), "found")
         if budget >= walked:
             parts.append(found)
             break
@@ -263,29 +321,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, trees: int = TREE
     return best.select(F.col("q").alias("query_id"), F.posexplode(F.arrays_zip("ids", "scores")).alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
 
 
-def _asked(asks: DataFrame, placed: DataFrame, size: dict[int, int], sizes, shared, budget: float, k: int) -> DataFrame:
+def _asked(asks: DataFrame, n_asks: int, placed: DataFrame, n_rows: int, sizes, shared, budget: float, k: int) -> DataFrame:
     """(q, ids, scores): the k best of the vectors that the queries reach with a budget."""
-    spark = asks.sparkSession
 
     def probe(batches):
+        C.one_thread()
         for batch in batches:
             ids, v = _vectors(batch)
-            if len(ids):
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.probe(v, sizes.value, budget), pa.list_(pa.int64()))], ["id", "v", "leaves"])
-
-    probes = C.materialize(asks.mapInArrow(probe, "id long, v array<double>, leaves array<long>"), "probes")
-    asked = probes.select("id", "v", F.explode("leaves").alias("leaf"))
-    count = {r.leaf: r.n for r in asked.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
-    deal = spark.createDataFrame([(leaf, -(-size[leaf] // BLOCK), -(-n // QUERIES)) for leaf, n in count.items()], "leaf long, blocks int, parts int")
-    deal = F.broadcast(deal)
-    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = asked.join(deal, "leaf").select("id", "v", "leaf", mine("parts").alias("part"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
-    spread = placed.select("id", "v", F.explode("leaves").alias("leaf")).join(deal, "leaf")
-    right = spread.select("id", "v", "leaf", mine("blocks").alias("block"), F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
-    key = ["leaf", "block", "part"]
+            reached = shared.value.probe(v, sizes.value, budget)
+            for lo in range(0, len(ids), CHUNK):
+                some = ids[lo : lo + CHUNK]
+                words = np.zeros(len(sizes.value), "<u8")
+                for j in range(len(some)):
+                    words[next(reached)[0]] |= np.uint64(1 << j)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (some, v[lo : lo + CHUNK], words)], ["ids", "v", "words"])
+
+    blocks = -(-n_rows // min(BLOCK, max(LEAST_BLOCK, n_rows // BLOCKS)))
+    parts = -(-n_asks // QUERIES)
+    # a chunk of queries is some 64 of one task
+    chunks = asks.repartition(max(1, -(-n_asks // (4 * CHUNK))), "id").mapInArrow(probe, "ids binary, v binary, words binary")
+    part, block = F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"), F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int")
+    left = chunks.select("*", part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = placed.select("*", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    key = ["block", "part"]
     found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda kk, a, b: _rerank(kk, a, b, k), "q long, side int, ids array<long>, scores array<double>")
     # a query gathers the answers of its blocks in up to SIDES parts, and then the best of each part
-    for level in (f"pmod(side, {SIDES})", "0"):
+    for level in (f"pmod(side, {SIDES})", "0") if blocks > SIDES else ("0",):
         found = found.withColumn("side", F.expr(level).cast("int")).groupBy("q", "side").agg(F.collect_list("ids").alias("ids"), F.collect_list("scores").alias("scores"))
         found = found.mapInArrow(lambda it: _best(it, k), "q long, side int, ids array<long>, scores array<double>")
     return found.drop("side")

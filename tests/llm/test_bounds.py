@@ -101,3 +101,34 @@ def test_scores_depend_neither_on_files_nor_on_tasks(spark, tmp_path):
             assert lm_score.pieces(docs, "text", "doc_id", trained[1].total, piece).rdd.getNumPartitions() >= least
             found.append({x.doc_id: x.score for x in lm_score.score(df, *trained).collect()})
         assert all(abs(found[0][i] - other[i]) <= 1e-6 * abs(found[0][i]) for other in found[1:] for i in found[0])
+
+
+def test_probing_holds_few_queries_at_once_and_keeps_the_order_of_one_queue():
+    import heapq
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    v = r.normal(size=(3000, 8))
+    forest = nearest.Forest(v, float(np.sqrt((v * v).sum(1).max())), 6, 8)
+    size = np.bincount(forest.place(v).ravel(), minlength=forest.leaves + 1)
+    tracemalloc.start()
+    got = [(leaves, held[-1]) for leaves, held in forest.probe(v, size, 200)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 3000 and peak < 3000 * len(forest.normals) * 8 / 4  # margins of all queries would be four times that
+    for k in range(0, 3000, 300):
+        q = np.append(v[k], 0) / np.sqrt(v[k] @ v[k]) * forest.most
+        margin = forest.normals @ q - forest.offsets
+        queue, leaves, total = [(-np.inf, x) for x in forest.roots], [], 0
+        heapq.heapify(queue)
+        while total < 200:
+            far, node = heapq.heappop(queue)
+            while node >= 0:
+                up = int(margin[node] > 0)
+                heapq.heappush(queue, (max(far, abs(margin[node])), int(forest.children[node, 1 - up])))
+                node = int(forest.children[node, up])
+            if size[-node]:
+                leaves.append(-node)
+                total += size[-node]
+        worst = lambda found: len(set(found) ^ set(leaves))  # noqa: E731  # where places tie, either may come first
+        assert total >= 200 and got[k][1] >= 200 and worst(got[k][0].tolist()) <= 6
