@@ -83,7 +83,9 @@ def answered(docs: DataFrame, rules: dict[str, list[str]], cache: DataFrame, pro
     lost reader does not ask again.
     """
     known = cache.where((F.col("prompt_version") == prompt_version) & (F.col("model") == model)).select(key).distinct()
-    open_ = labelled(docs.select(key, text), rules, text, (key,)).where(F.col("_labels") == F.array(F.lit(UNCLASSIFIED))).select(key)
+    # a filter on the labels themselves would be moved below them, with the fold and the rules written out for every theme
+    seen = labelled(docs.select(key, text), rules, text, (key,)).select(key, F.explode_outer(F.array("_labels")).alias("_labels"))
+    open_ = seen.where(F.col("_labels") == F.array(F.lit(UNCLASSIFIED))).select(key)
     asked = docs.select(key, F.coalesce(text, F.lit("")).alias("text")).join(open_.join(known, key, "left_anti"), key, "left_semi")
     kind, closed = docs.schema[key].dataType.simpleString(), set(labels)
 

@@ -498,3 +498,14 @@ def test_commands_that_sample_slice_and_split(spark, tmp_path):
             run(*bad)
     run("split-fees", tmp_path / "fees.csv", "f", "t", "e", tmp_path / "split.csv", "--families", "x,y,z")
     assert files.read_fee_split(spark, str(tmp_path / "split.csv"), ("x", "y", "z"))["overall"][:2] == (6, 9)
+
+
+def test_open_texts_are_folded_and_searched_once(spark, monkeypatch):
+    monkeypatch.setattr(K.work, "stored", lambda df, name: df)
+    docs = spark.createDataFrame([(1, "Délai"), (2, "nothing"), (3, "with"), (4, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, prompt_version string, model string, theme string")
+    rules = {"delay": ["delai", "late"], "contact": ["with"], "refund": ["money"], "positive": ["good"]}
+    got = K.answered(docs, rules, none, "v", "m", lambda ids, texts: [["refund"] if t else None for t in texts], ["refund"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?=(") == 1  # the pattern of all rules
+    assert sorted((r.doc_id, r.theme) for r in got.collect()) == [(2, "refund"), (4, "unclassified")]
