@@ -509,3 +509,15 @@ def test_open_texts_are_folded_and_searched_once(spark, monkeypatch):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?=(") == 1  # the pattern of all rules
     assert sorted((r.doc_id, r.theme) for r in got.collect()) == [(2, "refund"), (4, "unclassified")]
+
+
+def test_pages_are_parsed_by_batches(spark):
+    one = {"label": "1"}
+    entry = {k: one for k in ("id", "title", "content", "im:rating")} | {"updated": {"label": "2024-01-02T03:04:05-07:00"}}
+    bodies = [json.dumps({"feed": {"entry": [entry] * n}}) for n in (0, 1, 3)]
+    rows = [(i, "feed", b, i * 10) for i, b in enumerate(bodies)] + [(3, "feed", None, 30), (4, None, "x", 40)]
+    got = html_pages.parsed(spark.createDataFrame(rows, "page long, parser string, body string, extra long"))
+    assert "UDTF" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.columns[:3] == ["page", "parser", "extra"]
+    kinds = sorted((r.page, r.extra, r.kind, r.review_date) for r in got.collect())
+    assert kinds == [(1, 10, "review", "2024-01-02")] + [(2, 20, "review", "2024-01-02")] * 3 + [(3, 30, "refused", None), (4, 40, "refused", None)]
