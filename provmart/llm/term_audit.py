@@ -262,8 +262,8 @@ class Sums:
         value = distance(p[k], whole[row[k]])
         order = np.lexsort((row[k], -value, sid[k]))  # the terms come in the order of bytes
         k, value = k[order], value[order]
-        starts = np.flatnonzero(np.diff(sid[k], prepend=-1))
-        for a, b in zip(starts, np.append(starts[1:], len(k)), strict=True):
+        edge = np.append(np.flatnonzero(np.diff(sid[k], prepend=-1)), len(k))
+        for a, b in zip(edge, edge[1:], strict=False):  # none where no share is above the language's
             found = [(-int(v), terms[r].encode()) for v, r in zip(value[a : min(b, a + self.top)], row[k[a : min(b, a + self.top)]], strict=True)]
             key = (lang, int(sid[k[a]]))
             self.best[key] = sorted(self.best.get(key, []) + found)[: self.top]

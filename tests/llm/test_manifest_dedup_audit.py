@@ -217,6 +217,14 @@ def test_audit_of_nothing(spark, audited):
     assert not none.count()
 
 
+def test_terms_that_mark_no_source(spark):
+    """Of one source, or of one kept term, no share is above the language's; the audit has to end all the same."""
+    rows = [("en", "alone", "one two two")] * 12 + [("de", s, "eins") for s in "ab" for _ in range(10)]
+    docs = spark.createDataFrame(rows, "lang string, source string, text string")
+    got = shape(term_audit.audit(docs))
+    assert got == collections.Counter(audit_by_hand(rows)) and {x[2] for x in got} == {"pair"}
+
+
 def test_a_trie_walks_in_the_order_of_bytes_and_numbers_its_leaves():
     r = random.Random(2)
     terms = ["".join(r.choice("ab日é") for _ in range(r.randrange(1, 9))).encode() for _ in range(800)]
