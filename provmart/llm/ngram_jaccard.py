@@ -21,7 +21,9 @@
    that share a prefix n-gram, pass the filter and lie in different components, less those whose part sizes by hash
    rule the overlap out.  Pairs inside a component are never listed.
 4. *Partial overlaps.*  For each candidate pair the segments of each fragment are
-   intersected separately and the counts summed per pair.
+   intersected separately and the counts summed per pair.  Segments are most of what would be
+   shuffled, so a set that is in no pair, or is folded into another row, is left out where it lies,
+   by a broadcast of the fewer rows (a shuffle join beyond its bound).
 
 No link between two components is lost: (b) is the whole prefix-filter join
 between components.  Components come from alternating stars in DataFrames.
@@ -48,6 +50,8 @@ N, PERCENT = 5, 75
 BINS = 64
 #: Texts of a batch that hold an n-gram from which its count travels instead of its places.
 OFTEN = 8
+#: Bound of a broadcast of the rows that pairs name.
+ENDS_BYTES = 32 << 20
 #: Sets of one n-gram that a block of the pairing holds on one side.
 PAIRED = 1000
 _BLOCK = "frag int, batch long, head binary, own binary, own_at binary, often binary, times binary, keys binary, at binary"
@@ -219,10 +223,27 @@ def shared_grams(docs: DataFrame, n: int, percent: int, text: str, doc_id: str)
     return counted.groupBy("batch").applyInArrow(lambda t: _gather(t, percent), _ROWS)
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, na, b, nb) whose overlap, counted by fragment and summed, reaches the threshold."""
-    left = segments.select(F.col("row").alias("a"), "frag", F.col("grams").alias("ga"))
-    right = segments.select(F.col("row").alias("b"), "frag", F.col("grams").alias("gb"))
+def folded(near: DataFrame, member: DataFrame) -> DataFrame:
+    """The rows of ``near`` that stand for others or for themselves; ``member`` is a work table."""
+    rep, other = (member.where(f"row {sign} rep").select("row") for sign in ("=", "<>"))
+    kept = rep.count()
+    if member.count() - kept < kept:
+        return near.join(C.one_side(other, member.count() - kept, 16, "other"), "row", "left_anti")
+    return near.join(C.one_side(rep, kept, 16, "rep"), "row", "left_semi")
+
+
+def of_pairs(sets: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
+    """(row, frag, grams) of the sets on one side of ``pairs``; of all sets if the rows are too many for a broadcast."""
+    rows = C.materialize(pairs.select(F.col(side).alias("row")).distinct(), "ends")
+    if rows.count() * 16 <= ENDS_BYTES:
+        sets = sets.join(F.broadcast(rows), "row", "left_semi")
+    return sets.select("row", F.explode("segments").alias("s")).select("row", "s.frag", "s.grams")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, na, b, nb) whose overlap, counted by fragment and summed, reaches the threshold; ``pairs`` is a work table."""
+    left = of_pairs(sets, pairs, "a").select(F.col("row").alias("a"), "frag", F.col("grams").alias("ga"))
+    right = of_pairs(sets, pairs, "b").select(F.col("row").alias("b"), "frag", F.col("grams").alias("gb"))
     part = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "na", "b", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
     total = part.groupBy("a", "na", "b", "nb").agg(F.sum("part").alias("both"))
     return total.where(F.expr(f"100 * both >= {percent} * (na + nb - both)")).select("a", "b")
@@ -240,8 +261,7 @@ def links(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     first = member.groupBy("mark", "n").agg(F.min("row").alias("rep"))
     first = C.one_side(first, member.count(), 64, "first")
     member = C.materialize(member.join(first, ["mark", "n"]).select("row", "rep", F.expr(f"100 * shared >= {percent} * (2 * n - shared)").alias("alike")), "rep")
-    sets = C.materialize(near.join(member.where("row = rep").select("row"), "row").select("row", "n", "shared", "sizes", "segments"), "sets")
-    segments = sets.select("row", F.explode("segments").alias("s")).select("row", "s.frag", "s.grams")
+    sets = C.materialize(folded(near, member).select("row", "n", "shared", "sizes", "segments"), "sets")
 
     # the prefix over the global order; n-grams of one text only come first and are skipped
     length = F.expr(f"n - CAST(ceil(n * {percent} / 100) AS INT) + 1 - (n - shared)")
@@ -257,7 +277,7 @@ def links(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     star = C.one_side(star, prefix.count(), 32, "star")
     votes = prefix.select("gram", F.col("row").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra")).join(star, "gram").where(f"a <> b AND {near_size}").groupBy("a", "na", "b", "nb").count()
     best = votes.groupBy("a", "na").agg(F.max(F.struct("count", "b", "nb")).alias("m")).select("a", "na", "m.b", "m.nb")
-    first_links = C.materialize(_verified(best, segments, percent), "links")
+    first_links = C.materialize(_verified(C.materialize(best, "best"), sets, percent), "links")
     joined = C.materialize(C.components(first_links), "joined")
 
     # (b) everything that shares a prefix n-gram across components
@@ -275,7 +295,7 @@ def links(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     part = lambda k: sets.select(F.col("row").alias(k), F.col("sizes").alias(f"s{k}"))
     most = "aggregate(zip_with(sa, sb, (p, q) -> least(p, q)), 0, (s, v) -> s + v)"
     across = across.join(part("a"), "a").join(part("b"), "b").where(f"{most} * {100 + percent} >= (na + nb) * {percent}").select("a", "na", "b", "nb")
-    second_links = C.materialize(_verified(across, segments, percent), "links")
+    second_links = C.materialize(_verified(C.materialize(across, "across"), sets, percent), "links")
     C.drop(prefix, joined, sets)
     both = C.materialize(first_links.union(second_links), "links")
     # members that are not alike have no link among them, but each has those of their row

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from provmart.llm import common as C
-from provmart.llm import decontaminate, html_wrapper, language_id, lm_score, nearest, sentencepiece_codec, warc_index
+from provmart.llm import decontaminate, html_wrapper, language_id, lm_score, nearest, ngram_jaccard, sentencepiece_codec, warc_index
 
 
 def test_samples_are_the_rows_of_least_hash(spark):
@@ -132,3 +132,20 @@ def test_probing_holds_few_queries_at_once_and_keeps_the_order_of_one_queue():
                 total += size[-node]
         worst = lambda found: len(set(found) ^ set(leaves))  # noqa: E731  # where places tie, either may come first
         assert total >= 200 and got[k][1] >= 200 and worst(got[k][0].tolist()) <= 6
+
+
+def test_segments_of_sets_in_no_pair_are_not_shuffled(spark, monkeypatch):
+    """Only the sets that pairs name, and of folded sets one row, go on; beyond the bound all go to the join, with the same links."""
+    grams = {k: [*range(100 * (k // 2), 100 * (k // 2) + 8 + k % 2)] for k in range(40)}  # 2k and 2k + 1 overlap in 8 of 9
+    sets = C.materialize(spark.createDataFrame([(k, [(0, g)]) for k, g in grams.items()], "row long, segments array<struct<frag:int,grams:array<bigint>>>"), "sets")
+    pairs = C.materialize(spark.createDataFrame([(0, 8, 1, 9), (6, 8, 7, 9), (6, 8, 9, 9)], "a long, na int, b long, nb int"), "pairs")
+    ends = lambda: [sorted(r.row for r in ngram_jaccard.of_pairs(sets, pairs, side).collect()) for side in "ab"]
+    found = lambda: sorted(tuple(r) for r in ngram_jaccard._verified(pairs, sets, 75).collect())
+    assert ends() == [[0, 6], [1, 7, 9]] and found() == [(0, 1), (6, 7)]
+    monkeypatch.setattr(ngram_jaccard, "ENDS_BYTES", 16)
+    assert ends() == [[*range(40)]] * 2 and found() == [(0, 1), (6, 7)]
+    for several in (2, 10):  # most rows alone, or most rows folded
+        member = C.materialize(spark.range(40).selectExpr("id AS row", f"id - IF(id < 20, id % {several}, 0) AS rep" if several == 2 else f"id - id % {several} AS rep"), "member")
+        kept = ngram_jaccard.folded(sets, member)
+        assert sorted(r.row for r in kept.collect()) == sorted({r.rep for r in member.collect()})
+        assert "Exchange hashpartitioning" not in kept._jdf.queryExecution().executedPlan().toString()
