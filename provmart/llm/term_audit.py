@@ -2,19 +2,21 @@
 
 Counting: a task splits its texts into terms, numbers them in a radix trie over bytes and counts
 for every leaf how often each source has it and in how many documents.  A trie that holds
-``TRIE_LEAVES`` terms is handed on and a new one begun, so memory is bounded; a frequent word is
-one row for each trie, however often it occurs.
+``TRIE_LEAVES`` terms, ``COUNTERS`` counters or ``TERM_BYTES`` of terms is handed on and a new one
+begun, so memory is bounded; a frequent word is one row for each trie, however often it occurs.
 
 Merging: partial tries are dealt by prefix ranges (splitters sampled from the first bytes of their
-terms), and a task merges its range in a trie: leaves of the same term add their counters.  Terms
+terms; as many as rows, counters and bytes ask for), and a task merges its range in a trie: leaves of the same term add their counters.  Terms
 in fewer than ``MIN_DOCS`` documents of their language go; the others are written.
 
 Audit: totals of all groups come first, as every share depends on them.  Then the ranges are read
 again; for each term present in a source the distance to all sources of the language is added
 to sums over pairs, and pairs of sources that both lack a term add a constant for each
 such term, which is counted, not walked.  A task sends its sums and ten candidates of each
-group.  Work follows the (term, source) counters times the sources of the language, memory the
-square of the sources (three long each, handed on beyond ``SUM_CELLS``), as the result itself does.
+group.  Work follows the (term, source) counters times the sources of the language, as the result
+follows the square of the sources.  Where that square is beyond ``SUM_CELLS``, the sources are cut into
+stripes, each with its own tasks and the terms that it has, so a task holds three long for each of
+``SUM_CELLS`` pairs at most.
 
 Defined cases: null text, lang and source are ''; a group without terms, or of a language without kept
 terms, takes part; values tie by the item's UTF-8 bytes; a row that repeats is a document more; an
@@ -30,7 +32,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -40,8 +42,14 @@ TOP = 10
 SCALE = 1_000_000_000
 #: Terms of a partial trie, and sums over pairs that a task holds.
 TRIE_LEAVES, SUM_CELLS = 400_000, 4_000_000
+#: Counters of a partial trie or a prefix range, and bytes of their terms.
+COUNTERS, TERM_BYTES = 3_000_000, 64 << 20
 #: Rows of partial tries in a prefix range, and the bytes that a range is cut by.
 RANGE_ROWS, PREFIX = 200_000, 16
+#: Rows, and bytes of terms and counters, that a task emits at once.
+EMIT_ROWS, EMIT_BYTES = 50_000, 16 << 20
+#: Pairs of sources that a task makes.
+PAIR_ROWS = 1_000_000
 #: Text that is split into terms at once.
 CHUNK_BYTES = 8 << 20
 #: Bound of a broadcast table of groups or languages.
@@ -58,6 +66,8 @@ class Limits:
 
     leaves: int = TRIE_LEAVES
     cells: int = SUM_CELLS
+    counters: int = COUNTERS
+    term_bytes: int = TERM_BYTES
 
 
 class Trie:
@@ -65,7 +75,7 @@ class Trie:
 
     def __init__(self) -> None:
         self.root: list = [b"", {}, -1]
-        self.size = 0
+        self.size = self.bytes = 0
 
     def add(self, term: bytes) -> int:
         node, at, end = self.root, 0, len(term)
@@ -89,6 +99,7 @@ class Trie:
         if node[2] < 0:
             node[2] = self.size
             self.size += 1
+            self.bytes += end
         return node[2]
 
     def walk(self) -> Iterator[tuple[bytes, int]]:
@@ -118,6 +129,14 @@ class Counters:
         if len(self.held) > 1 and self.rows > 4 * len(self.held[0][0]) + 1_000_000:
             self.settle()
 
+    def full(self, limits: Limits) -> bool:
+        if self.trie.size >= limits.leaves or self.trie.bytes >= limits.term_bytes:
+            return True
+        if self.rows >= 2 * limits.counters:
+            self.settle()
+            return self.rows >= limits.counters
+        return False
+
     def settle(self) -> None:
         """Add up the counters of the same leaf and group."""
         keys, counts, docs = (np.concatenate([h[i] for h in self.held]) for i in range(3))
@@ -147,9 +166,13 @@ class Counters:
             total = np.add.reduceat(docs, starts)
             ends = np.append(starts[1:], len(place))
             keep = np.flatnonzero(total >= least)
+            weight = np.cumsum(np.fromiter(map(len, terms), np.int64, len(terms))[place[starts[keep]]] + 12 * (ends - starts)[keep])
             terms, langs = pa.array(terms, pa.binary()), pa.array(langs, pa.string())
-            for lo in range(0, len(keep), 50_000):
-                k = keep[lo : lo + 50_000]
+            hi = 0
+            while hi < len(keep):
+                lo, before = hi, int(weight[hi - 1]) if hi else 0
+                hi = min(lo + EMIT_ROWS, max(lo + 1, int(np.searchsorted(weight, before + EMIT_BYTES, "right"))))
+                k = keep[lo:hi]
                 size = ends[k] - starts[k]
                 offsets = np.concatenate([[0], np.cumsum(size)])
                 flat = np.repeat(starts[k] - offsets[:-1], size) + np.arange(offsets[-1])
@@ -162,7 +185,7 @@ class Counters:
         self.groups = groups
 
 
-def _count(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count(limits: Limits, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = Counters()
     for batch in batches:
         groups = np.array([held.group(*x) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], np.int64)
@@ -178,7 +201,7 @@ def _count(most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             width = len(leaves)
             pairs, counts = np.unique(w.doc * width + codes, return_counts=True)  # (document, term)
             held.add(leaves[pairs % width], groups[lo + pairs // width], counts, np.ones(len(pairs), np.int64))
-            if held.trie.size >= most:
+            if held.full(limits):
                 yield from held.emit()
     yield from held.emit()
     C.give_back()
@@ -230,17 +253,19 @@ class Sums:
     def __init__(self, top: int, cells: int):
         self.top, self.cells, self.pairs, self.best = top, cells, {}, {}
 
-    def walk(self, lang: str, kept: int, of_all: int, sizes: np.ndarray, terms: list[str], row: np.ndarray, sid: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Counters (row, sid, count) of ``terms``; ``sizes``: kept occurrences of each source."""
+    def walk(self, lang: str, first: int, width: int, kept: int, of_all: int, sizes: np.ndarray, terms: list[str], row: np.ndarray, sid: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Counters (row, sid, count) of ``terms``; ``sizes``: kept occurrences of each source; sources from ``first`` on, ``width`` of them, are walked."""
         n, s = len(terms), len(sizes)
         total = np.add.reduceat(count, np.flatnonzero(np.diff(row, prepend=-1)))
         whole = share(total, np.full(n, of_all + 2 * kept))
         p = share(count, sizes[sid] + 2 * kept)
-        self._candidates(lang, terms, row, sid, p, whole)
+        own = (sid >= first) & (sid < first + width)
+        self._candidates(lang, terms, row[own], sid[own], p[own], whole)
         lacking = share(np.zeros(s, np.int64), sizes + 2 * kept)
-        if lang not in self.pairs and s * s + sum(len(x[0]) ** 2 for x in self.pairs.values()) > self.cells:
+        width = min(width, s - first)
+        if (lang, first) not in self.pairs and width * s + sum(x[0].size for x in self.pairs.values()) > self.cells:
             yield from self.hand_on()
-        sums = self.pairs.setdefault(lang, [np.zeros((s, s), np.int64) for _ in range(3)])
+        sums = self.pairs.setdefault((lang, first), [np.zeros((width, s), np.int64) for _ in range(3)])
         order = np.argsort(sid, kind="stable")
         for cut in _blocks(n, s, self.cells):  # some terms at a time, over all sources
             inside = order[(row[order] >= cut.start) & (row[order] < cut.stop)]
@@ -248,12 +273,13 @@ class Sums:
             dense = np.repeat(lacking[None, :], cut.stop - cut.start, 0)
             there[row[inside] - cut.start, sid[inside]] = True
             dense[row[inside] - cut.start, sid[inside]] = p[inside]
+            inside = inside[own[inside]]
             for part in _blocks(len(inside), s, self.cells):
                 k = inside[part]
                 f = distance(p[k][:, None], dense[row[k] - cut.start])
                 none = ~there[row[k] - cut.start]
                 starts = np.flatnonzero(np.diff(sid[k], prepend=-1))
-                at = sid[k][starts]
+                at = sid[k][starts] - first
                 for out, values in zip(sums, (f, np.where(none, f, 0), none.astype(np.int64)), strict=True):
                     out[at] += np.add.reduceat(values, starts, axis=0)
 
@@ -269,12 +295,12 @@ class Sums:
             self.best[key] = sorted(self.best.get(key, []) + found)[: self.top]
 
     def hand_on(self) -> Iterator[pa.RecordBatch]:
-        for lang, (x, y, z) in self.pairs.items():
-            a, b = np.nonzero(~np.eye(len(x), dtype=bool) & ((x != 0) | (z != 0)))
+        for (lang, first), (x, y, z) in self.pairs.items():
+            a, b = np.nonzero(~np.eye(*x.shape, first, dtype=bool) & ((x != 0) | (z != 0)))
             for lo in range(0, len(a), 100_000):
                 i, j = a[lo : lo + 100_000], b[lo : lo + 100_000]
                 n = len(i)
-                yield _sums(np.zeros(n, np.int32), [lang] * n, i, j, [None] * n, x[i, j], y[i, j], z[i, j])
+                yield _sums(np.zeros(n, np.int32), [lang] * n, i + first, j, [None] * n, x[i, j], y[i, j], z[i, j])
         self.pairs = {}
 
     def end(self) -> Iterator[pa.RecordBatch]:
@@ -292,20 +318,20 @@ def _sums(part, lang, a, b, item, x, y, z) -> pa.RecordBatch:
 
 
 def _audit(top: int, cells: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Kept terms of (lang, term, sids, counts, kept, of_all, sizes)."""
+    """Kept terms of (lang, first, term, sids, counts, width, kept, of_all, sizes)."""
     found = Sums(top, cells)
     for batch in batches:
         if not batch.num_rows:
             continue
-        table = pa.Table.from_batches([batch]).sort_by([("lang", "ascending"), ("term", "ascending")]).combine_chunks()
-        langs = table.column("lang").to_pylist()
+        table = pa.Table.from_batches([batch]).sort_by([("lang", "ascending"), ("first", "ascending"), ("term", "ascending")]).combine_chunks()
+        langs = list(zip(table.column("lang").to_pylist(), table.column("first").to_pylist(), strict=True))
         edge = [0, *[i for i in range(1, len(langs)) if langs[i] != langs[i - 1]], len(langs)]
         for lo, hi in zip(edge, edge[1:], strict=False):
             own = table.slice(lo, hi - lo).combine_chunks()
             sids, counts = own.column("sids").combine_chunks(), own.column("counts").combine_chunks()
             size = np.diff(sids.offsets.to_numpy())
             sizes = np.array(own.column("sizes")[0].as_py(), np.int64)
-            yield from found.walk(langs[lo], own.column("kept")[0].as_py(), own.column("of_all")[0].as_py(), sizes, own.column("term").to_pylist(), np.repeat(np.arange(hi - lo), size), sids.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy())
+            yield from found.walk(*langs[lo], own.column("width")[0].as_py(), own.column("kept")[0].as_py(), own.column("of_all")[0].as_py(), sizes, own.column("term").to_pylist(), np.repeat(np.arange(hi - lo), size), sids.flatten().to_numpy().astype(np.int64), counts.flatten().to_numpy())
     yield from found.end()
     C.give_back()
 
@@ -314,13 +340,30 @@ def kept_terms(docs: DataFrame, groups: DataFrame, min_docs: int = MIN_DOCS, lim
     """(lang, term, docs, sids, counts) of the terms in at least ``min_docs`` documents of a language: a work table."""
     C.narrow_batches(docs.sparkSession)
     rows = docs.join(C.small_side(groups.select("lang", "source", "sid"), GROUPS_BYTES, 64), ["lang", "source"])
-    partial = C.materialize(rows.select("lang", "sid", "text").mapInArrow(lambda it: _count(limits.leaves, it), _TRIE), "tries")
-    cut = partial.repartitionByRange(max(1, -(-partial.count() // RANGE_ROWS)), F.substring(F.col("term").cast("binary"), 1, PREFIX), F.xxhash64("term"))
+    found, seen = rows.select("lang", "sid", "text").mapInArrow(lambda it: _count(limits, it), _TRIE), Observation()
+    sized = found.observe(seen, F.count("*").alias("rows"), F.sum(F.size("sids")).alias("counters"), F.sum(F.octet_length("term")).alias("bytes"))
+    partial = C.materialize(sized, "tries")
+    most = {"rows": RANGE_ROWS, "counters": limits.counters, "bytes": limits.term_bytes}
+    cut = partial.repartitionByRange(max(1, *(-(-(seen.get[k] or 0) // n) for k, n in most.items())), F.substring(F.col("term").cast("binary"), 1, PREFIX), F.xxhash64("term"))
     out = C.materialize(cut.mapInArrow(lambda it: _merge(min_docs, it), _TRIE), "terms")
     C.drop(partial)
     return out
 
 
+def striped(terms: DataFrame, by_lang: DataFrame, cells: int) -> DataFrame:
+    """``terms`` with first and width of the sources that a task walks; a term goes to the stripes that have it."""
+    sources = F.size("sizes")
+    width = F.when(sources.cast("long") * sources <= cells, sources).otherwise(F.greatest(F.lit(1), F.expr(f"CAST({cells} DIV size(sizes) AS INT)")))
+    cut = by_lang.select("lang", sources.alias("n"), width.alias("width"))
+    stripes = cut.select("lang", "width", F.explode(F.expr("sequence(0, n - 1, width)")).alias("first"))
+    n = by_lang.agg(F.coalesce(F.max(F.ceil(sources / width)), F.lit(0)).alias("n")).first().n
+    if n <= 1:
+        return terms.join(F.broadcast(stripes), "lang")
+    spread = terms.join(F.broadcast(stripes), "lang").where("exists(sids, x -> x >= first AND x < first + width)")
+    parts = max(1, -(-terms.count() // RANGE_ROWS))
+    return spread.repartition(n * parts, "lang", "first", F.pmod(F.xxhash64("term"), F.lit(parts))).sortWithinPartitions("lang", "first")
+
+
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_docs: int = MIN_DOCS, top: int = TOP, limits: Limits = Limits()) -> DataFrame:
     """(lang, source, part, item, value, rank); see the module."""
     own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -338,11 +381,15 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     by_lang = C.materialize(by_lang, "langs")
     # the sizes of a language are as many as its sources: the count of groups bounds the broadcast
     side = F.broadcast(by_lang) if groups.count() * 64 <= GROUPS_BYTES else by_lang
-    walked = C.materialize(terms.select("lang", "term", "sids", "counts").join(side, "lang").mapInArrow(lambda it: _audit(top, limits.cells, it), _SUMS), "sums")
+    dealt = striped(terms.select("lang", "term", "sids", "counts"), by_lang, limits.cells)
+    walked = C.materialize(dealt.join(side, "lang").mapInArrow(lambda it: _audit(top, limits.cells, it), _SUMS), "sums")
 
     sums = C.materialize(walked.where("part = 0").groupBy("lang", "a", "b").agg(*[F.sum(c).alias(c) for c in "xyz"]), "pairs")
     side = lambda c: known.select("lang", F.col("sid").alias(c), F.col("source").alias(f"source_{c}"), F.col("size").alias(f"size_{c}"), F.col("terms").alias(f"terms_{c}"), F.col("kept").alias(f"kept_{c}"))
-    both = side("a").join(side("b"), "lang").where("a <> b")
+    pairs = by_lang.agg(F.sum(F.size("sizes").cast("long") * F.size("sizes")).alias("n")).first().n or 0
+    a = side("a").repartition(-(-pairs // PAIR_ROWS), "lang", "a") if pairs > PAIR_ROWS else side("a")
+    b = F.broadcast(side("b")) if known.count() * 64 <= GROUPS_BYTES else side("b")
+    both = a.join(b, "lang").where("a <> b")
     both = both.join(sums, ["lang", "a", "b"], "left").join(sums.select("lang", F.col("a").alias("b"), F.col("b").alias("a"), F.col("y").alias("back"), F.col("z").alias("lacked")), ["lang", "a", "b"], "left").na.fill(0, ["x", "back", "lacked"])
     for c in "ab":  # the share of a term that the source lacks
         both = both.withColumn(f"p_{c}", F.expr(f"1 + {2 * SCALE}L DIV greatest(1L, size_{c} + 2 * kept_a)"))
